@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +75,17 @@ def _down(pairs: DataFrame) -> DataFrame:
 def _is_forest_of_stars(links: DataFrame) -> bool:
     ends = links.select("u", F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(links.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("top")))
     return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or (up = 1 and top = 1)").isEmpty()
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces whose `column` (binary) has about `limit` bytes, or one row; empty pieces are left out."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(np.nan_to_num(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(first, last - first)
+            first = last

@@ -235,7 +235,7 @@ def passages(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> D
     hits = written(places.join(often, "key").select("doc", hit.alias("h")).groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hits")), "hits")
     stretches = written(runs(hits, key), "runs")
     # Suffixes that share a key with the first or the last one of any run: how far those matches go on, they tell.
-    at_ends = stretches.select(F.explode(F.array("first_key", "last_key")).alias("key")).distinct()
+    at_ends = written(stretches.select(F.explode(F.array("first_key", "last_key")).alias("key")).distinct(), "ends")  # so that the join's sides are plain exchanges, which Spark splits where a key is hot
     near = hits.select("doc", F.explode("hits").alias("h")).select("doc", F.col("h.key").alias("key"), F.col("h.at").alias("at")).join(at_ends, "key", "left_semi")
     sites = near.groupBy("doc").agg(F.collect_list(F.struct("at", "key")).alias("sites"))
     rows = written(contexts(own.select("doc", "text").join(sites, "doc").select("text", "doc", "sites"), key, sparse), "contexts")

@@ -9,14 +9,15 @@ piece finds its place from its length and its rank among pieces of that length,
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +26,12 @@ from ledgerloom.llm.common import in_blocks, text_or_empty, written
 WINDOW = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: The words whose ids a worker remembers at most.
-REMEMBERED = 400_000
+#: The units whose ids a worker remembers at most.
+REMEMBERED = 500_000
 #: The pattern by which byte-level BPE splits text before it merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space that is neither a space nor a line end.
+_OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
 
 def default_vocabulary() -> str:
@@ -37,29 +40,72 @@ def default_vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class Encoder(dict):
-    """text to its ids as little-endian 32-bit integers. The ids of each word between splits are remembered."""
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones themselves, the others in
+    order from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class Encoder:
+    """Texts to their ids as little-endian 32-bit integers. The ids of each unit between splits are remembered. The
+    units of a block that are not yet known are encoded as one text, by a second library that is given the same
+    vocabulary and merges faster, if the vocabulary's merges rank as its ids do; else, and for texts with unusual white
+    space, by the tokenizer itself."""
 
     def __init__(self, path: str) -> None:
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: Callable[[str], list[str]] = regex.compile(PATTERN).findall
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        made = self[word] = self.whole(word)
-        return made
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if any(x in text for x in self.special):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.words(text)))
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [x.content for x in added.values()]
+        model = json.loads(self.tokenizer.to_str())["model"]
+        ranked = [model["vocab"].get("".join(x if isinstance(x, list) else x.split(" "))) for x in model["merges"]]
+        own = byte_of()
+        ranks = {bytes(own[c] for c in token): k for token, k in model["vocab"].items() if k not in added}
+        self.faster = ranked == sorted(ranked) and Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.begins = np.zeros(max(model["vocab"].values()) + 1, bool)
+        for token, k in ranks.items():
+            self.begins[k] = token[0] in b" \n"
+        self.known: dict[str, bytes] = {}
+
+    def units(self, text: str) -> list[str] | None:
+        """text cut at its single spaces and before its line ends, where the pattern always splits; a unit that doesn't
+        begin with a line end has lost the space before it. None where spaces of other kinds or runs of them need the
+        pattern itself."""
+        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[:1] == " " or text[-1:] in (" ", "\n"):
+            return None
+        if _OTHER_SPACE(text) or any(x in text for x in self.special):
+            return None
+        return f"\n{text}".replace("\n", " \n")[1:].split(" ")
+
+    def learn(self, units: list[str]) -> None:
+        """Line ends and spaces stand only at the beginning of a unit, so they tell where the ids of each begin."""
+        for lines in (True, False):
+            own = [x for x in units if (x[0] == "\n") == lines and x != "\n"]
+            for first in range(0, len(own), 8192):
+                part = own[first : first + 8192]
+                text = "".join(part) if lines else " " + " ".join(part)
+                ids = np.array(self.faster.encode_ordinary(text) if self.faster else self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+                cuts = [*(np.nonzero(self.begins[ids])[0] * 4).tolist(), len(ids) * 4]
+                self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, cuts, cuts[1:])), strict=True))
+        self.known["\n"] = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        cut = [self.units(t) for t in texts]
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        new: set[str] = set()
+        for units in cut:
+            new.update(units or ())
+        self.learn([x for x in new if x not in self.known])
+        for text, units in zip(texts, cut):
+            if units is None:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            else:
+                yield b"".join(map(self.known.__getitem__, units))[4:]  # without the line end put before the text
 
 
 _encoders: dict[str, Encoder] = {}
@@ -99,8 +145,9 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
         for batch in in_blocks(batches, "text"):
             chunk, rank = uuid.uuid4().hex, [0] * (window + 1)
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py().decode("utf-8")) + end
+            texts = batch.column(1).cast(pa.string()).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+                ids += end
                 total = len(ids) // 4
                 for first in range(0, total, window):
                     part = ids[first * 4 : (first + window) * 4]

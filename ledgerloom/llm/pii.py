@@ -176,9 +176,9 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with entities and disclosing words taken out of text; all rows stay, columns as they were, null texts null."""
-    terms = find(docs, **limits).where("size(terms) > 0").select("key", "terms").dropDuplicates(["key"])
+    terms = find(docs, **limits).where("size(terms) > 0").select(F.col("key").alias("__of"), F.col("terms").alias("__terms")).dropDuplicates(["__of"])
     spanned = docs.withColumn("__spans", base_spans(text_or_empty()))
-    some = spanned.where("size(__spans) > 0").withColumn("__key", row_key()).join(terms, F.col("__key") == F.col("key"), "left")
-    every = F.concat("__spans", F.coalesce("terms", F.array().cast(SPANS)))
+    some = spanned.where("size(__spans) > 0").withColumn("__key", row_key()).join(terms, F.col("__key") == F.col("__of"), "left")
+    every = F.concat("__spans", F.coalesce("__terms", F.array().cast(SPANS)))
     clean = some.withColumn("text", replaced(F.col("text"), every)).select(*docs.columns)
     return clean.unionByName(spanned.where("size(__spans) = 0").select(*docs.columns))

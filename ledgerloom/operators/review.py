@@ -57,16 +57,17 @@ def decide(rows: DataFrame) -> DataFrame:
     review_required, auto_approved and validation_status. Reasons keep their first mention and sort by weight, stably."""
     weight, band, fields = (lookup({k: v[i] for k, v in REASONS.items()}) for i in range(3))
     bare = lambda r: F.substring_index(r, ":", 1)
-    keys = F.transform("reasons", bare)
-    first = F.filter("reasons", lambda r, i: F.array_position(keys, bare(r)) == i + 1)
-    order = F.array_sort(F.transform(first, lambda r, i: F.struct((-F.coalesce(F.try_element_at(weight, bare(r)), F.lit(0))).alias("w"), i.alias("i"), r.alias("r"))))
-    rows = rows.withColumn("review_reasons", F.transform(order, lambda x: x["r"])).withColumn("__keys", F.transform("review_reasons", bare))
-    in_band = lambda b: F.exists("__keys", lambda k: F.coalesce(F.try_element_at(band, k), F.lit("low")) == b)
+    # One column for each step, so that none is computed again inside the lambdas of the next.
+    pairs = rows.withColumn("__p", F.transform("reasons", lambda r, i: F.struct(bare(r).alias("k"), i.alias("i"), r.alias("r")))).withColumn("__k", F.col("__p.k"))
+    weighed = pairs.withColumn("__o", F.array_sort(F.transform(F.filter("__p", lambda x: F.array_position("__k", x["k"]) == x["i"] + 1), lambda x: F.struct((-F.coalesce(F.try_element_at(weight, x["k"]), F.lit(0))).alias("w"), x["i"].alias("i"), x["k"].alias("k"), x["r"].alias("r")))))
+    rows = weighed.select(*rows.columns, F.col("__o.r").alias("review_reasons"), F.col("__o.k").alias("__keys"))
+    rows = rows.withColumn("__bands", F.transform("__keys", lambda k: F.coalesce(F.try_element_at(band, k), F.lit("low"))))
+    in_band = lambda b: F.array_contains("__bands", b)
     has = lambda r: F.array_contains("__keys", r)
     named = F.flatten(F.transform("__keys", lambda k: F.split(F.coalesce(F.try_element_at(fields, k), F.lit("")), r"\|")))
     status = F.when(in_band("high"), F.when(has("no_supplier") & has("no_amount"), "review_incomplete").when(has("no_supplier"), "review_no_supplier").when(has("no_amount"), "review_no_amount").otherwise("review_validation_failed")).when(in_band("medium"), "ok_warned").otherwise("ok")
     return rows.select(
-        *[c for c in rows.columns if c != "__keys"], F.array_distinct(F.filter(named, lambda x: x != "")).alias("review_fields"), F.when(in_band("high"), "high").when(in_band("medium"), "medium").when(F.size("__keys") > 0, "low").alias("review_priority"),
+        *[c for c in rows.columns if c not in ("__keys", "__bands")], F.array_distinct(F.filter(named, lambda x: x != "")).alias("review_fields"), F.when(in_band("high"), "high").when(in_band("medium"), "medium").when(F.size("__keys") > 0, "low").alias("review_priority"),
         in_band("high").alias("review_required"), ((F.size("__keys") > 0) & F.forall("__keys", lambda k: k.isin(APPROVABLE))).alias("auto_approved"), status.alias("validation_status"),
     )
 

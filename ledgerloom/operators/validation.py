@@ -22,14 +22,16 @@ def validate(rows: DataFrame) -> DataFrame:
     diff = (total - (net + F.coalesce(vat, F.lit(0).cast("decimal(14,2)")))).cast("decimal(14,2)")
     odd = (net > 0) & ((vat > net * money(VAT_HIGH)) | ((vat > 0) & (vat < net * money(VAT_LOW))))
     untaxed = (net > 0) & vat.isNull() & (total > net * money(UNTAXED))
-    deposit = (diff > money(CLOSE)) & (diff <= money(DEPOSIT)) & (diff % 1).cast("decimal(4,2)").isin([F.lit(c).cast("decimal(4,2)") for c in DEPOSIT_CENTS])
-    discount = (diff < -money(CLOSE)) & (diff >= money(DISCOUNT))
-    off = F.abs(diff) > money(CLOSE)
-    status = F.when(net.isNull() & total.isNull(), "subtotal_not_found").when(deposit, "ok_with_deposit").when(discount, "ok_with_discount").when(off, "totals_mismatch").when(odd, "vat_anomaly").when(untaxed, "vat_missing").otherwise("ok")
+    cents = (F.col("diff") % 1).cast("decimal(4,2)").isin([F.lit(c).cast("decimal(4,2)") for c in DEPOSIT_CENTS])
+    deposit = (F.col("diff") > money(CLOSE)) & (F.col("diff") <= money(DEPOSIT)) & cents
+    discount = (F.col("diff") < -money(CLOSE)) & (F.col("diff") >= money(DISCOUNT))
+    # One column for each step, so that none is written out again inside the next.
+    seen = rows.withColumn("diff", diff).withColumns({"__odd": F.coalesce(odd, F.lit(False)), "__untaxed": F.coalesce(untaxed, F.lit(False)), "__deposit": F.coalesce(deposit, F.lit(False)), "__discount": F.coalesce(discount, F.lit(False))})
+    status = F.when(net.isNull() & total.isNull(), "subtotal_not_found").when(F.col("__deposit"), "ok_with_deposit").when(F.col("__discount"), "ok_with_discount").when(F.abs("diff") > money(CLOSE), "totals_mismatch").when(F.col("__odd"), "vat_anomaly").when(F.col("__untaxed"), "vat_missing").otherwise("ok")
     reasons = F.array_compact(
-        F.array(F.when(odd, "vat_anomaly"), F.when(untaxed, "vat_missing"), F.when(deposit, F.concat(F.lit("deposit_component_detected:"), diff.cast("string"))), F.when(deposit, "totals_mismatch_advisory"), F.when(status.isin("totals_mismatch", "subtotal_not_found"), status))
+        F.array(F.when(F.col("__odd"), "vat_anomaly"), F.when(F.col("__untaxed"), "vat_missing"), F.when(F.col("__deposit"), F.concat(F.lit("deposit_component_detected:"), F.col("diff").cast("string"))), F.when(F.col("__deposit"), "totals_mismatch_advisory"), F.when(F.col("status").isin("totals_mismatch", "subtotal_not_found"), F.col("status")))
     )
-    return rows.withColumn("diff", diff).withColumn("status", status).withColumn("reasons", reasons)
+    return seen.withColumn("status", status).withColumn("reasons", reasons).drop("__odd", "__untaxed", "__deposit", "__discount")
 
 
 def confidence(rows: DataFrame) -> Column:

@@ -61,4 +61,4 @@ def vat_key(vat: Column) -> Column:
 def split_fields(fields: Column) -> Column:
     """Field names joined by pipes, or by commas where there is no pipe."""
     parts = F.when(F.contains(fields, F.lit("|")), F.split(fields, r"\|")).otherwise(F.split(fields, ","))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")

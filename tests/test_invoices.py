@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import resolution, review, state, validation
-from ledgerloom.plans import catalogue
+from ledgerloom.plans import catalogue, page_catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,10 +39,13 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+ORACLE_SQL = catalogue.ORACLE_SQL | page_catalogue.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     ours = __spark_entry__.queries()[name](spark, SF)
-    theirs = duck.execute(catalogue.ORACLE_SQL[name])
+    theirs = duck.execute(ORACLE_SQL[name])
     columns = [c[0] for c in theirs.description]
     assert sorted(ours.columns) == sorted(columns)
     assert rows(ours.columns, ours.collect()) == rows(columns, theirs.fetchall())

@@ -126,9 +126,8 @@ def with_supplier(pages: DataFrame, page_text: str = "page_text", account: Colum
     df = df.withColumn("__best", F.array_min(F.transform("__names", score)))
 
     # The nearest line above contact data that may be a company, from the first four such lines that has one.
-    df = df.withColumn("__company", F.transform("__lines", lambda x: F.when(fields.plausible_company(x) & ~buyer(x), x)))
     contact = F.slice(F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(fields.CONTACT), i)), lambda i: i.isNotNull()), 1, CONTACTS)
-    above = lambda i: F.try_element_at(F.array_compact(F.slice("__company", F.greatest(i - BACK + 1, F.lit(1)), F.least(i, F.lit(BACK)))), F.lit(-1))
+    above = lambda i: F.try_element_at(F.filter(F.slice("__lines", F.greatest(i - BACK + 1, F.lit(1)), F.least(i, F.lit(BACK))), lambda x: fields.plausible_company(x) & ~buyer(x)), F.lit(-1))
     df = df.withColumn("__anchor", F.try_element_at(F.array_compact(F.transform(contact, above)), F.lit(1)))
     best, anchor = F.col("__best.name"), F.col("__anchor")
     agree = F.contains(F.upper(best), F.upper(anchor)) | F.contains(F.upper(anchor), F.upper(best))
@@ -149,11 +148,11 @@ def with_structured_totals(pages: DataFrame, page_text: str = "page_text") -> Da
 
     def row(x: Column) -> Column:
         shapes = [r"^(.+?)\s{2,}([+-]?[0-9][0-9,. ]*[0-9]|[0-9]+\.[0-9]{2})\s*$", r"^(.+?)\s*[:\-]\s*([+-]?[0-9][0-9,. ]*[0-9]|[0-9]+\.[0-9]{2})\s*$", r"^(.+?)\s+([+-]?[0-9]+\.[0-9]{2})\s*$"]
-        pick = lambda k: F.coalesce(*[F.nullif(F.regexp_extract(x, p, k), F.lit("")) for p in shapes])
+        pick = lambda k: F.coalesce(*[F.when(x.rlike(p), F.regexp_extract(x, p, k)) for p in shapes])
         return F.struct(F.lower(F.trim(pick(1))).alias("label"), F.regexp_replace(pick(2), "[€£$, ]", "").try_cast(MONEY).alias("v"))
 
     place = lambda p: F.array_position(F.transform("__l", lambda x: x.rlike(p)), True)
-    df = df.withColumn("__rows", F.transform("__l", row)).withColumn("__heads", F.transform("__l", lambda x: x.rlike(heading)))
+    df = df.withColumn("__heads", F.transform("__l", lambda x: x.rlike(heading)))
     df = df.withColumns({"__tax_at": place(r"(?i)tax\s+analysis"), "__inv_at": place(r"(?i)invoice\s+summary"), "__dep_at": place(r"(?i)deposits?\s*summary\s*$")})
 
     def block(at: str) -> Column:
@@ -161,7 +160,7 @@ def with_structured_totals(pages: DataFrame, page_text: str = "page_text") -> Da
         start = F.col(at).cast("int")
         following = F.array_position(F.slice("__heads", start + 1, 29), True).cast("int")
         length = F.when(following > 0, following - 1).otherwise(19)
-        return F.when(start > 0, F.filter(F.slice("__rows", start + 1, length), lambda r: r["v"].isNotNull() & r["label"].isNotNull())).otherwise(F.array().cast(f"array<struct<label:string,v:{MONEY}>>"))
+        return F.when(start > 0, F.filter(F.transform(F.slice("__l", start + 1, length), row), lambda r: r["v"].isNotNull() & r["label"].isNotNull())).otherwise(F.array().cast(f"array<struct<label:string,v:{MONEY}>>"))
 
     df = df.withColumns({"__tax": block("__tax_at"), "__inv": block("__inv_at"), "__dep": block("__dep_at")})
     last = lambda rows, keep: F.try_element_at(F.filter(rows, keep), F.lit(-1))["v"]
@@ -204,13 +203,15 @@ def extract(pages: DataFrame, account: Column | None = None) -> DataFrame:
     A null text is empty and gives nulls and the default description."""
     own = [c for c in pages.columns if c != "page_text"]
     found = F.coalesce("page_text", F.lit(""))
-    amount = lambda labels: money.parse_amount(first_match(found, [x + CURRENCY + NUMBER for x in labels]))
+    labelled = lambda labels: first_match(found, [x + CURRENCY + NUMBER for x in labels])
     df = with_structured_totals(with_supplier(pages, account=account))
-    df = df.withColumn("items", item_lines(filled_lines(found))).withColumn("__no", first_match(found, INVOICE_NUMBER))
-    better = lambda name, labels: F.coalesce(F.col("structured")[name], amount(labels)).alias(name)
+    df = df.withColumn("items", item_lines(filled_lines(found)))
+    # Raw texts are columns of their own, so that the parsers, which look at them many times, do not search again.
+    df = df.withColumns({"__no": first_match(found, INVOICE_NUMBER), "__date": first_match(found, INVOICE_DATE), "__net": labelled(NET), "__vat": labelled(VAT), "__total": labelled(TOTAL)})
+    better = lambda name, raw: F.coalesce(F.col("structured")[name], money.parse_amount(F.col(raw))).alias(name)
     return df.select(
-        *own, "page_text", "supplier_name", F.when(~fields.suspicious_number(F.col("__no")), F.col("__no")).alias("invoice_number"), dates.parse_date(first_match(found, INVOICE_DATE))["normalized"].alias("invoice_date"),
-        better("net_amount", NET), better("vat_amount", VAT), better("total_amount", TOTAL), F.col("structured.deposit_candidate").alias("deposit_candidate"), text.currency(found).alias("currency"), "items", description(F.col("items")).alias("description"),
+        *own, "page_text", "supplier_name", F.when(~fields.suspicious_number(F.col("__no")), F.col("__no")).alias("invoice_number"), dates.parse_date(F.col("__date"))["normalized"].alias("invoice_date"),
+        better("net_amount", "__net"), better("vat_amount", "__vat"), better("total_amount", "__total"), F.col("structured.deposit_candidate").alias("deposit_candidate"), text.currency(found).alias("currency"), "items", description(F.col("items")).alias("description"),
     )
 
 
@@ -230,8 +231,9 @@ def line_rows(pages: DataFrame, tolerance: str = "0.05") -> DataFrame:
     """A row for each item of a page (line_no from 1), with its last amount as net and total and no VAT; a page without
     items keeps its one row. Lines whose sum misses the page's total by more than the tolerance all ask for review."""
     own = [c for c in pages.columns if c not in ("items", "description", "net_amount", "vat_amount", "total_amount")]
-    last = lambda x: money.parse_amount(F.try_element_at(F.regexp_extract_all(x, F.lit(fields.MONEY_TOKEN), F.lit(1)), F.lit(-1)))
-    df = pages.withColumn("__i", F.transform("items", lambda x: F.struct(x.alias("line"), last(x).alias("v"))))
+    last = lambda x: F.try_element_at(F.regexp_extract_all(x, F.lit(fields.MONEY_TOKEN), F.lit(1)), F.lit(-1))
+    tokens = F.transform("items", lambda x: F.struct(x.alias("line"), last(x).alias("token")))
+    df = pages.withColumn("__i", F.transform(tokens, lambda x: F.struct(x["line"].alias("line"), money.parse_amount(x["token"]).alias("v"))))
     df = df.withColumn("__sum", F.aggregate("__i", F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + F.coalesce(x["v"], F.lit(0).cast(MONEY))).cast("decimal(18,2)")))
     off = F.exists("__i", lambda x: x["v"].isNotNull()) & (F.abs(F.col("__sum") - F.col("total_amount")) > F.lit(tolerance).cast(MONEY))
     df = df.withColumn("mismatch", F.coalesce(off, F.lit(False)))

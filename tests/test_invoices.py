@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from ledgerloom.functions import dates, money, text
-from ledgerloom.operators import resolution, review, state, validation
+from ledgerloom.functions import dates, fields, money, text
+from ledgerloom.operators import deposits, pages, resolution, review, state, validation
 from ledgerloom.plans import catalogue, page_catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +101,52 @@ def test_patterns_need_three_words_and_half(spark):
 def test_texts(spark):
     row = spark.createDataFrame([(" a\t\tb\0c\n\n\n\nd ", "Acme (Malta) Co. Ltd", "a|b, c", "a, b")], "t string, n string, f string, g string").select(text.clean_text(F.col("t")), text.supplier_key(F.col("n")), text.split_fields(F.col("f")), text.split_fields(F.col("g"))).first()
     assert tuple(row) == ("a b c\n\nd", "acme malta", ["a", "b, c"], ["a", "b"])
+
+
+@pytest.mark.parametrize(
+    ("totals", "net", "vat", "total", "deposit"),
+    [
+        ("Net 132.00\nVAT 23.76\nBCRS 14.40\nTotal 170.16", "132.00", "23.76", "170.16", "14.40"),
+        ("Total excl VAT 61.80\nVAT 11.12\nBCRS 7.20\nTotal incl VAT & BCRS 80.12", "61.80", "11.12", "80.12", "7.20"),
+        ("Total Net 77.52\nVAT 10.40\nBCRS Refundable Deposit 10.80\nInvoice Total 98.72", "77.52", "10.40", "98.72", "10.80"),
+        ("Deposit Summary\nDeposits 9.60\nDeposit 9.60\nInvoice Total 109.60", "100.00", None, "109.60", "9.60"),
+        ("Net 100.00\nVAT 18% 18.00\nTotal 118.00", "100.00", "18.00", "118.00", None),
+        ("Net 100.00\nVAT 7.20\nBCRS 7.20\nTotal 107.20", "100.00", "7.20", "107.20", None),
+        ("Qty Description deposit 2.40", None, None, None, None),
+        ("", None, None, None, None), (None, None, None, None, None),
+    ],
+)
+def test_deposit(spark, totals, net, vat, total, deposit):
+    rows = spark.createDataFrame([(totals, None, net, vat, total)], "totals_raw string, page_text_raw string, net_amount string, vat_amount string, total_amount string").withColumns({c: F.col(c).cast("decimal(14,2)") for c in ("net_amount", "vat_amount", "total_amount")})
+    assert deposits.with_deposit(rows).first()["deposit"] == (None if deposit is None else Decimal(deposit))
+
+
+def test_structured_page(spark):
+    page = "Tax Analysis\nVAT 18%   18.00\nTotal   118.00\nInvoice Summary\nGross Value   130.00\nInvoice Total: 127.60\nDeposit Summary\nDeposits   9.60"
+    given = spark.createDataFrame([(1, page), (2, page.replace("127.60", "190.00")), (3, "Total 5.00"), (4, None), (5, "")], "id int, page_text string")
+    found = {r["id"]: r["structured"] and [str(x) for x in r["structured"]] for r in pages.with_structured_totals(given).collect()}
+    assert found == {1: ["100.00", "18.00", "127.60", "9.60"], 2: None, 3: None, 4: None, 5: None}
+
+
+def test_supplier(spark):
+    given = {
+        "Apple Cores\nFOODS\nTel: 21345678\nInvoice No 77": "Apple Cores FOODS",  # two short lines make one name
+        "NAAR LTD\nAccount Name: NAAR LTD\nBig Valley Catering Supplies\nTel: 21345678": "Big Valley Catering Supplies",  # the buyer never
+        "Bill to:\nSome Buyer Ltd\n1 Road\nTown\nX\nRed Barn Trading\nMT1234567": "Red Barn Trading",
+        "Invoice\nTotal 5.00": None, "": None,
+    }
+    found = pages.with_supplier(spark.createDataFrame([(k,) for k in given], "page_text string")).collect()
+    assert {r["page_text"]: r["supplier_name"] for r in found} == given
+
+
+def test_pages_without_text(spark):
+    given = spark.createDataFrame([(1, None), (2, ""), (3, "Total Nonsense")], "id int, page_text string")
+    found = pages.extract(given).collect()
+    assert [(r["supplier_name"], r["invoice_number"], r["total_amount"], r["description"]) for r in found] == [(None, None, None, pages.NO_TOPIC)] * 3
+    assert pages.line_rows(pages.extract(given)).count() == 3
+    assert pages.extract(given.where("false")).count() == 0
+
+
+def test_amounts(spark):
+    found = spark.sql("SELECT 'a 1.234,56 b 12,50 c 7.20 d 1,000.00' AS x").select(fields.amounts(F.col("x")).alias("v")).first()["v"]
+    assert [str(v) for v in found] == ["1234.56", "1250.00", "7.20", "1000.00"]

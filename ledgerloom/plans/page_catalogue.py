@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fields
-from ledgerloom.operators import pages
+from ledgerloom.operators import deposits, pages, review
 from ledgerloom.plans.catalogue import Query
-from ledgerloom.sources.invoices import table
+from ledgerloom.sources import exports
+from ledgerloom.sources.invoices import SQL as INV
+from ledgerloom.sources.invoices import invoice_rows, table
 from ledgerloom.sources.pages import SQL as PAGES
 from ledgerloom.sources.pages import invoice_pages
 
@@ -82,3 +84,53 @@ def company_case(spark: SparkSession, d: str) -> DataFrame:
     kind, segment = F.col("c_custkey") % 3, F.col("c_mktsegment")
     raw = F.when(kind == 0, F.upper(F.concat(F.lit("customer and "), segment, F.lit(" ltd.")))).when(kind == 1, F.lower(F.concat(F.lit("customer of "), segment, F.lit(" bv")))).otherwise(F.concat(F.lit("iPart "), segment))
     return table(spark, d, "customer").select("c_custkey", fields.company_case(raw).alias("name"))
+
+
+_KIND = "o_orderkey % 5"
+
+
+@query(f"""WITH {PAGES} SELECT o_orderkey, CASE {_KIND} WHEN 0 THEN 14.4 WHEN 1 THEN 7.2 WHEN 2 THEN 9.6 END::DOUBLE AS deposit FROM page""")
+def deposit_detect(spark: SparkSession, d: str) -> DataFrame:
+    """A fifth of the pages each: a deposit line, one beside a total that names it, a deposit block, none, and a label that
+    bears the VAT amount."""
+    got = pages.extract(invoice_pages(spark, d)).select("o_orderkey", "net_amount", "vat_amount")
+    kind, net, vat = F.col("o_orderkey") % 5, F.col("net_amount"), F.col("vat_amount")
+    extra = F.when(kind == 0, "14.40").when(kind == 1, "7.20").when(kind == 2, "9.60").otherwise("0").cast("decimal(14,2)")
+    total = (net + vat + extra).cast("decimal(14,2)")
+    write = lambda name, x: F.concat(F.lit(name), x.cast("string"))
+    lines = F.array_compact(
+        F.array(
+            write("Total Net ", net), write("VAT ", vat), F.when(kind == 0, "BCRS Refundable Deposit 14.40").when(kind == 1, "BCRS 7.20").when(kind == 2, "Deposit Summary\nDeposit 9.60").when(kind == 4, write("BCRS ", vat)),
+            F.when(kind == 1, write("Total incl VAT & BCRS ", total)).otherwise(write("Invoice Total ", total)),
+        )
+    )
+    rows = got.select("o_orderkey", "net_amount", "vat_amount", total.alias("total_amount"), F.array_join(lines, "\n").alias("totals_raw"), F.lit(None).cast("string").alias("page_text_raw"))
+    return deposits.with_deposit(rows).select("o_orderkey", F.col("deposit").cast("double").alias("deposit"))
+
+
+def _sheet_rows(spark: SparkSession, d: str) -> DataFrame:
+    return invoice_rows(spark, d).withColumn("source_filename", F.concat(F.lit("batch"), (F.col("file_id") % 20).cast("string"), F.lit(".pdf"))).withColumn("validation_status", F.when(F.col("review_required"), "review").otherwise("ok"))
+
+
+_SHEET = f"WITH {INV.strip()}, rows AS (SELECT *, 'batch' || (file_id % 20) || '.pdf' AS source_filename, CASE WHEN review_required THEN 'review' ELSE 'ok' END AS validation_status FROM inv)"
+
+
+@query(f"""{_SHEET} SELECT source_filename, page_no, supplier_name, nominal_account_code, 'Account ' || nominal_account_code AS nominal_account_name, invoice_date, description, CAST(net_amount AS DOUBLE) AS net_amount, CAST(vat_amount AS DOUBLE) AS vat_amount, CAST(total_amount AS DOUBLE) AS total_amount,
+CAST(confidence_score AS DOUBLE) AS confidence_score, validation_status, '{review.ACTIONS["review"]}' AS recommended_action, review_required, tenant, company, file_id, supplier_id FROM rows WHERE review_required""")
+def export_review_sheet(spark: SparkSession, d: str) -> DataFrame:
+    accounts = table(spark, d, "part").select(F.col("p_type").alias("code"), F.concat(F.lit("Account "), "p_type").alias("account_name")).distinct()
+    sheet = exports.invoices(_sheet_rows(spark, d).where("review_required"), accounts)
+    return sheet.withColumns({c: F.col(c).cast("double") for c in [*fields.AMOUNTS, "confidence_score"]})
+
+
+@query(f"""{_SHEET} SELECT (SELECT string_agg(f, ', ' ORDER BY f) FROM (SELECT DISTINCT source_filename AS f FROM rows)) AS uploaded_files, count(*) AS total_rows, count(*) FILTER (review_required) AS needs_review, CAST(sum(net_amount) AS DOUBLE) AS sum_net_amount, CAST(sum(vat_amount) AS DOUBLE) AS sum_vat_amount,
+CAST(sum(total_amount) AS DOUBLE) AS sum_total_amount, CAST(sum(confidence_score) AS DOUBLE) / count(*) AS avg_confidence, count(DISTINCT source_filename) AS distinct_source_files FROM rows""")
+def export_summary_sheet(spark: SparkSession, d: str) -> DataFrame:
+    return exports.summary(_sheet_rows(spark, d))
+
+
+@query("""SELECT s_suppkey, field, old_value, new_value FROM (SELECT s_suppkey, 's_name' AS field, s_name AS old_value, upper(s_name) AS new_value FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS VARCHAR), '7' FROM supplier WHERE s_suppkey % 3 = 0) WHERE old_value <> new_value""")
+def audit_changes(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier")
+    fixes = rows.where("s_suppkey % 3 = 0").select("s_suppkey", F.upper("s_name").alias("s_name"), F.lit(7).alias("s_nationkey"))
+    return exports.audit_changes(rows, fixes, ["s_suppkey"], ["s_name", "s_nationkey"])

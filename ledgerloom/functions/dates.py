@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 
 #: From this two-digit year on, the century is the last one.
 PIVOT = 70
+#: Month names, whole or by their first three letters.
+MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+NAMES = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS)
+
+
+def _year(digits: Column) -> Column:
+    """A year of two digits or of four, as text."""
+    n = digits.try_cast("int")
+    return F.when(F.length(digits) == 2, F.when(n < PIVOT, n + 2000).otherwise(n + 1900)).otherwise(n).cast("string")
 
 
 def parse_date(raw: Column, month_first: bool | Column = False) -> Column:
-    """struct(normalized, strategy, ambiguous, dmy, mdy) of an ISO or numeric date. Numeric dates put the day first
-    unless month_first; where both readings are dates and differ, the date is ambiguous."""
+    """struct(normalized, strategy, ambiguous, dmy, mdy) of an ISO date, a day, month's name and year, or a numeric date.
+    Numeric dates put the day first unless month_first; where both readings are dates and differ, the date is ambiguous."""
     text = F.trim(raw)
     iso = F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(text, "yyyy-M-d"))
     shape = r"^([0-9]{1,2})[/.-]([0-9]{1,2})[/.-]([0-9]{4}|[0-9]{2})$"
     part = lambda k: F.regexp_extract(text, shape, k)
-    short = part(3).try_cast("int")
-    year = F.when(F.length(part(3)) == 2, F.when(short < PIVOT, short + 2000).otherwise(short + 1900)).otherwise(short).cast("string")
-    of = lambda day, month: F.when(text.rlike(shape), F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-M-d"))
+    of = lambda day, month: F.when(text.rlike(shape), F.try_to_date(F.concat_ws("-", _year(part(3)), month, day), "yyyy-M-d"))
+    written = rf"(?i)^([0-9]{{1,2}})[\s./-]+({NAMES})[\s./-]+([0-9]{{4}}|[0-9]{{2}})$"
+    word = lambda k: F.regexp_extract(text, written, k)
+    month = F.array_position(F.array(*[F.lit(m[:3].lower()) for m in MONTHS]), F.lower(F.substring(word(2), 1, 3))).cast("string")
+    named = F.when(text.rlike(written), F.try_to_date(F.concat_ws("-", _year(word(3)), month, word(1)), "yyyy-M-d"))
     dmy, mdy = of(part(1), part(2)), of(part(2), part(1))
     first = F.lit(month_first) if isinstance(month_first, bool) else month_first
     numeric = F.when(first, F.coalesce(mdy, dmy)).otherwise(F.coalesce(dmy, mdy))
-    strategy = F.when(iso.isNotNull(), "iso").when(numeric.isNull(), "none").when(F.when(first, mdy).otherwise(dmy).isNotNull(), F.when(first, "numeric_mdy").otherwise("numeric_dmy")).otherwise(F.when(first, "numeric_dmy").otherwise("numeric_mdy"))
+    strategy = F.when(iso.isNotNull(), "iso").when(named.isNotNull(), "text_month").when(numeric.isNull(), "none").when(F.when(first, mdy).otherwise(dmy).isNotNull(), F.when(first, "numeric_mdy").otherwise("numeric_dmy")).otherwise(F.when(first, "numeric_dmy").otherwise("numeric_mdy"))
     ambiguous = iso.isNull() & dmy.isNotNull() & mdy.isNotNull() & (dmy != mdy)
-    return F.struct(F.coalesce(iso, numeric).alias("normalized"), strategy.alias("strategy"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"), dmy.alias("dmy"), mdy.alias("mdy"))
+    return F.struct(F.coalesce(iso, named, numeric).alias("normalized"), strategy.alias("strategy"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"), dmy.alias("dmy"), mdy.alias("mdy"))
 
 
 def format_date(date: Column) -> Column:

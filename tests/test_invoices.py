@@ -61,7 +61,7 @@ def test_parse_amount(spark):
     assert {a: None if b is None else str(b) for a, b in found} == given
 
 
-@pytest.mark.parametrize(("raw", "date", "ambiguous"), [("2026-02-05", "2026-02-05", False), ("05/02/2026", "2026-02-05", True), ("31.01.26", "2026-01-31", False), ("31/02/2026", None, False), ("01/13/2026", "2026-01-13", False), ("4-4-71", "1971-04-04", False), ("", None, False), (None, None, False)])
+@pytest.mark.parametrize(("raw", "date", "ambiguous"), [("2026-02-05", "2026-02-05", False), ("05/02/2026", "2026-02-05", True), ("31.01.26", "2026-01-31", False), ("31/02/2026", None, False), ("01/13/2026", "2026-01-13", False), ("4-4-71", "1971-04-04", False), ("5 February 2026", "2026-02-05", False), ("05-feb-26", "2026-02-05", False), ("31 Feb 2026", None, False), ("", None, False), (None, None, False)])
 def test_parse_date(spark, raw, date, ambiguous):
     p = spark.createDataFrame([(raw,)], "x string").select(dates.parse_date(F.col("x")).alias("p")).first()["p"]
     assert (None if p["normalized"] is None else str(p["normalized"]), p["ambiguous"]) == (date, ambiguous)

@@ -94,49 +94,107 @@ def normalised(sentence: bytes) -> bytes:
     return b" ".join(sentence.translate(_FOLD).split())
 
 
-def sentences(text: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, sentence) in bytes. A sentence over several lines is followed by its single lines, so that a line
-    of its own counts where the text before it has no stop."""
+Line = tuple[int, int, bytes]
+
+
+def sentences(text: bytes) -> Iterator[list[Line]]:
+    """The lines of each sentence: (start, end, normalised) in bytes, those without words left out. A sentence without
+    words has no lines."""
     first = 0
     for m in _END.finditer(text):
         part = text[first : m.start()]
         if part and not part.isspace():
-            yield first, m.start(), part
-            if b"\n" in part.strip():
-                at = first
-                for line in part.split(b"\n"):
-                    if line and not line.isspace():
-                        yield at, at + len(line), line
-                    at += len(line) + 1
+            lines, at = [], first
+            for line in part.split(b"\n"):
+                if own := normalised(line):
+                    lines.append((at, at + len(line), own))
+                at += len(line) + 1
+            yield lines
         first = m.end()
 
 
-def hits(text: bytes, known: dict[bytes, str]) -> list[tuple[int, str, int, int]]:
-    """(position among sentences, identifier, start, end) of the known sentences of a text."""
-    out = []
-    for k, (a, b, part) in enumerate(sentences(text)):
-        if (name := known.get(normalised(part))) is not None:
-            out.append((k, name, a, b))
+class Known:
+    """Known sentences, each as the pieces into which sentences() splits it. By the first piece: the pieces and the
+    identifier; by its first word: the most words of such a piece."""
+
+    def __init__(self, known: dict[str, str]) -> None:
+        self.pieces: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        self.most: dict[bytes, int] = {}
+        for name, text in known.items():
+            own = [b" ".join(x[2] for x in lines) for lines in sentences(text.encode()) if lines]
+            if not own:
+                continue
+            self.pieces.setdefault(own[0], []).append((own, name))
+            word = own[0].split(b" ", 1)[0]
+            self.most[word] = max(self.most.get(word, 0), own[0].count(b" ") + 1)
+
+
+def _prefix(lines: list[Line], piece: bytes) -> int:
+    """How many of the first lines are the piece together; 0 where none are."""
+    have = b""
+    for k, x in enumerate(lines):
+        have = have + b" " + x[2] if k else x[2]
+        if len(have) >= len(piece):
+            return k + 1 if have == piece else 0
+    return 0
+
+
+def hits(text: bytes, known: Known) -> list[tuple[int, int, str, int, int]]:
+    """(first and last position among sentences, identifier, start, end) of the known sentences of a text. One may take
+    whole lines of a sentence, so that a line of its own counts where the text before it has no stop."""
+    out: list[tuple[int, int, str, int, int]] = []
+    own = list(sentences(text))
+    free: dict[int, int] = {}  # lines of later sentences that are taken already
+    for k, lines in enumerate(own):
+        i = free.pop(k, 0)
+        while i < len(lines):
+            most = known.most.get(lines[i][2].split(b" ", 1)[0], 0)
+            have, n, best = b"", 0, None
+            for j in range(i, len(lines)) if most else ():
+                n += lines[j][2].count(b" ") + 1
+                if n > most:
+                    break
+                have = have + b" " + lines[j][2] if j > i else lines[j][2]
+                for pieces, name in known.pieces.get(have, ()):
+                    last, line = k, j
+                    for piece in pieces[1:]:
+                        whole = line + 1 == len(own[last]) and last + 1 < len(own)
+                        if not whole or not (taken := _prefix(own[last + 1], piece)):
+                            break
+                        last, line = last + 1, taken - 1
+                    else:
+                        if best is None or (last, line) > best[:2]:
+                            best = last, line, name
+            if best is None:
+                i += 1
+                continue
+            last, line, name = best
+            out.append((k, last, name, lines[i][0], own[last][line][1]))
+            if last > k:
+                free |= {x: len(own[x]) for x in range(k + 1, last)} | {last: line + 1}
+                break
+            i = line + 1
     return out
 
 
-def apply_rules(found: list[tuple[int, str, int, int]], rules: list[tuple[str, tuple[str, ...]]], gap: int = GAP) -> list[tuple[str, int, int]]:
+def apply_rules(found: list[tuple[int, int, str, int, int]], rules: list[tuple[str, tuple[str, ...]]], gap: int = GAP) -> list[tuple[str, int, int]]:
     """(licence, start, end) of the rules that hold, in text order. Rules are tried in their order; a sentence serves one rule."""
     free, out = [True] * len(found), []
     for licence, sequence in rules:
         for i, hit in enumerate(found):
-            if not free[i] or hit[1] != sequence[0]:
+            if not free[i] or hit[2] != sequence[0]:
                 continue
             chain = [i]
             for name in sequence[1:]:
-                j = next((j for j in range(chain[-1] + 1, len(found)) if found[j][0] - found[chain[-1]][0] > gap + 1 or free[j] and found[j][1] == name), None)
-                if j is None or found[j][1] != name or found[j][0] - found[chain[-1]][0] > gap + 1:
+                far = found[chain[-1]][1] + gap + 1
+                j = next((j for j in range(chain[-1] + 1, len(found)) if found[j][0] > far or free[j] and found[j][2] == name), None)
+                if j is None or found[j][2] != name or found[j][0] > far:
                     break
                 chain.append(j)
             if len(chain) == len(sequence):
                 for j in chain:
                     free[j] = False
-                out.append((licence, found[chain[0]][2], found[chain[-1]][3]))
+                out.append((licence, found[chain[0]][3], found[chain[-1]][4]))
     return sorted(out, key=lambda x: x[1:])
 
 
@@ -147,7 +205,7 @@ def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list[
     of the text, end exclusive; licences: their distinct licences, sorted. A null text has none; repeated rows stay; an
     empty table gives no rows; other columns are ignored.
     """
-    lookup = {normalised(text.encode()): name for name, text in (SENTENCES if known is None else known).items()}
+    lookup = Known(SENTENCES if known is None else known)
     rules = RULES if rules is None else rules
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +214,7 @@ def recognise(docs: DataFrame, known: dict[str, str] | None = None, rules: list[
             for text in batch.column(1):
                 raw = text.as_py()
                 found = hits(raw, lookup)
-                ids.append([x[1] for x in found])
+                ids.append([x[2] for x in found])
                 matches.append([{"licence": n, "start": len(raw[:a].decode("utf-8")), "end": len(raw[:b].decode("utf-8"))} for n, a, b in apply_rules(found, rules, gap)])
             kind = pa.list_(pa.struct([("licence", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.string())), pa.array(matches, kind)], names=["doc_id", "sentence_ids", "matches"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -226,3 +227,20 @@ def test_licenses(spark):
     assert [found[k]["licences"] for k in range(len(texts))] == ["MIT", "MIT", "Proprietary", "", "", "", "Apache-2.0,Proprietary"]
     name, a, b = found[2]["matches"].split(":")
     assert texts[2][int(a) : int(b)] == "All rights reserved."
+
+
+def test_licence_sentences_and_rules(spark):
+    wrap = lambda t: textwrap.fill(t, 70)
+    names, texts = list(licenses.SENTENCES), []
+    for name in names:
+        t = licenses.SENTENCES[name]
+        texts += [t, wrap(t), "Copyright (c) 2020 A Holder\n" + wrap(t), textwrap.indent(wrap(t), " * ")]
+    found = {r["doc_id"]: r for r in licenses.scan(make(spark, texts)).collect()}
+    assert [found[k]["sentence_ids"] for k in range(len(texts))] == [name for name in names for _ in range(4)]
+    texts = []
+    for _, sequence in licenses.RULES:
+        own = [licenses.SENTENCES[x] for x in sequence]
+        texts += [" ".join(own), "\n\n".join(map(wrap, own)), "\n".join(wrap(f"{k}. {t}") for k, t in enumerate(own)), "\n *\n".join(textwrap.indent(wrap(t), " * ") for t in own)]
+    found = {r["doc_id"]: r for r in licenses.scan(make(spark, texts)).collect()}
+    assert [found[k]["licences"] for k in range(len(texts))] == [name for name, _ in licenses.RULES for _ in range(4)]
+    assert all(found[k]["matches"].count(":") == 2 for k in found)

@@ -4,8 +4,9 @@ Of every document only the suffixes at content-selected positions are kept: a wo
 the `GRAM` words from it is the least among `SPARSE` positions in a row. A suffix is known by the hash of its first
 `KEY` words. Suffixes whose key stands in more than one place are sorted by what follows (and again by what precedes)
 and compared with their neighbours, which extends each match to the right (and left) word by word. A passage of at least
-KEY + SPARSE - 1 words that stands in two documents has a kept suffix within its first `SPARSE` words in both, so none
-of them is missed, and a passage is reported if its extended length reaches `PASSAGE`.
+KEY + SPARSE - 1 words that stands in two places has a kept suffix within its first `SPARSE` words in both, so none of
+them is missed, and a passage is reported if its extended length reaches `PASSAGE`. The first place of each key, by row
+and position, holds it; every other place is a later copy.
 """
 
 from __future__ import annotations
@@ -127,28 +128,28 @@ def suffixes(docs: DataFrame, key: int, sparse: int) -> DataFrame:
 
 
 def runs(hits: DataFrame, key: int) -> DataFrame:
-    """(doc, first_at, first_key, last_at, last_key, own) for each run of overlapping matches of hits (doc, hits: sorted
-    array of (at, key, own)); own: whether the document is the first to hold one of them."""
+    """(doc, first_at, first_key, last_at, last_key, own, floor) for each run of overlapping matches of hits (doc, hits:
+    sorted array of (at, key, own, floor)) that are all first holdings (own) or all later ones; floor: of the first match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ("doc", "first_at", "first_key", "last_at", "last_key", "own"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_())
+        names, types = ("doc", "first_at", "first_key", "last_at", "last_key", "own", "floor"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
         for batch in batches:
             out = []
             for doc, found in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = found.as_py()
                 first = 0
                 for k, x in enumerate(found):
-                    if k + 1 == len(found) or found[k + 1]["at"] > x["at"] + key:
-                        out.append((doc, found[first]["at"], found[first]["key"], x["at"], x["key"], any(y["own"] for y in found[first : k + 1])))
+                    if k + 1 == len(found) or found[k + 1]["at"] > x["at"] + key or found[k + 1]["own"] != x["own"]:
+                        out.append((doc, found[first]["at"], found[first]["key"], x["at"], x["key"], x["own"], found[first]["floor"]))
                         first = k + 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
 
-    return hits.mapInArrow(run, "doc long, first_at int, first_key long, last_at int, last_key long, own boolean")
+    return hits.mapInArrow(run, "doc long, first_at int, first_key long, last_at int, last_key long, own boolean, floor int")
 
 
 def contexts(sites: DataFrame, key: int, sparse: int) -> DataFrame:
-    """(key, doc, at, right, left) for sites (text, doc, sites: array of (at, key)): the four-byte hashes of the `sparse`
+    """(key, name, doc, at, right, left) for sites (text, doc, sites: array of (at, key), name): the four-byte hashes of the `sparse`
     words after the key's words, and of those before them, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,18 +157,30 @@ def contexts(sites: DataFrame, key: int, sparse: int) -> DataFrame:
             words, counts = word_hashes(*_bytes(batch.column(0)))
             short = (words >> np.uint64(32)).astype(">u4")
             begin = np.cumsum(counts) - counts
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for k, (doc, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for k, (doc, places, name) in enumerate(zip(*(batch.column(x).to_pylist() for x in (1, 2, 3)))):
                 own = short[begin[k] : begin[k] + counts[k]]
                 for x in places:
                     at = x["at"]
-                    row = (x["key"], doc, at, own[at + key : at + key + sparse].tobytes(), own[max(0, at - sparse) : at][::-1].tobytes())
+                    row = (x["key"], name, doc, at, own[at + key : at + key + sparse].tobytes(), own[max(0, at - sparse) : at][::-1].tobytes())
                     for column, value in zip(out, row):
                         column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["key", "doc", "at", "right", "left"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["key", "name", "doc", "at", "right", "left"])
 
-    return sites.mapInArrow(run, "key long, doc long, at int, right binary, left binary")
+    return sites.mapInArrow(run, "key long, name long, doc long, at int, right binary, left binary")
+
+
+def held(rows: DataFrame, side: str) -> DataFrame:
+    """(doc, at, copied): by how many words on `side` each site's match with an earlier place goes on, at
+    most. For every number of words beyond that, the site is the first to hold key and words."""
+    lengths = F.expr(f"sequence(1, length({side}) div 4)")
+    longer = rows.where(F.length(side) > 0).select("key", "name", "doc", "at", side, F.explode(lengths).alias("n"))
+    same = F.xxhash64("key", "n", F.substring(F.col(side), F.lit(1), F.col("n") * 4)).alias("same")
+    first = longer.select(same, "name", "doc", "at").groupBy("same").agg(F.min(F.struct("name", "doc", "at")).alias("o"))
+    owned = first.groupBy(F.col("o.doc").alias("doc"), F.col("o.at").alias("at")).agg(F.count("*").cast("int").alias("owned"))
+    sites = rows.select("doc", "at", F.expr(f"int(length({side}) div 4)").alias("room")).distinct()
+    return sites.join(owned, ["doc", "at"], "left").select("doc", "at", (F.col("room") - F.coalesce("owned", F.lit(0))).alias("copied"))
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -220,43 +233,70 @@ def passages(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> D
     """(doc, doc_id, n_words, spans) for every row of docs, doc being the hash of doc_id and text.
 
     spans: array of (start, end, later), in words and by start, of the passages of at least `passage` words that stand
-    in another row too; they don't overlap. later: whether another row of smaller doc_id holds all of it, so that it can
-    be cut here. A row that is repeated as a whole counts as another one. Words are runs of letters and digits, A-Z in
+    in another place too, of this row or another; they don't overlap. later: whether an earlier place holds it, so that
+    it can be cut here; places are ordered by doc_id, then doc, then position. Where a copy and a first holding overlap,
+    the words are the copy's, and what is left of the holding may be shorter than a passage; a copy that overlaps its
+    own source begins `passage` words after the source does. A row that is repeated as a whole counts as another one,
+    but as no earlier one. Words are runs of letters and digits, A-Z in
     lower case; a null text has none; shorter texts have no passage; an empty table gives no rows.
     """
     key = passage - sparse + 1
     own = docs.select(F.xxhash64("doc_id", text_or_empty()).alias("doc"), text_or_empty().cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
     found = written(suffixes(own, key, sparse), "suffixes")
     name = F.coalesce("doc_id", F.lit(2**63 - 1))
-    often = found.select(name.alias("name"), F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("owner")).where("n > 1").select("key", "owner")
-    often = written(often, "often")
+    often = written(found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     places = found.select("doc", name.alias("name"), F.explode(F.arrays_zip("keys", "positions")).alias("x")).select("doc", "name", F.col("x.keys").alias("key"), F.col("x.positions").alias("at"))
-    hit = F.struct("at", "key", (F.col("owner") == F.col("name")).alias("own"))
-    hits = written(places.join(often, "key").select("doc", hit.alias("h")).groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hits")), "hits")
+    places = written(places.join(often, "key"), "places")
+    owners = written(places.groupBy("key").agg(F.min(F.struct("name", "doc", "at")).alias("o")).select("key", F.col("o.doc").alias("of"), F.col("o.at").alias("of_at")), "owners")
+    here = F.col("of") == F.col("doc")
+    hit = F.struct("at", "key", (here & (F.col("of_at") == F.col("at"))).alias("own"), F.when(here, F.col("of_at") + passage).otherwise(0).alias("floor"))
+    hits = written(places.join(owners, "key").select("doc", hit.alias("h")).groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hits")), "hits")
     stretches = written(runs(hits, key), "runs")
     # Suffixes that share a key with the first or the last one of any run: how far those matches go on, they tell.
     at_ends = written(stretches.select(F.explode(F.array("first_key", "last_key")).alias("key")).distinct(), "ends")  # so that the join's sides are plain exchanges, which Spark splits where a key is hot
     near = hits.select("doc", F.explode("hits").alias("h")).select("doc", F.col("h.key").alias("key"), F.col("h.at").alias("at")).join(at_ends, "key", "left_semi")
     sites = near.groupBy("doc").agg(F.collect_list(F.struct("at", "key")).alias("sites"))
-    rows = written(contexts(own.select("doc", "text").join(sites, "doc").select("text", "doc", "sites"), key, sparse), "contexts")
-    left = extended(rows, "left").select("doc", F.col("at").alias("first_at"), F.col("more").alias("before"))
-    right = extended(rows, "right").select("doc", F.col("at").alias("last_at"), F.col("more").alias("after"))
-    start, end = F.col("first_at") - F.coalesce("before", F.lit(0)), F.col("last_at") + key + F.coalesce("after", F.lit(0))
-    spans = stretches.join(left, ["doc", "first_at"], "left").join(right, ["doc", "last_at"], "left").select("doc", F.struct(start.alias("start"), end.alias("end"), (~F.col("own")).alias("later")).alias("s")).where(F.col("s.end") - F.col("s.start") >= passage)
-    spans = spans.groupBy("doc").agg(_merged(F.array_sort(F.collect_set("s"))).alias("spans"))
-    return found.select("doc", "doc_id", "n_words").join(spans, "doc", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,later:boolean>>")))
+    rows = written(contexts(own.select("doc", "text", name.alias("name")).join(sites, "doc").select("text", "doc", "sites", "name"), key, sparse), "contexts")
+    left = extended(rows, "left").join(held(rows, "left"), ["doc", "at"]).select("doc", F.col("at").alias("first_at"), F.col("more").alias("before"), F.col("copied").alias("copied_before"))
+    right = extended(rows, "right").join(held(rows, "right"), ["doc", "at"]).select("doc", F.col("at").alias("last_at"), F.col("more").alias("after"), F.col("copied").alias("copied_after"))
+    # What a run shares with any place is repeated; of a later run, what it shares with earlier places is a copy.
+    span = lambda start, end, later: F.struct(start.alias("start"), end.alias("end"), F.lit(later).alias("later"))
+    last = F.col("last_at") + key
+    every = span(F.col("first_at") - F.col("before"), last + F.col("after"), False)
+    copy = span(F.greatest(F.col("first_at") - F.col("copied_before"), "floor"), last + F.col("copied_after"), True)
+    spans = stretches.join(left, ["doc", "first_at"]).join(right, ["doc", "last_at"]).select("doc", F.explode(F.when(F.col("own"), F.array(every)).otherwise(F.array(every, copy))).alias("s")).where(F.col("s.end") - F.col("s.start") >= passage)
+    spans = spans.groupBy("doc").agg(F.array_sort(F.collect_set("s")).alias("s")).select("doc", _parted(F.array_sort(F.concat(_merged(F.filter("s", lambda x: x["later"])), _merged(F.filter("s", lambda x: ~x["later"]))))).alias("spans"))
+    return found.select("doc", "doc_id", "n_words").join(spans, "doc", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+
+
+_SPANS = "array<struct<start:int,end:int,later:boolean>>"
 
 
 def _merged(spans: Column) -> Column:
-    """Sorted spans, those that meet made one; it is later only if all of them are."""
+    """Sorted spans of equal `later`, those that meet made one."""
 
     def add(out: Column, s: Column) -> Column:
         last = F.element_at(out, -1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), (last["later"] & s["later"]).alias("later"))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), s["later"].alias("later"))
         meets = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"])
         return F.when(meets, F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), both)).otherwise(F.array_append(out, s))
 
-    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,later:boolean>>"), add)
+    return F.aggregate(spans, F.array().cast(_SPANS), add)
+
+
+def _parted(spans: Column) -> Column:
+    """Sorted spans, those of equal `later` apart from each other, without what later ones take from the others."""
+
+    def add(out: Column, s: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        span = lambda start, end, later: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), later.alias("later"))
+        before = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
+        split = F.filter(F.array(span(last["start"], s["start"], F.lit(False)), s, span(s["end"], last["end"], F.lit(False))), lambda x: x["start"] < x["end"])
+        rest = F.filter(F.array(span(last["end"], s["end"], F.lit(False))), lambda x: x["start"] < x["end"])
+        apart = (F.size(out) == 0) | (last["end"] <= s["start"])
+        return F.when(apart, F.array_append(out, s)).when(s["later"], F.concat(before, split)).otherwise(F.concat(out, rest)).cast(_SPANS)
+
+    return F.aggregate(spans, F.array().cast(_SPANS), add)
 
 
 def repeated(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> DataFrame:

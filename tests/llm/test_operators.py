@@ -194,6 +194,17 @@ def test_repeats(spark):
     assert repeats.repeated(make(spark, texts).limit(0)).isEmpty()
 
 
+def test_repeats_that_meet(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    texts = [a, f"{a} {b}", b, f"{c} x {a} y {c}", "x y " * 200, f"{b} {c} {a}"]
+    found = {r["doc_id"]: r["passages"] for r in repeats.repeated(make(spark, texts)).collect()}
+    assert found == {0: "0:60:0", 1: "0:60:1,60:120:0", 2: "0:60:1", 3: "0:60:0,61:121:1,122:182:1", 4: "0:50:0,50:400:1", 5: "0:180:1"}
+    left = {r["doc_id"]: r["text"].split() for r in repeats.remove(make(spark, texts)).collect()}
+    assert [left[k] for k in range(6)] == [a.split(), b.split(), [], [*c.split(), "x", "y"], ["x", "y"] * 25, []]
+    texts = [a, f"{a} {b}", f"{a} {b}", c, f"new words {c}", f"new words {c}"]  # row 4 alone keeps the new words
+    assert {r["doc_id"]: r["passages"] for r in repeats.repeated(make(spark, texts)).collect()} == {0: "0:60:0", 1: "0:60:1,60:120:0", 2: "0:120:1", 3: "0:60:0", 4: "0:2:0,2:62:1", 5: "0:62:1"}
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = language_id.languages(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("held_out and n_chars > 100")

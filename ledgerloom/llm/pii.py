@@ -1,9 +1,10 @@
 """Personal data: patterns for what identifies by itself, and corpus statistics for the words that give it away.
 
 Everything is DataFrame and SQL functions. Four kinds of protected entities are found by patterns. Then the words near
-them are weighed: how often a word stands near entities of a kind, against how often it stands anywhere, is the
-pointwise mutual information between word and kind; as a share of the kind's own information it says how far the word
-discloses it. Words above a threshold are generalised, words above a higher one removed, where they stand near an entity.
+them are weighed: how often a word stands near one entity, or near entities of a kind, against how often it stands
+anywhere, is the pointwise mutual information between word and entity, or kind; as a share of the entity's or kind's own
+information it says how far the word discloses it, and the largest share counts. Words above a threshold are generalised,
+words above a higher one removed, wherever they stand.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ KINDS = {
 }
 #: Characters before and after an entity in which a word counts as near it.
 NEAR = 48
-WORD = r"\p{L}{4,}"
-#: Distinct entities that a word must stand near before its statistics count.
-SUPPORT = 5
-#: Shares of the kind's information from which a word is generalised, and from which it is removed.
+WORD = r"\p{L}{2,}"
+#: Places away from entities that every word is taken to have besides its own, so that a few places tell less than many.
+SMOOTH = 1.0
+#: Bits of the filter that leaves most words out before those that disclose are joined.
+BITS = 22
+#: Shares of the information from which a word is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.9, 0.99
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -43,7 +46,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, found) of the matches of pattern in text, in characters, end exclusive."""
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("s"))
 
@@ -108,32 +111,51 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", text_or_empty())
 
 
-def disclosing(near: DataFrame, docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(kind, word, disclosure) of the words that disclose a kind. near: kind, entity, word, one row for each place;
-    docs: all texts, over which words are counted."""
+def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
+    """(word, disclosure) of the words that disclose an entity or a kind. near: kind, entity, word, one row for each
+    place; docs: all texts, over which words are counted."""
     words = F.explode(F.transform(F.regexp_extract_all(text_or_empty(), F.lit(WORD), F.lit(0)), F.lower))
-    counts = docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    seen = near.groupBy("word", "kind").agg(F.count("*").alias("n_near"), F.countDistinct("entity").alias("entities"))
-    seen = written(seen, "near")
-    total = docs.agg(F.sum(F.regexp_count(text_or_empty(), F.lit(WORD))).alias("total"))
-    kinds = seen.groupBy("kind").agg(F.sum("n_near").alias("of_kind"))  # one row for each kind
-    likely = F.broadcast(kinds.join(F.broadcast(total), F.lit(True)).select("kind", (F.col("of_kind") / F.col("total")).alias("p")))
-    joined = seen.where(F.col("entities") >= support).join(counts, "word").join(likely, "kind")
-    share = F.least(F.lit(1.0), F.col("n_near") / F.col("n"))
-    joined = joined.withColumn("disclosure", F.when(F.col("p") < 1, F.log2(share / F.col("p")) / -F.log2("p")))
-    return joined.where(F.col("disclosure") >= generalise).select("kind", "word", "disclosure")
-
-
-def term_spans(found: DataFrame, docs: DataFrame, near: int = NEAR, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    seen = written(near.groupBy("word", "kind", "entity").agg(F.count("*").alias("n_near")), "near")
+    # Tables of their own, so that the joins' sides are plain exchanges, which Spark splits where a key is hot.
+    counts = written(docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    of_entity = written(seen.groupBy("kind", "entity").agg(F.sum("n_near").alias("of")), "entities")
+    of_kind = F.broadcast(of_entity.groupBy("kind").agg(F.sum("of").alias("of")))  # one row for each kind
+    entities = seen.join(of_entity, ["kind", "entity"]).select("word", "n_near", "of")
+    kinds = seen.groupBy("word", "kind").agg(F.sum("n_near").alias("n_near")).join(of_kind, "kind").select("word", "n_near", "of")
+    known = written(entities.unionByName(kinds), "known").join(counts, "word").join(F.broadcast(total), F.lit(True))
+    known = known.withColumn("p", F.col("of") / F.col("total")).withColumn("share", F.least(F.lit(1.0), F.col("n_near") / (F.col("n") + smooth)))
+    known = known.withColumn("disclosure", F.when(F.col("p") < 1, F.log2(F.col("share") / F.col("p")) / -F.log2("p")))
+    return known.where(F.col("disclosure") >= generalise).groupBy("word").agg(F.max("disclosure").alias("disclosure"))
+
+
+def filter_of(words: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row with `bits`, an array of 2**bits bits as longs: those at the hashes of the words are set."""
+    slot = F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
+    held = [0] * (1 << bits - 6)
+    for r in words.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(one).alias("own")).toLocalIterator():  # 65,536 rows at most
+        held[r["at"]] = r["own"]
+    return words.sparkSession.createDataFrame([(held,)], "bits array<long>")
+
+
+def term_spans(found: DataFrame, docs: DataFrame, near: int = NEAR, smooth: float = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(key, terms): for each row key with any, the places of its disclosing words as kind `term`, or `drop` where they
-    are to be removed, by kind and start. found: key and near (the array of near_words)."""
-    around = found.select("key", F.explode("near").alias("w")).select("key", "w.*")
-    told = disclosing(around, docs, support, generalise)
-    hit = around.join(told, ["word", "kind"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"))
-    kind = F.when(F.col("d") >= remove, "drop").otherwise("term")
-    return hit.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.when(kind == "term", 0).otherwise(1).alias("o"), F.col("start").alias("start"), F.col("end").alias("end"), kind.alias("kind")))).alias("t")).select(
-        "key", F.transform("t", lambda x: F.struct(x["kind"].alias("kind"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))).cast(SPANS).alias("terms")
-    )
+    are to be removed, by kind and start. found: key and near (the array of near_words) of the rows with entities;
+    docs: all rows, in each of which the words are looked for."""
+    around = found.select("key", F.explode("near").alias("w")).select("w.*")
+    told = written(disclosing(around, docs, smooth, generalise), "told")
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))))
+    slot = F.xxhash64(F.lower("form")).bitwiseAND(F.lit((1 << BITS) - 1))
+    some = F.call_function("bit_get", F.get(F.col("bits"), (F.col("slot") / 64).cast("int")), (F.col("slot") % 64).cast("int")) == 1
+    texts = docs.select(row_key().alias("key"), text_or_empty().alias("text"))
+    forms = texts.select("key", word.alias("form")).withColumn("slot", slot).join(F.broadcast(filter_of(told)), F.lit(True)).where(some).select("key", F.lower("form").alias("word"), "form")
+    forms = written(forms, "forms").join(told, "word").groupBy("key").agg(F.collect_set(F.struct("form", "disclosure")).alias("forms"))
+    every = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.col("forms.form"), "|"), F.lit(r")(?!\p{L})"))
+    told_in = texts.join(written(forms, "told-in"), "key").withColumn("of", F.map_from_entries("forms")).withColumn("pattern", every)
+    kind = lambda x: F.when(F.col("of")[x["found"]] >= remove, "drop").otherwise("term")
+    places = F.transform(located(F.col("text"), F.col("pattern")), lambda x: F.struct(F.when(F.col("of")[x["found"]] >= remove, 1).otherwise(0).alias("o"), x["start"].alias("start"), x["end"].alias("end"), kind(x).alias("kind")))
+    return told_in.select("key", F.transform(F.array_sort(places), lambda x: F.struct(x["kind"].alias("kind"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))).cast(SPANS).alias("terms")).dropDuplicates(["key"])
 
 
 def find(docs: DataFrame, **limits: float) -> DataFrame:
@@ -146,7 +168,8 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
     spans = own.select("doc_id", row_key().alias("key"), text_or_empty().alias("text")).withColumn("spans", base_spans(F.col("text")))
     found = written(spans.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, near_words(F.col("text"), F.col("spans"), int(limits.get("near", NEAR)))).alias("near")), "personal")
     terms = term_spans(found.where("near is not null"), own, **limits)
-    return found.select("doc_id", "key", "spans").join(terms, "key", "left").select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast(SPANS)).alias("terms"))
+    outside = F.filter("terms", lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
+    return found.select("doc_id", "key", "spans").join(terms, "key", "left").select("doc_id", "key", "spans", F.coalesce(outside, F.array().cast(SPANS)).alias("terms"))
 
 
 def joined(spans: Column) -> Column:
@@ -177,8 +200,6 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with entities and disclosing words taken out of text; all rows stay, columns as they were, null texts null."""
     terms = find(docs, **limits).where("size(terms) > 0").select(F.col("key").alias("__of"), F.col("terms").alias("__terms")).dropDuplicates(["__of"])
-    spanned = docs.withColumn("__spans", base_spans(text_or_empty()))
-    some = spanned.where("size(__spans) > 0").withColumn("__key", row_key()).join(terms, F.col("__key") == F.col("__of"), "left")
+    spanned = docs.withColumn("__spans", base_spans(text_or_empty())).withColumn("__key", row_key()).join(terms, F.col("__key") == F.col("__of"), "left")
     every = F.concat("__spans", F.coalesce("__terms", F.array().cast(SPANS)))
-    clean = some.withColumn("text", replaced(F.col("text"), every)).select(*docs.columns)
-    return clean.unionByName(spanned.where("size(__spans) = 0").select(*docs.columns))
+    return spanned.withColumn("text", F.when(F.size(every) > 0, replaced(F.col("text"), every)).otherwise(F.col("text"))).select(*docs.columns)

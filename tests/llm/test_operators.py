@@ -118,6 +118,17 @@ def test_disclosing_words(spark):
     assert "secretariat" not in pii.sanitise(make(spark, texts)).where("doc_id = 0").first()["text"]
 
 
+def test_words_of_one_entity(spark):
+    plain = ["the meeting was about nothing much at all and ended late"] * 300
+    texts = ["ask Quillfeather or Ng or 山田 , jo@mail.example.com about it"] * 6 + ["Quillfeather came and Ng left with 山田 then", "quillfeathers are none"] + plain
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(make(spark, texts)).collect()}
+    for k in range(7):
+        assert not any(x in clean[k] for x in ("Quillfeather", "Ng", "山田"))
+    assert clean[7] == texts[7] and clean[8] == texts[8]
+    found = pii.personal(make(spark, texts)).where("doc_id = 6").first()
+    assert {texts[6][int(a) : int(b)] for _, a, b in (s.split(":") for s in found["spans"].split(","))} >= {"Quillfeather", "Ng", "山田"} and found["n_email"] == 0
+
+
 def test_top_k(spark):
     g = np.random.default_rng(5)
     rows = [(k, [float(x) for x in v]) for k, v in enumerate(g.normal(size=(300, 8)).astype(np.float32))] + [(400, None), (401, [1.0, None] + [0.0] * 6), (402, [float("nan")] * 8), (None, [1.0] * 8), (450, [1.0, 2.0]), (500, [1.0, 2.0]), (7, [0.5] * 8), (8, [1e18] * 8)]

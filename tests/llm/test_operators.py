@@ -238,8 +238,89 @@ def test_lm_score(spark):
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[k], len(own), sum(c[w] > 0 for w in own), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in own)) and r["score"] < 0
     assert lm_score.score(make(spark, texts).limit(0)).isEmpty()
-    code = lm_score.prefix_code(np.arange(257))
-    assert sum(2.0 ** -code[1]) == 1 and len({(int(a), int(b)) for a, b in zip(*code)}) == 257
+
+
+def test_lm_score_by_brute_force(spark):
+    texts = corpus()[:40] + ["alpha Beta unseen9 zeta9", "once\x00only " + "z" * 3000] + corpus()[:20]
+    fit = lm_score.Fit(make(spark, texts))
+    found = {r["doc_id"]: r for r in fit.scores().collect()}
+    words = {k: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for k, t in enumerate(texts)}
+    learns = {k for k in words if zlib.crc32(str(k).encode()) % 7 != 2}
+    c = Counter(w.encode() for k in learns for w in words[k])
+    heads = sorted((w for w in c if c[w] >= 2), key=lambda w: (-c[w], w))[: lm_score.HEADS]
+    shared = lambda w: zlib.crc32(w[:1] + w[-1:]) % lm_score.SHARED
+    kind = lambda w: heads.index(w) if w in heads else (lm_score.KNOWN if c[w] >= 2 else lm_score.NEW) + shared(w)
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 & mask
+        return x ^ x >> 29
+
+    def bits_of(model, orders, sequence, first):
+        """(slots, bit) of every bit of the sequence from `first` on."""
+        for i in range(first, len(sequence)):
+            symbol, contexts = sequence[i], []
+            for order in orders:
+                h = 0
+                for back in range(1, order + 1):
+                    h = (h * 0x9E3779B97F4A7C15 + (sequence[i - back] + 1 if i >= back else 0) + 1) & mask
+                contexts.append(mix((h * 0xC2B2AE3D27D4EB4F + order + 1) & mask))
+            for node, bit in zip(model.code.nodes[symbol, : model.code.sizes[symbol]].tolist(), model.code.bits[symbol].tolist()):
+                yield [mix((h + node * 0x9E3779B97F4A7C15) & mask) >> 64 - b for h, b in zip(contexts, model.bits)], bit
+
+    def cost(model, counts, orders, sequence, first=0):
+        weights, table = model.learnt
+        total = 0.0
+        for slots, bit in bits_of(model, orders, sequence, first):
+            n = [(counts[j, s, 0], counts[j, s, 1]) for j, s in enumerate(slots)]
+            level = [sum(a + b >= x for x in (1, 3, 15)) for a, b in n[-2:]]
+            gate = level[0] * 4 + level[1]
+            dot = max(-14, min(14, sum(w * np.log((b + 0.2) / (a + 0.2)) for w, (a, b) in zip(weights[gate], n))))
+            squash = lambda x: 1 / (1 + np.exp(-x))
+            bucket = max(-16, min(16, round(dot * 2)))
+            zero, one = (table[x, gate, bucket + 16] + 8 * (squash(bucket / 2) if x else 1 - squash(bucket / 2)) for x in (0, 1))
+            p = min(max((squash(dot) + one / (zero + one)) / 2, 1e-6), 1 - 1e-6)
+            total += np.log10(p if bit else 1 - p)
+        return total
+
+    classes, spelling = fit.classes.value, fit.bytes.value
+    sequence = lambda k: [*(kind(w.encode()) for w in words[k]), lm_score.END]
+    letters = lambda w: [257 + shared(w), *w, 256]
+    seen, spelt = Counter(), Counter()
+    for k in learns:
+        seen.update((j, s, bit) for slots, bit in bits_of(classes, lm_score.CLASS_ORDERS, sequence(k), 0) for j, s in enumerate(slots))
+    for w in (w for w in c if c[w] == 1):
+        spelt.update((j, s, bit) for slots, bit in bits_of(spelling, lm_score.BYTE_ORDERS, letters(w), 1) for j, s in enumerate(slots))
+    of_class = Counter()
+    for w, n in c.items():
+        of_class[kind(w)] += n
+    for k in range(len(texts)):
+        want = cost(classes, seen, lm_score.CLASS_ORDERS, sequence(k))
+        for w in (w.encode() for w in words[k]):
+            if kind(w) >= lm_score.NEW:
+                want += cost(spelling, spelt, lm_score.BYTE_ORDERS, letters(w), 1)
+            elif kind(w) >= lm_score.KNOWN:
+                want += np.log10(c[w] / of_class[kind(w)])
+        assert found[k]["score"] == pytest.approx(want, rel=1e-3)
+    again = {r["doc_id"]: r["score"] for r in lm_score.score(make(spark, texts)).collect()}
+    assert again == {k: r["score"] for k, r in found.items()}
+
+
+def test_lm_score_extremes(spark):
+    long = ["b" * 1_500_000, "the cat sat", "cat the sat", None, "the cat sat", "the cat sat"]
+    found = {r["doc_id"]: r for r in lm_score.score(make(spark, long)).collect()}
+    assert len(found) == 6 and all(np.isfinite(r["score"]) and r["score"] < 0 for r in found.values())
+    assert found[1]["score"] != found[2]["score"]  # order counts
+    held = [k for k in range(60) if zlib.crc32(str(k).encode()) % 7 == 2]
+    rows = lm_score.score(make(spark, [(k, "some words here") for k in held])).collect()  # nothing to learn from
+    assert len(rows) == len(held) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] < 0 for r in rows)
+    every = lm_score.score(make(spark, ["a b", "a b", "c"]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert len(every) == 3 and all(not r["held_out"] for r in every)
+
+
+def test_code_is_whole():
+    code = lm_score.Code(np.arange(257))
+    assert sum(2.0 ** -code.sizes) == 1 and len({tuple(zip(code.nodes[s, :n], code.bits[s, :n])) for s, n in enumerate(code.sizes)}) == 257
 
 
 def test_licenses(spark):

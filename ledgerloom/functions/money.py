@@ -16,7 +16,3 @@ def parse_amount(text: Column) -> Column:
     plain = comma.when(raw.rlike(r"^[0-9]+,[0-9]{2}$"), F.replace(raw, F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(","), F.lit("")))
     return plain.try_cast(MONEY)
 
-
-def line_amount(line: Column) -> Column:
-    """The last money token of a line."""
-    return F.replace(F.try_element_at(F.regexp_extract_all(line, F.lit(r"[0-9][0-9,]*\.[0-9]{2}"), F.lit(0)), F.lit(-1)), F.lit(","), F.lit("")).try_cast(MONEY)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,44 @@ def split_fields(fields: Column) -> Column:
     """Field names joined by pipes, or by commas where there is no pipe."""
     parts = F.when(F.contains(fields, F.lit("|")), F.split(fields, r"\|")).otherwise(F.split(fields, ","))
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+#: What reading a page puts into names, and words that do not tell suppliers apart.
+NOISE = r"(?U)[|\\#@~`^]|(?<!\w)[0-9]{1,2}(?!\w)"
+SUFFIXES = "ltd|limited|plc|llc|llp|inc|co|company|group|holdings|malta|mt|gmbh|sarl|bv|nv|ag|spa|srl"
+FILLERS = ["the", "a", "of", "and", "&", "for"]
+
+
+def clean_supplier(name: Column) -> Column:
+    """A name as read, without line ends, stray signs, lone numbers of one or two digits, and signs at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "[\n\r]", " "), NOISE, " ")
+    return F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(bare, r"(?U)\s+", " ")), r"(?U)^[\W_]+", ""), r"(?U)[\W_]+$", "")
+
+
+def core_words(name: Column) -> Column:
+    """The distinct words of a name, of three letters or more, without company forms and fillers."""
+    words = F.split(F.regexp_replace(F.lower(name), rf"(?U)\b({SUFFIXES})\b", ""), r"(?U)\s+")
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(FILLERS)))
+
+
+def file_name(name: Column) -> Column:
+    """A name that a file may bear."""
+    return F.regexp_replace(name, r"(?U)[^\w\-. ]", "_")
+
+
+def cell(value: Column, kind: str) -> Column:
+    """A value as a sheet shows it: Yes and No, numbers as doubles, else text."""
+    if kind == "boolean":
+        return F.when(value, "Yes").when(~value, "No")
+    return value.cast("double") if kind.startswith("decimal") else value.cast("string")
+
+
+def json_block(text: Column) -> Column:
+    """What lies between the first opening and the last closing brace of a text; the text itself where there is none."""
+    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found).otherwise(text)
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once for a row however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), 0)

@@ -44,39 +44,88 @@ def top_suppliers(rows: DataFrame, n: int = 10) -> DataFrame:
     return spend.orderBy(F.desc("grand_total"), "supplier_name").limit(n)
 
 
-def capacity(rows: DataFrame) -> DataFrame:
-    """What each tenant holds; every count comes from one pass."""
-    return rows.groupBy("tenant").agg(F.count_distinct("company").alias("companies"), F.count_distinct("supplier_id").alias("suppliers"), F.count_distinct("batch_id").alias("batches"), F.count_distinct("file_id").alias("files"), F.count("*").alias("row_count"))
+def capacity(tenants: DataFrame, **held: DataFrame) -> DataFrame:
+    """A row for each of tenants (tenant), with or without anything: for each table its rows, and of a column `file_size_bytes`
+    the megabytes. Every table is counted by itself, so none multiplies another."""
+    out = tenants
+    for name, rows in held.items():
+        sums = [F.count("*").alias(name)] + ([F.sum("file_size_bytes").alias("__bytes")] if "file_size_bytes" in rows.columns else [])
+        out = out.join(rows.groupBy("tenant").agg(*sums), "tenant", "left")
+    size = [F.round(F.coalesce("__bytes", F.lit(0)) / (1024 * 1024), 2).alias("storage_mb")] if "__bytes" in out.columns else []
+    return out.select(*tenants.columns, *[F.coalesce(n, F.lit(0)).alias(n) for n in held], *size)
 
 
 def modal_nominal(rows: DataFrame, least: int = 2) -> DataFrame:
-    """Each supplier's most used account, ties to the smaller code, if used at least `least` times."""
-    counts = rows.where("supplier_name is not null").groupBy("supplier_name", "nominal_account_code").agg(F.count("*").alias("uses"))
-    best = counts.groupBy("supplier_name").agg(F.min(F.struct((-F.col("uses")).alias("less"), "nominal_account_code", "uses")).alias("b"))
-    return best.select("supplier_name", "b.nominal_account_code", "b.uses").where(F.col("uses") >= least)
+    """Each supplier's most used account in its tenant and company, ties to the smaller code, if used at least `least`
+    times. Rows without an account don't count."""
+    scope = ["tenant", "company", "supplier_name"]
+    counts = rows.where("supplier_name is not null and nominal_account_code is not null").groupBy(*scope, "nominal_account_code").agg(F.count("*").alias("uses"))
+    best = counts.groupBy(*scope).agg(F.min(F.struct((-F.col("uses")).alias("less"), "nominal_account_code", "uses")).alias("b"))
+    return best.select(*scope, "b.nominal_account_code", "b.uses").where(F.col("uses") >= least)
 
 
-def file_review_state(rows: DataFrame, reviewed: DataFrame) -> DataFrame:
+def file_review_state(rows: DataFrame, reviewed: DataFrame, fields: str | None = None) -> DataFrame:
     """For each file: flagged rows, those without a review, and whether it is clean, reviewed or waits. reviewed:
-    (file_id, page_no) of the rows that a person has seen."""
+    (file_id, page_no) of the rows that a person has seen. fields: where given, the column of comma-joined names from
+    which the flagged fields come, sorted."""
     seen = reviewed.select("file_id", "page_no").distinct().withColumn("seen", F.lit(True))
     joined = rows.join(seen, ["file_id", "page_no"], "left")
-    counts = joined.groupBy("file_id").agg(F.count("*").alias("row_count"), F.count_if(flagged()).alias("flagged_count"), F.count_if(flagged() & F.col("seen").isNull()).alias("outstanding"))
+    own = [] if fields is None else [F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(flagged(), names(F.col(fields))))))), ",").alias("flagged_fields")]
+    counts = joined.groupBy("file_id").agg(F.count("*").alias("row_count"), F.count_if(flagged()).alias("flagged_count"), F.count_if(flagged() & F.col("seen").isNull()).alias("outstanding"), *own)
     return counts.withColumn("state", F.when(F.col("flagged_count") == 0, "clean").when(F.col("outstanding") > 0, "needs_review").otherwise("reviewed"))
 
 
+def names(joined: Column) -> Column:
+    """Comma-joined names as an array; blanks are none."""
+    return F.filter(F.transform(F.split(joined, ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def export_summary(rows: DataFrame, *by: str) -> DataFrame:
     """As the summary sheet has it: a row without confidence counts as 0 there."""
     return rows.groupBy(*by).agg(F.count("*").alias("row_count"), F.count_if("review_required").alias("needs_review"), money("net_amount").alias("net_total"), money("vat_amount").alias("vat_total"), money("total_amount").alias("grand_total"), (F.coalesce(F.sum("confidence_score"), F.lit(0)).cast("double") / F.count("*")).alias("avg_confidence"), F.count_distinct("file_id").alias("files"))
 
 
-def batch_progress(files: DataFrame) -> DataFrame:
-    """files: batch_id, status (processed, failed or pending), pages. Percent is of files, whole, at most 100."""
-    done = F.count_if(F.col("status") == "processed")
-    failed = F.count_if(F.col("status") == "failed")
-    return files.groupBy("batch_id").agg(done.alias("processed"), failed.alias("failed"), F.count("*").alias("total"), F.sum("pages").alias("pages"), F.least(F.lit(100), F.floor((100 * (done + failed) + F.floor(F.count("*") / 2)) / F.count("*"))).cast("long").alias("percent")).withColumn(
-        "status", F.when(F.col("processed") == F.col("total"), "processed").when(F.col("failed") == F.col("total"), "failed").otherwise("partial")
-    )
+def _file_counts() -> list[Column]:
+    return [F.count_if(F.col("status").isin("processed", "partial")).alias("processed_files"), F.count_if(F.col("status") == "failed").alias("failed_files"), F.count("*").alias("total_files")]
+
+
+def batch_progress(batches: DataFrame, files: DataFrame) -> DataFrame:
+    """batches: batch_id and page_count, the pages worked off. files: batch_id, status and page_count. Percent is of pages,
+    whole (halves to even), at most 100, and 0 without pages. A partial file counts as processed."""
+    done = F.coalesce("page_count", F.lit(0))
+    of = files.groupBy("batch_id").agg(*_file_counts(), F.coalesce(F.sum("page_count"), F.lit(0)).alias("total_pages"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("processed_files", "failed_files", "total_files", "total_pages")]
+    joined = batches.select("batch_id", done.alias("processed_pages")).join(of, "batch_id", "left").select("batch_id", "processed_pages", *zero)
+    share = F.col("processed_pages") / F.col("total_pages") * 100
+    return joined.withColumn("percent", F.when(F.col("total_pages") > 0, F.least(F.lit(100), F.bround(share, 0).cast("long"))).otherwise(0))
+
+
+def status_rollup(files: DataFrame) -> DataFrame:
+    """files: batch_id, file_id, rows (inserted) and failed_pages. Each file's own status, and that of its batch: processed
+    if all are, failed if all are, else partial."""
+    own = F.when(F.col("rows") == 0, "failed").when(F.col("failed_pages") > 0, "partial").otherwise("processed")
+    counts = files.withColumn("status", own).groupBy("batch_id").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("processed", "partial", "failed")])
+    good = F.col("processed") + F.col("partial")
+    return counts.withColumn("status", F.when((good > 0) & (F.col("failed") == 0) & (F.col("partial") == 0), "processed").when(good > 0, "partial").otherwise("failed"))
+
+
+def batch_detail(batches: DataFrame, files: DataFrame, rows: DataFrame) -> DataFrame:
+    """batches with their files by status and their rows; one without any has zeros."""
+    of = files.groupBy("batch_id").agg(*_file_counts())
+    held = rows.groupBy("batch_id").agg(F.count("*").alias("row_count"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("processed_files", "failed_files", "total_files", "row_count")]
+    return batches.join(of, "batch_id", "left").join(held, "batch_id", "left").select(*batches.columns, *zero)
+
+
+def workspace(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows, corrected ones and flagged ones. rows: `corrected`, `review_required`."""
+    return rows.groupBy(*by).agg(F.count("*").alias("row_count"), F.count_if("corrected").alias("corrected_count"), F.count_if("review_required").alias("flagged_count"))
+
+
+def next_version(batches: DataFrame, exports: DataFrame) -> DataFrame:
+    """batches (batch_id) with the version that their next export has. exports: batch_id, version."""
+    last = exports.groupBy("batch_id").agg(F.max("version").alias("__last"))
+    return batches.join(last, "batch_id", "left").select(*batches.columns, (F.coalesce("__last", F.lit(0)) + 1).alias("version"))
 
 
 def newest(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:

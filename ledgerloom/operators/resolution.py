@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
+from ledgerloom.operators import matching
 
 
 def exact_match(names: DataFrame, masters: DataFrame) -> DataFrame:
@@ -21,13 +22,12 @@ def exact_match(names: DataFrame, masters: DataFrame) -> DataFrame:
 
 def overlap_match(names: DataFrame, masters: DataFrame, least: float = 0.5) -> DataFrame:
     """Each distinct name with the master that shares the largest share of its words, if at least `least`; ties to the
-    smaller ord. Candidates meet on a shared word, so the join is an equi-join on words, not on all pairs."""
-    own = names.select("name").distinct().withColumn("a", text.key_words(F.col("name")))
-    all_masters = masters.select("ord", "canonical", text.key_words(F.col("canonical")).alias("b"))
-    shared = own.select("name", "a", F.explode("a").alias("w")).join(all_masters.select("ord", "canonical", F.size("b").alias("nb"), F.explode("b").alias("w")), "w")
-    scores = shared.groupBy("name", "ord", "canonical").agg((F.count("*") / F.greatest(F.first(F.size("a")), F.first("nb"))).alias("score"))
-    best = scores.where(F.col("score") >= least).groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", "canonical", "score")).alias("m"))
-    return best.select("name", "m.canonical", "m.score")
+    smaller ord. Candidates meet on a rare shared word, so a frequent one pairs nothing by itself."""
+    own = names.select("name").distinct().select(F.col("name").alias("a"), text.key_words(F.col("name")).alias("wa"))
+    known = masters.select("ord", "canonical", text.key_words(F.col("canonical")).alias("wb"))
+    pairs = matching.sharing(own, known.select(F.col("canonical").alias("b"), "wb").distinct(), [], least)
+    best = pairs.join(known.select("ord", F.col("canonical").alias("b")), "b").groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "ord", F.col("b").alias("canonical"), "score")).alias("m"))
+    return best.select(F.col("a").alias("name"), "m.canonical", "m.score")
 
 
 def learn_patterns(headers: DataFrame, most: int = 60) -> DataFrame:
@@ -57,14 +57,3 @@ def taxonomy(rows: DataFrame, entries: list[tuple[str, list[str]]]) -> DataFrame
         for alias in sorted(aliases, key=len, reverse=True):
             found = found.when(F.contains(low, F.lit(alias.lower())), category)
     return rows.withColumn("category", found)
-
-
-def classify(rows: DataFrame) -> DataFrame:
-    """rows (nominal_hint, taxonomy_code, history_code, keyword_code, default_code) with code, method and confidence: the
-    first that is known, in that order."""
-    tiers = [("nominal_hint", "supplier_rule", "0.95"), ("taxonomy_code", "taxonomy", "0.90"), ("history_code", "history", "0.80"), ("keyword_code", "keyword", "0.70"), ("default_code", "default", "0.40")]
-    code = F.coalesce(*[c for c, _, _ in tiers])
-    method, sure = F.lit("unresolved"), F.lit("0")
-    for column, name, share in reversed(tiers):
-        method, sure = F.when(F.col(column).isNotNull(), name).otherwise(method), F.when(F.col(column).isNotNull(), share).otherwise(sure)
-    return rows.withColumn("code", code).withColumn("method", method).withColumn("confidence", sure.cast("decimal(3,2)"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from itertools import chain
+from functools import reduce
+from itertools import chain, groupby
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,24 +54,56 @@ def lookup(values: dict[str, object]) -> Column:
     return F.create_map(*map(F.lit, chain.from_iterable(values.items())))
 
 
+#: Below these a row's reading, or its page, counts as poor.
+POOR_READING, POOR_PAGE = 0.55, 0.35
+
+
+def gather(rows: DataFrame) -> DataFrame:
+    """rows with `reasons`: those found before, in supplier_reasons and validation_reasons, then what classification_method,
+    confidence, page_quality, the fields and ai_status give. A null confidence or quality is a full one."""
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    method, status = F.col("classification_method"), F.col("ai_status")
+    found = [
+        (method == "unresolved", "line_classification_unresolved"), (method.isin("default", "llm_fallback"), "nominal_mapping_uncertain"),
+        (F.col("confidence") < POOR_READING, "low_confidence"), (F.col("page_quality") < POOR_PAGE, "page_quality_low"),
+        (blank("supplier_name"), "no_supplier"), (F.col("total_amount").isNull(), "no_amount"), (blank("invoice_number"), "invoice_number_missing"), (F.col("invoice_date").isNull(), "invoice_date_missing"),
+        (status == "failed", "ai_validation_failed"), (status == "passed_with_warnings", "ai_validation_warned"),
+    ]
+    return rows.withColumn("reasons", F.concat(empty("supplier_reasons"), empty("validation_reasons"), F.array_compact(F.array(*[F.when(test, name) for test, name in found]))))
+
+
 def decide(rows: DataFrame) -> DataFrame:
     """rows (with `reasons`, an array in the order found) with review_reasons, review_fields, review_priority,
-    review_required, auto_approved and validation_status. Reasons keep their first mention and sort by weight, stably."""
-    weight, band, fields = (lookup({k: v[i] for k, v in REASONS.items()}) for i in range(3))
-    bare = lambda r: F.substring_index(r, ":", 1)
-    # One column for each step, so that none is computed again inside the lambdas of the next.
-    pairs = rows.withColumn("__p", F.transform("reasons", lambda r, i: F.struct(bare(r).alias("k"), i.alias("i"), r.alias("r")))).withColumn("__k", F.col("__p.k"))
-    weighed = pairs.withColumn("__o", F.array_sort(F.transform(F.filter("__p", lambda x: F.array_position("__k", x["k"]) == x["i"] + 1), lambda x: F.struct((-F.coalesce(F.try_element_at(weight, x["k"]), F.lit(0))).alias("w"), x["i"].alias("i"), x["k"].alias("k"), x["r"].alias("r")))))
-    rows = weighed.select(*rows.columns, F.col("__o.r").alias("review_reasons"), F.col("__o.k").alias("__keys"))
-    rows = rows.withColumn("__bands", F.transform("__keys", lambda k: F.coalesce(F.try_element_at(band, k), F.lit("low"))))
-    in_band = lambda b: F.array_contains("__bands", b)
-    has = lambda r: F.array_contains("__keys", r)
-    named = F.flatten(F.transform("__keys", lambda k: F.split(F.coalesce(F.try_element_at(fields, k), F.lit("")), r"\|")))
+    review_required, auto_approved and validation_status. Reasons keep their first mention and sort by weight, stably.
+
+    The known reasons are looked for in the order of their weights, so nothing is sorted but those of equal weight.
+    """
+    key = F.transform(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: F.substring_index(r, ":", 1))
+    keyed = rows.withColumn("__k", key)
+    placed = keyed.withColumns({f"__at_{n}": F.array_position("__k", n) for n in REASONS})
+    at, has = (lambda n: F.col(f"__at_{n}")), (lambda n: F.col(f"__at_{n}") > 0)
+    strings = "array<string>"
+
+    def held(n: str) -> Column:
+        fields = F.array(*map(F.lit, REASONS[n][2].split("|")))
+        return F.when(has(n), F.struct(at(n).alias("at"), F.get("reasons", (at(n) - 1).cast("int")).alias("reason"), fields.alias("fields")))
+
+    parts = []
+    for _, group in groupby(sorted(REASONS, key=lambda n: -REASONS[n][0]), key=lambda n: REASONS[n][0]):
+        same = [held(n) for n in group]
+        parts.append(F.array_sort(F.array_compact(F.array(*same))) if len(same) > 1 else F.array_compact(F.array(*same)))
+    other = F.array_distinct(F.filter("__k", lambda k: ~k.isin(list(REASONS))))
+    unknown = F.transform(other, lambda k: F.struct(F.lit(0).cast("long").alias("at"), F.get("reasons", (F.array_position("__k", k) - 1).cast("int")).alias("reason"), F.array().cast(strings).alias("fields")))
+    in_band = lambda b: reduce(or_, [has(n) for n in REASONS if REASONS[n][1] == b])
+    unfit = reduce(or_, [has(n) for n in REASONS if n not in APPROVABLE])
+    some = F.size("__k") > 0
     status = F.when(in_band("high"), F.when(has("no_supplier") & has("no_amount"), "review_incomplete").when(has("no_supplier"), "review_no_supplier").when(has("no_amount"), "review_no_amount").otherwise("review_validation_failed")).when(in_band("medium"), "ok_warned").otherwise("ok")
-    return rows.select(
-        *[c for c in rows.columns if c not in ("__keys", "__bands")], F.array_distinct(F.filter(named, lambda x: x != "")).alias("review_fields"), F.when(in_band("high"), "high").when(in_band("medium"), "medium").when(F.size("__keys") > 0, "low").alias("review_priority"),
-        in_band("high").alias("review_required"), ((F.size("__keys") > 0) & F.forall("__keys", lambda k: k.isin(APPROVABLE))).alias("auto_approved"), status.alias("validation_status"),
+    ordered = placed.select(
+        *rows.columns, F.concat(*parts, unknown).alias("__o"), F.when(in_band("high"), "high").when(in_band("medium"), "medium").when(some, "low").alias("review_priority"), in_band("high").alias("review_required"),
+        (some & ~unfit & (F.size(other) == 0)).alias("auto_approved"), status.alias("validation_status"),
     )
+    return ordered.select(*rows.columns, F.col("__o.reason").alias("review_reasons"), F.array_distinct(F.flatten("__o.fields")).alias("review_fields"), "review_priority", "review_required", "auto_approved", "validation_status")
 
 
 def action(status: Column) -> Column:
@@ -77,9 +111,28 @@ def action(status: Column) -> Column:
     return F.when(F.coalesce(status, F.lit("")) == "", "").otherwise(F.coalesce(known, F.concat(F.lit("Review — "), status)))
 
 
+#: How the problems of a row are put.
+NO_NAME, NO_AMOUNTS = "Supplier name could not be identified", "No amounts extracted (total and net both missing)"
+
+
 def issues(rows: DataFrame) -> DataFrame:
-    """A row for each invoice row with problems: the list of them, and the first as title."""
+    """A row for each invoice row with problems: the list of them, a title with the page and the first, and a priority.
+    rows: supplier_name, total_amount, net_amount, confidence_score, method_used, description, page_no."""
+    failed = F.coalesce(F.col("method_used") == "page_error", F.lit(False))
+    nameless = F.coalesce("supplier_name", F.lit("")) == ""
     low = F.coalesce(F.col("confidence_score") < 0.60, F.lit(False))
-    problems = F.array_compact(F.array(F.when(F.coalesce("supplier_name", F.lit("")) == "", "No supplier"), F.when(F.col("total_amount").isNull(), "No amounts"), F.when(low, "Low confidence")))
-    found = rows.withColumn("problems", problems).where(F.size(problems) > 0)
-    return found.withColumn("title", F.substring(F.col("problems")[0], 1, 255))
+    failure = F.concat(F.lit("Page processing error: "), F.substring(F.coalesce("description", F.lit("")), 1, 120))
+    unsure = F.concat(F.lit("Low extraction confidence ("), F.bround(F.col("confidence_score") * 100, 0).cast("int").cast("string"), F.lit("%)"))
+    problems = F.array_compact(F.array(F.when(nameless, NO_NAME), F.when(F.col("total_amount").isNull() & F.col("net_amount").isNull(), NO_AMOUNTS), F.when(failed, failure).when(low, unsure)))
+    found = rows.withColumn("problems", problems).where(F.size("problems") > 0)
+    title = F.concat(F.lit("Page "), F.col("page_no").cast("string"), F.lit(": "), F.col("problems")[0])
+    return found.withColumns({"title": F.substring(title, 1, 255), "priority": F.when(nameless | failed, "high").otherwise("normal")})
+
+
+def error_rows(pages: DataFrame) -> DataFrame:
+    """Invoice rows for pages that failed: pages (tenant, company, batch_id, file_id, page_no, error); a person must see them."""
+    error = F.coalesce("error", F.lit(""))
+    return pages.select(
+        "tenant", "company", "batch_id", "file_id", "page_no", F.concat(F.lit("Page processing error: "), F.substring(error, 1, 180)).alias("description"), F.lit("EUR").alias("currency"), F.lit("page_error").alias("method_used"),
+        F.lit(0).cast("decimal(5,2)").alias("confidence_score"), F.lit("review").alias("validation_status"), F.lit(True).alias("review_required"), F.concat(F.lit("PAGE_ERROR="), error).alias("page_text_raw"),
+    )

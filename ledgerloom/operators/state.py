@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Which status may follow which.
-TRANSITIONS = [("scanned", "in_review"), ("created", "in_review"), ("in_review", "approved"), ("in_review", "in_review"), ("approved", "exported"), ("approved", "in_review")]
+#: Which status may follow which. An exported batch is opened again by a step of its own.
+TRANSITIONS = [("scanned", "in_review"), ("in_review", "approved"), ("in_review", "in_review"), ("approved", "exported"), ("approved", "in_review")]
+
+
+def normalised_status(status: Column) -> Column:
+    """No status, and `created`, are as good as scanned."""
+    return F.when(F.coalesce(status, F.lit("")).isin("", "created"), "scanned").otherwise(status)
 
 
 def overlay(rows: DataFrame, corrections: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
@@ -46,8 +53,10 @@ def deposit_split(rows: DataFrame, deposit: str = "deposit") -> DataFrame:
 
 
 def allowed(changes: DataFrame) -> DataFrame:
-    """changes (status, target) with whether the step is allowed."""
-    return changes.withColumn("allowed", F.concat_ws(">", "status", "target").isin([f"{a}>{b}" for a, b in TRANSITIONS]))
+    """changes (status, target) with whether the step is allowed, and whether the batch takes edits and may be reopened."""
+    now = normalised_status(F.col("status"))
+    step = F.concat_ws(">", now, "target").isin([f"{a}>{b}" for a, b in TRANSITIONS])
+    return changes.withColumns({"allowed": step, "editable": now != "exported", "reopens": now == "exported"})
 
 
 def exclusive_default(accounts: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -68,17 +77,27 @@ def effective_template(companies: DataFrame, assignments: DataFrame) -> DataFram
 # --- export templates: a list of column specifications compiled into one select --------------------------------------
 
 
+#: The parts of a date pattern, and the ways in which a date may be written, tried in this order.
+PATTERN = {"%d": "dd", "%m": "MM", "%Y": "yyyy", "%y": "yy", "%b": "MMM", "%B": "MMMM"}
+DATES = [(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "y-M-d"), (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/y"), (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/y"), (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-y"), (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "y/M/d")]
+
+
 def transformed(value: Column, rule: str | None) -> Column:
-    """uppercase, lowercase, number_format, date_format:pattern, default:value; any other rule leaves the value."""
+    """uppercase, lowercase, number_format, date_format:pattern, default:value; any other rule leaves the value, and so do
+    a number format and a date format where it is no number, or no date in one of the forms of `DATES`."""
     name, _, arg = (rule or "").partition(":")
     if name == "uppercase":
         return F.upper(value.cast("string"))
     if name == "lowercase":
         return F.lower(value.cast("string"))
     if name == "number_format":
-        return value.try_cast("double").cast("string")
+        number = value.try_cast("decimal(38,10)")
+        plain = F.regexp_replace(F.regexp_replace(number.cast("string"), r"0+$", ""), r"\.$", ".0")
+        return F.coalesce(plain, value.cast("string"))
     if name == "date_format":
-        return F.date_format(value, arg.replace("%d", "dd").replace("%m", "MM").replace("%Y", "yyyy"))
+        own, text = reduce(lambda p, x: p.replace(*x), PATTERN.items(), arg), F.trim(value.cast("string"))
+        parsed = [F.try_to_date(F.when(text.rlike(shape), text), form) for shape, form in DATES]
+        return F.coalesce(F.date_format(F.coalesce(*parsed), own), value.cast("string"))
     if name == "default":
         return F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(arg))
     return value.cast("string")

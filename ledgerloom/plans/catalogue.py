@@ -36,57 +36,54 @@ _FLAG = "(coalesce(confidence_score < 0.55, false) OR review_required)"
 
 @query(f"SELECT tenant, company, count(*) AS row_count, count(*) FILTER (review_required) AS review_count, {_SUMS}, coalesce(CAST(sum(confidence_score) AS DOUBLE) / count(confidence_score), 0) AS avg_confidence, count(DISTINCT supplier_name) AS supplier_count FROM inv GROUP BY 1, 2")
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.summary(invoice_rows(spark, d), "tenant", "company")
+    return analytics.summary(invoice_rows(spark, d, "tenant", "company", "supplier_name", "net_amount", "vat_amount", "total_amount", "confidence_score", "review_required"), "tenant", "company")
 
 
 @query(f"SELECT strftime(invoice_date, '%Y-%m') AS month, {_SUMS}, count(*) AS row_count FROM inv WHERE invoice_date IS NOT NULL GROUP BY 1")
 def monthly_spend(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.monthly(invoice_rows(spark, d))
+    return analytics.monthly(invoice_rows(spark, d, "invoice_date", "net_amount", "vat_amount", "total_amount"))
 
 
 @query(f"SELECT strftime(invoice_date, '%Y-%m') AS month, {_SUMS}, count(*) AS row_count FROM inv WHERE invoice_date >= DATE '1998-06-01' - 372 AND tenant = 'EUROPE' GROUP BY 1")
 def monthly_spend_last_year(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.monthly(analytics.scoped(invoice_rows(spark, d), "EUROPE"), "1998-06-15", 12)
+    return analytics.monthly(analytics.scoped(invoice_rows(spark, d, "tenant", "invoice_date", "net_amount", "vat_amount", "total_amount"), "EUROPE"), "1998-06-15", 12)
 
 
 @query(f"SELECT supplier_name, {_d('total_amount')} AS grand_total, count(*) AS row_count FROM inv WHERE supplier_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.top_suppliers(invoice_rows(spark, d), 10)
+    return analytics.top_suppliers(invoice_rows(spark, d, "supplier_name", "total_amount"), 10)
 
 
-@query("SELECT tenant, count(DISTINCT company) AS companies, count(DISTINCT supplier_id) AS suppliers, count(DISTINCT batch_id) AS batches, count(DISTINCT file_id) AS files, count(*) AS row_count FROM inv GROUP BY 1")
+@query("""SELECT r_name AS tenant, coalesce(c.n, 0) AS companies, coalesce(b.n, 0) AS batches, coalesce(f.n, 0) AS files, coalesce(w.n, 0) AS rows, round(coalesce(f.bytes, 0) / (1024 * 1024), 2) AS storage_mb FROM region
+LEFT JOIN (SELECT n_regionkey AS k, count(*) AS n FROM nation GROUP BY 1) c ON c.k = r_regionkey LEFT JOIN (SELECT n_regionkey AS k, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) b ON b.k = r_regionkey
+LEFT JOIN (SELECT n_regionkey AS k, count(*) AS n, sum(CAST(o_totalprice AS BIGINT)) AS bytes FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) f ON f.k = r_regionkey
+LEFT JOIN (SELECT n_regionkey AS k, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) w ON w.k = r_regionkey""")
 def tenant_capacity(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.capacity(invoice_rows(spark, d))
+    read = lambda name: table(spark, d, name)
+    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("tenant"))
+    batches = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("tenant", "c_custkey")
+    files = read("orders").join(batches, F.col("o_custkey") == F.col("c_custkey")).select("tenant", F.col("o_totalprice").cast("long").alias("file_size_bytes"))
+    lines = read("lineitem").join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("tenant")
+    return analytics.capacity(read("region").select(F.col("r_name").alias("tenant")), companies=places, batches=batches, files=files, rows=lines)
 
 
-@query("SELECT supplier_name, nominal_account_code, uses FROM (SELECT supplier_name, nominal_account_code, count(*) AS uses, row_number() OVER (PARTITION BY supplier_name ORDER BY count(*) DESC, nominal_account_code) AS k FROM inv WHERE supplier_name IS NOT NULL GROUP BY 1, 2) WHERE k = 1 AND uses >= 2")
+@query("SELECT tenant, company, supplier_name, nominal_account_code, uses FROM (SELECT tenant, company, supplier_name, nominal_account_code, count(*) AS uses, row_number() OVER (PARTITION BY tenant, company, supplier_name ORDER BY count(*) DESC, nominal_account_code) AS k FROM inv WHERE supplier_name IS NOT NULL AND page_no <> 3 GROUP BY 1, 2, 3, 4) WHERE k = 1 AND uses >= 2")
 def historical_nominal(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.modal_nominal(invoice_rows(spark, d))
+    rows = invoice_rows(spark, d, "tenant", "company", "supplier_name", "nominal_account_code", "page_no")
+    return analytics.modal_nominal(rows.withColumn("nominal_account_code", F.when(F.col("page_no") != 3, F.col("nominal_account_code"))))
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("pages"))
-    status = F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "P", "failed").otherwise("pending")
-    return table(spark, d, "orders").join(pages, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_custkey").alias("batch_id"), status.alias("status"), F.coalesce("pages", F.lit(0)).alias("pages"))
-
-
-@query("""SELECT batch_id, processed, failed, total, pages, least(100, CAST((100 * (processed + failed) + total // 2) // total AS BIGINT)) AS percent, CASE WHEN processed = total THEN 'processed' WHEN failed = total THEN 'failed' ELSE 'partial' END AS status
-FROM (SELECT o_custkey AS batch_id, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus = 'P') AS failed, count(*) AS total, CAST(sum(coalesce(n, 0)) AS BIGINT) AS pages
-  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1)""")
-def batch_progress(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.batch_progress(_files(spark, d))
-
-
-@query(f"""SELECT file_id, row_count, flagged_count, outstanding, CASE WHEN flagged_count = 0 THEN 'clean' WHEN outstanding > 0 THEN 'needs_review' ELSE 'reviewed' END AS state
-FROM (SELECT file_id, count(*) AS row_count, count(*) FILTER {_FLAG.replace('(coalesce', '((coalesce', 1)}) AS flagged_count, count(*) FILTER ({_FLAG} AND page_no % 2 = 0) AS outstanding FROM inv GROUP BY 1)""")
+@query(f""", x AS (SELECT *, {_FLAG} AS flag FROM inv), y AS (SELECT file_id, count(*) AS row_count, count(*) FILTER (flag) AS flagged_count, count(*) FILTER (flag AND page_no % 2 = 0) AS outstanding, bool_or(flag AND page_no = 6) AS t, bool_or(flag AND page_no = 7) AS s, bool_or(flag AND page_no IN (1, 6)) AS n FROM x GROUP BY 1)
+SELECT file_id, row_count, flagged_count, outstanding, concat_ws(',', CASE WHEN n THEN 'net_amount' END, CASE WHEN s THEN 'supplier_name' END, CASE WHEN t THEN 'total_amount' END) AS flagged_fields, CASE WHEN flagged_count = 0 THEN 'clean' WHEN outstanding > 0 THEN 'needs_review' ELSE 'reviewed' END AS state FROM y""")
 def file_review_state(spark: SparkSession, d: str) -> DataFrame:
-    rows = invoice_rows(spark, d)
-    return analytics.file_review_state(rows, rows.where("page_no % 2 = 1").select("file_id", "page_no"))
+    page = F.col("page_no")
+    rows = invoice_rows(spark, d, "file_id", "page_no", "confidence_score", "review_required").withColumn("review_fields", F.when(page == 6, "total_amount, net_amount").when(page == 7, "supplier_name").when(page == 1, "net_amount,"))
+    return analytics.file_review_state(rows, rows.where("page_no % 2 = 1").select("file_id", "page_no"), "review_fields")
 
 
 @query(f"SELECT company, count(*) AS row_count, count(*) FILTER (review_required) AS needs_review, {_SUMS}, CAST(coalesce(sum(confidence_score), 0) AS DOUBLE) / count(*) AS avg_confidence, count(DISTINCT file_id) AS files FROM inv GROUP BY 1")
 def export_summary(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.export_summary(invoice_rows(spark, d), "company")
+    return analytics.export_summary(invoice_rows(spark, d, "company", "file_id", "net_amount", "vat_amount", "total_amount", "confidence_score", "review_required"), "company")
 
 
 @query(f"SELECT file_id, page_no, supplier_name, CAST(confidence_score AS DOUBLE) AS confidence FROM inv WHERE {_FLAG} AND tenant = 'ASIA'")
@@ -96,7 +93,7 @@ def needs_review_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT page_no, count(*) FILTER (review_required) AS needs_review, count(*) FILTER (confidence_score < 0.7) AS low_confidence, count(*) FILTER (confidence_score IS NULL) AS unknown FROM inv GROUP BY 1""")
 def review_list_filters(spark: SparkSession, d: str) -> DataFrame:
-    return invoice_rows(spark, d).groupBy("page_no").agg(F.count_if("review_required").alias("needs_review"), F.count_if(F.col("confidence_score") < 0.7).alias("low_confidence"), F.count_if(F.col("confidence_score").isNull()).alias("unknown"))
+    return invoice_rows(spark, d, "page_no", "confidence_score", "review_required").groupBy("page_no").agg(F.count_if("review_required").alias("needs_review"), F.count_if(F.col("confidence_score") < 0.7).alias("low_confidence"), F.count_if(F.col("confidence_score").isNull()).alias("unknown"))
 
 
 @query("SELECT p_partkey AS rule_id, p_name AS source_pattern FROM part WHERE p_size % 3 <> 0 AND (p_brand = 'Brand#13' OR p_size < 10) AND contains(lower(p_name), 'widget')")
@@ -110,12 +107,12 @@ def rule_search(spark: SparkSession, d: str) -> DataFrame:
 FROM inv i LEFT JOIN supplier ON i.supplier_id = s_suppkey""")
 def correction_overlay(spark: SparkSession, d: str) -> DataFrame:
     fixes = table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("supplier_id"), F.lit(1).alias("page_no"), F.concat(F.lit("Fixed "), "s_name").alias("supplier_name"))
-    return state.overlay(invoice_rows(spark, d), fixes, ["supplier_id", "page_no"], ["supplier_name"]).select("file_id", "page_no", "description", "supplier_name", "corrected")
+    return state.overlay(invoice_rows(spark, d, "supplier_id", "file_id", "page_no", "description", "supplier_name"), fixes, ["supplier_id", "page_no"], ["supplier_name"]).select("file_id", "page_no", "description", "supplier_name", "corrected")
 
 
-@query("SELECT tenant, coalesce(n_comment, '') AS account_name, count(*) AS row_count FROM inv LEFT JOIN (SELECT DISTINCT p_type AS code, 'Account ' || p_type AS n_comment FROM part WHERE p_size <= 25) ON trim(nominal_account_code) = code GROUP BY 1, 2")
+@query("SELECT tenant, coalesce(n_comment, '') AS account_name, count(*) AS row_count FROM inv LEFT JOIN (SELECT DISTINCT CASE WHEN p_type < 'M' THEN p_type ELSE 'X' || p_type END AS code, 'Account ' || p_type AS n_comment FROM part) ON trim(nominal_account_code) = code GROUP BY 1, 2")
 def nominal_name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    names = table(spark, d, "part").where("p_size <= 25").select(F.col("p_type").alias("code"), F.concat(F.lit("Account "), "p_type").alias("account_name")).distinct()
+    names = table(spark, d, "part").select(F.when(F.col("p_type") < "M", F.col("p_type")).otherwise(F.concat(F.lit("X"), "p_type")).alias("code"), F.concat(F.lit("Account "), "p_type").alias("account_name")).distinct()
     return invoice_rows(spark, d).join(names, F.trim("nominal_account_code") == F.col("code"), "left").groupBy("tenant", F.coalesce("account_name", F.lit("")).alias("account_name")).agg(F.count("*").alias("row_count"))
 
 
@@ -133,13 +130,13 @@ def supplier_exact_match(spark: SparkSession, d: str) -> DataFrame:
 _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), '\\b(ltd|limited|plc|llc|inc|corp|co|group|trading|holdings|services|solutions)\\b', '', 'g'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
 
 
-@query(f"""WITH names AS (SELECT DISTINCT p_name || ' Trading Ltd' AS name FROM part), masters AS (SELECT min(p_partkey) AS ord, p_name || ' Holdings' AS canonical FROM part WHERE p_size <= 10 GROUP BY 2),
+@query(f"""WITH names AS (SELECT DISTINCT p_name || ' Trading Ltd' AS name FROM part), masters AS (SELECT min(p_partkey) AS ord, CASE WHEN p_name < 'm' THEN p_name ELSE p_type || ' ' || p_brand END || ' Holdings' AS canonical FROM part GROUP BY 2),
 a AS (SELECT name, list_distinct(list_filter(string_split({_KEY.format(x='name')}, ' '), lambda w: w <> '')) AS a FROM names), b AS (SELECT ord, canonical, list_distinct(list_filter(string_split({_KEY.format(x='canonical')}, ' '), lambda w: w <> '')) AS b FROM masters),
 s AS (SELECT name, ord, canonical, len(list_intersect(a, b)) / greatest(len(a), len(b)) AS score FROM a, b WHERE len(list_intersect(a, b)) > 0)
 SELECT name, canonical, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, ord) AS k FROM s WHERE score >= 0.5) WHERE k = 1""")
 def supplier_token_overlap(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
-    masters = part.where("p_size <= 10").groupBy(F.concat("p_name", F.lit(" Holdings")).alias("canonical")).agg(F.min("p_partkey").alias("ord"))
+    masters = part.groupBy(F.concat(F.when(F.col("p_name") < "m", F.col("p_name")).otherwise(F.concat_ws(" ", "p_type", "p_brand")), F.lit(" Holdings")).alias("canonical")).agg(F.min("p_partkey").alias("ord"))
     return resolution.overlap_match(part.select(F.concat("p_name", F.lit(" Trading Ltd")).alias("name")), masters)
 
 
@@ -160,13 +157,6 @@ def taxonomy_match(spark: SparkSession, d: str) -> DataFrame:
     return resolution.taxonomy(rows, _TAXONOMY).groupBy("category").agg(F.count("*").alias("row_count"))
 
 
-@query("""SELECT p_partkey, coalesce(h, t, k, 'D') AS code, CASE WHEN h IS NOT NULL THEN 'supplier_rule' WHEN t IS NOT NULL THEN 'taxonomy' WHEN k IS NOT NULL THEN 'keyword' ELSE 'default' END AS method, CASE WHEN h IS NOT NULL THEN 0.95 WHEN t IS NOT NULL THEN 0.9 WHEN k IS NOT NULL THEN 0.7 ELSE 0.4 END::DOUBLE AS confidence
-FROM (SELECT p_partkey, CASE WHEN p_size < 5 THEN 'H' END AS h, CASE WHEN contains(lower(p_name), 'gear') THEN 'T' END AS t, CASE WHEN p_brand LIKE '%3' THEN 'K' END AS k FROM part)""")
-def classify_priority(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", F.when(F.col("p_size") < 5, "H").alias("nominal_hint"), F.when(F.contains(F.lower("p_name"), F.lit("gear")), "T").alias("taxonomy_code"), F.lit(None).cast("string").alias("history_code"), F.when(F.endswith("p_brand", F.lit("3")), "K").alias("keyword_code"), F.lit("D").alias("default_code"))
-    return resolution.classify(rows).select("p_partkey", "code", "method", F.col("confidence").cast("double").alias("confidence"))
-
-
 # Totals that are off by a deposit, a discount or by more, so that every branch is met.
 _OFF = "CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 0.05 WHEN 3 THEN 7.2 WHEN 4 THEN -12.34 WHEN 5 THEN 250.13 ELSE -900 END"
 _CHECKED = f"""checked AS (SELECT l_orderkey, l_linenumber, l_partkey, net AS net_amount, CASE WHEN l_quantity > 45 THEN NULL ELSE vat END AS vat_amount, CASE WHEN l_quantity = 1 THEN NULL ELSE CAST(net + vat + CAST({_OFF} AS DECIMAL(14,2)) AS DECIMAL(14,2)) END AS total_amount FROM taxed),
@@ -196,21 +186,28 @@ def confidence_score(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file_id", "page_no", "description", validation.confidence(rows).cast("double").alias("confidence"))
 
 
-_BANDS = ", ".join(f"('{k}', {w}, '{b}', {i})" for i, (k, (w, b, _)) in enumerate(review.REASONS.items()))
-
-
-@query(f"""WITH {_LINES} {_CHECKED}, bands(reason, weight, band, o) AS (VALUES {_BANDS}),
-parts AS (SELECT l_orderkey, l_linenumber, l_partkey, net_amount, total_amount, unnest(string_split(reasons, '|')) AS r, generate_subscripts(string_split(reasons, '|'), 1) AS i FROM reasoned WHERE reasons <> ''),
-one AS (SELECT l_orderkey, l_linenumber, l_partkey, net_amount, total_amount, string_agg(r, '|' ORDER BY weight DESC, i) AS review_reasons, max(CASE band WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) AS top FROM parts JOIN bands ON string_split(r, ':')[1] = reason GROUP BY ALL)
-SELECT l_orderkey, l_linenumber, l_partkey, review_reasons, CASE top WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS review_priority, top = 2 AS review_required, CASE top WHEN 2 THEN 'review_validation_failed' WHEN 1 THEN 'ok_warned' ELSE 'ok' END AS validation_status FROM one""".replace("parts AS (SELECT l_orderkey", "ids AS (SELECT *, row_number() OVER () AS rid FROM reasoned), parts AS (SELECT rid, l_orderkey").replace("FROM reasoned WHERE", "FROM ids WHERE").replace("one AS (SELECT l_orderkey", "one AS (SELECT rid, l_orderkey"))
+@query(f"""WITH {_LINES} {_CHECKED}, ids AS (SELECT *, row_number() OVER () AS rid FROM reasoned), bands(reason, weight, band) AS (VALUES ('totals_mismatch', 80, 2), ('vat_anomaly', 70, 2), ('vat_missing', 50, 1), ('totals_mismatch_advisory', 35, 1), ('deposit_component_detected', 10, 0)),
+parts AS (SELECT rid, unnest(string_split(reasons, '|')) AS r, generate_subscripts(string_split(reasons, '|'), 1) AS i FROM ids WHERE reasons <> ''),
+one AS (SELECT rid, string_agg(r, '|' ORDER BY weight DESC, i) AS review_reasons, max(band) AS top FROM parts JOIN bands ON string_split(r, ':')[1] = reason GROUP BY rid)
+SELECT l_orderkey, l_linenumber, l_partkey, coalesce(review_reasons, '') AS review_reasons, CASE top WHEN 2 THEN 'high' WHEN 1 THEN 'medium' WHEN 0 THEN 'low' END AS review_priority, coalesce(top = 2, false) AS review_required, CASE top WHEN 2 THEN 'review_validation_failed' WHEN 1 THEN 'ok_warned' ELSE 'ok' END AS validation_status FROM ids LEFT JOIN one ON ids.rid = one.rid""")
 def review_decision(spark: SparkSession, d: str) -> DataFrame:
-    decided = review.decide(validation.validate(_checked(spark, d)).where("size(reasons) > 0"))
+    decided = review.decide(validation.validate(_checked(spark, d)))
     return decided.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("review_reasons", "|").alias("review_reasons"), "review_priority", "review_required", "validation_status")
 
 
-@query("""SELECT file_id, page_no, description, problems, string_split(problems, '|')[1] AS title FROM (SELECT file_id, page_no, description, concat_ws('|', CASE WHEN coalesce(supplier_name, '') = '' THEN 'No supplier' END, CASE WHEN total_amount IS NULL THEN 'No amounts' END, CASE WHEN confidence_score < 0.60 THEN 'Low confidence' END) AS problems FROM inv) WHERE problems <> ''""")
+@query(""", x AS (SELECT *, description = 'Brand#13 blue bolt' AS failed, CASE WHEN page_no = 6 AND file_id % 2 = 0 THEN NULL ELSE net_amount END AS net FROM inv)
+SELECT file_id, page_no, description, problems, left('Page ' || page_no || ': ' || split_part(problems, '|', 1), 255) AS title, CASE WHEN coalesce(supplier_name, '') = '' OR failed THEN 'high' ELSE 'normal' END AS priority FROM (SELECT *, concat_ws('|', CASE WHEN coalesce(supplier_name, '') = '' THEN 'Supplier name could not be identified' END, CASE WHEN total_amount IS NULL AND net IS NULL THEN 'No amounts extracted (total and net both missing)' END,
+ CASE WHEN failed THEN 'Page processing error: Brand#13 blue bolt' WHEN confidence_score < 0.60 THEN 'Low extraction confidence (' || CAST(confidence_score * 100 AS INTEGER) || '%)' END) AS problems FROM x) WHERE problems <> ''""")
 def issue_log(spark: SparkSession, d: str) -> DataFrame:
-    return review.issues(invoice_rows(spark, d)).select("file_id", "page_no", "description", F.array_join("problems", "|").alias("problems"), "title")
+    rows = invoice_rows(spark, d).withColumn("method_used", F.when(F.col("description") == "Brand#13 blue bolt", "page_error").otherwise("text"))
+    rows = rows.withColumn("net_amount", F.when(~((F.col("page_no") == 6) & (F.col("file_id") % 2 == 0)), F.col("net_amount")))
+    return review.issues(rows).select("file_id", "page_no", "description", F.array_join("problems", "|").alias("problems"), "title", "priority")
+
+
+@query("SELECT tenant, company, batch_id, file_id, page_no, 'Page processing error: ' || left(description, 180) AS description, 'page_error' AS method_used, 'PAGE_ERROR=' || description AS page_text_raw, CAST(0 AS DOUBLE) AS confidence FROM inv")
+def error_rows(spark: SparkSession, d: str) -> DataFrame:
+    failed = invoice_rows(spark, d).withColumnRenamed("description", "error")
+    return review.error_rows(failed).select("tenant", "company", "batch_id", "file_id", "page_no", "description", "method_used", "page_text_raw", F.col("confidence_score").cast("double").alias("confidence"))
 
 
 @query("""SELECT o_orderkey, CAST(s AS DOUBLE) AS line_sum, CAST(o_totalprice AS DOUBLE) AS page_total, n AS line_count, abs(s - CAST(o_totalprice AS DECIMAL(14,2))) > 0.05 AS mismatch FROM orders JOIN (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(14,2))) AS s, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""".replace("CAST(o_totalprice AS DOUBLE)", "CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE)"))
@@ -277,17 +274,19 @@ _TEMPLATE = [
 
 @query("SELECT CAST(file_id AS VARCHAR) AS file, coalesce(upper(supplier_name), '') AS supplier, strftime(invoice_date, '%d/%m/%Y') AS dated, 'PI' AS kind, CASE WHEN total_amount IS NULL THEN 'unknown' WHEN total_amount >= 40000 THEN 'large' WHEN total_amount < 5000 THEN 'small' ELSE '' END AS size FROM inv")
 def template_render(spark: SparkSession, d: str) -> DataFrame:
-    return state.render(invoice_rows(spark, d), _TEMPLATE)
+    return state.render(invoice_rows(spark, d, "file_id", "supplier_name", "invoice_date", "total_amount"), _TEMPLATE)
 
 
-_STATUSES = "['scanned', 'created', 'in_review', 'approved', 'exported']"
+_STATUSES = "['scanned', 'created', 'in_review', 'approved', 'exported', '', NULL]"
 
 
-@query(f"""SELECT status, target, (status || '>' || target) IN ({', '.join(f"'{a}>{b}'" for a, b in state.TRANSITIONS)}) AS allowed, count(*) AS changes FROM (SELECT {_STATUSES}[1 + o_custkey % 5] AS status, {_STATUSES}[1 + o_orderkey % 5] AS target FROM orders) GROUP BY ALL""")
+@query(f"""SELECT status, target, (CASE WHEN coalesce(status, '') IN ('', 'created') THEN 'scanned' ELSE status END || '>' || target) IN ('scanned>in_review', 'in_review>approved', 'in_review>in_review', 'approved>exported', 'approved>in_review') AS allowed, coalesce(status <> 'exported', true) AS editable, coalesce(status = 'exported', false) AS reopens, count(*) AS changes
+FROM (SELECT {_STATUSES}[1 + o_custkey % 7] AS status, {_STATUSES}[1 + o_orderkey % 5] AS target FROM orders) GROUP BY ALL""")
 def status_transitions(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, ["scanned", "created", "in_review", "approved", "exported"]))
-    pick = lambda c: F.get(names, (F.col(c) % 5).cast("int"))
-    return state.allowed(table(spark, d, "orders").select(pick("o_custkey").alias("status"), pick("o_orderkey").alias("target"))).groupBy("status", "target", "allowed").agg(F.count("*").alias("changes"))
+    names = F.array(*map(F.lit, ["scanned", "created", "in_review", "approved", "exported", "", None]))
+    pick = lambda c, n: F.get(names, (F.col(c) % n).cast("int"))
+    asked = table(spark, d, "orders").select(pick("o_custkey", 7).alias("status"), pick("o_orderkey", 5).alias("target"))
+    return state.allowed(asked).groupBy("status", "target", "allowed", "editable", "reopens").agg(F.count("*").alias("changes"))
 
 
 @query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
@@ -304,7 +303,7 @@ def import_dedupe_upsert(spark: SparkSession, d: str) -> DataFrame:
     return state.upsert(table(spark, d, "supplier").select(F.col("s_name").alias("code"), F.col("s_name").alias("name")), staged, "code", "ord")
 
 
-@query(f"""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Review — odd' WHEN 2 THEN '{review.ACTIONS['ok_warned']}' ELSE '{review.ACTIONS['review_no_amount']}' END AS recommended_action FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Review — odd' WHEN 2 THEN 'Spot-check recommended — extraction confidence below optimal' ELSE 'ACTION REQUIRED: Total amount missing — enter value from original invoice' END AS recommended_action FROM orders""")
 def recommended_action(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey") % 4
     status = F.when(k == 1, "odd").when(k == 2, "ok_warned").when(k == 3, "review_no_amount")

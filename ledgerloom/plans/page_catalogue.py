@@ -116,17 +116,18 @@ _SHEET = f"WITH {INV.strip()}, rows AS (SELECT *, 'batch' || (file_id % 20) || '
 
 
 @query(f"""{_SHEET} SELECT source_filename, page_no, supplier_name, nominal_account_code, 'Account ' || nominal_account_code AS nominal_account_name, invoice_date, description, CAST(net_amount AS DOUBLE) AS net_amount, CAST(vat_amount AS DOUBLE) AS vat_amount, CAST(total_amount AS DOUBLE) AS total_amount,
-CAST(confidence_score AS DOUBLE) AS confidence_score, validation_status, '{review.ACTIONS["review"]}' AS recommended_action, review_required, tenant, company, file_id, supplier_id FROM rows WHERE review_required""")
+CAST(confidence_score AS DOUBLE) AS confidence_score, validation_status, 'ACTION REQUIRED: Verify all extracted fields against original invoice' AS recommended_action, review_required, tenant, company, file_id, supplier_id FROM rows WHERE review_required""")
 def export_review_sheet(spark: SparkSession, d: str) -> DataFrame:
     accounts = table(spark, d, "part").select(F.col("p_type").alias("code"), F.concat(F.lit("Account "), "p_type").alias("account_name")).distinct()
     sheet = exports.invoices(_sheet_rows(spark, d).where("review_required"), accounts)
     return sheet.withColumns({c: F.col(c).cast("double") for c in [*fields.AMOUNTS, "confidence_score"]})
 
 
-@query(f"""{_SHEET} SELECT (SELECT string_agg(f, ', ' ORDER BY f) FROM (SELECT DISTINCT source_filename AS f FROM rows)) AS uploaded_files, count(*) AS total_rows, count(*) FILTER (review_required) AS needs_review, CAST(sum(net_amount) AS DOUBLE) AS sum_net_amount, CAST(sum(vat_amount) AS DOUBLE) AS sum_vat_amount,
-CAST(sum(total_amount) AS DOUBLE) AS sum_total_amount, CAST(sum(confidence_score) AS DOUBLE) / count(*) AS avg_confidence, count(DISTINCT source_filename) AS distinct_source_files FROM rows""")
+@query(f"""WITH {INV.strip()} SELECT batch_id, string_agg(DISTINCT 'f' || file_id || '.pdf', ', ' ORDER BY 'f' || file_id || '.pdf') AS uploaded_files, count(*) AS total_rows, count(*) FILTER (review_required) AS needs_review, CAST(sum(net_amount) AS DOUBLE) AS sum_net_amount, CAST(sum(vat_amount) AS DOUBLE) AS sum_vat_amount,
+CAST(coalesce(sum(total_amount), 0) AS DOUBLE) AS sum_total_amount, CAST(coalesce(sum(confidence_score), 0) AS DOUBLE) / count(*) AS avg_confidence, count(DISTINCT file_id) AS distinct_source_files FROM inv GROUP BY 1""")
 def export_summary_sheet(spark: SparkSession, d: str) -> DataFrame:
-    return exports.summary(_sheet_rows(spark, d))
+    rows = invoice_rows(spark, d).withColumn("source_filename", F.concat(F.lit("f"), F.col("file_id").cast("string"), F.lit(".pdf")))
+    return exports.summary(rows, "batch_id")
 
 
 @query("""SELECT s_suppkey, field, old_value, new_value FROM (SELECT s_suppkey, 's_name' AS field, s_name AS old_value, upper(s_name) AS new_value FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS VARCHAR), '7' FROM supplier WHERE s_suppkey % 3 = 0) WHERE old_value <> new_value""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import analytics, review
+from ledgerloom.operators import analytics, review, state
 
 # The order of the columns that exports know, and the columns that stay inside.
 ORDER = [
@@ -31,10 +31,11 @@ def invoices(rows: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     return rows.select(*export_columns(rows.columns))
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """The Summary sheet, one row. Null amounts and confidences count as 0, blank file names not at all."""
+def summary(rows: DataFrame, *by: str) -> DataFrame:
+    """The Summary sheet, one row for each `by`, which should hold no more files than a batch does, as their names make one
+    cell. Null amounts and confidences count as 0, blank file names not at all."""
     file = F.nullif("source_filename", F.lit(""))
-    return rows.agg(
+    return rows.groupBy(*by).agg(
         F.array_join(F.array_sort(F.collect_set(file)), ", ").alias("uploaded_files"), F.count("*").alias("total_rows"), F.count_if("review_required").alias("needs_review"), analytics.money("net_amount").alias("sum_net_amount"), analytics.money("vat_amount").alias("sum_vat_amount"),
         analytics.money("total_amount").alias("sum_total_amount"), F.coalesce(F.sum("confidence_score").cast("double") / F.count("*"), F.lit(0.0)).alias("avg_confidence"), F.count_distinct(file).alias("distinct_source_files"),
     )
@@ -48,12 +49,20 @@ def audit_changes(rows: DataFrame, corrected: DataFrame, keys: list[str], fields
     return changed.select(*keys, "c.*").where(F.col("new_value").isNotNull() & ~F.col("new_value").eqNullSafe(F.col("old_value")))
 
 
-def write(rows: DataFrame, folder: str, version: int, accounts: DataFrame | None = None, changes: DataFrame | None = None, form: str = "parquet") -> dict[str, str]:
-    """Writes each sheet to folder/version=N/sheet and returns where; the sheets of one version replace earlier tries."""
+def export_event(exports: DataFrame, batch_id: int, version: int, rows: DataFrame) -> DataFrame:
+    """exports (batch_id, version, row_count) with the event of one more export."""
+    event = rows.agg(F.count("*").alias("row_count")).select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(version).cast("long").alias("version"), "row_count")
+    return exports.unionByName(event)
+
+
+def write(rows: DataFrame, folder: str, version: int, accounts: DataFrame | None = None, changes: DataFrame | None = None, form: str = "parquet", template: list[dict] | None = None) -> dict[str, str]:
+    """Writes each sheet to folder/version=N/sheet and returns where; the sheets of one version replace earlier tries. A
+    template, where given, makes one more sheet."""
     sheets = {"invoices": invoices(rows, accounts), "needs_review": invoices(rows.where("review_required"), accounts), "summary": summary(rows)}
     held = [c for c in EVIDENCE if c in rows.columns]
     sheets |= {"evidence": rows.select(*held)} if held else {}
     sheets |= {"audit_changes": changes} if changes is not None else {}
+    sheets |= {"template": state.render(rows, template)} if template else {}
     paths = {name: f"{folder}/version={version}/{name}" for name in sheets}
     for name, sheet in sheets.items():
         sheet.write.mode("overwrite").format(form).options(**({"header": "true"} if form == "csv" else {})).save(paths[name])

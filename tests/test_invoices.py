@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from ledgerloom.functions import dates, fields, money, text
 from ledgerloom.operators import deposits, pages, resolution, review, state, validation
-from ledgerloom.plans import catalogue, page_catalogue
+from ledgerloom.plans import catalogue, page_catalogue, record_catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,7 +39,7 @@ def duck():
     return con
 
 
-ORACLE_SQL = catalogue.ORACLE_SQL | page_catalogue.ORACLE_SQL
+ORACLE_SQL = catalogue.ORACLE_SQL | page_catalogue.ORACLE_SQL | record_catalogue.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))

@@ -16,10 +16,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or a temporary one where that is unset and all run
+    on one machine (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
@@ -34,7 +37,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it back, so that it is computed once and survives a lost executor."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `written` made, once nothing that is still to run reads it."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -62,7 +74,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         hops = both.join(least, "u").select(F.col("v").alias("p"), F.col("m").alias("q"))
-        links = written(_down(hops.unionByName(least.select(F.col("u").alias("p"), F.col("m").alias("q")))), "edges")
+        links, before = written(_down(hops.unionByName(least.select(F.col("u").alias("p"), F.col("m").alias("q")))), "edges"), links
+        discard(before)
     names = named.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("u", F.xxhash64("node"))
     tops = links.select(F.col("u"), F.col("v").alias("root"))
     return names.join(tops, "u", "left").select("node", F.coalesce("root", "u").alias("root"))

@@ -38,5 +38,31 @@ def parse_date(raw: Column, month_first: bool | Column = False) -> Column:
     return F.struct(F.coalesce(iso, named, numeric).alias("normalized"), strategy.alias("strategy"), F.coalesce(ambiguous, F.lit(False)).alias("ambiguous"), dmy.alias("dmy"), mdy.alias("mdy"))
 
 
+#: The ways in which a date may be written, tried in this order: what the text must look like, and its format.
+WRITTEN = [
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "d/M/yyyy"), (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "d-M-yyyy"), (r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$", "yyyy-M-d"), (r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$", "d.M.yyyy"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{2}$", "d/M/yy"), (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{2}$", "d-M-yy"), (r"^[0-9]{1,2} +[A-Za-z]+ +[0-9]{4}$", "d MMM yyyy"), (r"^[A-Za-z]+ +[0-9]{1,2},? +[0-9]{4}$", "MMM d yyyy"),
+]
+
+
+def read_date(raw: Column) -> Column:
+    """The date that a text is in one of twelve forms: days before months in numbers, months by name or its first three
+    letters on either side of the day. Null where it is none. Years of two digits from 69 on are of the last century."""
+    text = F.trim(raw)
+    known = text.rlike(rf"(?i)^([0-9]{{1,2}} +({NAMES}) +[0-9]{{4}}|({NAMES}) +[0-9]{{1,2}},? +[0-9]{{4}})$")
+    short = F.initcap(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "([A-Za-z]{3})[A-Za-z]*", "$1"), ",", ""), " +", " "))
+    found = []
+    for shape, form in WRITTEN:
+        if "MMM" in form:
+            found.append(F.try_to_date(F.when(known & text.rlike(shape), short), form))
+        elif form.endswith("/yy") or form.endswith("-yy"):
+            year = F.regexp_extract(text, "([0-9]{2})$", 1).try_cast("int")
+            full = F.concat(F.regexp_extract(text, "^(.*)[0-9]{2}$", 1), F.when(year >= 69, year + 1900).otherwise(year + 2000).cast("string"))
+            found.append(F.try_to_date(F.when(text.rlike(shape), full), form + "yy"))
+        else:
+            found.append(F.try_to_date(F.when(text.rlike(shape), text), form))
+    return F.coalesce(*found)
+
+
 def format_date(date: Column) -> Column:
     return F.coalesce(F.date_format(date, "dd/MM/yyyy"), F.lit(""))

@@ -39,6 +39,26 @@ def learn_patterns(headers: DataFrame, most: int = 60) -> DataFrame:
     return hits.join(keys, "supplier_name", "left")
 
 
+#: Words of headers that tell no supplier.
+HEADER_WORDS = [
+    "the", "and", "of", "for", "a", "an", "in", "on", "at", "to", "by", "is", "are", "was", "with", "from", "that", "this", "ltd", "limited", "plc", "invoice", "date", "page", "number", "vat", "tax", "total", "amount",
+    "description", "quantity", "price", "unit", "subtotal", "balance", "ref", "your", "our", "due", "paid", "name", "address", "account",
+]
+
+
+def merged_patterns(stored: DataFrame, headers: DataFrame, seen: str, most: int = 60, least: int = 3) -> DataFrame:
+    """stored (supplier_name, keywords: array, hit_count, last_seen: date) after new headers (supplier_name, header): the
+    alphabetically first `most` words of both, a hit for each header with at least `least` words, and the day `seen`.
+    Keeping the first words of a union is the same in whatever order headers come."""
+    words = headers.select("supplier_name", text.keywords(F.col("header"), HEADER_WORDS).alias("w")).where(F.size("w") >= least)
+    hits = words.groupBy("supplier_name").agg(F.count("*").alias("__hits"))
+    every = words.select("supplier_name", F.explode("w").alias("w")).unionByName(stored.join(hits.select("supplier_name"), "supplier_name", "left_semi").select("supplier_name", F.explode("keywords").alias("w"))).distinct()
+    ranked = every.withColumn("n", F.row_number().over(Window.partitionBy("supplier_name").orderBy("w"))).where(F.col("n") <= most)
+    fresh = ranked.groupBy("supplier_name").agg(F.array_sort(F.collect_list("w")).alias("__keywords")).join(hits, "supplier_name")
+    joined = stored.join(fresh, "supplier_name", "full")
+    return joined.select("supplier_name", F.coalesce("__keywords", "keywords").alias("keywords"), (F.coalesce("hit_count", F.lit(0)) + F.coalesce("__hits", F.lit(0))).alias("hit_count"), F.when(F.col("__hits").isNotNull(), F.lit(seen).cast("date")).otherwise(F.col("last_seen")).alias("last_seen"))
+
+
 def match_patterns(headers: DataFrame, patterns: DataFrame, shared: int = 3, share: float = 0.5) -> DataFrame:
     """Each header (id, header) with the supplier whose pattern it covers best: at least `shared` words and `share` of it."""
     words = headers.select("id", F.explode(text.keywords(F.col("header"))).alias("w"))

@@ -42,6 +42,30 @@ def upsert(dim: DataFrame, staged: DataFrame, key: str, order: str) -> DataFrame
     return joined.select(F.coalesce(F.col(key), F.col("__key")).alias(key), F.coalesce("__name", "name").alias("name"), outcome.alias("outcome"))
 
 
+def import_suppliers(dim: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dim after the import, outcomes) of staged suppliers of one company.
+
+    dim: code, name, default_nominal; staged: ord, code, name, default_nominal, '' where missing. Blank rows are passed over;
+    rows without code or name are rejected, and so are all but the first of a code in any case. A row updates the master of
+    its code, else the only one of its name in any case, else it is added. outcomes: ord, outcome.
+    """
+    full = staged.where("not (code = '' and name = '' and default_nominal = '')")
+    w = Window.partitionBy(F.lower("code")).orderBy("ord")
+    whole = (F.col("code") != "") & (F.col("name") != "")
+    good = full.where(whole).withColumn("__n", F.row_number().over(w))
+    first = good.where("__n = 1").drop("__n").withColumn("__low", F.lower("name"))
+    of_name = dim.withColumn("__low", F.lower("name")).groupBy("__low").agg(F.count("*").alias("__count"), F.min("code").alias("__of_name")).where("__count = 1")
+    by_code = first.join(dim.select(F.col("code").alias("__of_code")), F.col("code") == F.col("__of_code"), "left")
+    aimed = by_code.join(of_name, "__low", "left").withColumn("__target", F.coalesce("__of_code", "__of_name"))
+    # Two rows may aim at one master: the later one is what stays.
+    last = aimed.where("__target is not null").groupBy(F.col("__target").alias("__t")).agg(F.max_by(F.struct("code", "name", "default_nominal"), "ord").alias("__new"))
+    kept = dim.join(last, F.col("code") == F.col("__t"), "left").select(*[F.when(F.col("__t").isNotNull(), F.nullif(F.col("__new")[c], F.lit(""))).otherwise(F.col(c)).alias(c) for c in ("code", "name", "default_nominal")])
+    added = aimed.where("__target is null").select("code", "name", F.nullif("default_nominal", F.lit("")).alias("default_nominal"))
+    outcomes = aimed.select("ord", F.when(F.col("__target").isNull(), "imported").otherwise("updated").alias("outcome"))
+    outcomes = outcomes.unionByName(full.where(~whole).select("ord", F.lit("rejected: code and name are required").alias("outcome"))).unionByName(good.where("__n > 1").select("ord", F.lit("rejected: code stands twice").alias("outcome")))
+    return kept.unionByName(added), outcomes
+
+
 def deposit_split(rows: DataFrame, deposit: str = "deposit") -> DataFrame:
     """Each row, and for one with a deposit a second row for it; the first then has what is left of the total."""
     has = F.coalesce(F.col(deposit) > 0, F.lit(False))

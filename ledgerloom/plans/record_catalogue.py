@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import text
-from ledgerloom.operators import accounts, analytics, edits, listing, merging, resolution, review, rules
+from ledgerloom.functions import dates, text
+from ledgerloom.operators import accounts, analytics, edits, listing, merging, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -318,6 +318,43 @@ def remap_hints(spark: SparkSession, d: str) -> DataFrame:
     return accounts.hints_for(made(spark, d, _PAGES), made(spark, d, _HINTS), made(spark, d, _KNOWN))
 
 
+_STAGED = "SELECT c_custkey AS ord, CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN upper('supplier#') || CAST(c_custkey % 70 AS STRING) ELSE 'Supplier#' || CAST(c_custkey % 70 AS STRING) END AS code, CASE WHEN c_custkey % 9 < 2 THEN '' WHEN c_custkey % 5 = 0 THEN upper(c_mktsegment) ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'N1' ELSE '' END AS default_nominal FROM {customer}"
+_MASTER = "SELECT 'Supplier#' || CAST(s_suppkey AS STRING) AS code, CASE s_suppkey WHEN 3 THEN 'Building' WHEN 5 THEN 'Machinery' WHEN 7 THEN 'Machinery' ELSE s_name END AS name, 'old' AS default_nominal FROM {supplier}"
+_IMPORT = f"""s AS (SELECT * FROM ({_STAGED}) WHERE code <> '' OR name <> '' OR default_nominal <> ''), g AS (SELECT *, row_number() OVER (PARTITION BY lower(code) ORDER BY ord) AS n FROM s WHERE code <> '' AND name <> ''), m AS ({_MASTER}),
+a AS (SELECT g.*, coalesce((SELECT code FROM m WHERE m.code = g.code), (SELECT min(code) FROM m WHERE lower(m.name) = lower(g.name) HAVING count(*) = 1)) AS target FROM g WHERE n = 1)"""
+
+
+@query(f"WITH {_IMPORT} SELECT ord, CASE WHEN target IS NULL THEN 'imported' ELSE 'updated' END AS outcome FROM a UNION ALL SELECT ord, 'rejected: code stands twice' FROM g WHERE n > 1 UNION ALL SELECT ord, 'rejected: code and name are required' FROM s WHERE code = '' OR name = ''")
+def supplier_import_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return state.import_suppliers(made(spark, d, _MASTER), made(spark, d, _STAGED))[1]
+
+
+@query(f"WITH {_IMPORT} SELECT code, name, nullif(default_nominal, '') AS default_nominal FROM a WHERE target IS NULL UNION ALL SELECT coalesce(x.code, m.code), coalesce(x.name, m.name), CASE WHEN x.code IS NULL THEN m.default_nominal ELSE nullif(x.default_nominal, '') END FROM m LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY ord DESC) AS k FROM a WHERE target IS NOT NULL) WHERE k = 1) x ON x.target = m.code")
+def supplier_import(spark: SparkSession, d: str) -> DataFrame:
+    return state.import_suppliers(made(spark, d, _MASTER), made(spark, d, _STAGED))[0]
+
+
+_OLD = "SELECT p_brand AS supplier_name, array_sort(collect_set(p_type || lower(p_type))) AS keywords, count(*) AS hit_count, DATE '2020-01-01' AS last_seen FROM {part} GROUP BY 1"
+_NEW = "SELECT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'New' || p_type END AS supplier_name, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || ' invoice ' || lower(p_type) || ' from account north' END AS header FROM {part}"
+
+
+@query(f"""WITH o AS (SELECT p_brand AS supplier_name, list_sort(list_distinct(list(p_type || lower(p_type)))) AS keywords, count(*) AS hit_count FROM part GROUP BY 1), n AS ({_NEW}),
+w AS (SELECT supplier_name, list_filter(list_distinct(regexp_extract_all(lower(header), '[a-z]{{4,}}')), lambda x: x NOT IN ('invoice', 'from', 'account', 'unit', 'name')) AS w FROM n), h AS (SELECT supplier_name, count(*) AS hits, flatten(list(w)) AS ws FROM w WHERE len(w) >= 3 GROUP BY 1)
+SELECT coalesce(o.supplier_name, h.supplier_name) AS supplier_name, array_to_string(CASE WHEN hits IS NULL THEN keywords ELSE list_sort(list_distinct(list_concat(coalesce(keywords, []), ws)))[1:5] END, ' ') AS keywords, coalesce(hit_count, 0) + coalesce(hits, 0) AS hit_count, CASE WHEN hits IS NULL THEN DATE '2020-01-01' ELSE DATE '2024-06-01' END AS last_seen FROM o FULL JOIN h ON o.supplier_name = h.supplier_name""")
+def pattern_merge(spark: SparkSession, d: str) -> DataFrame:
+    found = resolution.merged_patterns(made(spark, d, _OLD), made(spark, d, _NEW), "2024-06-01", 5)
+    return found.withColumn("keywords", F.array_join("keywords", " "))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 8 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS read_date FROM orders""")
+def read_dates(spark: SparkSession, d: str) -> DataFrame:
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 9
+    raw = F.lit(" 31/02/2024")
+    for k, form in enumerate(["dd/MM/yyyy", "d-M-yyyy", "yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yy", "d MMMM yyyy", "MMMM d, yyyy", "MMM dd yyyy"]):
+        raw = F.when(key == k, F.date_format(day, form)).otherwise(raw)
+    return table(spark, d, "orders").select("o_orderkey", dates.read_date(raw).alias("read_date"))
+
+
 # --- batches, listings, upkeep ----------------------------------------------------------------------------------------
 
 _FILES = "SELECT o_custkey AS batch_id, o_orderkey AS file_id, CASE o_orderstatus WHEN 'F' THEN 'processed' WHEN 'P' THEN 'failed' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'partial' ELSE 'pending' END END AS status, coalesce(n, 0) AS page_count, coalesce(n, 0) % 5 AS rows, o_orderkey % 2 AS failed_pages, o_orderdate AS uploaded_at FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY 1) ON o_orderkey = l_orderkey"

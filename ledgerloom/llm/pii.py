@@ -46,24 +46,57 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def running(values: Column, zero: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each value, all values before it joined, beginning with zero. Values are taken in runs of about the root of
+    their number, first the runs as wholes and then each within itself, as a list that grows is copied at every step."""
+
+    def steps(part: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+
+    def within(v: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(v, k * n + 1, n))
+        return let(parts, lambda p: F.flatten(F.zip_with(p, steps(F.transform(p, lambda x: F.aggregate(x, zero, join)), zero), steps)))
+
+    return let(values, within)
+
+
 def located(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, found) of the matches of pattern in text, in characters, end exclusive."""
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("s"))
 
     def places(p: Column) -> Column:
-        steps = F.transform(p["m"], lambda m, k: F.struct(F.length(F.get(p["s"], k)).alias("gap"), F.length(m).alias("n"), m.alias("m")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+        sizes = F.transform(p["m"], lambda m, k: F.length(F.get(p["s"], k)) + F.length(m))
+        before = running(sizes, F.lit(0), lambda a, x: a + x)
 
-        def add(acc: Column, x: Column) -> Column:
-            first = acc["at"] + x["gap"]
-            one = F.struct(first.alias("start"), (first + x["n"]).alias("end"), x["m"].alias("found"))
-            return F.struct((first + x["n"]).alias("at"), F.array_append(acc["out"], one).alias("out"))
+        def one(at: Column, k: Column) -> Column:
+            first = at + F.length(F.get(p["s"], k))
+            return F.struct(first.alias("start"), (first + F.length(F.get(p["m"], k))).alias("end"), F.get(p["m"], k).alias("found"))
 
-        return F.aggregate(steps, start, add, lambda acc: acc["out"])
+        return F.transform(before, one)
 
     return let(parts, places)
 
 
+#: Characters of a page. A place in a text is sought in its page, not from the text's beginning.
+PAGE = 4096
+
+
+def pages(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}+"), F.lit(0))
+
+
+def stretch(of: Column, first: Column, last: Column) -> Column:
+    """The characters from first to last of a text, given its pages; from the end of the text on there are none."""
+    page = lambda at: F.floor(at / PAGE).cast("int")
+    own = lambda k: F.coalesce(F.get(of, k), F.lit(""))
+    one = F.substring(own(page(first)), first % PAGE + 1, last - first)
+    between = F.array_join(F.slice(of, page(first) + 2, F.greatest(page(last) - page(first) - 1, F.lit(0))), "")
+    many = F.concat(F.substring(own(page(first)), first % PAGE + 1, F.lit(PAGE)), between, F.substring(own(page(last)), F.lit(1), last % PAGE))
+    return F.when(last <= first, "").when(page(first) == page(last), one).otherwise(many)
+
+
 def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
@@ -95,20 +128,21 @@ def near_words(text: Column, spans: Column, near: int = NEAR) -> Column:
     """Array of (kind, entity, word, start, end): the words, lower-case, wholly inside the `near` characters before or
     after a span, with their places in text; entity is a hash of the span's own text."""
 
-    def around(s: Column) -> Column:
+    def around(s: Column, of: Column) -> Column:
         first = F.greatest(s["start"] - near - 1, F.lit(0))
-        before, after = F.substring(text, first + 1, s["start"] - first), F.substring(text, s["end"] + 1, F.lit(near + 1))
+        before, after = stretch(of, first, s["start"]), stretch(of, s["end"], s["end"] + near + 1)
         whole_before = F.filter(located(before, WORD), lambda w: (w["start"] > 0) | (first == 0))
         whole_after = F.filter(located(after, WORD), lambda w: (w["end"] <= near) & (w["start"] > 0))
-        entity = F.xxhash64(F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+        entity = F.xxhash64(stretch(of, s["start"], s["end"]))
         one = lambda w, at: F.struct(s["kind"].alias("kind"), entity.alias("entity"), F.lower(w["found"]).alias("word"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end"))
         return F.concat(F.transform(whole_before, lambda w: one(w, first)), F.transform(whole_after, lambda w: one(w, s["end"])))
 
-    return F.flatten(F.transform(spans, around))
+    return let(pages(text), lambda of: F.flatten(F.transform(spans, lambda s: around(s, of))))
 
 
 def row_key() -> Column:
-    return F.xxhash64("doc_id", text_or_empty())
+    """Two hashes of a row's doc_id and text, so that no two rows meet by chance."""
+    return F.struct(F.xxhash64("doc_id", text_or_empty()).alias("a"), F.xxhash64(F.lit(1), text_or_empty(), "doc_id").alias("b"))
 
 
 def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, generalise: float = GENERALISE) -> DataFrame:
@@ -129,14 +163,23 @@ def disclosing(near: DataFrame, docs: DataFrame, smooth: float = SMOOTH, general
     return known.where(F.col("disclosure") >= generalise).groupBy("word").agg(F.max("disclosure").alias("disclosure"))
 
 
-def filter_of(words: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row with `bits`, an array of 2**bits bits as longs: those at the hashes of the words are set."""
-    slot = F.xxhash64("word").bitwiseAND(F.lit((1 << bits) - 1))
+def filter_of(hashes: DataFrame, bits: int = BITS) -> DataFrame:
+    """One row with `bits`, an array of 2**bits bits as longs: those at the hashes `h` are set."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("slot") % 64).cast("int"))
     held = [0] * (1 << bits - 6)
-    for r in words.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(one).alias("own")).toLocalIterator():  # 65,536 rows at most
+    for r in hashes.select(slot.alias("slot")).groupBy((F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(one).alias("own")).toLocalIterator():  # 65,536 rows at most
         held[r["at"]] = r["own"]
-    return words.sparkSession.createDataFrame([(held,)], "bits array<long>")
+    return hashes.sparkSession.createDataFrame([(held,)], "bits array<long>")
+
+
+def likely(rows: DataFrame, h: Column, hashes: DataFrame) -> DataFrame:
+    """The rows whose hash h is among the hashes `h`, and a few more: what a join with them needs to see. The filter has a
+    fixed size; where there are too many hashes for it, all rows stay."""
+    columns = rows.columns
+    slot = F.col("__slot")
+    some = F.call_function("bit_get", F.get(F.col("bits"), (slot / 64).cast("int")), (slot % 64).cast("int")) == 1
+    return rows.withColumn("__slot", h.bitwiseAND(F.lit((1 << BITS) - 1))).join(F.broadcast(filter_of(hashes)), F.lit(True)).where(some).select(*columns)
 
 
 def term_spans(found: DataFrame, docs: DataFrame, near: int = NEAR, smooth: float = SMOOTH, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -146,13 +189,13 @@ def term_spans(found: DataFrame, docs: DataFrame, near: int = NEAR, smooth: floa
     around = found.select("key", F.explode("near").alias("w")).select("w.*")
     told = written(disclosing(around, docs, smooth, generalise), "told")
     word = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))))
-    slot = F.xxhash64(F.lower("form")).bitwiseAND(F.lit((1 << BITS) - 1))
-    some = F.call_function("bit_get", F.get(F.col("bits"), (F.col("slot") / 64).cast("int")), (F.col("slot") % 64).cast("int")) == 1
     texts = docs.select(row_key().alias("key"), text_or_empty().alias("text"))
-    forms = texts.select("key", word.alias("form")).withColumn("slot", slot).join(F.broadcast(filter_of(told)), F.lit(True)).where(some).select("key", F.lower("form").alias("word"), "form")
+    forms = likely(texts.select("key", word.alias("form")), F.xxhash64(F.lower("form")), told.select(F.xxhash64("word").alias("h"))).select("key", F.lower("form").alias("word"), "form")
     forms = written(forms, "forms").join(told, "word").groupBy("key").agg(F.collect_set(F.struct("form", "disclosure")).alias("forms"))
     every = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(F.col("forms.form"), "|"), F.lit(r")(?!\p{L})"))
-    told_in = texts.join(written(forms, "told-in"), "key").withColumn("of", F.map_from_entries("forms")).withColumn("pattern", every)
+    known = written(forms, "told-in")
+    # Few texts have such words, so the others are kept from the join, which may move its texts.
+    told_in = likely(texts, F.col("key.a"), known.select(F.col("key.a").alias("h"))).join(known, "key").withColumn("of", F.map_from_entries("forms")).withColumn("pattern", every)
     kind = lambda x: F.when(F.col("of")[x["found"]] >= remove, "drop").otherwise("term")
     places = F.transform(located(F.col("text"), F.col("pattern")), lambda x: F.struct(F.when(F.col("of")[x["found"]] >= remove, 1).otherwise(0).alias("o"), x["start"].alias("start"), x["end"].alias("end"), kind(x).alias("kind")))
     return told_in.select("key", F.transform(F.array_sort(places), lambda x: F.struct(x["kind"].alias("kind"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))).cast(SPANS).alias("terms")).dropDuplicates(["key"])
@@ -162,7 +205,8 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
     """(doc_id, key, spans, terms) for every row of docs: the base spans, and the places of disclosing words.
 
     A null text is empty; rows that repeat have the same result each; rows with a null doc_id take part; an empty table
-    gives no rows; other columns are ignored. key is a hash of doc_id and text.
+    gives no rows; other columns are ignored, whatever their names. key is made of hashes of doc_id and text. Time grows
+    with the length of a text, and with its matches to the power of 1.5.
     """
     own = docs.select("doc_id", "text")
     spans = own.select("doc_id", row_key().alias("key"), text_or_empty().alias("text")).withColumn("spans", base_spans(F.col("text")))
@@ -185,16 +229,17 @@ def personal(docs: DataFrame) -> DataFrame:
 def replaced(text: Column, spans: Column) -> Column:
     """text with each span replaced by its kind in brackets, `drop` by nothing; of spans that overlap, the first to start
     names what is put in their place."""
+    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(acc: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "drop", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        over = s["start"] < acc["at"]
-        out = F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(over, acc["out"]).otherwise(out).alias("out"))
+    def made(own: Column) -> Column:
+        s, of, before = own["s"], own["of"], own["before"]
+        first = F.filter(F.zip_with(s, before, lambda x, at: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), at.alias("at"))), lambda x: x["start"] >= x["at"])
+        mark = lambda x: F.when(x["kind"] == "drop", "").otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")))
+        parts = F.transform(first, lambda x: F.concat(stretch(of, x["at"], x["start"]), mark(x)))
+        return F.concat(F.array_join(parts, ""), stretch(of, F.array_max(F.transform(s, lambda x: x["end"])), F.size(of) * PAGE))
 
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(order, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    reach = lambda s: running(F.transform(s, lambda x: x["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    return let(order, lambda s: let(F.struct(s.alias("s"), pages(text).alias("of"), reach(s).alias("before")), made))
 
 
 def sanitise(docs: DataFrame, **limits: float) -> DataFrame:

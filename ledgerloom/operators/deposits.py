@@ -85,3 +85,20 @@ def with_deposit(rows: DataFrame) -> DataFrame:
     valued = lambda n: yes(F.size(n["values"]) > 0) & ~yes(n["vat"])
     confirmed = F.exists("__near", lambda t: t["own"]["low"].rlike(CONFIRMS) & ~t["own"]["vat"] & ~t["own"]["line"].rlike(ONLY_TOTALS) & ((F.size(t["own"]["values"]) > 0) | valued(t["prev"]) | valued(t["next"])))
     return df.select(*own, F.when(confirmed & (F.col("__best.less") <= -LEAST), F.col("__best.v")).alias("deposit"))
+
+
+def split_found(rows: DataFrame) -> DataFrame:
+    """rows (description and amounts), each with a deposit that its page names followed by a row of its own for it
+    (row_kind: original or deposit). The original's total becomes net and VAT where that is less, a null one counting as 0."""
+    has = F.coalesce(F.col("deposit") > 0, F.lit(False))
+    zero = F.lit(0).cast(MONEY)
+    parts = (F.coalesce("net_amount", zero) + F.coalesce("vat_amount", zero)).cast(MONEY)
+    left = F.when(has & (parts >= 0) & (parts < F.coalesce("total_amount", zero)), parts).otherwise(F.col("total_amount"))
+    bare = F.trim(F.coalesce("description", F.lit("")))
+    title = F.when(bare == "", "BCRS surcharge").when(F.contains(F.lower(bare), F.lit("bcrs")), bare).otherwise(F.concat(bare, F.lit(" - BCRS")))
+    amounts = lambda net, vat, total: [net.cast(MONEY).alias("net_amount"), vat.cast(MONEY).alias("vat_amount"), total.cast(MONEY).alias("total_amount")]
+    own = F.struct(F.lit("original").alias("row_kind"), F.col("description").alias("description"), *amounts(F.col("net_amount"), F.col("vat_amount"), left))
+    new = F.struct(F.lit("deposit").alias("row_kind"), title.alias("description"), *amounts(F.col("deposit"), zero, F.col("deposit")))
+    out = with_deposit(rows).withColumn("__x", F.explode(F.when(has, F.array(own, new)).otherwise(F.array(own))))
+    names = ["description", "net_amount", "vat_amount", "total_amount"]
+    return out.select(*[F.col(f"__x.{c}") if c in names else F.col(c) for c in rows.columns if c != "deposit"], "__x.row_kind")

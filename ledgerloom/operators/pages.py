@@ -243,3 +243,25 @@ def line_rows(pages: DataFrame, tolerance: str = "0.05") -> DataFrame:
         *own, (F.col("__k") + 1).alias("line_no"), F.coalesce(text.first_words(F.col("__x.line")), F.col("description")).alias("description"), F.coalesce(v, F.col("net_amount")).alias("net_amount"),
         F.when(v.isNotNull(), F.lit(0).cast(MONEY)).otherwise(F.col("vat_amount")).alias("vat_amount"), F.coalesce(v, F.col("total_amount")).alias("total_amount"), "mismatch",
     )
+
+
+def structured_rows(pages: DataFrame, tolerance: str = "0.10") -> DataFrame:
+    """A row for each entry of a page's `structured` items (array of description, quantity, unit_price, net_amount,
+    tax_amount), line_no from 1: the item's net and tax as the row's, where it has a net. All rows of a page whose items
+    miss its total by more than the tolerance ask for review (mismatch). A page without items keeps its one row."""
+    own = [c for c in pages.columns if c not in ("structured", "description", "line_items_raw", "net_amount", "vat_amount", "total_amount")]
+    zero = F.lit(0).cast(MONEY)
+    total = F.aggregate(F.coalesce("structured", F.array()), F.lit(0).cast("decimal(18,2)"), lambda a, x: (a + F.coalesce(x["net_amount"], zero)).cast("decimal(18,2)"))
+    off = (F.size("structured") > 0) & (F.abs(total - F.col("total_amount")) > F.lit(tolerance).cast(MONEY))
+    rows = pages.withColumn("mismatch", F.coalesce(off, F.lit(False))).select("*", F.posexplode_outer("structured").alias("__k", "__x"))
+    x, some = F.col("__x"), F.col("__k").isNotNull()
+    title = F.coalesce(F.nullif(text.first_words(F.trim(F.coalesce(x["description"], F.lit("")))), F.lit("")), F.nullif("description", F.lit("")), F.lit("Invoice line"))
+    shown = lambda name, sign: F.when(x[name].isNotNull(), F.concat(F.lit(sign), x[name].cast("string")))
+    raw = F.concat_ws("  ", title, shown("quantity", "Qty: "), shown("unit_price", "@ "), shown("net_amount", "= "))
+    net, vat = x["net_amount"], F.coalesce(x["tax_amount"], zero)
+    has = some & net.isNotNull()
+    pick = lambda then, c: F.when(has, then).otherwise(F.col(c)).cast(MONEY).alias(c)
+    return rows.select(
+        *own, (F.col("__k") + 1).alias("line_no"), F.when(some, title).otherwise(F.col("description")).alias("description"), F.when(some, raw).otherwise(F.col("line_items_raw")).alias("line_items_raw"),
+        pick(net, "net_amount"), pick(vat, "vat_amount"), pick(net + vat, "total_amount"), "mismatch",
+    )

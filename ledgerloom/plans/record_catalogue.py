@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import accounts, analytics, edits, listing, merging, resolution, review, rules, state
+from ledgerloom.operators import accounts, analytics, deposits, edits, listing, merging, pages, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,6 +253,30 @@ def invoice_number_fallback(spark: SparkSession, d: str) -> DataFrame:
     return made(spark, d, _HEADS).select("page", merging.invoice_number(F.col("page_text")).alias("invoice_number"))
 
 
+_ITEMS = "SELECT o_orderkey AS page, CAST(o_totalprice AS DECIMAL(14,2)) AS total_amount, CAST(NULL AS DECIMAL(14,2)) AS net_amount, CAST(NULL AS DECIMAL(14,2)) AS vat_amount, CASE WHEN o_orderkey % 3 = 0 THEN 'page' END AS description, 'raw' AS line_items_raw FROM {orders}"
+_LINED = "SELECT l_orderkey AS page, CASE WHEN l_linenumber % 3 <> 0 THEN 'part ' || CAST(l_partkey AS STRING) ELSE ' ' END AS title, CAST(CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity END AS INT) AS quantity, CAST(CASE WHEN l_linenumber <> 5 THEN l_extendedprice END AS DECIMAL(14,2)) AS net, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_tax * 100 END AS DECIMAL(14,2)) AS tax FROM {lineitem}"
+
+
+@query(f"""WITH l AS ({_LINED}), p AS ({_ITEMS}), s AS (SELECT page, sum(coalesce(net, 0)) AS s FROM l GROUP BY 1), r AS (SELECT p.page, p.description AS d, p.total_amount, l.page AS item, l.*, CASE WHEN trim(title) <> '' THEN title WHEN p.description IS NOT NULL THEN p.description ELSE 'Invoice line' END AS name, coalesce(abs(s - p.total_amount) > 0.10, false) AS mismatch FROM p LEFT JOIN l ON l.page = p.page LEFT JOIN s ON s.page = p.page)
+SELECT page, CASE WHEN item IS NULL THEN d ELSE name END AS description, CASE WHEN item IS NULL THEN 'raw' ELSE concat_ws('  ', name, 'Qty: ' || quantity, '= ' || net) END AS line_items_raw, CAST(CASE WHEN net IS NULL THEN total_amount ELSE net + coalesce(tax, 0) END AS DOUBLE) AS total_amount, mismatch FROM r""")
+def structured_line_rows(spark: SparkSession, d: str) -> DataFrame:
+    entry = F.struct(F.col("title").alias("description"), "quantity", F.lit(None).cast("decimal(14,2)").alias("unit_price"), F.col("net").alias("net_amount"), F.col("tax").alias("tax_amount"))
+    items = made(spark, d, _LINED).groupBy("page").agg(F.collect_list(entry).alias("structured"))
+    rows = pages.structured_rows(made(spark, d, _ITEMS).join(items, "page", "left"))
+    return rows.select("page", "description", "line_items_raw", F.col("total_amount").cast("double").alias("total_amount"), "mismatch")
+
+
+_LABELS = "SELECT o_orderkey AS page, CAST(o_totalprice AS DECIMAL(14,2)) AS net_amount, CAST(18.00 AS DECIMAL(14,2)) AS vat_amount, CAST(CAST(o_totalprice AS DECIMAL(14,2)) + 18.00 + CASE WHEN o_orderkey % 3 = 0 THEN 14.40 ELSE 0 END AS DECIMAL(14,2)) AS total_amount, CASE o_orderkey % 4 WHEN 0 THEN 'Bottles' WHEN 1 THEN 'BCRS bottles' END AS description, CASE WHEN o_orderkey % 3 = 0 THEN 'BCRS 14.40' ELSE 'No more' END AS label FROM {orders}"
+
+
+@query(f"""WITH p AS ({_LABELS}) SELECT page, 'original' AS row_kind, description, CAST(net_amount + 18 AS DOUBLE) AS total_amount FROM p UNION ALL SELECT page, 'deposit', CASE WHEN description IS NULL THEN 'BCRS surcharge' WHEN page % 4 = 1 THEN description ELSE description || ' - BCRS' END, 14.4 FROM p WHERE page % 3 = 0""")
+def deposit_auto_split(spark: SparkSession, d: str) -> DataFrame:
+    line = lambda name, c: F.concat(F.lit(name), F.col(c).cast("string"))
+    totals = F.concat_ws("\n", line("Net ", "net_amount"), line("VAT ", "vat_amount"), "label", line("Total ", "total_amount"))
+    rows = made(spark, d, _LABELS).withColumns({"totals_raw": totals, "page_text_raw": F.lit(None).cast("string")})
+    return deposits.split_found(rows).select("page", "row_kind", "description", F.col("total_amount").cast("double").alias("total_amount"))
+
+
 _TAXED = "SELECT o_orderkey AS page, CAST(o_totalprice AS DECIMAL(14,2)) AS net, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 3.21 END AS DECIMAL(14,2)) AS vat, CAST(CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DECIMAL(14,2)) + o_orderkey % 97 * 100 END AS DECIMAL(14,2)) AS total, CAST(CASE WHEN o_orderkey % 5 = 0 THEN 1.25 WHEN o_orderkey % 5 = 1 THEN -2 END AS DECIMAL(14,2)) AS tax, CAST(o_custkey % 10 AS DOUBLE) / 10 AS sure FROM {orders}"
 
 

@@ -100,10 +100,11 @@ def decide(rows: DataFrame) -> DataFrame:
     some = F.size("__k") > 0
     status = F.when(in_band("high"), F.when(has("no_supplier") & has("no_amount"), "review_incomplete").when(has("no_supplier"), "review_no_supplier").when(has("no_amount"), "review_no_amount").otherwise("review_validation_failed")).when(in_band("medium"), "ok_warned").otherwise("ok")
     ordered = placed.select(
-        *rows.columns, F.concat(*parts, unknown).alias("__o"), F.when(in_band("high"), "high").when(in_band("medium"), "medium").when(some, "low").alias("review_priority"), in_band("high").alias("review_required"),
+        *rows.columns, F.when(some, F.concat(*parts, unknown)).alias("__o"), F.when(in_band("high"), "high").when(in_band("medium"), "medium").when(some, "low").alias("review_priority"), in_band("high").alias("review_required"),
         (some & ~unfit & (F.size(other) == 0)).alias("auto_approved"), status.alias("validation_status"),
     )
-    return ordered.select(*rows.columns, F.col("__o.reason").alias("review_reasons"), F.array_distinct(F.flatten("__o.fields")).alias("review_fields"), "review_priority", "review_required", "auto_approved", "validation_status")
+    none = F.array().cast(strings)
+    return ordered.select(*rows.columns, F.coalesce("__o.reason", none).alias("review_reasons"), F.coalesce(F.array_distinct(F.flatten("__o.fields")), none).alias("review_fields"), "review_priority", "review_required", "auto_approved", "validation_status")
 
 
 def action(status: Column) -> Column:

@@ -1,12 +1,14 @@
 """Repeated passages by sparse suffix arrays.
 
 Of every document only the suffixes at content-selected positions are kept: a word position is kept where the hash of
-the `GRAM` words from it is the least among `SPARSE` positions in a row. A suffix is known by the hash of its first
-`KEY` words. Suffixes whose key stands in more than one place are sorted by what follows (and again by what precedes)
-and compared with their neighbours, which extends each match to the right (and left) word by word. A passage of at least
-KEY + SPARSE - 1 words that stands in two places has a kept suffix within its first `SPARSE` words in both, so none of
-them is missed, and a passage is reported if its extended length reaches `PASSAGE`. The first place of each key, by row
-and position, holds it; every other place is a later copy.
+the `GRAM` words from it is the least among `SPARSE` positions in a row. Suffixes are sorted by the hash of their first
+`KEY` words and each is compared with its neighbours; one that equals neither goes. A passage of `PASSAGE` words that
+stands in two places has a kept suffix within its first `SPARSE` words in both, and these two share its key. So every
+match is extended to the left, by up to `SPARSE` - 1 words, and to the right until `PASSAGE` words are full: all the
+stretches of that length around a shared suffix are sorted again, by their hash and place, and compared with their
+neighbours. One that equals a neighbour is repeated; the first place of each holds it, every other one is a later copy.
+What overlaps in a document is then made one span. So a word is reported if and only if it lies in `PASSAGE` words that
+stand elsewhere too.
 """
 
 from __future__ import annotations
@@ -112,208 +114,213 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets[1:] - offsets[0]
 
 
+def identity() -> dict[str, Column]:
+    """What names a row: its doc_id (null ones last) and a hash of its text. Few rows share a doc_id, so that half of the
+    hash does but where it is null."""
+    text = F.xxhash64(text_or_empty())
+    return {"name": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "doc": F.when(F.col("doc_id").isNull(), text).otherwise(text.bitwiseAND(F.lit(2**32 - 1)))}
+
+
 def suffixes(docs: DataFrame, key: int, sparse: int) -> DataFrame:
-    """(doc, doc_id, n_words, positions, keys) for every row of docs (doc, text, doc_id)."""
+    """(name, doc, doc_id, n_words, positions, keys) for every row of docs (text, name, doc, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches, "text"):
-            words, counts = word_hashes(*_bytes(batch.column(1)))
+            words, counts = word_hashes(*_bytes(batch.column(0)))
             at, keys = kept(words, counts, key, sparse)
             ends = np.cumsum(counts)
             cuts = pa.array(np.concatenate([[0], np.searchsorted(at, ends)]), pa.int32())
             places = (at - (ends - counts)[np.searchsorted(ends, at, side="right")]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(places)), pa.ListArray.from_arrays(cuts, pa.array(keys.view(np.int64)))], names=["doc", "doc_id", "n_words", "positions", "keys"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (1, 2, 3)), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(cuts, pa.array(places)), pa.ListArray.from_arrays(cuts, pa.array(keys.view(np.int64)))], names=["name", "doc", "doc_id", "n_words", "positions", "keys"])
+
+    return docs.mapInArrow(run, "name long, doc long, doc_id long, n_words long, positions array<int>, keys array<long>")
+
 
-    return docs.mapInArrow(run, "doc long, doc_id long, n_words long, positions array<int>, keys array<long>")
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def runs(hits: DataFrame, key: int) -> DataFrame:
-    """(doc, first_at, first_key, last_at, last_key, own, floor) for each run of overlapping matches of hits (doc, hits:
-    sorted array of (at, key, own, floor)) that are all first holdings (own) or all later ones; floor: of the first match."""
+def shared(rows: DataFrame) -> DataFrame:
+    """(who, at) of the rows (key, who, at) whose key another row has: sorted over all partitions, each compared with its
+    neighbours. The first and the last of a partition stay, too: their neighbours are elsewhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ("doc", "first_at", "first_key", "last_at", "last_key", "own", "floor"), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int32())
+        held: list[np.ndarray] | None = None
+        like = True  # whether the row held back is like the one before
         for batch in batches:
-            out = []
-            for doc, found in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = found.as_py()
-                first = 0
-                for k, x in enumerate(found):
-                    if k + 1 == len(found) or found[k + 1]["at"] > x["at"] + key or found[k + 1]["own"] != x["own"]:
-                        out.append((doc, found[first]["at"], found[first]["key"], x["at"], x["key"], x["own"], found[first]["floor"]))
-                        first = k + 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=names)
+            if not batch.num_rows:
+                continue
+            key, who, at = _columns(batch) if held is None else map(np.concatenate, zip(held, _columns(batch)))
+            same = key[1:] == key[:-1]
+            stay = np.concatenate([[like], same[:-1]]) | same if len(same) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(who[:-1][stay]), pa.array(at[:-1][stay])], names=["who", "at"])
+            held, like = [x[-1:] for x in (key, who, at)], bool(same[-1]) if len(same) else like
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], names=["who", "at"])
 
-    return hits.mapInArrow(run, "doc long, first_at int, first_key long, last_at int, last_key long, own boolean, floor int")
+    order = ("key", "who", "at")
+    return rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "who long, at int")
 
 
-def contexts(sites: DataFrame, key: int, sparse: int) -> DataFrame:
-    """(key, name, doc, at, right, left) for sites (text, doc, sites: array of (at, key), name): the four-byte hashes of the `sparse`
-    words after the key's words, and of those before them, nearest first."""
+def stretches(sites: DataFrame, passage: int, sparse: int) -> DataFrame:
+    """(hash, name, doc, at): every run of `passage` words that begins at one of the sites (text, name, doc, sites: array
+    of places), or less than `sparse` words before it, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches, "text"):
             words, counts = word_hashes(*_bytes(batch.column(0)))
-            short = (words >> np.uint64(32)).astype(">u4")
             begin = np.cumsum(counts) - counts
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for k, (doc, places, name) in enumerate(zip(*(batch.column(x).to_pylist() for x in (1, 2, 3)))):
-                own = short[begin[k] : begin[k] + counts[k]]
-                for x in places:
-                    at = x["at"]
-                    row = (x["key"], name, doc, at, own[at + key : at + key + sparse].tobytes(), own[max(0, at - sparse) : at][::-1].tobytes())
-                    for column, value in zip(out, row):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=["key", "name", "doc", "at", "right", "left"])
-
-    return sites.mapInArrow(run, "key long, name long, doc long, at int, right binary, left binary")
-
-
-def held(rows: DataFrame, side: str) -> DataFrame:
-    """(doc, at, copied): by how many words on `side` each site's match with an earlier place goes on, at
-    most. For every number of words beyond that, the site is the first to hold key and words."""
-    lengths = F.expr(f"sequence(1, length({side}) div 4)")
-    longer = rows.where(F.length(side) > 0).select("key", "name", "doc", "at", side, F.explode(lengths).alias("n"))
-    same = F.xxhash64("key", "n", F.substring(F.col(side), F.lit(1), F.col("n") * 4)).alias("same")
-    first = longer.select(same, "name", "doc", "at").groupBy("same").agg(F.min(F.struct("name", "doc", "at")).alias("o"))
-    owned = first.groupBy(F.col("o.doc").alias("doc"), F.col("o.at").alias("at")).agg(F.count("*").cast("int").alias("owned"))
-    sites = rows.select("doc", "at", F.expr(f"int(length({side}) div 4)").alias("room")).distinct()
-    return sites.join(owned, ["doc", "at"], "left").select("doc", "at", (F.col("room") - F.coalesce("owned", F.lit(0))).alias("copied"))
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Equal words at the beginning of two runs of four-byte hashes."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    return next(k for k in range(0, n, 4) if a[k : k + 4] != b[k : k + 4]) // 4
-
-
-def extended(rows: DataFrame, side: str) -> DataFrame:
-    """(doc, at, more): by how many words each site's match goes on to `side`, at most: rows sorted by key and context
-    over all partitions, each compared with its neighbours. Neighbours on either side of a partition's edge are compared
-    by the edges, of which each partition has two."""
-    sorted_rows = rows.select("key", "doc", "at", F.col(side).alias("context")).repartitionByRange("key", "context", "doc", "at").sortWithinPartitions("key", "context", "doc", "at")
+            places = batch.column(3)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            at = places.flatten().to_numpy().astype(np.int64)
+            first, last = begin[of] + np.maximum(at - sparse + 1, 0), begin[of] + np.minimum(at, counts[of] - passage)
+            fits = last >= first
+            depth = np.zeros(len(words) + 1, np.int64)
+            np.add.at(depth, first[fits], 1)
+            np.add.at(depth, last[fits] + 1, -1)
+            found = np.nonzero(np.cumsum(depth) > 0)[0]
+            row = np.searchsorted(begin + counts, found, side="right")
+            hashes = rolling(words, _WORD, _WORD_INVERSE, found, found + passage) if len(found) else np.zeros(0, np.uint64)
+            for a in range(0, len(found), 1 << 16):
+                own = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[own].view(np.int64)), batch.column(1).take(pa.array(row[own])), batch.column(2).take(pa.array(row[own])), pa.array((found - begin[row])[own].astype(np.int32))], names=["hash", "name", "doc", "at"])
+
+    return sites.mapInArrow(run, "hash long, name long, doc long, at int")
+
+
+def holdings(rows: DataFrame, passage: int) -> tuple[DataFrame, dict[int, tuple[int, int, int]]]:
+    """(name, doc, at, floor, hash) of the rows (hash, name, doc, at) whose hash another row has. floor is -1 where the row is
+    the first with its hash; else the least word of a copy: 0, or where the first ends if that is in the same document.
+
+    Rows are sorted by hash and place over all partitions and compared with their neighbours. Where equal rows may lie on
+    both sides of a partition's edge they are left open, with their hash, which is null for others. The second result has
+    the first place (name, doc, at) of the open hashes that are repeated, from what all partitions have at their edges:
+    the open rows, and the first of the rows that are last in each.
+    """
+    names = ["name", "doc", "at", "floor", "hash", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        held: list[tuple] = []
-        names, types = ("doc", "at", "more", "edge", "key", "context"), (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+        held: list[np.ndarray] | None = None
+        group, owner, size, opening = None, (0, 0, 0), 0, True  # of the row last seen, in a partition's first group or not
 
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=names)
+        def made(name: np.ndarray, doc: np.ndarray, at: np.ndarray, floor: np.ndarray, key: np.ndarray, is_open: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(name), pa.array(doc), pa.array(at), pa.array(floor, pa.int32()), pa.array(key, mask=~is_open), pa.array(n, pa.int32())], names=names)
 
-        more, first = 0, True
         for batch in batches:
-            for key, doc, at, context in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                now = common(before[3], context) if before and before[0] == key else 0
-                if before:
-                    held.append((before[1], before[2], max(more, now), first, before[0], before[3] if first else None))
-                    first = False
-                before, more = (key, doc, at, context), now
-            if held:
-                yield made(held)
-                held = []
-        if before:
-            yield made([(before[1], before[2], more, True, before[0], before[3])])
-
-    found = written(sorted_rows.mapInArrow(run, "doc long, at int, more int, edge boolean, key long, context binary"), f"extended-{side}")
-    edges = found.where("edge").orderBy("key", "context", "doc", "at").collect()  # at most two rows for each partition
-    over: list[tuple[int, int, int]] = []
-    for a, b in zip(edges, edges[1:]):
-        if a["key"] == b["key"] and (n := common(bytes(a["context"]), bytes(b["context"]))):
-            over += [(a["doc"], a["at"], n), (b["doc"], b["at"], n)]
-    schema = "doc long, at int, more int"
-    return found.select("doc", "at", "more").unionByName(rows.sparkSession.createDataFrame(over, schema)).groupBy("doc", "at").agg(F.max("more").alias("more"))
-
-
-def passages(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> DataFrame:
-    """(doc, doc_id, n_words, spans) for every row of docs, doc being the hash of doc_id and text.
-
-    spans: array of (start, end, later), in words and by start, of the passages of at least `passage` words that stand
-    in another place too, of this row or another; they don't overlap. later: whether an earlier place holds it, so that
-    it can be cut here; places are ordered by doc_id, then doc, then position. Where a copy and a first holding overlap,
-    the words are the copy's, and what is left of the holding may be shorter than a passage; a copy that overlaps its
-    own source begins `passage` words after the source does. A row that is repeated as a whole counts as another one,
-    but as no earlier one. Words are runs of letters and digits, A-Z in
-    lower case; a null text has none; shorter texts have no passage; an empty table gives no rows.
-    """
-    key = passage - sparse + 1
-    own = docs.select(F.xxhash64("doc_id", text_or_empty()).alias("doc"), text_or_empty().cast("binary").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = written(suffixes(own, key, sparse), "suffixes")
-    name = F.coalesce("doc_id", F.lit(2**63 - 1))
-    often = written(found.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
-    places = found.select("doc", name.alias("name"), F.explode(F.arrays_zip("keys", "positions")).alias("x")).select("doc", "name", F.col("x.keys").alias("key"), F.col("x.positions").alias("at"))
-    places = written(places.join(often, "key"), "places")
-    owners = written(places.groupBy("key").agg(F.min(F.struct("name", "doc", "at")).alias("o")).select("key", F.col("o.doc").alias("of"), F.col("o.at").alias("of_at")), "owners")
-    here = F.col("of") == F.col("doc")
-    hit = F.struct("at", "key", (here & (F.col("of_at") == F.col("at"))).alias("own"), F.when(here, F.col("of_at") + passage).otherwise(0).alias("floor"))
-    hits = written(places.join(owners, "key").select("doc", hit.alias("h")).groupBy("doc").agg(F.array_sort(F.collect_set("h")).alias("hits")), "hits")
-    stretches = written(runs(hits, key), "runs")
-    # Suffixes that share a key with the first or the last one of any run: how far those matches go on, they tell.
-    at_ends = written(stretches.select(F.explode(F.array("first_key", "last_key")).alias("key")).distinct(), "ends")  # so that the join's sides are plain exchanges, which Spark splits where a key is hot
-    near = hits.select("doc", F.explode("hits").alias("h")).select("doc", F.col("h.key").alias("key"), F.col("h.at").alias("at")).join(at_ends, "key", "left_semi")
-    sites = near.groupBy("doc").agg(F.collect_list(F.struct("at", "key")).alias("sites"))
-    rows = written(contexts(own.select("doc", "text", name.alias("name")).join(sites, "doc").select("text", "doc", "sites", "name"), key, sparse), "contexts")
-    left = extended(rows, "left").join(held(rows, "left"), ["doc", "at"]).select("doc", F.col("at").alias("first_at"), F.col("more").alias("before"), F.col("copied").alias("copied_before"))
-    right = extended(rows, "right").join(held(rows, "right"), ["doc", "at"]).select("doc", F.col("at").alias("last_at"), F.col("more").alias("after"), F.col("copied").alias("copied_after"))
-    # What a run shares with any place is repeated; of a later run, what it shares with earlier places is a copy.
-    span = lambda start, end, later: F.struct(start.alias("start"), end.alias("end"), F.lit(later).alias("later"))
-    last = F.col("last_at") + key
-    every = span(F.col("first_at") - F.col("before"), last + F.col("after"), False)
-    copy = span(F.greatest(F.col("first_at") - F.col("copied_before"), "floor"), last + F.col("copied_after"), True)
-    spans = stretches.join(left, ["doc", "first_at"]).join(right, ["doc", "last_at"]).select("doc", F.explode(F.when(F.col("own"), F.array(every)).otherwise(F.array(every, copy))).alias("s")).where(F.col("s.end") - F.col("s.start") >= passage)
-    spans = spans.groupBy("doc").agg(F.array_sort(F.collect_set("s")).alias("s")).select("doc", _parted(F.array_sort(F.concat(_merged(F.filter("s", lambda x: x["later"])), _merged(F.filter("s", lambda x: ~x["later"]))))).alias("spans"))
-    return found.select("doc", "doc_id", "n_words").join(spans, "doc", "left").withColumn("spans", F.coalesce("spans", F.array().cast(_SPANS)))
+            if not batch.num_rows:
+                continue
+            key, name, doc, at = _columns(batch) if held is None else map(np.concatenate, zip(held, _columns(batch)))
+            fresh = np.concatenate([[group is None or held is None], key[1:] != key[:-1]])
+            if held is not None:
+                fresh[0] = size == 1
+            last = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))  # the first of each row's group here, or -1
+            o_name, o_doc, o_at = (np.where(last >= 0, x[np.maximum(last, 0)], y) for x, y in zip((name, doc, at), owner))
+            is_first = opening & (np.cumsum(fresh[1:]) == 0) if len(key) > 1 else np.zeros(0, bool)
+            is_open = np.concatenate([[opening], is_first]).astype(bool)
+            alone = np.concatenate([fresh[:-1] & fresh[1:], [False]])
+            own = fresh | ((name == o_name) & (doc == o_doc) & (at == o_at))
+            floor = np.where(own, -1, np.where((name == o_name) & (doc == o_doc), o_at + passage, 0))
+            out = (is_open | ~alone)[:-1]
+            yield made(*(x[:-1][out] for x in (name, doc, at, floor, key, is_open, np.ones(len(key), np.int32))))
+            n = len(key) - 1 - int(last[-1]) + 1 if last[-1] >= 0 else size + len(key) - 1
+            held, group, owner, size, opening = [x[-1:] for x in (key, name, doc, at)], key[-1], (o_name[-1], o_doc[-1], o_at[-1]), n, bool(is_open[-1])
+            final = floor[-1:], own[-1:]
+        if held is not None:
+            key, name, doc, at = held
+            lone = opening or size == 1
+            yield made(name, doc, at, final[0], key, np.array([lone]), np.array([1], np.int32))
+            if not lone:  # the first of the last group, as a note
+                yield made(*(np.array([x], t) for x, t in zip(owner, (np.int64, np.int64, np.int32))), np.array([-2]), key, np.array([True]), np.array([size], np.int32))
+
+    order = ("hash", "name", "doc", "at")
+    found = written(rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "name long, doc long, at int, floor int, hash long, n int"), "holdings", True)
+    edges = found.where("hash is not null")
+    # At most two hashes of each partition, so few that they go to every task as one table.
+    firsts = edges.groupBy("hash").agg(F.sum("n").alias("all"), F.min(F.struct("name", "doc", "at")).alias("o")).where("all > 1")
+    return found.where("floor > -2").select("name", "doc", "at", "floor", "hash"), {r["hash"]: tuple(r["o"]) for r in firsts.collect()}
 
 
 _SPANS = "array<struct<start:int,end:int,later:boolean>>"
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted spans of equal `later`, those that meet made one."""
+def spans_of(at: np.ndarray, floor: np.ndarray, passage: int) -> list[tuple[int, int, bool]]:
+    """(start, end, later) of the words that repeated stretches cover, by start; copies take words from first holdings."""
+    if not len(at):
+        return []
+    depth = np.zeros((2, int(at.max()) + passage + 1), np.int32)
+    later = floor >= 0
+    for row, first, last in ((0, at, at + passage), (1, np.maximum(at, floor)[later], at[later] + passage)):
+        np.add.at(depth[row], first, 1)
+        np.add.at(depth[row], last, -1)
+    kind = (np.cumsum(depth, axis=1) > 0).sum(axis=0)
+    edges = np.concatenate([[0], np.nonzero(np.diff(kind))[0] + 1, [len(kind)]])
+    return [(int(a), int(b), bool(kind[a] == 2)) for a, b in zip(edges, edges[1:]) if kind[a]]
 
-    def add(out: Column, s: Column) -> Column:
-        last = F.element_at(out, -1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), s["later"].alias("later"))
-        meets = (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"])
-        return F.when(meets, F.array_append(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), both)).otherwise(F.array_append(out, s))
 
-    return F.aggregate(spans, F.array().cast(_SPANS), add)
+def spans(held: DataFrame, firsts: dict[int, tuple[int, int, int]], passage: int) -> DataFrame:
+    """(name, doc, spans) of the rows and firsts that `holdings` gives."""
+    known = held.sparkSession.sparkContext.broadcast(firsts)  # two for each partition at most
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("later", pa.bool_())]))
+        for batch in batches:
+            cuts = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            flat = batch.column(2).flatten()
+            at, floor, key = flat.field(0).to_numpy(), flat.field(1).to_numpy().copy(), flat.field(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(cuts))
+            repeated = np.ones(len(at), bool)
+            for k in np.nonzero(key.is_valid().to_numpy(zero_copy_only=False))[0].tolist():
+                first = known.value.get(key[k].as_py())
+                repeated[k] = first is not None
+                if first:
+                    here = first[:2] == (batch.column(0)[row[k]].as_py(), batch.column(1)[row[k]].as_py())
+                    floor[k] = -1 if here and first[2] == at[k] else first[2] + passage if here else 0
+            out = [[dict(zip(("start", "end", "later"), s)) for s in spans_of(at[a:b][repeated[a:b]], floor[a:b][repeated[a:b]], passage)] for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], names=["name", "doc", "spans"])
+
+    return held.groupBy("name", "doc").agg(F.collect_list(F.struct("at", "floor", "hash")).alias("of")).mapInArrow(run, f"name long, doc long, spans {_SPANS}")
 
-def _parted(spans: Column) -> Column:
-    """Sorted spans, those of equal `later` apart from each other, without what later ones take from the others."""
 
-    def add(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        span = lambda start, end, later: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), later.alias("later"))
-        before = F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))
-        split = F.filter(F.array(span(last["start"], s["start"], F.lit(False)), s, span(s["end"], last["end"], F.lit(False))), lambda x: x["start"] < x["end"])
-        rest = F.filter(F.array(span(last["end"], s["end"], F.lit(False))), lambda x: x["start"] < x["end"])
-        apart = (F.size(out) == 0) | (last["end"] <= s["start"])
-        return F.when(apart, F.array_append(out, s)).when(s["later"], F.concat(before, split)).otherwise(F.concat(out, rest)).cast(_SPANS)
+def passages(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> DataFrame:
+    """(doc_id, n_words, name, doc, spans) for every row of docs; name and doc are its `identity`.
 
-    return F.aggregate(spans, F.array().cast(_SPANS), add)
+    spans: array of (start, end, later), in words and by start, of the passages of at least `passage` words that stand
+    in another place too, of this row or another; they don't overlap. later: whether an earlier place holds it, so that
+    it can be cut here; places are ordered by doc_id, nulls last, then position. Where a copy and a first holding
+    overlap, the words are the copy's, and what is left of the holding may be shorter than a passage; a copy that
+    overlaps its own source begins `passage` words after the source does. A row that is repeated as a whole counts as
+    another one, but as no earlier one. Words are runs of letters and digits, A-Z in lower case; a null text has none;
+    shorter texts have no passage; an empty table gives no rows; other columns are ignored.
+    """
+    names = identity()
+    own = docs.select(text_or_empty().cast("binary").alias("text"), *(x.alias(n) for n, x in names.items()), F.col("doc_id").cast("long").alias("doc_id"))
+    found = written(suffixes(own, passage - sparse + 1, sparse), "suffixes", True)
+    # Rows that share a doc_id share their sites: too many are no harm, as stretches are compared again.
+    who = F.coalesce("doc_id", "doc").alias("who")
+    rows = found.select(who, F.explode(F.arrays_zip("keys", "positions")).alias("x")).select(F.col("x.keys").alias("key"), "who", F.col("x.positions").alias("at"))
+    sites = shared(rows).groupBy("who").agg(F.collect_set("at").alias("sites"))
+    near = own.withColumn("who", who).join(sites, "who").select("text", "name", "doc", "sites")
+    repeated = spans(*holdings(stretches(near, passage, sparse), passage), passage)
+    return found.select("doc_id", "n_words", "name", "doc").join(repeated, ["name", "doc"], "left").select("doc_id", "n_words", "name", "doc", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
 
 
 def repeated(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> DataFrame:
-    """A row for every row of docs: doc_id, n_words, n_repeated (words in repeated passages), n_passages, and passages,
-    start:end:later comma-joined."""
+    """A row for every row of docs, as `passages` finds them: doc_id, n_words, n_repeated (words in repeated passages),
+    n_passages, and passages, start:end:later comma-joined."""
     count = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     one = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"), F.when(s["later"], "1").otherwise("0")))
     return passages(docs, passage, sparse).select("doc_id", "n_words", count.alias("n_repeated"), F.size("spans").cast("long").alias("n_passages"), F.array_join(one, ",").alias("passages"))
 
 
 def remove(docs: DataFrame, passage: int = PASSAGE, sparse: int = SPARSE) -> DataFrame:
-    """docs without the later copies of repeated passages: all rows stay, columns as they were, null texts null."""
-    found = passages(docs, passage, sparse).select("doc", F.filter("spans", lambda s: s["later"]).alias("spans")).where("size(spans) > 0").dropDuplicates(["doc"])
+    """docs without the later copies of repeated passages, as `passages` finds them: all rows stay, repeated ones and those
+    without a doc_id too, columns as they were whatever their names, null texts null; an empty table stays empty."""
+    found = passages(docs, passage, sparse).select(F.col("name").alias("__of"), F.col("doc").alias("__of_doc"), F.filter("spans", lambda s: s["later"]).alias("__spans")).where("size(__spans) > 0").dropDuplicates(["__of", "__of_doc"])
 
     @F.pandas_udf("string")
     def without(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else cut(t, list(zip(a, b))) for t, a, b in zip(text, starts, ends)], dtype=object)
 
-    joined = docs.withColumn("__doc", F.xxhash64("doc_id", text_or_empty())).join(found.withColumnRenamed("doc", "__found").withColumnRenamed("spans", "__spans"), F.col("__doc") == F.col("__found"), "left")
+    names = identity()
+    joined = docs.withColumn("__name", names["name"]).withColumn("__doc", names["doc"]).join(found, (F.col("__name") == F.col("__of")) & (F.col("__doc") == F.col("__of_doc")), "left")
     return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(without("text", F.col("__spans.start"), F.col("__spans.end")))).select(*docs.columns)

@@ -33,10 +33,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so that it is computed once and survives a lost executor."""
+def written(df: DataFrame, label: str, large: bool = False) -> DataFrame:
+    """Write `df` to the shared folder and read it back, so that it is computed once and survives a lost executor. Large
+    tables are compressed harder."""
     path = new_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd" if large else "snappy").parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import components, text_or_empty, written
+from ledgerloom.llm.common import components, in_blocks, text_or_empty, written
 
 WORDS = 4
 RADIUS = 4
@@ -26,9 +26,9 @@ RADIUS = 4
 TILE = 32_768
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
+def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The 64-bit SimHash of a text; 0 where it has no words."""
-    tokens = text.encode("utf-8", "replace").lower().split()
+    tokens = text.lower().split()
     if not tokens:
         return 0
     if len(tokens) <= words:
@@ -49,11 +49,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, fp) for every row of docs; a null text counts as empty. fp is the signed 64-bit value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        for batch in in_blocks(batches, "text"):
+            made = np.array([fingerprint(t.as_py()) for t in batch.column(2)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made)], names=["doc_id", "text_hash", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
@@ -159,7 +159,7 @@ def first_of(names: list[tuple[int, int]], pop: int) -> int:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) for every row of docs.
+    """(doc_id, text_hash, fp, component_id, group) for every row of docs; group names the component itself.
 
     component_id is the smallest doc_id that can be reached over links, the row's own included; rows with a null
     doc_id take part but name no component. Null and empty texts have fingerprint zero and link like any other;
@@ -169,20 +169,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) ->
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     linked = written(components(links(nodes, radius, tile)).join(nodes.withColumnRenamed("fp", "node"), "node"), "linked")
     least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return prints.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = linked.join(least, "root").select(F.col("node").alias("fp"), "component_id", "root")
+    # A root is the hash of one of its fingerprints, so that of a fingerprint by itself is no other group's.
+    ids = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("root", F.xxhash64("fp")).alias("group"))
+    return prints.join(ids, "fp").select("doc_id", "text_hash", "fp", "component_id", "group")
 
 
 def deduplicate(docs: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """docs with one row of each group of near copies: the one with the group's smallest doc_id.
-
-    Rows that repeat a kept row's doc_id are copies of it or fall to the smallest text hash. Rows with a null doc_id
-    can't be named by a group and stay. All columns of docs are returned.
+    """docs with one row of each group of near copies: the one with the smallest doc_id, of several the one whose text has
+    the smallest hash. Unlike texts under one doc_id are in groups of their own and stay. Rows with a null doc_id can't be
+    named by a group and stay; null and empty texts are copies of each other; an empty table stays empty. All columns of
+    docs are returned, whatever their names.
     """
     found = near_duplicates(docs.where("doc_id is not null"), radius, tile)
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    keyed = docs.where("doc_id is not null").withColumn("__hash", F.xxhash64(text_or_empty()))
-    stay = stay.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__kept"))
-    kept = keyed.join(stay, (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = found.groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = found.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    # Only what goes, and what repeats as a whole, is matched with the texts; most rows are neither.
+    going = written(rows.join(first, "group").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"), stays.alias("__stays"), "n").where("not __stays or n > 1"), "going")
+    keyed = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
+    same = (F.col("doc_id") == F.col("__id")) & (F.col("__hash") == F.col("__text"))
+    kept = keyed.join(going, same, "left_anti").select(*docs.columns)
+    repeated = going.where("__stays")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(keyed.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__hash"]).select(*docs.columns))

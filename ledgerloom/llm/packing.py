@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ from ledgerloom.llm.common import in_blocks, text_or_empty, written
 WINDOW = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: The units whose ids a worker remembers at most.
-REMEMBERED = 500_000
+#: The characters of units whose ids a worker remembers at most, and those of a unit that is worth it.
+REMEMBERED, SHORT = 4_000_000, 64
 #: The pattern by which byte-level BPE splits text before it merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that is neither a space nor a line end.
@@ -70,6 +70,7 @@ class Encoder:
         for token, k in ranks.items():
             self.begins[k] = token[0] in b" \n"
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def units(self, text: str) -> list[str] | None:
         """text cut at its single spaces and before its line ends, where the pattern always splits; a unit that doesn't
@@ -95,17 +96,24 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         cut = [self.units(t) for t in texts]
-        if len(self.known) >= REMEMBERED:
+        if self.size >= REMEMBERED:
             self.known.clear()
+            self.size = 0
         new: set[str] = set()
         for units in cut:
             new.update(units or ())
-        self.learn([x for x in new if x not in self.known])
+        fresh = [x for x in new if x not in self.known]
+        self.learn(fresh)
         for text, units in zip(texts, cut):
             if units is None:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
                 yield b"".join(map(self.known.__getitem__, units))[4:]  # without the line end put before the text
+        for x in fresh:  # a long unit, such as a text without blanks, is not met again
+            if len(x) > SHORT:
+                del self.known[x]
+            else:
+                self.size += len(x)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,16 +142,18 @@ def crcs(ids: bytes) -> list[int]:
 def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, doc_tokens, crc, crcs, ids, chunk, rank): every document's full windows and its rest.
 
-    chunk names a block of rows, rank counts the pieces of one length in it from 0; ids is null unless asked for.
+    chunk names a block of rows by its place in the table, so that equal tables in equal files are packed alike; rank counts
+    the pieces of one length in it from 0; ids is null unless asked for.
     """
     path = vocabulary or default_vocabulary()
     names = ("doc_id", "start", "length", "doc_tokens", "crc", "crcs", "ids", "rank", "chunk")
-    types = (*(pa.int64(),) * 5, pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.string())
+    types = (*(pa.int64(),) * 5, pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([END], dtype="<u4").tobytes()
-        for batch in in_blocks(batches, "text"):
-            chunk, rank = uuid.uuid4().hex, [0] * (window + 1)
+        task = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(in_blocks(batches, "text")):
+            chunk, rank = task + number, [0] * (window + 1)
             out: list[list] = [[] for _ in names]
             texts = batch.column(1).cast(pa.string()).to_pylist()
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
@@ -158,7 +168,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, crc long, crcs array<long>, ids binary, rank long, chunk string")
+    return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, crc long, crcs array<long>, ids binary, rank long, chunk long")
 
 
 def combinations(window: int, present: np.ndarray) -> list[tuple[int, ...]]:
@@ -285,5 +295,6 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, w
 
 
 def packed(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
-    """pack() without the ids themselves."""
+    """pack() without the ids themselves: a null text is empty, rows that repeat or share a doc_id are packed one by one, a
+    text of any length is cut into windows, an empty table gives no rows, other columns are ignored."""
     return pack(docs, window, vocabulary).drop("ids")

@@ -57,6 +57,16 @@ def test_decontamination(spark):
     assert decontaminate.contamination(make(spark, texts), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").isEmpty()
 
 
+def test_decontamination_with_repeats(spark):
+    passage = " ".join(f"word{k}" for k in range(20))
+    rows = [(1, passage), (1, passage), (2, f"clean {passage} " + "x " * 900), (None, passage), (4, None), (5, "")]
+    docs = make(spark, rows).withColumn("n_hit", F.lit(7))  # a clashing name
+    items = spark.createDataFrame([(9, passage), (9, passage), (8, passage), (7, "")], "item_id long, text string")
+    found = Counter((r["doc_id"], r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.contamination(docs, items).collect())
+    assert found == {(1, 20, 2, True): 2, (2, 20, 2, False): 1, (None, 20, 2, True): 1, (4, 0, 0, False): 1, (5, 0, 0, False): 1}
+    assert sorted(str(r["doc_id"]) for r in decontaminate.decontaminate(docs, items).collect()) == ["2", "4", "5"]
+
+
 def test_items_in_several_blocks_give_the_same(spark):
     docs, items = make(spark, corpus()), spark.createDataFrame([(k, t) for k, t in enumerate(corpus()[:30]) if t], "item_id long, text string")
     columns = ["doc_id", "__n_words", "__spans", "__items"]
@@ -87,6 +97,14 @@ def test_simhash(spark):
     assert simhash.near_duplicates(make(spark, corpus()).limit(0)).isEmpty()
 
 
+def test_near_copies_under_one_id(spark):
+    a, b = ("alpha beta gamma delta epsilon " * 9, "one two three four five six seven " * 9)
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, a), (None, a), (None, None), (4, None), (5, "")]
+    kept = simhash.deduplicate(make(spark, rows).withColumn("group", F.lit("clash")))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == {(1, a): 1, (1, b): 1, (None, a): 1, (None, None): 1, (4, None): 1}
+    assert simhash.deduplicate(make(spark, rows).limit(0)).isEmpty()
+
+
 def test_pii(spark):
     r = random.Random(3)
     bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "1.2.3.4.5.6.7.8", "999.1.1.1", "0001.2.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "12", "+1 (743) 555-3824", "+12", "+44 20 7946 0958.", " ", "é", "..", "-", "a@b.c..d@e.f.g", "%", "\n"]
@@ -202,6 +220,18 @@ def test_packing(spark):
     assert packing.packed(make(spark, texts).limit(0)).isEmpty()
 
 
+def test_packing_repeats_and_forgets(spark):
+    texts = ["字" * 3000 + str(k) for k in range(40)] + ["the of"] * 20
+    texts += ["filler words of a text " * 30_000 + str(k) for k in range(9)]  # several blocks in a task, with pieces in each
+    docs = make(spark, texts).coalesce(1).cache()
+    one, two = (sorted(map(str, packing.packed(docs).collect())) for _ in range(2))
+    assert one == two
+    encode = packing.Encoder(packing.default_vocabulary())
+    list(encode(texts))
+    assert max(map(len, encode.known)) <= packing.SHORT and encode.size <= packing.REMEMBERED
+    assert [bytes(x) for x in encode(["the of", texts[0]])] == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("the of", texts[0])]
+
+
 def test_repeats(spark):
     texts = [t or "" for t in corpus()]
     r = random.Random(11)
@@ -282,6 +312,17 @@ def test_language(spark):
     assert language_id.identified(docs.limit(0)).isEmpty()
 
 
+def test_language_of_odd_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = language_id.dictionaries(docs)
+    long = docs.where("lang = 'de' and n_chars > 500").first()["text"]
+    rows = [(1, long * (1 + 2_000_000 // len(long))), (2, long), (2, long), (None, long), (5, "½ ² Ⅷ ① 12"), (6, "é"), (7, None)]
+    clash = make(spark, rows).withColumns({"score": F.lit("x"), "rejected": F.lit("y"), "lang_pred": F.lit("z")})
+    found = Counter((r["doc_id"], r["__lang"]) for r in language_id.predict(clash, known).collect())
+    assert found[1, "de"] == 1 and found[2, "de"] == 2 and found[None, "de"] == 1 and found[5, "und"] == 1 and found[7, "und"] == 1 and found[6, "und"] == 0
+    assert set(language_id.languages(clash).columns) == {"doc_id", "held_out", "lang_pred", "score", "rejected"} and language_id.languages(clash).count() == 7
+
+
 def test_lm_score(spark):
     texts = corpus()
     found = {r["doc_id"]: r for r in lm_score.score(make(spark, texts)).collect()}
@@ -296,6 +337,21 @@ def test_lm_score(spark):
     assert lm_score.score(make(spark, texts).limit(0)).isEmpty()
 
 
+def test_shared_folder(spark):
+    from types import SimpleNamespace as Fake
+
+    from ledgerloom.llm import common
+
+    far = Fake(conf=Fake(get=lambda *_: None), sparkContext=Fake(master="spark://far", applicationId="x"))
+    with pytest.raises(ValueError):
+        common.shared_dir(far)
+    kept = common.written(spark.range(3), "kept")
+    assert kept.count() == 3
+    common.discard(kept)
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(kept.written_to).count()
+
+
 def test_lm_score_by_brute_force(spark):
     texts = corpus()[:40] + ["alpha Beta unseen9 zeta9", "once\x00only " + "z" * 3000] + corpus()[:20]
     fit = lm_score.Fit(make(spark, texts))
@@ -388,6 +444,22 @@ def test_licenses(spark):
     assert texts[2][int(a) : int(b)] == "All rights reserved."
 
 
+def test_licences_in_full_texts(spark):
+    wrap = lambda *names: "\n\n".join(textwrap.fill(licenses.SENTENCES[n], 70) for n in names)
+    two = "Copyright (c) 2020, A Holder\nAll rights reserved.\n\n" + wrap("bsd-redistribution") + "\n\n1. " + textwrap.fill(licenses.SENTENCES["bsd-source"], 70) + "\n\n2. " + textwrap.fill(licenses.SENTENCES["bsd-binary"], 70)
+    three = two + "\n\n3. " + wrap("bsd-endorse") + "\n\n" + wrap("bsd-warranty")
+    gpl = "A program.\nCopyright (C) 2020 A Holder\n\n" + wrap("gpl-free", "gpl-hope") + "\n\nYou should have received a copy."
+    long = "é filler text without any licence; none at all. " * 40_000
+    texts = [two, three, gpl, long + "\n\n" + gpl + "\n\n" + long, wrap("mpl-subject", "mpl-obtain"), wrap("isc-grant", "isc-warranty"), "// SPDX-License-Identifier: Apache-2.0\nint x;", "All rights reserved.", "MIT License\n\n" + wrap("mit-grant", "mit-notice", "mit-warranty") + "\n\nAll rights reserved."]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, two), (None, gpl)]
+    found = Counter((r["doc_id"], r["licences"]) for r in licenses.scan(make(spark, rows)).collect())
+    want = ["BSD-2-Clause", "BSD-3-Clause", "GPL-3.0-or-later", "GPL-3.0-or-later", "MPL-2.0", "ISC", "Apache-2.0", "Proprietary", "MIT,Proprietary"]
+    assert found == Counter([*enumerate(want), (0, "BSD-2-Clause"), (None, "GPL-3.0-or-later")])
+    place = next(r["matches"] for r in licenses.scan(make(spark, rows)).collect() if r["doc_id"] == 3).split(":")
+    assert texts[3][int(place[1]) :].startswith("This program is free software") and texts[3][: int(place[2])].endswith("PURPOSE.")
+    assert licenses.scan(make(spark, rows).limit(0)).isEmpty()
+
+
 def test_licence_sentences_and_rules(spark):
     wrap = lambda t: textwrap.fill(t, 70)
     names, texts = list(licenses.SENTENCES), []

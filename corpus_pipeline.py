@@ -1,4 +1,8 @@
-"""From raw documents to packed training windows: five stages, each a DataFrame job over all that its predecessor kept."""
+"""From raw documents to packed training windows: five stages, each a DataFrame job over all that its predecessor kept.
+
+Every stage takes null columns, empty and very long texts, ties, rows that repeat and an empty table, and returns the
+columns of its documents (the last one those of `packing.packed`); further columns pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +16,29 @@ from ledgerloom.llm.common import written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language, or with one by too narrow a margin."""
+    """Drops documents without a language, or with one by too narrow a margin: null texts and those without letters, too. Rows
+    that repeat stay or go together; where no row is labelled none has a language, and none stays."""
     return language_id.identified(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest doc_id."""
+    """Keeps one document of each group of near copies, the one with the smallest doc_id: of rows that repeat one, of null and
+    empty texts one. Rows without a doc_id stay."""
     return simhash.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark passages contaminate."""
+    """Drops documents that benchmark passages contaminate. Null and empty texts are clean; without items all rows stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes personal data and the words that disclose it out of the texts."""
+    """Takes personal data and the words that disclose it out of the texts. All rows stay; null texts stay null."""
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in windows of tokens."""
+    """The pieces of the documents and their places in windows of tokens: every row, a null or empty text as its end alone."""
     return packing.packed(docs)
 
 

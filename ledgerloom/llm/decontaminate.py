@@ -2,8 +2,9 @@
 
 The words of the test items build one automaton; each document streams its words through it and knows at every word
 the longest piece of any item that ends there. A window is `window` consecutive item words (a shorter item is one
-window as a whole); the words inside windows that occur are hit. Items go to the tasks in blocks of a fixed
-number of words, one pass over the documents for each block, so neither a task nor the driver holds them all.
+window as a whole); the words inside windows that occur are hit. Distinct items go to the tasks in blocks of a fixed
+number of words, one pass over the documents for each block, so neither a task nor the driver holds them all. A pass but
+the last leaves only the texts' hashes and spans where something is hit; texts are never written again.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -155,6 +157,7 @@ def _automaton(shared) -> Automaton:  # noqa: ANN001
 
 def _blocks(items: DataFrame, block_words: int) -> list[DataFrame]:
     counted = items.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    counted = counted.distinct()
     size = counted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (4 * block_words)))
     return [counted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
@@ -167,38 +170,44 @@ def match(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words:
     rows of items that share an id count as one name; an empty docs or items table is fine; docs keep all their columns
     and rows, repeated ones too.
     """
-    spark = docs.sparkSession
-    extra = T.StructType().add("__n_words", "long").add("__spans", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer"))).add("__items", T.ArrayType(T.StringType()))
+    spans, names = T.ArrayType(T.StructType().add("start", "integer").add("end", "integer")), T.ArrayType(T.StringType())
+    *before, last = _blocks(items, block_words)
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    texts = docs.where("text is not null").select(key.alias("__key"), F.col("text").cast("binary").alias("__bytes"))
+    found = [written(_scanned(texts, block, window, T.StructType().add("__key", T.StructType().add("a", "long").add("b", "long")).add("__n_words", "long").add("__spans", spans).add("__items", names), True), "hits") for block in before]
     state = docs.withColumn("__bytes", F.col("text").cast("binary"))
-    blocks = _blocks(items, block_words)
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(([(r["item_id"], bytes(r["text"])) for r in block.collect()], window, uuid.uuid4().hex))  # at most about 4 * block_words bytes, or one item
-        out = T.StructType([f for f in state.schema if not f.name.startswith("__") or f.name == "__bytes"] + list(extra))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(shared)
-            for batch in in_blocks(batches, "__bytes"):
-                n, spans, names = [], [], []
-                held = batch.schema.get_field_index("__spans") >= 0
-                old = zip(batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()) if held else None
-                for text in batch.column("__bytes"):
-                    found = words(text.as_py())
-                    got, who = automaton.scan(found)
-                    if old:
-                        before, names_before = next(old)
-                        got = merged(got + [(x["start"], x["end"]) for x in before])
-                        who |= set(names_before)
-                    n.append(len(found))
-                    spans.append([{"start": a, "end": b} for a, b in got])
-                    names.append(sorted(who))
-                keep = [c for c in batch.schema.names if c not in ("__n_words", "__spans", "__items")]
-                made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, "__n_words", "__spans", "__items"])
-
-        state = state.mapInArrow(run, out)
-        if k + 1 < len(blocks):
-            state = written(state, "hits")
-    return state.drop("__bytes")
+    if found:
+        every = reduce(DataFrame.unionByName, found).groupBy("__key").agg(F.array_distinct(F.flatten(F.collect_list("__spans"))).alias("__old"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__named"))
+        state = state.withColumn("__own", key).join(every, F.col("__own") == F.col("__key"), "left").drop("__own", "__key")
+    out = T.StructType([*docs.schema.fields, T.StructField("__n_words", T.LongType()), T.StructField("__spans", spans), T.StructField("__items", names)])
+    return _scanned(state, last, window, out, False)
+
+
+def _scanned(rows: DataFrame, block: DataFrame, window: int, out: T.StructType, hit_only: bool) -> DataFrame:
+    """rows (__bytes, and what out names) with what the items of a block hit, and __old and __named where they are there."""
+    shared = rows.sparkSession.sparkContext.broadcast(([(r["item_id"], bytes(r["text"])) for r in block.collect()], window, uuid.uuid4().hex))  # at most about 4 * block_words bytes, or one item
+    keep = [f.name for f in out.fields if f.name not in ("__n_words", "__spans", "__items")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(shared)
+        for batch in in_blocks(batches, "__bytes"):
+            held = batch.schema.get_field_index("__old") >= 0
+            old = zip(batch.column("__old").to_pylist(), batch.column("__named").to_pylist()) if held else iter(())
+            n, spans, names = [], [], []
+            for text in batch.column("__bytes"):
+                found = words(text.as_py())
+                got, who = automaton.scan(found)
+                before, named = next(old, (None, None))
+                if before:
+                    got = merged(got + [(x["start"], x["end"]) for x in before])
+                n.append(len(found))
+                spans.append([{"start": a, "end": b} for a, b in got])
+                names.append(sorted(who | set(named or ())))
+            made = [pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(names, pa.list_(pa.string()))]
+            result = pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, "__n_words", "__spans", "__items"])
+            yield result.filter(pa.array([bool(s) for s in spans])) if hit_only else result
+
+    return rows.mapInArrow(run, out)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -233,7 +242,7 @@ def cut(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE, max_span: int | None = None) -> DataFrame:
-    """docs without the contaminated ones; columns as they were.
+    """docs without the contaminated ones; all others stay, repeated rows and null texts too, columns as they were.
 
     max_span: where given, hit stretches of more words are cut out of the texts that stay. Without it those texts,
     which are clean by the coverage rule, stay as they are.
@@ -251,7 +260,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """For every row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """For every row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Null and empty texts have no words
+    and are clean; repeated rows, and texts of any length, are looked at one by one as wholes; repeated items count once; an
+    empty docs table gives no rows, an empty items table hits nothing; other columns are ignored, whatever their names."""
     found = match(docs.select("doc_id", "text"), items, window)
     return found.select(
         "doc_id", F.col("__n_words").alias("n_words"), n_hit().alias("n_hit"), F.size("__items").cast("long").alias("n_items"),

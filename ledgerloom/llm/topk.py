@@ -1,7 +1,8 @@
 """Exact top-k by inner product: tiled matrix products, partial selection in each tile, and merging in two levels.
 
 Vectors are packed into tiles of a fixed number of rows. Every query tile meets every shard tile in a group of its own,
-so a task holds one matrix of each and their product in strips; what leaves it are k rows for each query.
+so a task holds one matrix of each and their product in strips; what leaves it are k rows for each query. Each shard
+tile is sent once for each query tile, so tiles are large and their components narrow.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from ledgerloom.llm.common import written
 
 K = 5
 SCALE = 256
-#: Rows in a shard tile and in a query tile.
-SHARD, QUERIES = 16_384, 1_024
+#: Rows in a tile, and the components that one may have: longer vectors have fewer rows in a tile.
+TILE, COMPONENTS = 16_384, 4 << 20
 #: First-level lists of a query before its last merge.
 FAN = 8
 LONG = 2**63 - 1
@@ -30,8 +31,9 @@ def quantised(vector: np.ndarray, scale: int = SCALE) -> np.ndarray:
 
 
 def pack(rows: DataFrame, size: int, scale: int = SCALE) -> DataFrame:
-    """(tile, dim, n, ids, comps): tiles of at most `size` vectors of one length; ids and components are little-endian
-    64-bit integers and doubles. Rows with a null id, a null vector, or null or non-finite components take no part."""
+    """(tile, dim, n, ids, kind, comps): tiles of at most `size` vectors of one length; ids are little-endian 64-bit integers,
+    components the narrowest integers that hold all of a tile, or doubles, as kind says. Rows with a null id, a null vector,
+    or null or non-finite components take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -41,27 +43,30 @@ def pack(rows: DataFrame, size: int, scale: int = SCALE) -> DataFrame:
             parts = held.pop(dim)
             ids, comps = np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
             count[dim] = 0
-            return pa.RecordBatch.from_pydict({"tile": [uuid.uuid4().hex], "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "comps": [comps.tobytes()]})
+            most = np.abs(comps).max(initial=0)
+            kind = next((k for k, top in (("<i1", 127), ("<i2", 2**15 - 1), ("<i4", 2**31 - 1)) if most <= top), "<f8")
+            return pa.RecordBatch.from_pydict({"tile": [uuid.uuid4().hex], "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "ids": [ids.tobytes()], "kind": [kind], "comps": [comps.astype(kind).tobytes()]})
 
         for batch in batches:
             ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components become nan
             ends = np.cumsum(lengths := np.diff(column.offsets.to_numpy()))
             for dim in np.unique(lengths):
-                for first in range(0, len(own := np.nonzero(lengths == dim)[0]), size):
-                    at = own[first : first + size]
+                room = max(1, min(size, COMPONENTS // max(1, int(dim))))
+                for first in range(0, len(own := np.nonzero(lengths == dim)[0]), room):
+                    at = own[first : first + room]
                     comps = quantised(flat[(ends[at] - dim)[:, None] + np.arange(dim)], scale)
                     fine = np.isfinite(comps).all(axis=1)
                     held.setdefault(int(dim), []).append((ids[at][fine], comps[fine]))
                     count[int(dim)] = count.get(int(dim), 0) + int(fine.sum())
-                    if count[int(dim)] >= size:
+                    if count[int(dim)] >= room:
                         yield out(int(dim))
         for dim in list(held):
             if count[dim]:
                 yield out(dim)
 
     rows = rows.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "tile string, dim int, n int, ids binary, comps binary")
+    return rows.mapInArrow(run, "tile string, dim int, n int, ids binary, kind string, comps binary")
 
 
 def tile_top(queries: np.ndarray, query_ids: np.ndarray, shard: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,15 +104,16 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, scale: int = SCALE) -
     null id, a null vector, or null or non-finite components take no part; empty tables give no rows; other columns are
     ignored. Scores beyond a long are shown as the nearest long.
     """
-    asked = written(pack(queries, QUERIES, scale), "queries")
-    shards = written(pack(rows, SHARD, scale), "shards")
+    asked = written(pack(queries, TILE, scale), "queries")
+    shards = written(pack(rows, TILE, scale), "shards")
     # The rows dealt are tiles: each goes once to each tile of the other side, with a group for each pair.
     left = asked.select("dim", F.col("tile").alias("q")).join(shards.select("dim", F.col("tile").alias("s")), "dim")
     pairs = written(left.select("q", "s"), "pairs")
     dealt = pairs.join(asked.withColumnRenamed("tile", "q"), "q").withColumn("side", F.lit(0)).unionByName(pairs.join(shards.withColumnRenamed("tile", "s"), "s").withColumn("side", F.lit(1)))
 
     def best(table: pa.Table) -> pa.Table:
-        held = {side: (np.frombuffer(i, np.int64), np.frombuffer(c, np.float64).reshape(n, dim)) for side, dim, n, i, c in zip(*(table.column(x).to_pylist() for x in ("side", "dim", "n", "ids", "comps")))}
+        columns = (table.column(x).to_pylist() for x in ("side", "dim", "n", "ids", "kind", "comps"))
+        held = {side: (np.frombuffer(i, np.int64), np.frombuffer(c, kind).astype(np.float64).reshape(n, dim)) for side, dim, n, i, kind, c in zip(*columns)}
         (qids, q), (ids, s) = held[0], held[1]
         at, names, scores = tile_top(q, qids, s, ids, k)
         return pa.table({"q": pa.array([table.column("q")[0].as_py()] * len(at), pa.string()), "at": pa.array(at, pa.int32()), "slot": pa.array(np.full(len(at), int(table.column("s")[0].as_py(), 16) % FAN), pa.int32()), "query_id": qids[at], "vec_id": names, "score": scores})

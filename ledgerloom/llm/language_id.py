@@ -7,10 +7,10 @@ for which the runner-up comes too close is rejected.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,8 @@ SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 3, "window_log": 18,
 #: Share of the runner-up's bytes by which the winner must be smaller.
 MARGIN = 0.002
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters alone: no digits, fractions or numerals of any script.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def dictionaries(docs: DataFrame, training: Column | None = None, samples: int = SAMPLES, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
@@ -113,7 +114,13 @@ def held_out() -> Column:
 
 
 def languages(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected for every row of docs; rows held out, or without a doc_id, teach nothing."""
+    """doc_id, held_out, lang_pred, score, rejected for every row of docs; rows held out, or without a doc_id, teach nothing.
+
+    score is the margin to the runner-up, 0 to 1. A null text, or one without a letter, is `und`, as all are where nothing
+    is labelled; repeated rows get the same answer each; texts of any length count as wholes; an empty table gives no rows;
+    other columns are ignored, whatever their names. Dictionaries are bounded for each language, so they grow with the
+    number of distinct values of lang, of which there must be few.
+    """
     known = dictionaries(docs, F.coalesce(~held_out(), F.lit(False)))
     found = predict(docs.select("doc_id", "text"), known)
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__margin").alias("score"), rejected(margin).alias("rejected"))

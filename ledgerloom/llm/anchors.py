@@ -315,12 +315,12 @@ def reduced(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs without the words that `reduced` removes: all rows stay, columns as they were whatever their names. Where words
     go the others are joined by single spaces; other texts, null ones too, are unchanged."""
-    later = later_windows(docs, window, anchor).toDF("__of", "__of_doc", "__at")
+    later = later_windows(docs, window, anchor)
 
     @F.pandas_udf("string")
     def without(text: pd.Series, at: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else b" ".join(w for _, words in kept_words(t.encode(), list(a), window) for w in words).decode() for t, a in zip(text, at)], dtype=object)
 
-    names = identity()
-    joined = docs.withColumn("__name", names["name"]).withColumn("__doc", names["doc"]).join(later, (F.col("__name") == F.col("__of")) & (F.col("__doc") == F.col("__of_doc")), "left")
-    return joined.withColumn("text", F.when(F.col("__at").isNull(), F.col("text")).otherwise(without("text", "__at"))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *(x.alias(n) for n, x in identity().items())).join(later, ["name", "doc"], "left")
+    text = F.when(F.col("at").isNull(), F.col("row.text")).otherwise(without("row.text", "at"))
+    return rows.withColumn("text", text).select(*("text" if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

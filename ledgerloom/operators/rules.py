@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fields, text
+from ledgerloom.operators import rule_graph
+from ledgerloom.shared import stored
 
 #: Rule types that replace a whole value, with the field that they replace.
 CHAINED = {"supplier_alias": "supplier_name", "nominal_remap": "nominal_account_code"}
@@ -19,21 +23,12 @@ def active(rules: DataFrame) -> DataFrame:
     return good.withColumns({"src": text.supplier_key(F.col("source_pattern")), "next": text.supplier_key(F.col("target_value"))}).where("src <> ''")
 
 
-def chained(values: DataFrame, rules: DataFrame, rule_type: str) -> DataFrame:
-    """(tenant, company, value, result) for distinct values: the rules of a company and the global ones of its tenant, each
-    applied in the order of their ids to what those before it left.
-
-    The rules of a scope go to its distinct values as one list, as a scope has few; rows never meet them.
-    """
-    own = active(rules).where(F.col("rule_type") == rule_type)
-    one = F.struct("id", "src", "target_value", "next").alias("x")
-    scoped = own.where("company is not null").groupBy("tenant", "company").agg(F.collect_list(one).alias("mine"))
-    shared = own.where("company is null").groupBy("tenant").agg(F.collect_list(one).alias("all"))
-    empty = lambda c: F.coalesce(F.col(c), F.array().cast("array<struct<id:bigint,src:string,target_value:string,next:string>>"))
-    joined = values.select("tenant", "company", "value").distinct().join(scoped, ["tenant", "company"], "left").join(shared, "tenant", "left").withColumn("list", F.array_sort(F.concat(empty("mine"), empty("all"))))
-    start = F.struct(F.col("value").alias("value"), text.supplier_key(F.col("value")).alias("now"))
-    step = lambda acc, r: F.when((acc["now"] != "") & (acc["now"] == r["src"]), F.struct(r["target_value"].alias("value"), r["next"].alias("now"))).otherwise(acc)
-    return joined.select("tenant", "company", "value", F.aggregate("list", start, step, lambda acc: acc["value"]).alias("result"))
+def chained(values: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_type, tenant, company, value, result) for the distinct values (rule_type, tenant, company, value) that rules
+    change: the rules of a company and the global ones of its tenant, each applied in the order of their ids to what those
+    before it left. Ids are unique within a tenant."""
+    own = active(rules).where(F.col("rule_type").isin(*CHAINED))
+    return rule_graph.applied(values, own.select("rule_type", "id", "tenant", "company", "src", "next", "target_value"))
 
 
 def corrections(rules: DataFrame, names: list[str]) -> list[DataFrame]:
@@ -56,10 +51,10 @@ def replay(rows: DataFrame, rules: DataFrame, names: tuple[str, ...] = ("supplie
     Rules that read a region of the page need the page and never write the value they were made with. rows: tenant,
     company, review_fields, review_required, confidence_score and the fields of `names`.
     """
-    out = rows
+    values = [rows.select(F.lit(t).alias("rule_type"), "tenant", "company", F.col(f).alias("value")).where("value is not null") for t, f in CHAINED.items()]
+    changed, out = stored(chained(reduce(DataFrame.unionByName, values), rules), "chained"), rows
     for rule_type, field in CHAINED.items():
-        values = chained(out.select("tenant", "company", F.col(field).alias("value")).where("value is not null"), rules, rule_type)
-        to = values.where("not result <=> value").select("tenant", "company", F.col("value").alias(field), F.col("result").alias("__to"))
+        to = changed.where((F.col("rule_type") == rule_type) & ~F.col("result").eqNullSafe(F.col("value"))).select("tenant", "company", F.col("value").alias(field), F.col("result").alias("__to"))
         out = out.join(to, ["tenant", "company", field], "left").withColumn(field, F.coalesce("__to", field)).select(*rows.columns)
     out = out.withColumn("src", text.supplier_key(F.col("supplier_name")))
     mine, shared = corrections(rules, list(names))

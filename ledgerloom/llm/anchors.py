@@ -242,9 +242,10 @@ def _later(table: pa.Table) -> pa.Table:
         known[x] = (name[own] != name[x]) | (doc[own] != doc[x]) | (at[own] != at[x])
     found = np.nonzero(known)[0]
     found = found[np.lexsort((at[found], doc[found], name[found]))]
-    first = np.nonzero(np.concatenate([[True], (name[found][1:] != name[found][:-1]) | (doc[found][1:] != doc[found][:-1])]))[0] if len(found) else _NO
+    name, doc, packed = name[found], doc[found], at[found].astype("<i4").tobytes()
+    first = np.nonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]))[0] if len(found) else _NO
     ends = np.append(first[1:], len(found)) if len(first) else _NO
-    return pa.table({"name": pa.array(name[found][first], pa.int64()), "doc": pa.array(doc[found][first], pa.int64()), "at": pa.array([at[found][i:j].astype("<i4").tobytes() for i, j in zip(first, ends)], pa.binary())})
+    return pa.table({"name": pa.array(name[first], pa.int64()), "doc": pa.array(doc[first], pa.int64()), "at": pa.array([packed[4 * i : 4 * j] for i, j in zip(first.tolist(), ends.tolist())], pa.binary())})
 
 
 def own_rows(docs: DataFrame) -> DataFrame:

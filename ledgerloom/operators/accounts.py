@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import fields, text
 from ledgerloom.operators import analytics, matching
+from ledgerloom.shared import stored
 
 SCOPE = ["tenant", "company"]
+#: The fields that a saved region may fill.
+HINTED = ("supplier_name", "invoice_number", "invoice_date", "net_amount", "vat_amount", "total_amount", "nominal_account_code", "description")
 
 
 def match_suppliers(rows: DataFrame, masters: DataFrame) -> DataFrame:
@@ -25,10 +28,10 @@ def match_suppliers(rows: DataFrame, masters: DataFrame) -> DataFrame:
     hit = lambda tier, score: F.struct(F.lit(tier).alias("tier"), (-score).alias("less"), "ord").alias("m")
     by_vat = own.where("vk <> ''").join(known.select(*SCOPE, "ord", "vk"), [*SCOPE, "vk"]).select(*names, hit(0, F.lit(1.0)))
     by_name = own.where("low <> ''").join(known.select(*SCOPE, "ord", "low"), [*SCOPE, "low"]).select(*names, hit(1, F.lit(1.0)))
-    loose = matching.best(matching.fuzzy(own.where("name <> ''").select(*SCOPE, "name", "key", "words").distinct(), known, SCOPE, "key", "words"), [*SCOPE, "name"])
+    loose = matching.best_match(own.where("name <> ''").select(*SCOPE, "name", "key", "words").distinct(), known, SCOPE, "key", "words")
     by_words = own.join(loose, [*SCOPE, "name"]).select(*names, hit(2, F.col("score")))
     best = by_vat.unionByName(by_name).unionByName(by_words).groupBy(*names).agg(F.min("m").alias("m"))
-    return best.select(*names, "m.ord", "m.tier", (-F.col("m.less")).alias("score"))
+    return stored(best.select(*names, "m.ord", "m.tier", (-F.col("m.less")).alias("score")), "matched")
 
 
 def charts(accounts: DataFrame) -> DataFrame:
@@ -76,37 +79,52 @@ def classified(rows: DataFrame, accounts: DataFrame, taxonomy: list[tuple[str, l
     return made.select(*rows.columns, "__c.code", F.coalesce("__c.method", F.lit("unresolved")).alias("method"), F.coalesce("__c.confidence", F.lit(0).cast("decimal(3,2)")).alias("confidence"))
 
 
-def suggest(rows: DataFrame, masters: DataFrame, accounts: DataFrame, history: DataFrame, taxonomy: list[tuple[str, list[str]]]) -> DataFrame:
+def suggest(rows: DataFrame, masters: DataFrame, accounts: DataFrame, history: DataFrame, taxonomy: list[tuple[str, list[str]]], listed: DataFrame | None = None, sure: float = 0.70) -> DataFrame:
     """rows with supplier_name as the master has it, supplier_posting_account, nominal_account_code and how it was found.
 
     rows: tenant, company, supplier_name, supplier_vat, supplier_posting_account, nominal_account_code, description,
     line_items_raw. A matched supplier gives its name, and its accounts where the row has none; then its most used account
-    in history counts (rows of earlier jobs), then `classified`. What a row has already stays.
+    in history counts (rows of earlier jobs). Rows that are still without an account are classified: their name meets the
+    list of known suppliers (`normalised_suppliers`; listed may have a nominal_hint), which renames them from a confidence
+    of `sure` on and gives the hint; a supplier that no master has takes its history under its own name, or the one that
+    the list gives it. What a row has already stays.
     """
     matched = match_suppliers(rows, masters).join(masters.select(*SCOPE, "ord", F.col("canonical").alias("__name"), F.coalesce(F.nullif("account_code", F.lit("")), "posting_account").alias("__posting"), F.nullif("default_nominal", F.lit("")).alias("__own")), [*SCOPE, "ord"])
     pick = matched.select(*SCOPE, F.col("supplier_name").alias("__n"), F.col("supplier_vat").alias("__v"), "__name", "__posting", "__own")
-    used = analytics.modal_nominal(history).select(*SCOPE, F.col("supplier_name").alias("__name"), F.col("nominal_account_code").alias("__used"))
+    used = analytics.modal_nominal(history).select(*SCOPE, F.col("supplier_name").alias("__key"), F.col("nominal_account_code").alias("__used"))
+    names = rows.select(*SCOPE, "supplier_name", "supplier_vat").distinct().alias("r")
     same = [F.col("r.tenant") == F.col("p.tenant"), F.col("r.company") == F.col("p.company"), F.col("r.supplier_name").eqNullSafe(F.col("p.__n")), F.col("r.supplier_vat").eqNullSafe(F.col("p.__v"))]
-    joined = rows.alias("r").join(pick.alias("p"), same, "left").select("r.*", "p.__name", "p.__posting", "p.__own").join(used, [*SCOPE, "__name"], "left")
+    known = names.join(pick.alias("p"), same, "left").select("r.*", "p.__name", "p.__posting", "p.__own").withColumn("__raw", F.coalesce("__name", "supplier_name"))
+    if listed is None:
+        known = known.withColumns({"__renamed": F.col("__raw"), "__hint": F.lit(None).cast("string")})
+    else:
+        told = normalised_suppliers(known.select(F.col("__raw").alias("raw"), F.lit(None).cast("string").alias("vat")).where("raw <> ''"), listed)
+        hint = listed.select("ord", F.col("nominal_hint").alias("__hint")) if "nominal_hint" in listed.columns else listed.select("ord", F.lit(None).cast("string").alias("__hint"))
+        met = told.where("match_method <> 'unmatched'").join(hint, "ord").select(F.col("raw").alias("__raw"), F.when(F.col("match_confidence") >= sure, F.col("canonical")).alias("__listed"), "__hint")
+        known = known.join(met, "__raw", "left").withColumn("__renamed", F.coalesce("__listed", "__raw")).drop("__listed")
+    known = known.withColumn("__key", F.coalesce("__name", "__renamed")).join(used, [*SCOPE, "__key"], "left")
+    parts = known.select(F.col("tenant").alias("__t"), F.col("company").alias("__c"), F.col("supplier_name").alias("__n"), F.col("supplier_vat").alias("__v"), "__name", "__posting", "__own", "__raw", "__renamed", "__hint", "__used")
+    joined = rows.join(parts, (F.col("tenant") == F.col("__t")) & (F.col("company") == F.col("__c")) & F.col("supplier_name").eqNullSafe(F.col("__n")) & F.col("supplier_vat").eqNullSafe(F.col("__v")), "left")
     has = F.nullif(F.col("nominal_account_code"), F.lit(""))
-    ready = joined.withColumns({"nominal_hint": F.lit(None).cast("string"), "history_code": F.lit(None).cast("string")})
-    told = classified(ready, accounts, taxonomy)
-    method = F.when(has.isNotNull(), "given").when(F.col("__own").isNotNull(), "supplier_default").when(F.col("__used").isNotNull(), "historical").otherwise(F.col("method"))
-    out = told.withColumns({"supplier_name": F.coalesce("__name", "supplier_name"), "supplier_posting_account": F.coalesce(F.nullif("supplier_posting_account", F.lit("")), "__posting"), "nominal_account_code": F.coalesce(has, "__own", "__used", "code"), "method": method})
+    own = F.when(F.col("__name").isNotNull(), F.coalesce("__own", "__used"))
+    ready = joined.withColumns({"nominal_hint": F.col("__hint"), "history_code": F.when(F.col("__name").isNull(), F.col("__used"))})
+    found = classified(ready, accounts, taxonomy)
+    method = F.when(has.isNotNull(), "given").when(F.col("__name").isNotNull() & F.col("__own").isNotNull(), "supplier_default").when(own.isNotNull(), "historical").otherwise(F.col("method"))
+    name = F.when(has.isNull() & own.isNull(), F.coalesce("__renamed", "supplier_name")).otherwise(F.coalesce("__raw", "supplier_name"))
+    out = found.withColumns({"supplier_name": name, "supplier_posting_account": F.coalesce(F.nullif("supplier_posting_account", F.lit("")), "__posting"), "nominal_account_code": F.coalesce(has, own, "code"), "method": method})
     return out.select(*rows.columns, "method")
 
 
 def normalised_suppliers(names: DataFrame, masters: DataFrame) -> DataFrame:
-    """names (raw, vat) with clean, canonical, match_method, match_confidence and review_reason, by a list of masters (ord,
-    canonical, vat_number, aliases): the VAT number, then a name or alias, then containment either way, then shared words
+    """names (raw, vat) with clean, canonical, match_method, match_confidence, review_reason and the ord of the master met, by a
+    list of masters (ord, canonical, vat_number, aliases): the VAT number, then a name or alias, then containment either way, then shared words
     from 0.60 on, unsure below 0.75. Ties go to the smaller ord."""
     own = names.select("raw", "vat").distinct().withColumn("clean", text.clean_supplier(F.col("raw"))).withColumns({"name": F.lower("clean"), "key": F.lower("clean"), "words": text.core_words(F.col("clean")), "vk": text.vat_key(F.col("vat"))})
     forms = masters.select("ord", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("form")).select("ord", F.lower("form").alias("key"), text.core_words(F.col("form")).alias("words")).where("key <> ''").distinct()
     hit = lambda tier, less: F.struct(F.lit(tier).alias("tier"), less.alias("less"), "ord").alias("m")
     by_vat = own.where("vk <> ''").join(masters.select("ord", text.vat_key(F.col("vat_number")).alias("vk")), "vk").select("raw", "vat", hit(0, F.lit(-1.0)))
     by_name = own.join(forms, "key").select("raw", "vat", hit(1, F.lit(-0.95)))
-    pairs = matching.fuzzy(own.where("name <> ''").select("name", "key", "words").distinct(), forms, [], "key", "words", 0.0001, 2.0)
-    loose = own.join(pairs, "name")
+    loose = own.join(matching.best_match(own.where("name <> ''").select("name", "key", "words").distinct(), forms, [], "key", "words", 0.0001, 2.0), "name")
     held = loose.where("score = 2.0").select("raw", "vat", hit(2, F.lit(-0.80)))
     shared = loose.where("score < 2.0").select("raw", "vat", hit(3, -F.col("score")))
     best = by_vat.unionByName(by_name).unionByName(held).unionByName(shared).groupBy("raw", "vat").agg(F.min("m").alias("m"))
@@ -114,7 +132,7 @@ def normalised_suppliers(names: DataFrame, masters: DataFrame) -> DataFrame:
     sure = F.coalesce((F.col("tier") < 3) | (F.col("score") >= 0.60), F.lit(False))
     method = F.when(~sure, "unmatched").when(F.col("tier") == 0, "vat_match").when(F.col("tier") < 3, "alias_match").otherwise("fuzzy_match")
     reason = F.when((F.col("clean") == "") & ~F.coalesce(F.col("tier") == 0, F.lit(False)), "supplier_unknown").when(~sure | ((F.col("tier") == 3) & (F.col("score") < 0.75)), "supplier_low_confidence")
-    return found.select("raw", "vat", "clean", F.when(sure, F.col("canonical")).otherwise(F.col("clean")).alias("canonical"), method.alias("match_method"), F.coalesce(F.round("score", 2), F.lit(0.0)).alias("match_confidence"), reason.alias("review_reason"))
+    return found.select("raw", "vat", "clean", F.when(sure, F.col("canonical")).otherwise(F.col("clean")).alias("canonical"), method.alias("match_method"), F.coalesce(F.round("score", 2), F.lit(0.0)).alias("match_confidence"), reason.alias("review_reason"), F.when(sure, F.col("ord")).alias("ord"))
 
 
 def prefilled(rows: DataFrame, headers: DataFrame) -> DataFrame:
@@ -124,15 +142,16 @@ def prefilled(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.join(named, "row_id", "left").withColumn("supplier_name", F.coalesce("__named", "supplier_name")).select(*rows.columns)
 
 
-def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = ("supplier_name", "invoice_number", "description", "nominal_account_code")) -> DataFrame:
-    """(row_id, field, hint_id): for each field of a row that may be filled, the first saved region that is its supplier's on
+def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED) -> DataFrame:
+    """(row_id, field, hint_id): for each field of a row that may be filled, the newest saved region that is its supplier's on
     that page; regions kept under the supplier's id come before those kept under its name.
 
     rows: row_id, tenant, company, page_no, supplier_name, review_fields and the fields; hints: id, tenant, field_name, page_no,
     supplier_id, supplier_name_snapshot, active; suppliers: id, tenant, company, supplier_name. A field may be filled if it is
     blank, named for review, or plainly wrong.
     """
-    wanted = F.array_compact(F.array(*[F.when((F.coalesce(F.col(f).cast("string"), F.lit("")) == "") | F.coalesce(F.array_contains(text.split_fields(F.col("review_fields")), f), F.lit(False)) | fields.suspect(f, F.col(f).cast("string")), f) for f in fields_]))
+    blank = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) == "" if f not in fields.AMOUNTS else F.coalesce(F.col(f).cast("string").try_cast("double") == 0, F.col(f).isNull())
+    wanted = F.array_compact(F.array(*[F.when(blank(f) | F.coalesce(F.array_contains(text.split_fields(F.col("review_fields")), f), F.lit(False)) | fields.suspect(f, F.col(f).cast("string")), f) for f in fields_]))
     own = rows.withColumns({"norm": text.supplier_key(F.col("supplier_name")), "wanted": wanted}).where("norm <> '' and size(wanted) > 0")
     ids = suppliers.groupBy("tenant", "company", "supplier_name").agg(F.min("id").alias("supplier_id"))
     asked = own.join(ids, ["tenant", "company", "supplier_name"], "left").select("row_id", "tenant", "page_no", "norm", "supplier_id", "wanted")
@@ -140,4 +159,4 @@ def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_:
     by_id = asked.join(live.drop("norm"), ["tenant", "page_no", "supplier_id"]).select("row_id", "wanted", "field_name", "hint_id")
     by_name = asked.join(by_id.select("row_id").distinct(), "row_id", "left_anti").join(live.drop("supplier_id").where("norm <> ''"), ["tenant", "page_no", "norm"]).select("row_id", "wanted", "field_name", "hint_id")
     met = by_id.unionByName(by_name).where(F.array_contains("wanted", F.col("field_name")))
-    return met.groupBy("row_id", F.col("field_name").alias("field")).agg(F.min("hint_id").alias("hint_id"))
+    return met.groupBy("row_id", F.col("field_name").alias("field")).agg(F.max("hint_id").alias("hint_id"))

@@ -2,8 +2,8 @@
 
 A rule that replaces one value by another hands on to the next rule, in the order of their ids, whose pattern is what it
 wrote. So each rule has at most one successor, with a higher id, and a chain ends at a rule without one. Successors are
-found in one pass over the rules sorted by pattern; the ends of all chains by pointer jumping, where every round doubles
-the stretch that a pointer spans, so that a chain of n rules takes log2(n) rounds. Values meet the first rule of their
+found in one pass over the rules sorted by pattern; the ends of all chains by pointer jumping, where every jump doubles
+the stretch that a pointer spans, so that a chain of n rules takes log2(n) jumps. Values meet the first rule of their
 chain in an equi-join on their key. No list of rules is ever held, and no value meets more than one rule.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.shared import dropped, stored
+from ledgerloom.shared import dropped, observed, stored
 
 #: A scope is a company with rules of its own, or, for all other companies of a tenant, the tenant itself; types of rules
 #: don't meet.
@@ -44,18 +44,17 @@ def ends(links: DataFrame) -> DataFrame:
     at = stored(links, "rule-links")
     while True:
         ahead = at.select(*SCOPE, F.col("id").alias("to"), F.col("to").alias("further"))
-        jumped = at.join(ahead, [*SCOPE, "to"], "left").select(*SCOPE, "id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
-        after = stored(jumped, "rule-links")
+        once = at.join(ahead, [*SCOPE, "to"], "left").select(*SCOPE, "id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
+        twice = once.join(ahead, [*SCOPE, "to"], "left").select(*SCOPE, "id", F.coalesce("further", "to").alias("to"), "moved")
+        after, seen = observed(twice, "rule-links", moved=F.count_if("moved"))
         dropped(at)
-        if after.where("moved").isEmpty():
+        if not seen["moved"]:
             return after.drop("moved")
-        at = after.drop("moved")
-        at.stored_at = after.stored_at
+        at = after
 
 
-def resolved(rules: DataFrame) -> DataFrame:
-    """(SCOPE, src, result): what a value with the key src becomes in each scope."""
-    held = stored(visible(rules), "rules")
+def resolved(held: DataFrame) -> DataFrame:
+    """(SCOPE, src, result): what a value with the key src becomes in each scope, by the rules of `visible`."""
     first = held.groupBy(*SCOPE, "src").agg(F.min("id").alias("id"))
     last = first.join(ends(successors(held)), [*SCOPE, "id"], "left").select(*SCOPE, "src", F.coalesce("to", "id").alias("id"))
     return last.join(held.select(*SCOPE, "id", F.col("target_value").alias("result")), [*SCOPE, "id"]).select(*SCOPE, "src", "result")
@@ -64,10 +63,10 @@ def resolved(rules: DataFrame) -> DataFrame:
 def applied(values: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_type, tenant, company, value, result): the distinct values that a rule changes, and what all rules of the type, in
     order, make of each."""
-    found = stored(resolved(rules), "chains")
+    held = stored(visible(rules), "rules")
     what = ["rule_type", "tenant", "company", "value"]
-    companies = found.where("own").select("rule_type", "tenant", F.col("scope").alias("company"), F.lit(True).alias("has")).distinct()
+    companies = held.where("own").select("rule_type", "tenant", F.col("scope").alias("company"), F.lit(True).alias("has")).distinct()
     asked = values.select(*what).distinct().join(companies, ["rule_type", "tenant", "company"], "left")
     has = F.col("has").isNotNull()
     asked = asked.select(*what, has.alias("own"), F.when(has, F.col("company")).otherwise("").alias("scope"), text.supplier_key(F.col("value")).alias("src"))
-    return asked.join(found, [*SCOPE, "src"]).select(*what, "result")
+    return asked.join(resolved(held), [*SCOPE, "src"]).select(*what, "result")

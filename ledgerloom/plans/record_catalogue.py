@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import accounts, analytics, deposits, edits, listing, merging, pages, resolution, review, rules, state
+from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, merging, pages, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,9 @@ CASE WHEN p_size % 4 <> 0 THEN p_name || ' ' || p_type END AS description, CASE
 _MASTERS = f"SELECT {_SCOPE}, p_partkey AS ord, {_CANONICAL} AS canonical, CASE WHEN p_size % 2 = 0 THEN 'MT' || CAST(p_partkey % 50 AS STRING) END AS vat_number, p_size <> 1 AS is_active, CASE WHEN p_size % 3 = 0 THEN 'P' || CAST(p_size AS STRING) END AS account_code, 'Q' || CAST(p_size AS STRING) AS posting_account, CASE WHEN p_size % 7 = 0 THEN 'D' || p_type END AS default_nominal FROM {{part}}"
 _ACCOUNTS = f"SELECT tenant, company, min(p_partkey) AS ord, 'A' || p_type AS code, min(p_name) AS name, p_type = 'LARGE' AS is_default, true AS is_active FROM (SELECT {_SCOPE}, * FROM {{part}}) GROUP BY tenant, company, p_type"
 _HISTORY = f"SELECT {_SCOPE}, {_CANONICAL} AS supplier_name, CASE WHEN p_size % 4 <> 0 THEN p_type END AS nominal_account_code FROM {{part}}"
+_OWN_HISTORY = f"{_HISTORY} UNION ALL SELECT {_SCOPE}, p_name || ' ' || lower(p_type), 'H' || p_type FROM {{part}} UNION ALL SELECT {_SCOPE}, p_name || ' ' || lower(p_type), 'H' || p_type FROM {{part}} WHERE p_size % 3 <> 0 UNION ALL SELECT {_SCOPE}, upper(p_name) || ' LTD', 'O' || p_type FROM {{part}} UNION ALL SELECT {_SCOPE}, upper(p_name) || ' LTD', 'O' || p_type FROM {{part}}"
+# Few masters, so that many rows have none.
+_FEW_MASTERS = f"SELECT * FROM ({_MASTERS}) WHERE ord % 16 = 1"
 _TAXONOMY = [("gear", ["hot gear", "cold gear", "gear"]), ("bolt", ["blue bolt", "small"])]
 
 _MATCH = f"""n AS (SELECT DISTINCT tenant, company, supplier_name, supplier_vat FROM ({_ROWS})),
@@ -85,30 +88,52 @@ def classify_accounts(spark: SparkSession, d: str) -> DataFrame:
     return accounts.classified(rows, made(spark, d, _ACCOUNTS), _TAXONOMY).select("row_id", "code", "method", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query(f"""WITH {_MATCH}, {_CHART}, x AS (SELECT r.*, concat_ws(' ', description, line_items_raw) AS txt, m.canonical, coalesce(m.account_code, m.posting_account) AS posting, m.default_nominal, u.used FROM ({_ROWS}) r LEFT JOIN matched t ON r.tenant = t.tenant AND r.company = t.company AND r.supplier_name IS NOT DISTINCT FROM t.supplier_name AND r.supplier_vat IS NOT DISTINCT FROM t.supplier_vat
- LEFT JOIN ({_MASTERS}) m ON m.tenant = t.tenant AND m.company = t.company AND m.ord = t.ord LEFT JOIN used u ON u.tenant = r.tenant AND u.company = r.company AND u.supplier_name = m.canonical), y AS (SELECT *, {_codes('NULL::VARCHAR')} FROM x)
-SELECT row_id, coalesce(canonical, supplier_name) AS supplier_name, coalesce(nullif(supplier_posting_account, ''), posting) AS supplier_posting_account, coalesce(nominal_account_code, default_nominal, used, by_topic, by_word, by_default) AS nominal_account_code,
- CASE WHEN nominal_account_code IS NOT NULL THEN 'given' WHEN default_nominal IS NOT NULL THEN 'supplier_default' WHEN used IS NOT NULL THEN 'historical' WHEN by_topic IS NOT NULL THEN 'taxonomy_match' WHEN by_word IS NOT NULL THEN 'keyword_match' WHEN by_default IS NOT NULL THEN 'default' ELSE 'unresolved' END AS method FROM y""")
-def account_suggestion(spark: SparkSession, d: str) -> DataFrame:
-    made_ = [made(spark, d, x) for x in (_ROWS, _MASTERS, _ACCOUNTS, _HISTORY)]
-    return accounts.suggest(*made_, _TAXONOMY).select("row_id", "supplier_name", "supplier_posting_account", "nominal_account_code", "method")
-
-
 _READ = "SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN '12 ' || p_name || ' |' WHEN 1 THEN '|' || upper(p_name) || ' Ltd.' WHEN 2 THEN p_name || '  ' || p_type || ' 7' WHEN 3 THEN p_type || ' gizmos' WHEN 4 THEN '-- 3 --' ELSE p_type || ' ' || p_name || ' ' || replace(p_brand, '#', '') || ' Company' END AS raw, CASE WHEN p_partkey % 9 = 0 THEN 'mt' || CAST(p_size AS STRING) END AS vat FROM {part}"
 _LIST = "SELECT min(p_partkey) AS ord, p_name || ' ' || lower(p_type) AS canonical, max(CASE WHEN p_size % 10 = 0 THEN 'MT ' || CAST(p_size AS STRING) END) AS vat_number, array_agg(DISTINCT CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type || ' works' END) AS aliases FROM {part} GROUP BY 2"
 _CORE = r"list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({x}), '\b(ltd|limited|plc|llc|llp|inc|co|company|group|holdings|malta|mt|gmbh|sarl|bv|nv|ag|spa|srl)\b', '', 'g'), '\s+'), lambda w: len(w) > 2 AND w NOT IN ('the', 'a', 'of', 'and', '&', 'for')))"
 
 
-@query(f"""WITH r AS (SELECT raw, vat, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(raw, '[|]|(^| )[0-9]{{1,2}}( |$)', ' ', 'g'), '\\s+', ' ', 'g')), '^[^A-Za-z0-9]+', ''), '[^A-Za-z0-9]+$', '') AS clean FROM ({_READ.replace('{part}', 'part')})),
-l AS ({_LIST.replace('{part}', 'part')}), f AS (SELECT ord, canonical, vat_number, unnest(list_append(aliases, canonical)) AS form FROM l),
-p AS (SELECT r.raw, r.vat, ord, CASE WHEN upper(regexp_replace(vat, '\\s', '', 'g')) = regexp_replace(vat_number, '\\s', '', 'g') THEN 0 WHEN clean = '' THEN 9 WHEN lower(clean) = lower(form) THEN 1 WHEN contains(lower(clean), lower(form)) OR contains(lower(form), lower(clean)) THEN 2 ELSE 3 END AS tier,
- CASE WHEN len({_CORE.replace('{x}', 'clean')}) > 0 AND len({_CORE.replace('{x}', 'form')}) > 0 THEN len(list_intersect({_CORE.replace('{x}', 'clean')}, {_CORE.replace('{x}', 'form')})) / greatest(len({_CORE.replace('{x}', 'clean')}), len({_CORE.replace('{x}', 'form')})) ELSE 0 END::DOUBLE AS s FROM r, f),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw, vat ORDER BY tier, CASE WHEN tier < 3 THEN 0 ELSE s END DESC, ord) AS k FROM p) WHERE k = 1)
-SELECT r.raw, r.vat, r.clean, CASE WHEN tier < 3 OR tier = 3 AND s >= 0.6 THEN canonical ELSE clean END AS canonical, CASE WHEN tier = 0 THEN 'vat_match' WHEN tier < 3 THEN 'alias_match' WHEN tier = 3 AND s >= 0.6 THEN 'fuzzy_match' ELSE 'unmatched' END AS match_method,
- round(CASE tier WHEN 0 THEN 1 WHEN 1 THEN 0.95 WHEN 2 THEN 0.8 WHEN 3 THEN s ELSE 0 END::DOUBLE, 2) AS match_confidence, CASE WHEN tier = 0 THEN NULL WHEN clean = '' THEN 'supplier_unknown' WHEN tier = 3 AND s < 0.75 THEN 'supplier_low_confidence' END AS review_reason
-FROM r JOIN b ON r.raw = b.raw AND r.vat IS NOT DISTINCT FROM b.vat JOIN l ON b.ord = l.ord""")
+
+
+def _listed(names: str, master_list: str) -> str:
+    """SQL that meets names (raw, vat) with a list of suppliers, comparing all with all; the last of its tables is `named`."""
+    part = lambda x: x.replace("{part}", "part")
+    core = lambda x: _CORE.replace("{x}", x)
+    return f"""nr AS (SELECT *, {core('clean')} AS nw FROM (SELECT raw, vat, regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(raw, '[|]|(^| )[0-9]{{1,2}}( |$)', ' ', 'g'), '\\s+', ' ', 'g')), '^[^A-Za-z0-9]+', ''), '[^A-Za-z0-9]+$', '') AS clean FROM ({part(names)}))),
+nl AS ({part(master_list)}), nf AS (SELECT *, {core('form')} AS fw FROM (SELECT ord, canonical, vat_number, unnest(list_append(aliases, canonical)) AS form FROM nl)),
+np AS (SELECT nr.raw, nr.vat, ord, CASE WHEN upper(regexp_replace(vat, '\\s', '', 'g')) = regexp_replace(vat_number, '\\s', '', 'g') THEN 0 WHEN clean = '' THEN 9 WHEN lower(clean) = lower(form) THEN 1 WHEN contains(lower(clean), lower(form)) OR contains(lower(form), lower(clean)) THEN 2 ELSE 3 END AS tier,
+ CASE WHEN len(nw) > 0 AND len(fw) > 0 THEN len(list_intersect(nw, fw)) / greatest(len(nw), len(fw)) ELSE 0 END::DOUBLE AS s FROM nr, nf),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY raw, vat ORDER BY tier, CASE WHEN tier < 3 THEN 0 ELSE s END DESC, ord) AS k FROM np) WHERE k = 1),
+named AS (SELECT nr.raw, nr.vat, nr.clean, CASE WHEN tier < 3 OR tier = 3 AND s >= 0.6 THEN nl.canonical ELSE clean END AS canonical, CASE WHEN tier = 0 THEN 'vat_match' WHEN tier < 3 THEN 'alias_match' WHEN tier = 3 AND s >= 0.6 THEN 'fuzzy_match' ELSE 'unmatched' END AS match_method,
+ round(CASE tier WHEN 0 THEN 1 WHEN 1 THEN 0.95 WHEN 2 THEN 0.8 WHEN 3 THEN s ELSE 0 END::DOUBLE, 2) AS match_confidence, CASE WHEN tier = 0 THEN NULL WHEN clean = '' THEN 'supplier_unknown' WHEN tier = 3 AND s < 0.75 THEN 'supplier_low_confidence' END AS review_reason, nb.ord
+ FROM nr JOIN nb ON nr.raw = nb.raw AND nr.vat IS NOT DISTINCT FROM nb.vat JOIN nl ON nb.ord = nl.ord)"""
+
+
+def _spark_list(sql: str) -> str:
+    return sql.replace("array_agg", "collect_set").replace("DISTINCT CASE", "CASE")
+
+
+@query(f"WITH {_listed(_READ, _LIST)} SELECT * EXCLUDE (ord) FROM named")
 def supplier_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return accounts.normalised_suppliers(made(spark, d, _READ), made(spark, d, _LIST.replace("array_agg", "collect_set").replace("DISTINCT CASE", "CASE")))
+    return accounts.normalised_suppliers(made(spark, d, _READ), made(spark, d, _spark_list(_LIST))).drop("ord")
+
+
+# The list knows a third of the names, and gives a hint for some.
+_HINTED_LIST = f"SELECT *, CASE WHEN ord % 4 = 0 THEN 'ring' WHEN ord % 4 = 1 THEN '' END AS nominal_hint FROM ({_LIST}) WHERE ord % 3 = 0"
+
+
+@query(f"""WITH {_MATCH.replace(f'({_MASTERS})', f'({_FEW_MASTERS})')}, {_CHART.replace(_HISTORY, _OWN_HISTORY)},
+k AS (SELECT r.*, m.canonical, coalesce(m.account_code, m.posting_account) AS posting, m.default_nominal, coalesce(m.canonical, r.supplier_name) AS name1 FROM ({_ROWS}) r LEFT JOIN matched t ON r.tenant = t.tenant AND r.company = t.company AND r.supplier_name IS NOT DISTINCT FROM t.supplier_name AND r.supplier_vat IS NOT DISTINCT FROM t.supplier_vat
+ LEFT JOIN ({_FEW_MASTERS}) m ON m.tenant = t.tenant AND m.company = t.company AND m.ord = t.ord),
+{_listed('SELECT DISTINCT name1 AS raw, CAST(NULL AS VARCHAR) AS vat FROM k WHERE name1 <> ' + "''", _HINTED_LIST)},
+x AS (SELECT k.*, concat_ws(' ', description, line_items_raw) AS txt, CASE WHEN n.match_method <> 'unmatched' THEN nl.nominal_hint END AS hint, CASE WHEN n.match_method <> 'unmatched' AND n.match_confidence >= 0.7 THEN n.canonical ELSE name1 END AS name2 FROM k LEFT JOIN named n ON n.raw = k.name1 LEFT JOIN nl ON nl.ord = n.ord),
+z AS (SELECT x.*, u.used, v.used AS own_used FROM x LEFT JOIN used u ON u.tenant = x.tenant AND u.company = x.company AND u.supplier_name = x.canonical LEFT JOIN used v ON v.tenant = x.tenant AND v.company = x.company AND v.supplier_name = coalesce(x.canonical, x.name2)),
+y AS (SELECT *, CASE WHEN hint <> '' THEN (SELECT arg_min(code, ord) FROM chart a WHERE a.tenant = x.tenant AND a.company = x.company AND contains(lower(a.name), lower(x.hint))) END AS by_hint, {_codes('own_used')} FROM z x)
+SELECT row_id, CASE WHEN nominal_account_code IS NULL AND default_nominal IS NULL AND used IS NULL THEN name2 ELSE name1 END AS supplier_name, coalesce(nullif(supplier_posting_account, ''), posting) AS supplier_posting_account, coalesce(nominal_account_code, default_nominal, used, by_hint, by_topic, by_history, by_word, by_default) AS nominal_account_code,
+ CASE WHEN nominal_account_code IS NOT NULL THEN 'given' WHEN default_nominal IS NOT NULL THEN 'supplier_default' WHEN used IS NOT NULL THEN 'historical' WHEN by_hint IS NOT NULL THEN 'supplier_rule' WHEN by_topic IS NOT NULL THEN 'taxonomy_match' WHEN by_history IS NOT NULL THEN 'historical_similarity' WHEN by_word IS NOT NULL THEN 'keyword_match' WHEN by_default IS NOT NULL THEN 'default' ELSE 'unresolved' END AS method FROM y""")
+def account_suggestion(spark: SparkSession, d: str) -> DataFrame:
+    made_ = [made(spark, d, x) for x in (_ROWS, _FEW_MASTERS, _ACCOUNTS, _OWN_HISTORY)]
+    return accounts.suggest(*made_, _TAXONOMY, made(spark, d, _spark_list(_HINTED_LIST))).select("row_id", "supplier_name", "supplier_posting_account", "nominal_account_code", "method")
 
 
 # --- rules ------------------------------------------------------------------------------------------------------------
@@ -329,19 +354,64 @@ def json_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", text.json_block(F.coalesce(said, F.concat(F.lit("x"), F.coalesce("props", F.lit(""))))).alias("block"))
 
 
-_PAGES = f"SELECT p_partkey AS row_id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, p_brand AS company, p_size % 3 AS page_no, CASE WHEN p_size % 8 <> 0 THEN p_name || ' Ltd' END AS supplier_name, CASE WHEN p_size % 2 = 0 THEN 'description|total_amount' END AS review_fields, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'INV7' END AS invoice_number, CASE WHEN p_size % 3 = 0 THEN 'x' ELSE 'fine text' END AS description, 'N1' AS nominal_account_code FROM {{part}}"
-_HINTS = "SELECT p_partkey AS id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, CASE p_partkey % 4 WHEN 0 THEN 'supplier_name' WHEN 1 THEN 'invoice_number' WHEN 2 THEN 'description' ELSE 'total_amount' END AS field_name, p_size % 3 AS page_no, CASE WHEN p_size % 2 = 0 THEN p_partkey % 40 END AS supplier_id, CASE WHEN p_size % 7 <> 0 THEN upper(p_name) END AS supplier_name_snapshot, p_size % 9 <> 0 AS active FROM {part}"
+_PAGES = f"SELECT p_partkey AS row_id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, p_brand AS company, p_size % 3 AS page_no, CASE WHEN p_size % 8 <> 0 THEN p_name || ' Ltd' END AS supplier_name, CASE WHEN p_size % 2 = 0 THEN 'description|total_amount' END AS review_fields, CASE WHEN p_size % 5 = 0 THEN '' ELSE 'INV7' END AS invoice_number, CASE WHEN p_size % 3 = 0 THEN 'x' ELSE 'fine text' END AS description, 'N1' AS nominal_account_code, CASE WHEN p_size % 7 <> 0 THEN DATE '2026-01-05' END AS invoice_date, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST(0 AS DECIMAL(14,2)) ELSE CAST(p_size AS DECIMAL(14,2)) END AS net_amount, CASE WHEN p_size % 5 <> 1 THEN CAST(1 AS DECIMAL(14,2)) END AS vat_amount, CAST(7 AS DECIMAL(14,2)) AS total_amount FROM {{part}}"
+_HINTS = "SELECT p_partkey AS id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, CASE p_partkey % 8 WHEN 0 THEN 'supplier_name' WHEN 1 THEN 'invoice_number' WHEN 2 THEN 'description' WHEN 3 THEN 'total_amount' WHEN 4 THEN 'net_amount' WHEN 5 THEN 'vat_amount' WHEN 6 THEN 'invoice_date' ELSE 'nominal_account_code' END AS field_name, p_size % 3 AS page_no, CASE WHEN p_size % 2 = 0 THEN p_partkey % 40 END AS supplier_id, CASE WHEN p_size % 7 <> 0 THEN upper(p_name) END AS supplier_name_snapshot, p_size % 9 <> 0 AS active FROM {part}"
 _KNOWN = "SELECT p_partkey % 40 AS id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, p_brand AS company, p_name || ' Ltd' AS supplier_name FROM {part}"
 
 
-@query(f"""WITH r AS (SELECT *, {_key('supplier_name')} AS norm, list_filter([CASE WHEN coalesce(invoice_number, '') = '' THEN 'invoice_number' END, CASE WHEN review_fields IS NOT NULL OR length(description) < 3 THEN 'description' END], lambda f: f IS NOT NULL) AS wanted FROM ({_PAGES})),
+@query(f"""WITH r AS (SELECT *, {_key('supplier_name')} AS norm, list_filter([CASE WHEN coalesce(invoice_number, '') = '' THEN 'invoice_number' END, CASE WHEN review_fields IS NOT NULL OR length(description) < 3 THEN 'description' END, CASE WHEN invoice_date IS NULL THEN 'invoice_date' END, CASE WHEN coalesce(net_amount, 0) = 0 THEN 'net_amount' END, CASE WHEN vat_amount IS NULL THEN 'vat_amount' END, CASE WHEN review_fields IS NOT NULL THEN 'total_amount' END], lambda f: f IS NOT NULL) AS wanted FROM ({_PAGES})),
 i AS (SELECT tenant, company, supplier_name, min(id) AS sid FROM ({_KNOWN}) GROUP BY 1, 2, 3), h AS (SELECT *, {_key('supplier_name_snapshot')} AS norm FROM ({_HINTS}) WHERE active), a AS (SELECT r.*, sid FROM r LEFT JOIN i USING (tenant, company, supplier_name) WHERE norm <> ''),
 x AS (SELECT a.row_id, a.wanted, h.field_name, h.id FROM a JOIN h ON h.tenant = a.tenant AND h.page_no = a.page_no AND h.supplier_id = sid), y AS (SELECT a.row_id, a.wanted, h.field_name, h.id FROM a JOIN h ON h.tenant = a.tenant AND h.page_no = a.page_no AND h.norm = a.norm WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.row_id = a.row_id))
-SELECT row_id, field_name AS field, min(id) AS hint_id FROM (SELECT * FROM x UNION ALL SELECT * FROM y) WHERE list_contains(wanted, field_name) GROUP BY 1, 2""")
+SELECT row_id, field_name AS field, max(id) AS hint_id FROM (SELECT * FROM x UNION ALL SELECT * FROM y) WHERE list_contains(wanted, field_name) GROUP BY 1, 2""")
 def remap_hints(spark: SparkSession, d: str) -> DataFrame:
     return accounts.hints_for(made(spark, d, _PAGES), made(spark, d, _HINTS), made(spark, d, _KNOWN))
 
 
+# --- edits in order -----------------------------------------------------------------------------------------------------
+
+_SEQ = " UNION ALL ".join(
+    f"""SELECT row_id, CAST({k} AS BIGINT) AS seq, CASE (row_id + {k % 2}) % 4 WHEN 0 THEN 'supplier_name' WHEN 1 THEN 'net_amount' WHEN 2 THEN 'description' ELSE 'invoice_date' END AS field,
+CASE (row_id * 7 + {k * 5}) % 9 WHEN 0 THEN '' WHEN 1 THEN '5.50' WHEN 2 THEN 'Supplier#00000000' || CAST((row_id + {k}) % 9 AS STRING) WHEN 3 THEN '1999-02-03' WHEN 4 THEN NULL WHEN 5 THEN 'line'
+ ELSE CASE (row_id + {k % 2}) % 4 WHEN 0 THEN supplier_name WHEN 1 THEN CAST(net_amount AS STRING) WHEN 2 THEN description ELSE CAST(invoice_date AS STRING) END END AS value, CASE WHEN (row_id + {k}) % 5 = 4 THEN 'revert' ELSE 'edit' END AS action FROM u"""
+    for k in range(8)
+)
+
+
+def _fold(edited: str, fixes: str, suppliers: str) -> str:
+    """SQL that goes through the edits of each field one after another; the last of its tables is `done`."""
+    shown = lambda p: f"CASE e.field WHEN 'supplier_name' THEN {p}.supplier_name WHEN 'net_amount' THEN CAST({p}.net_amount AS VARCHAR) WHEN 'description' THEN {p}.description ELSE CAST({p}.invoice_date AS VARCHAR) END"
+    return f"""u AS ({edited}), c AS ({fixes}), m AS ({suppliers}), raw AS (SELECT row_id, seq, field, nullif(value, '') AS value, action FROM ({_SEQ})),
+e AS (SELECT e.*, row_number() OVER (PARTITION BY e.row_id, e.field ORDER BY e.seq) AS n, {shown('u')} AS own, {shown('c')} AS start,
+  CASE WHEN action = 'revert' THEN NULL WHEN e.field = 'net_amount' THEN CAST(TRY_CAST(e.value AS DECIMAL(14,2)) AS VARCHAR) WHEN e.field = 'invoice_date' THEN CAST(TRY_CAST(e.value AS DATE) AS VARCHAR) ELSE e.value END AS nv,
+  action = 'edit' AND coalesce(u.status, '') = 'exported' AS shut, e.field = 'supplier_name' AND EXISTS (SELECT 1 FROM m WHERE m.tenant = u.tenant AND m.company = u.company) AND NOT EXISTS (SELECT 1 FROM m WHERE m.tenant = u.tenant AND m.company = u.company AND m.supplier_name = e.value) AS unlisted
+ FROM raw e JOIN u ON u.row_id = e.row_id LEFT JOIN c ON c.row_id = e.row_id),
+f(row_id, field, n, seq, action, cell, old, nv, outcome) AS (SELECT DISTINCT row_id, field, 0::BIGINT, -1::BIGINT, '', start, NULL::VARCHAR, NULL::VARCHAR, '' FROM e UNION ALL
+ SELECT row_id, field, n, seq, action, CASE WHEN outcome = 'applied' THEN nv ELSE cell END, old, nv, outcome FROM (SELECT e.row_id, e.field, e.n, e.seq, e.action, f.cell, CASE WHEN e.action = 'edit' THEN coalesce(f.cell, e.own) ELSE f.cell END AS old, e.nv,
+  CASE WHEN shut THEN 'rejected: exported' WHEN e.action = 'edit' AND e.value IS NOT NULL AND e.nv IS NULL THEN 'rejected: no value of this field' WHEN e.action = 'edit' AND coalesce(f.cell, e.own) IS NOT DISTINCT FROM e.nv OR e.action = 'revert' AND f.cell IS NULL THEN 'unchanged' WHEN e.nv IS NOT NULL AND unlisted THEN 'rejected: not in the master list' ELSE 'applied' END AS outcome
+ FROM f JOIN e ON e.row_id = f.row_id AND e.field = f.field AND e.n = f.n + 1)), done AS (SELECT * FROM f WHERE n > 0)"""
+
+
+def _logged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, fixes = made(spark, d, _UNIQUE), made(spark, d, _FIXES)
+    log = made(spark, d, f"WITH u AS ({_UNIQUE}) {_SEQ}")
+    done = edit_log.folded(rows, fixes, log, made(spark, d, _SUPPLIERS), made(spark, d, _CODES))
+    return rows, fixes, done
+
+
+@query(f"WITH RECURSIVE {_fold(_UNIQUE, _FIXES, _SUPPLIERS)} SELECT row_id, field, seq, action, old AS old_value, nv AS new_value, cell, outcome FROM done")
+def edit_history(spark: SparkSession, d: str) -> DataFrame:
+    return _logged(spark, d)[2].select("row_id", "field", "seq", "action", "old_value", "new_value", "cell", "outcome")
+
+
+@query(f"""WITH RECURSIVE {_fold(_UNIQUE, _FIXES, _SUPPLIERS)}, l AS (SELECT row_id, field, arg_max(CASE WHEN cell IS NULL THEN [] ELSE [cell] END, seq) AS cell FROM done WHERE seq <= 4 AND outcome IN ('applied', 'unchanged') GROUP BY 1, 2),
+now AS (SELECT u.row_id, {', '.join(f"(SELECT cell FROM l WHERE l.row_id = u.row_id AND l.field = '{f}') AS l_{f}, c.{f} AS c_{f}, u.{f}" for f in ('supplier_name', 'net_amount', 'description'))} FROM u LEFT JOIN c ON c.row_id = u.row_id)
+SELECT row_id, {', '.join(f"coalesce(CASE WHEN l_{f} IS NOT NULL THEN l_{f}[1] ELSE CAST(c_{f} AS VARCHAR) END, CAST({f} AS VARCHAR)) AS {f}" for f in ('supplier_name', 'net_amount', 'description'))} FROM now""")
+def rows_as_of(spark: SparkSession, d: str) -> DataFrame:
+    rows, fixes, done = _logged(spark, d)
+    shown = edits.effective(rows, edit_log.as_of(fixes, done, 4))
+    return shown.select("row_id", *[F.col("current")[f].cast("string").alias(f) for f in ("supplier_name", "net_amount", "description")])
+
+
 _STAGED = "SELECT c_custkey AS ord, CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN upper('supplier#') || CAST(c_custkey % 70 AS STRING) ELSE 'Supplier#' || CAST(c_custkey % 70 AS STRING) END AS code, CASE WHEN c_custkey % 9 < 2 THEN '' WHEN c_custkey % 5 = 0 THEN upper(c_mktsegment) ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN 'N1' ELSE '' END AS default_nominal FROM {customer}"
 _MASTER = "SELECT 'Supplier#' || CAST(s_suppkey AS STRING) AS code, CASE s_suppkey WHEN 3 THEN 'Building' WHEN 5 THEN 'Machinery' WHEN 7 THEN 'Machinery' ELSE s_name END AS name, 'old' AS default_nominal FROM {supplier}"
 _IMPORT = f"""s AS (SELECT * FROM ({_STAGED}) WHERE code <> '' OR name <> '' OR default_nominal <> ''), g AS (SELECT *, row_number() OVER (PARTITION BY lower(code) ORDER BY ord) AS n FROM s WHERE code <> '' AND name <> ''), m AS ({_MASTER}),

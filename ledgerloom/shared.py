@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -32,6 +32,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def observed(df: DataFrame, label: str, **what: Column) -> tuple[DataFrame, dict]:
+    """`stored`, and aggregates over its rows from the same job."""
+    seen = Observation()
+    back = stored(df.observe(seen, *(x.alias(name) for name, x in what.items())), label)
+    return back, seen.get
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that `stored` made, once nothing that is still to run reads it."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import fields, text
-from ledgerloom.operators import analytics, matching
+from ledgerloom.operators import analytics, matching, patterns
 from ledgerloom.shared import stored
 
 SCOPE = ["tenant", "company"]
@@ -57,22 +57,34 @@ def mentioned(words: Column) -> Column:
     return _first(lambda a: F.coalesce(holds(a["low_name"]), F.lit(False)) | F.coalesce(holds(a["low_code"]), F.lit(False)))
 
 
+def mentions(rows: DataFrame, accounts: DataFrame, words: str) -> DataFrame:
+    """rows (tenant, company, ...) with `mentioned`, the first active account of their company whose name or code the column
+    `words` holds: `mentioned` for charts of any length."""
+    known = accounts.where("is_active")
+    each = lambda c, k: known.select(*SCOPE, (F.col("ord") * 2 + k).alias("ord"), F.col(c).alias("alias"), F.col("code").alias("label"))
+    return patterns.labelled_within(rows, words, each("name", 0).unionByName(each("code", 1)), SCOPE, "mentioned")
+
+
 def default() -> Column:
     return _first(lambda a: F.coalesce(a["is_default"], F.lit(False)))
 
 
-def classified(rows: DataFrame, accounts: DataFrame, taxonomy: list[tuple[str, list[str]]]) -> DataFrame:
+def classified(rows: DataFrame, accounts: DataFrame, taxonomy: DataFrame | list[tuple[str, list[str]]]) -> DataFrame:
     """rows (tenant, company, description, line_items_raw, nominal_hint, history_code) with code, method and confidence: of
     hint, taxonomy, history, keyword and default the first that names an account.
 
-    taxonomy: (hint, aliases) in order, compiled into the plan; within an entry longer aliases come first.
+    taxonomy: a table (ord, alias, label) of any size, or a short list of (hint, aliases) in order, compiled into the plan;
+    within an entry of the list longer aliases come first.
     """
     joined = rows.join(charts(accounts), SCOPE, "left").withColumn("__text", F.concat_ws(" ", F.nullif("description", F.lit("")), F.nullif("line_items_raw", F.lit(""))))
-    low, topic = F.lower("__text"), F.when(F.lit(False), F.lit(None).cast("string"))
-    for hint, aliases in taxonomy:
-        for alias in sorted(aliases, key=len, reverse=True):
-            topic = topic.when(F.contains(low, F.lit(alias)), hint)
-    joined = joined.withColumn("__topic", topic)
+    if isinstance(taxonomy, DataFrame):
+        joined = patterns.labelled(joined, F.col("__text"), taxonomy, "__topic")
+    else:
+        low, topic = F.lower("__text"), F.when(F.lit(False), F.lit(None).cast("string"))
+        for hint, aliases in taxonomy:
+            for alias in sorted(aliases, key=len, reverse=True):
+                topic = topic.when(F.contains(low, F.lit(alias)), hint)
+        joined = joined.withColumn("__topic", topic)
     tiers = [("supplier_rule", "0.95", named(F.col("nominal_hint"))), ("taxonomy_match", "0.90", named(F.col("__topic"))), ("historical_similarity", "0.80", F.nullif("history_code", F.lit(""))), ("keyword_match", "0.70", F.when(F.col("__text") != "", mentioned(F.col("__text")))), ("default", "0.40", default())]
     found = F.coalesce(*[F.when(code.isNotNull(), F.struct(code.alias("code"), F.lit(name).alias("method"), F.lit(sure).cast("decimal(3,2)").alias("confidence"))) for name, sure, code in tiers])
     made = joined.withColumn("__c", found)

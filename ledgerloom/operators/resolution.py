@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
-from ledgerloom.operators import matching
+from ledgerloom.operators import matching, patterns
 
 
 def exact_match(names: DataFrame, masters: DataFrame) -> DataFrame:
@@ -68,12 +68,8 @@ def match_patterns(headers: DataFrame, patterns: DataFrame, shared: int = 3, sha
     return fine.groupBy("id").agg(F.min(F.struct((-F.col("n") / F.col("size")).alias("s"), "supplier_name", "n")).alias("m")).select("id", "m.supplier_name", "m.n")
 
 
-def taxonomy(rows: DataFrame, entries: list[tuple[str, list[str]]]) -> DataFrame:
+def taxonomy(rows: DataFrame, entries: DataFrame | list[tuple[str, list[str]]]) -> DataFrame:
     """rows with `category`: that of the first entry one of whose aliases the text holds, categories in order and longer
-    aliases first. The list is a parameter of the plan, compiled into one expression."""
-    low = F.lower(F.coalesce("description", F.lit("")))
-    found = F.when(F.lit(False), F.lit(None).cast("string"))
-    for category, aliases in entries:
-        for alias in sorted(aliases, key=len, reverse=True):
-            found = found.when(F.contains(low, F.lit(alias.lower())), category)
-    return rows.withColumn("category", found)
+    aliases first. entries: (ord, alias, label), or a list of categories and aliases."""
+    listed = entries if isinstance(entries, DataFrame) else patterns.entries(rows.sparkSession, entries)
+    return patterns.labelled(rows, F.coalesce("description", F.lit("")), listed, "category")

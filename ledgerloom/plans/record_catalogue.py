@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, merging, pages, resolution, review, rules, state
+from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, merging, pages, patterns, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,6 +118,32 @@ def supplier_normalise(spark: SparkSession, d: str) -> DataFrame:
     return accounts.normalised_suppliers(made(spark, d, _READ), made(spark, d, _spark_list(_LIST))).drop("ord")
 
 
+_BRAND_SQL = "(VALUES (0, 'rothmans', 'Tobacco'), (1, 'pall mall', 'Tobacco'), (2, 'du maurier', 'Tobacco'), (3, 'lucky strike', 'Tobacco'), (4, 'benson & hedges', 'Tobacco'), (5, 'benson and hedges', 'Tobacco'), (6, 'marlboro', 'Tobacco'), (7, 'dunhill', 'Tobacco'), (8, 'parliament', 'Tobacco'), (9, 'chesterfield', 'Tobacco'), (10, 'winston cigarette', 'Tobacco'), (11, 'camel cigarette', 'Tobacco'), (12, 'royals cigarette', 'Tobacco'), (13, 'heineken', 'Alcohol'), (14, 'carlsberg', 'Alcohol'), (15, 'amstel', 'Alcohol'), (16, 'corona beer', 'Alcohol'), (17, 'guinness', 'Alcohol'), (18, 'peroni', 'Alcohol'), (19, 'cisk', 'Alcohol'), (20, 'hopleaf', 'Alcohol'), (21, 'jack daniel', 'Alcohol'), (22, 'johnnie walker', 'Alcohol'), (23, 'absolut vodka', 'Alcohol'), (24, 'baileys', 'Alcohol'), (25, 'coca cola', 'Beverages'), (26, 'coke zero', 'Beverages'), (27, 'pepsi cola', 'Beverages'), (28, 'fanta', 'Beverages'), (29, 'sprite', 'Beverages'), (30, 'ribena', 'Beverages'), (31, 'monster energy', 'Beverages'), (32, 'red bull', 'Beverages'), (33, 'lucozade', 'Beverages'), (34, '7up', 'Beverages'), (35, 'kinnie', 'Beverages'), (36, 'san pellegrino', 'Beverages'), (37, 'acqua panna', 'Beverages'), (38, 'evian', 'Beverages'), (39, 'bigilla', 'Food'), (40, 'baguette', 'Food'), (41, 'ftira', 'Food'), (42, 'olive oil', 'Food'), (43, 'catering supplies', 'Food'), (44, 'fresh seafood', 'Food'), (45, 'fresh produce', 'Food')) AS b(ord, alias, label)"
+# Each part's text names up to two brands, or half of one.
+_BRANDED = f"SELECT p_partkey, concat_ws(' ', p_name, CASE WHEN p_size % 4 <> 0 THEN upper(x.alias) END, p_type, CASE WHEN p_size % 3 = 0 THEN y.alias WHEN p_size % 3 = 1 THEN substring(y.alias, 2, 20) END) AS words FROM {{part}} JOIN {_BRAND_SQL.replace(' b(', ' x(')} ON x.ord = p_partkey * 7 % 46 JOIN {_BRAND_SQL.replace(' b(', ' y(')} ON y.ord = p_partkey % 46"
+
+
+@query(f"WITH t AS ({_BRANDED}) SELECT p_partkey, (SELECT arg_min(label, ord) FROM {_BRAND_SQL} WHERE contains(lower(words), alias)) AS brand FROM t")
+def brand_hints(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.labelled(made(spark, d, _BRANDED), F.col("words"), patterns.brands(spark), "brand").select("p_partkey", "brand")
+
+
+# As many aliases as there are parts, some of them within others.
+_ALIASES = "SELECT p_partkey * 3 AS ord, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN upper(p_name) WHEN 2 THEN substring(p_name, 2, 7) ELSE p_type || ' ' || CAST(p_partkey AS STRING) END AS alias, p_brand AS label FROM {part}"
+_SAID = "SELECT p_partkey, CASE WHEN p_size % 9 <> 0 THEN concat_ws(' ', p_brand, p_name, p_type, CAST(p_partkey + p_size % 2 AS STRING)) END AS words FROM {part}"
+
+
+@query(f"WITH a AS ({_ALIASES}), t AS ({_SAID}) SELECT p_partkey, (SELECT arg_min(label, ord) FROM a WHERE alias <> '' AND contains(lower(words), lower(alias))) AS label FROM t")
+def alias_labels(spark: SparkSession, d: str) -> DataFrame:
+    return patterns.labelled(made(spark, d, _SAID), F.col("words"), made(spark, d, _ALIASES)).select("p_partkey", "label")
+
+
+@query(f"WITH chart AS ({_ACCOUNTS}), x AS (SELECT row_id, tenant, company, concat_ws(' ', description, line_items_raw) AS txt FROM ({_ROWS})) SELECT row_id, (SELECT arg_min(code, ord) FROM chart a WHERE a.tenant = x.tenant AND a.company = x.company AND (contains(lower(txt), lower(a.name)) OR contains(lower(txt), lower(a.code)))) AS mentioned FROM x")
+def account_mentions(spark: SparkSession, d: str) -> DataFrame:
+    rows = made(spark, d, f"SELECT row_id, tenant, company, concat_ws(' ', description, line_items_raw) AS txt FROM ({_ROWS})")
+    return accounts.mentions(rows, made(spark, d, _ACCOUNTS), "txt").select("row_id", "mentioned")
+
+
 # The list knows a third of the names, and gives a hint for some.
 _HINTED_LIST = f"SELECT *, CASE WHEN ord % 4 = 0 THEN 'ring' WHEN ord % 4 = 1 THEN '' END AS nominal_hint FROM ({_LIST}) WHERE ord % 3 = 0"
 

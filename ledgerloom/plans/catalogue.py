@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import analytics, resolution, review, state, validation
+from ledgerloom.sources import facts
 from ledgerloom.sources.invoices import SQL as INV
 from ledgerloom.sources.invoices import invoice_rows, table
 
@@ -39,6 +40,15 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return analytics.summary(invoice_rows(spark, d, "tenant", "company", "supplier_name", "net_amount", "vat_amount", "total_amount", "confidence_score", "review_required"), "tenant", "company")
 
 
+@query("SELECT company, count(*) AS row_count, count(DISTINCT batch_id) AS batches, CAST(coalesce(sum(total_amount), 0) AS DOUBLE) AS grand_total FROM inv WHERE company IN (SELECT n_name FROM nation WHERE n_regionkey = 3) GROUP BY company")
+def partitioned_company_spend(spark: SparkSession, d: str) -> DataFrame:
+    """Over the fact laid out by tenant and company: only the folders of one region's nations are read."""
+    fact = facts.store(invoice_rows(spark, d, "tenant", "company", "batch_id", "total_amount"))
+    nations = table(spark, d, "nation").where("n_regionkey = 3").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = facts.scoped(spark, fact, nations.select(F.col("r_name").alias("tenant"), F.col("n_name").alias("company")))
+    return rows.groupBy("company").agg(F.count("*").alias("row_count"), F.count_distinct("batch_id").alias("batches"), analytics.money("total_amount").alias("grand_total"))
+
+
 @query(f"SELECT strftime(invoice_date, '%Y-%m') AS month, {_SUMS}, count(*) AS row_count FROM inv WHERE invoice_date IS NOT NULL GROUP BY 1")
 def monthly_spend(spark: SparkSession, d: str) -> DataFrame:
     return analytics.monthly(invoice_rows(spark, d, "invoice_date", "net_amount", "vat_amount", "total_amount"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import analytics, review, state
+from ledgerloom.sources import workbook
 
 # The order of the columns that exports know, and the columns that stay inside.
 ORDER = [
@@ -55,15 +56,33 @@ def export_event(exports: DataFrame, batch_id: int, version: int, rows: DataFram
     return exports.unionByName(event)
 
 
-def write(rows: DataFrame, folder: str, version: int, accounts: DataFrame | None = None, changes: DataFrame | None = None, form: str = "parquet", template: list[dict] | None = None) -> dict[str, str]:
-    """Writes each sheet to folder/version=N/sheet and returns where; the sheets of one version replace earlier tries. A
-    template, where given, makes one more sheet."""
-    sheets = {"invoices": invoices(rows, accounts), "needs_review": invoices(rows.where("review_required"), accounts), "summary": summary(rows)}
+def sheets_of(rows: DataFrame, by: list[str], accounts: DataFrame | None = None, changes: DataFrame | None = None, template: list[dict] | None = None) -> dict[str, DataFrame]:
+    """The sheets of an export by name. by: the columns that name a batch, which every sheet keeps and the summary has a row
+    for; without any, the rows are one batch. changes: audit rows, with the columns of by; a template makes one more sheet."""
+    keep = lambda sheet: sheet if not by else sheet.select(*by, *[c for c in sheet.columns if c not in by])
+    named = rows.select(*[F.col(c).alias(f"__{c}") for c in by], "*") if by else rows
+    back = lambda sheet: sheet.withColumnsRenamed({f"__{c}": c for c in by}) if by and not set(by) & set(sheet.columns) else sheet.drop(*[f"__{c}" for c in by])
+    sheets = {"invoices": keep(back(invoices(named, accounts))), "needs_review": keep(back(invoices(named.where("review_required"), accounts))), "summary": summary(rows, *by)}
     held = [c for c in EVIDENCE if c in rows.columns]
-    sheets |= {"evidence": rows.select(*held)} if held else {}
+    sheets |= {"evidence": rows.select(*by, *[c for c in held if c not in by])} if held else {}
     sheets |= {"audit_changes": changes} if changes is not None else {}
-    sheets |= {"template": state.render(rows, template)} if template else {}
+    sheets |= {"template": state.render(rows, template)} if template and not by else {}
+    return sheets
+
+
+def write(rows: DataFrame, folder: str, version: int, accounts: DataFrame | None = None, changes: DataFrame | None = None, form: str = "parquet", template: list[dict] | None = None, by: list[str] | None = None) -> dict[str, str]:
+    """Writes each sheet to folder/version=N/sheet and returns where; the sheets of one version replace earlier tries. A
+    template, where given, makes one more sheet. rows are one batch, or by names the columns that tell batches apart."""
+    sheets = sheets_of(rows, by or [], accounts, changes, template)
     paths = {name: f"{folder}/version={version}/{name}" for name in sheets}
     for name, sheet in sheets.items():
         sheet.write.mode("overwrite").format(form).options(**({"header": "true"} if form == "csv" else {})).save(paths[name])
     return paths
+
+
+def write_workbooks(rows: DataFrame, folder: str, version: int, by: str, accounts: DataFrame | None = None, changes: DataFrame | None = None) -> str:
+    """A workbook for each batch, named by the column by, in folder/version=N; returns that folder."""
+    titles = {"invoices": "Invoices", "needs_review": "Needs Review", "summary": "Summary", "evidence": "Evidence", "audit_changes": "Audit Changes"}
+    sheets = {titles[k]: sheet for k, sheet in sheets_of(rows, [by], accounts, changes).items()}
+    workbook.write(rows.sparkSession, sheets, f"{folder}/version={version}", by, ["source_filename", "file_id", "page_no", "id"])
+    return f"{folder}/version={version}"

@@ -109,3 +109,21 @@ def test_fact_is_pruned_by_scope(spark):
     assert spark.table(name).count() == 4000
     spark.sql(f"DROP TABLE {name}")
     assert uuid.UUID(name.removeprefix("invoice_rows_"))
+
+
+def test_uploads_cost_four_bytes(spark, tmp_path):
+    import hashlib
+
+    from ledgerloom.sources import uploads
+
+    for name, head, size in (("big.pdf", b"%PDF", 3 << 30), ("other.bin", b"PK\x03\x04", 3 << 30), ("small.pdf", b"%PDF-1.7 text", 13), ("empty.pdf", b"", 0), (".part", b"%PDF", 4)):
+        with (tmp_path / name).open("wb") as out:
+            out.write(head)
+            out.truncate(size)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "huge.pdf").open("wb").truncate(5 << 30)
+    found = {r["file_name"]: (r["length"], r["status"], r["sha256"]) for r in uploads.pdf_files(spark, str(tmp_path), 4 << 30).collect()}
+    assert found == {"big.pdf": (3 << 30, "accepted", None), "other.bin": (3 << 30, "rejected: no PDF", None), "small.pdf": (13, "accepted", None), "empty.pdf": (0, "rejected: no PDF", None), "huge.pdf": (5 << 30, "rejected: too large", None)}
+    one = uploads.pdf_files(spark, str(tmp_path), 100, digest=True).where("sha256 is not null").collect()
+    assert [(r["file_name"], r["sha256"]) for r in one] == [("small.pdf", hashlib.sha256(b"%PDF-1.7 text").hexdigest())]
+    assert uploads.pdf_files(spark, str(tmp_path / "sub"), 10).count() == 1

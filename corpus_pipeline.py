@@ -15,20 +15,32 @@ from ledgerloom.llm import decontaminate, language_id, packing, pii, simhash
 from ledgerloom.llm.common import written
 
 
+#: Rows that go to a Python worker at once. Texts are long: Spark's usual 10,000 hold tens of megabytes, in the executor and
+#: in each of its workers, which live on from stage to stage.
+ROWS = 1000
+
+
+def _lean(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language, or with one by too narrow a margin: null texts and those without letters, too. Rows
     that repeat stay or go together; where no row is labelled none has a language, and none stays."""
+    _lean(spark)
     return language_id.identified(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies, the one with the smallest doc_id: of rows that repeat one, of null and
     empty texts one. Rows without a doc_id stay."""
+    _lean(spark)
     return simhash.deduplicate(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark passages contaminate. Null and empty texts are clean; without items all rows stay."""
+    _lean(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -39,6 +51,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in windows of tokens: every row, a null or empty text as its end alone."""
+    _lean(spark)
     return packing.packed(docs)
 
 

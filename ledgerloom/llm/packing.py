@@ -26,8 +26,9 @@ from ledgerloom.llm.common import in_blocks, text_or_empty, written
 WINDOW = 1024
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: The characters of units whose ids a worker remembers at most, and those of a unit that is worth it.
-REMEMBERED, SHORT = 1_500_000, 64
+#: The characters of units whose ids a worker remembers at most, and those of a unit that is worth it; the bytes of texts that
+#: it encodes at once.
+REMEMBERED, SHORT, AT_ONCE = 1_500_000, 64, 1 << 20
 #: The pattern by which byte-level BPE splits text before it merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that is neither a space nor a line end.
@@ -152,7 +153,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path), np.array([END], dtype="<u4").tobytes()
         task = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(in_blocks(batches, "text")):
+        for number, batch in enumerate(in_blocks(batches, "text", AT_ONCE)):
             chunk, rank = task + number, [0] * (window + 1)
             out: list[list] = [[] for _ in names]
             texts = batch.column(1).cast(pa.string()).to_pylist()

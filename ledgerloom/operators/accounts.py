@@ -154,8 +154,8 @@ def prefilled(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.join(named, "row_id", "left").withColumn("supplier_name", F.coalesce("__named", "supplier_name")).select(*rows.columns)
 
 
-def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED) -> DataFrame:
-    """(row_id, field, hint_id): for each field of a row that may be filled, the newest saved region that is its supplier's on
+def hints_met(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED) -> DataFrame:
+    """(row_id, field_name, hint_id): for each field of a row that may be filled, the saved regions that are its supplier's on
     that page; regions kept under the supplier's id come before those kept under its name.
 
     rows: row_id, tenant, company, page_no, supplier_name, review_fields and the fields; hints: id, tenant, field_name, page_no,
@@ -170,5 +170,9 @@ def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_:
     live = hints.where("active").select("tenant", "page_no", F.col("id").alias("hint_id"), "field_name", "supplier_id", text.supplier_key(F.col("supplier_name_snapshot")).alias("norm"))
     by_id = asked.join(live.drop("norm"), ["tenant", "page_no", "supplier_id"]).select("row_id", "wanted", "field_name", "hint_id")
     by_name = asked.join(by_id.select("row_id").distinct(), "row_id", "left_anti").join(live.drop("supplier_id").where("norm <> ''"), ["tenant", "page_no", "norm"]).select("row_id", "wanted", "field_name", "hint_id")
-    met = by_id.unionByName(by_name).where(F.array_contains("wanted", F.col("field_name")))
-    return met.groupBy("row_id", F.col("field_name").alias("field")).agg(F.max("hint_id").alias("hint_id"))
+    return by_id.unionByName(by_name).where(F.array_contains("wanted", F.col("field_name"))).select("row_id", "field_name", "hint_id")
+
+
+def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED) -> DataFrame:
+    """(row_id, field, hint_id): the newest of `hints_met` for each field of a row."""
+    return hints_met(rows, hints, suppliers, fields_).groupBy("row_id", F.col("field_name").alias("field")).agg(F.max("hint_id").alias("hint_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, merging, pages, patterns, resolution, review, rules, state
+from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, merging, pages, patterns, regions, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,14 +385,76 @@ _HINTS = "SELECT p_partkey AS id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant
 _KNOWN = "SELECT p_partkey % 40 AS id, 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, p_brand AS company, p_name || ' Ltd' AS supplier_name FROM {part}"
 
 
-@query(f"""WITH r AS (SELECT *, {_key('supplier_name')} AS norm, list_filter([CASE WHEN coalesce(invoice_number, '') = '' THEN 'invoice_number' END, CASE WHEN review_fields IS NOT NULL OR length(description) < 3 THEN 'description' END, CASE WHEN invoice_date IS NULL THEN 'invoice_date' END, CASE WHEN coalesce(net_amount, 0) = 0 THEN 'net_amount' END, CASE WHEN vat_amount IS NULL THEN 'vat_amount' END, CASE WHEN review_fields IS NOT NULL THEN 'total_amount' END], lambda f: f IS NOT NULL) AS wanted FROM ({_PAGES})),
+_MET = f"""r AS (SELECT *, {_key('supplier_name')} AS norm, list_filter([CASE WHEN coalesce(invoice_number, '') = '' THEN 'invoice_number' END, CASE WHEN review_fields IS NOT NULL OR length(description) < 3 THEN 'description' END, CASE WHEN invoice_date IS NULL THEN 'invoice_date' END, CASE WHEN coalesce(net_amount, 0) = 0 THEN 'net_amount' END, CASE WHEN vat_amount IS NULL THEN 'vat_amount' END, CASE WHEN review_fields IS NOT NULL THEN 'total_amount' END], lambda f: f IS NOT NULL) AS wanted FROM ({_PAGES})),
 i AS (SELECT tenant, company, supplier_name, min(id) AS sid FROM ({_KNOWN}) GROUP BY 1, 2, 3), h AS (SELECT *, {_key('supplier_name_snapshot')} AS norm FROM ({_HINTS}) WHERE active), a AS (SELECT r.*, sid FROM r LEFT JOIN i USING (tenant, company, supplier_name) WHERE norm <> ''),
-x AS (SELECT a.row_id, a.wanted, h.field_name, h.id FROM a JOIN h ON h.tenant = a.tenant AND h.page_no = a.page_no AND h.supplier_id = sid), y AS (SELECT a.row_id, a.wanted, h.field_name, h.id FROM a JOIN h ON h.tenant = a.tenant AND h.page_no = a.page_no AND h.norm = a.norm WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.row_id = a.row_id))
-SELECT row_id, field_name AS field, max(id) AS hint_id FROM (SELECT * FROM x UNION ALL SELECT * FROM y) WHERE list_contains(wanted, field_name) GROUP BY 1, 2""")
+x AS (SELECT a.row_id, a.wanted, h.field_name, h.id FROM a JOIN h ON h.tenant = a.tenant AND h.page_no = a.page_no AND h.supplier_id = sid), y AS (SELECT a.row_id, a.wanted, h.field_name, h.id FROM a JOIN h ON h.tenant = a.tenant AND h.page_no = a.page_no AND h.norm = a.norm WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.row_id = a.row_id))"""
+
+
+@query(f"WITH {_MET} SELECT row_id, field_name AS field, max(id) AS hint_id FROM (SELECT * FROM x UNION ALL SELECT * FROM y) WHERE list_contains(wanted, field_name) GROUP BY 1, 2")
 def remap_hints(spark: SparkSession, d: str) -> DataFrame:
     return accounts.hints_for(made(spark, d, _PAGES), made(spark, d, _HINTS), made(spark, d, _KNOWN))
 
 
+# Words of one page for each part, and regions over one kind of them, all, or none.
+_box = lambda line, word, x0, y0, x1: f"SELECT p_partkey AS file_id, p_size % 3 AS page_no, {line} AS line_no, {word} AS word, CAST({x0} AS DOUBLE) AS x0, CAST({y0} AS DOUBLE) AS y0, CAST({x1} AS DOUBLE) AS x1, CAST({y0} AS DOUBLE) + CAST(0.02 AS DOUBLE) AS y1 FROM {{part}}"
+_BOXES = " UNION ALL ".join([_box(1, "'INV-' || CAST(p_partkey AS STRING)", 0.6, 0.1, 0.7), _box(2, "CAST(p_size AS STRING) || CASE WHEN p_size % 4 = 0 THEN ',50' ELSE '.5' END", 0.7, 0.3, 0.8), _box(3, "split_part(p_name, ' ', 2)", 0.2, 0.5, 0.3), _box(3, "split_part(p_name, ' ', 1)", 0.05, 0.5, 0.15), _box(4, "'0' || CAST(p_size % 9 + 1 AS STRING) || '/02/2026'", 0.5, 0.9, 0.6)])
+_at = lambda k, *places: ", ".join(f"CAST(CASE {k} {' '.join(f'WHEN {n} THEN {p[j]}' for n, p in enumerate(places))} END AS DOUBLE) AS {c}" for j, c in enumerate("xywh"))
+_SPOTS = [(0.58, 0.08, 0.2, 0.06), (0.68, 0.28, 0.2, 0.06), (0, 0.45, 0.4, 0.1), (0.45, 0.85, 0.2, 0.1), (0.9, 0.9, 0.05, 0.05), (0, 0, 1, 1)]
+_PLACED = f"SELECT h.*, {_at('(id + floor(id / 8)) % 6', *_SPOTS)} FROM ({_HINTS}) h"
+_said = lambda keys, regions: f"(SELECT {keys.replace('g.', '')}, CASE WHEN length(regexp_replace(t, '[^A-Za-z0-9]', '', 'g')) >= 2 THEN t END AS t FROM (SELECT {keys}, string_agg(b.word, ' ' ORDER BY line_no, x0) AS t FROM {regions} g JOIN ({_BOXES}) b ON b.file_id = g.file_id AND b.page_no = g.page_no AND (b.x0 + b.x1) / 2 BETWEEN g.x AND g.x + g.w AND (b.y0 + b.y1) / 2 BETWEEN g.y AND g.y + g.h GROUP BY ALL))"
+_worth = lambda f, t: f"CASE WHEN {f} IN ('net_amount', 'vat_amount', 'total_amount') THEN CAST(TRY_CAST(CASE WHEN regexp_matches({t}, '^[0-9]+,[0-9][0-9]$') THEN replace({t}, ',', '.') ELSE replace(replace({t}, ' ', ''), ',', '') END AS DECIMAL(14,2)) AS VARCHAR) WHEN {f} = 'invoice_date' THEN CASE WHEN regexp_matches({t}, '^[0-9][0-9]/[0-9][0-9]/[0-9]+$') THEN strftime(strptime({t}, '%d/%m/%Y'), '%Y-%m-%d') END ELSE {t} END"
+_FILLED = ("supplier_name", "invoice_number", "invoice_date", "net_amount", "vat_amount", "total_amount", "description")
+
+
+@query(f"""WITH {_MET}, g AS (SELECT z.row_id, z.row_id AS file_id, p.page_no, z.field_name, z.id, p.x, p.y, p.w, p.h FROM (SELECT * FROM x UNION ALL SELECT * FROM y) z JOIN ({_PLACED}) p ON p.id = z.id WHERE list_contains(wanted, z.field_name)),
+t AS (SELECT row_id, field_name, id, t, {_worth('field_name', 't')} AS v FROM {_said('g.row_id, g.field_name, g.id', 'g')}),
+best AS (SELECT row_id, field_name, arg_max(v, id) AS v FROM t WHERE v IS NOT NULL AND (field_name <> 'supplier_name' OR contains(t, ' ')) GROUP BY 1, 2)
+SELECT r.row_id, {', '.join(f"CAST(coalesce((SELECT v FROM best b WHERE b.row_id = r.row_id AND b.field_name = '{f}'), CAST(r.{f} AS VARCHAR)) AS VARCHAR) AS {f}" for f in _FILLED)} FROM ({_PAGES}) r""")
+def remap_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = made(spark, d, _PAGES).withColumn("file_id", F.col("row_id"))
+    found = regions.replayed(rows, made(spark, d, _PLACED), made(spark, d, _KNOWN), made(spark, d, _BOXES))
+    return found.select("row_id", *[F.col(f).cast("string").alias(f) for f in _FILLED])
+
+
+# Commands over the same pages: some without a row, some twice for a field, some with a text that was selected.
+_FIELD = "CASE p_partkey % 6 WHEN 0 THEN 'supplier_name' WHEN 1 THEN 'invoice_number' WHEN 2 THEN 'total_amount' WHEN 3 THEN 'invoice_date' WHEN 4 THEN 'description' ELSE 'secret' END"
+_command = lambda seq, spot, selected: f"SELECT CAST({seq} AS BIGINT) AS seq, CASE WHEN p_size % 17 = 0 THEN -p_partkey ELSE p_partkey END AS row_id, {_FIELD} AS field, p_size % 3 AS page_no, {_at(spot, *_SPOTS)}, {selected} AS selected_text, p_size % 5 <> 0 AS apply FROM {{part}}"
+_COMMANDS = f"{_command(1, '(p_partkey + p_size) % 6', 'CAST(NULL AS STRING)')} UNION ALL {_command(2, '(p_partkey * 5 + p_size) % 6', chr(39) + ' ' + chr(39) + ' || p_brand')} WHERE p_size % 4 = 0"
+_OVERLAID = "SELECT p_partkey AS row_id, 'Old ' || p_brand AS supplier_name, CAST(NULL AS STRING) AS invoice_number, CAST(NULL AS STRING) AS description, CASE WHEN p_size % 2 = 0 THEN CAST(p_size + 0.5 AS DECIMAL(14,2)) END AS total_amount, CAST(NULL AS DATE) AS invoice_date, CAST(NULL AS STRING) AS nominal_account_code, CAST(NULL AS DECIMAL(14,2)) AS net_amount, CAST(NULL AS DECIMAL(14,2)) AS vat_amount FROM {part} WHERE p_size % 3 = 0"
+_REMAPPED = f"""r AS ({_PAGES}), o AS ({_OVERLAID}), c AS (SELECT c.*, c.row_id AS file_id, max(seq) OVER (PARTITION BY c.row_id, field) AS last FROM ({_COMMANDS}) c),
+said AS {_said('g.seq, g.row_id, g.field', 'c')},
+e AS (SELECT c.*, coalesce(nullif(trim(selected_text), ''), CASE WHEN apply THEN said.t END) AS read_text, r.row_id IS NOT NULL AS there, r.tenant, r.company, r.supplier_name AS name,
+ CASE c.field WHEN 'supplier_name' THEN coalesce(o.supplier_name, r.supplier_name) WHEN 'invoice_number' THEN nullif(coalesce(o.invoice_number, r.invoice_number), '') WHEN 'total_amount' THEN CAST(coalesce(o.total_amount, r.total_amount) AS VARCHAR) WHEN 'invoice_date' THEN CAST(coalesce(o.invoice_date, r.invoice_date) AS VARCHAR) WHEN 'description' THEN coalesce(o.description, r.description) END AS old_value
+ FROM c LEFT JOIN r ON r.row_id = c.row_id LEFT JOIN o ON o.row_id = c.row_id LEFT JOIN said ON said.seq = c.seq AND said.row_id = c.row_id AND said.field = c.field),
+f AS (SELECT *, {_worth('field', 'read_text')} AS v FROM e),
+done AS (SELECT *, CASE WHEN NOT there OR field = 'secret' THEN 'ignored' WHEN seq < last THEN 'superseded' WHEN NOT apply THEN 'saved' WHEN read_text IS NULL THEN 'no text' WHEN v IS NULL THEN 'no value of this field' WHEN v IS NOT DISTINCT FROM old_value THEN 'unchanged' ELSE 'applied' END AS outcome FROM f)"""
+
+
+def _remaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = made(spark, d, _PAGES).withColumn("file_id", F.col("row_id"))
+    return rows, regions.remapped(rows, made(spark, d, _OVERLAID), made(spark, d, _COMMANDS), made(spark, d, _BOXES))
+
+
+@query(f"WITH {_REMAPPED} SELECT seq, row_id, field, read_text, CASE WHEN there THEN old_value END AS old_value, CASE WHEN apply THEN v END AS new_value, outcome FROM done")
+def remap_saved(spark: SparkSession, d: str) -> DataFrame:
+    return _remaps(spark, d)[1].select("seq", "row_id", "field", "read_text", "old_value", "new_value", "outcome")
+
+
+@query(f"""WITH {_REMAPPED}, held AS ({_PLACED}), k AS (SELECT tenant, supplier_name, company, min(id) AS sid FROM ({_KNOWN}) GROUP BY ALL),
+n AS (SELECT d.tenant, d.field AS field_name, d.name AS snapshot, d.page_no, arg_max({{'x': d.x, 'y': d.y, 'w': d.w, 'h': d.h, 'sid': k.sid}}, d.seq * 1000000 + d.row_id) AS a FROM done d LEFT JOIN k ON k.tenant = d.tenant AND k.company = d.company AND k.supplier_name = d.name WHERE outcome <> 'ignored' GROUP BY ALL),
+m AS (SELECT n.*, (SELECT min(id) FROM held WHERE held.tenant = n.tenant AND held.field_name = n.field_name AND held.supplier_name_snapshot IS NOT DISTINCT FROM n.snapshot AND held.page_no = n.page_no) AS id FROM n)
+SELECT held.id, held.field_name, coalesce(m.a.x, held.x) AS x, coalesce(m.a.h, held.h) AS h, coalesce(m.a.sid, held.supplier_id) AS supplier_id, held.active OR m.id IS NOT NULL AS active FROM held LEFT JOIN m ON m.id = held.id
+UNION ALL SELECT NULL, field_name, a.x, a.h, a.sid, true FROM m WHERE id IS NULL""")
+def remap_hints_saved(spark: SparkSession, d: str) -> DataFrame:
+    rows, done = _remaps(spark, d)
+    held = made(spark, d, _PLACED)
+    # A hint's last command is the one with the greatest seq, and of those the greatest row.
+    ordered = done.withColumn("seq", F.col("seq") * 1000000 + F.col("row_id"))
+    after = regions.saved_hints(held.withColumn("company", F.lit(None).cast("string")), rows, ordered, made(spark, d, _KNOWN))
+    known = held.select("id", F.lit(True).alias("__old"))
+    return after.join(known, "id", "left").select(F.when(F.col("__old"), F.col("id")).alias("id"), "field_name", "x", "h", "supplier_id", "active")
+
+
 # --- edits in order -----------------------------------------------------------------------------------------------------
 
 _SEQ = " UNION ALL ".join(

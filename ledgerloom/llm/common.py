@@ -92,8 +92,10 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces whose `column` (binary) has about `limit` bytes, or one row; empty pieces are left out."""
+    """The same rows in pieces whose `column` (binary) has about `limit` bytes, or one row; empty pieces are left out. What
+    Arrow keeps of batches that are done goes back to the system, as a worker lives on after its task."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         if not batch.num_rows:
             continue
         ends = np.cumsum(np.nan_to_num(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)).astype(np.int64))
@@ -103,3 +105,4 @@ def in_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <<
             last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ END = 0
 VOCABULARY = "byte_bpe_50k.json"
 #: The characters of units whose ids a worker remembers at most, and those of a unit that is worth it; the bytes of texts that
 #: it encodes at once.
-REMEMBERED, SHORT, AT_ONCE = 1_500_000, 64, 1 << 20
+REMEMBERED, SHORT, AT_ONCE = 600_000, 64, 1 << 20
 #: The pattern by which byte-level BPE splits text before it merges; a fixed value of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that is neither a space nor a line end.

@@ -2,13 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.shared import stored
 
 #: Below this confidence a row is in the reviewer's list of unsure rows.
 UNSURE = 0.7
 
 
+#: An order: columns with their directions, the last one unique. Nulls are the least values, so they come first in ascending
+#: order and last in descending order.
+Order = list[tuple[str, str]]
+
+
+def _sorted_by(order: Order) -> list[Column]:
+    return [F.asc_nulls_first(c) if way == "asc" else F.desc_nulls_last(c) for c, way in order]
+
+
+def following(rows: DataFrame, order: Order, last: dict | None = None, size: int = 50) -> DataFrame:
+    """The page of `size` rows after the row last (its values of the columns of order), or the first page. Only rows beyond last
+    are kept, and of those each task keeps `size`, so no page sorts the table."""
+    own = rows
+    if last is not None:
+        beyond, same = F.lit(False), F.lit(True)
+        for c, way in order:
+            value = F.lit(last[c]).cast(rows.schema[c].dataType)
+            more = (F.col(c) > value) if way == "asc" else (F.col(c) < value)
+            step = F.coalesce(more, F.lit(False)) | ((value.isNull() & F.col(c).isNotNull()) if way == "asc" else (value.isNotNull() & F.col(c).isNull()))
+            beyond, same = beyond | (same & step), same & F.col(c).eqNullSafe(value)
+        own = rows.where(beyond)
+    return own.orderBy(*_sorted_by(order)).limit(size)
+
+
+def numbered(rows: DataFrame, order: Order, size: int = 50) -> DataFrame:
+    """rows with `page`, from 0 on, of a listing in this order. Rows are sorted over ranges of the order; each range is counted,
+    and a row's place is its place in its range and the rows in those before: no window over all rows."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("__range", T.LongType()), T.StructField("__at", T.LongType())])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = 0, TaskContext.get().partitionId()
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([own] * n, pa.int64()), pa.array(range(at, at + n), pa.int64())], names=[*batch.schema.names, "__range", "__at"])
+            at += n
+
+    ways = _sorted_by(order)
+    ranged = stored(rows.repartitionByRange(*ways).sortWithinPartitions(*ways).mapInArrow(placed, schema), "listing")
+    counts = {r["__range"]: r["n"] for r in ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    before, first = {}, 0
+    for k in sorted(counts):
+        before[k], first = first, first + counts[k]
+    if not before:
+        return ranged.select(*rows.columns, F.lit(0).cast("long").alias("page"))
+    ahead = rows.sparkSession.createDataFrame(list(before.items()), "__range long, __before long")
+    return ranged.join(F.broadcast(ahead), "__range").select(*rows.columns, F.floor((F.col("__before") + F.col("__at")) / size).alias("page"))
+
+
 def like(column: str, term: str) -> Column:
     """Whether the term stands in the column, in any case; signs that patterns give a meaning have none."""
     return F.coalesce(F.contains(F.lower(column), F.lit(term.lower())), F.lit(False))

@@ -91,3 +91,39 @@ def clashes(rules: DataFrame, updates: DataFrame) -> DataFrame:
     held = rules.select(F.col("id").alias("__id"), *IDENTITY)
     met = wanted.join(held, IDENTITY).where(F.col("id") != F.col("__id")).select("id").distinct().withColumn("__met", F.lit(True))
     return wanted.join(met, "id", "left").select("id", *IDENTITY, F.coalesce("__met", F.lit(False)).alias("clashes"))
+
+
+def updated(rules: DataFrame, commands: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcomes, rules) after commands, one for each rule: id, tenant (whose user asks; null: an admin), action (update, enable,
+    disable or delete), source_pattern, target_value, active, applies_to (all_companies or this_company) and company.
+
+    Outcomes: done; not found; rejected, and why; clash, where another rule as it was has the new identity. An update keeps
+    what it does not name; patterns are stored in lower case with single blanks. companies: tenant, company.
+    """
+    held = rules.select("id", *IDENTITY).withColumnsRenamed({c: f"__{c}" for c in IDENTITY})
+    joined = commands.alias("c").join(held.alias("r"), F.col("c.id") == F.col("r.id"), "left").select("c.*", "r.__tenant", "r.__rule_type", "r.__field_name", "r.__source_pattern", "r.__target_value", F.col("r.id").isNotNull().alias("__there"))
+    own = companies.select(F.col("tenant").alias("__tenant"), F.col("company").alias("company"), F.lit(True).alias("__own")).distinct()
+    asked = joined.join(own, ["__tenant", "company"], "left")
+    src = F.lower(F.trim(F.regexp_replace(F.coalesce(F.nullif("source_pattern", F.lit("")), "__source_pattern"), r"\s+", " ")))
+    tgt = F.trim(F.coalesce(F.nullif("target_value", F.lit("")), "__target_value", F.lit("")))
+    asked = asked.withColumns({"__src": src, "__tgt": tgt})
+    others = rules.select(F.col("id").alias("__other"), F.col("tenant").alias("__tenant"), F.col("rule_type").alias("__rule_type"), F.col("field_name").alias("__field_name"), F.col("source_pattern").alias("__src"), F.col("target_value").alias("__tgt"))
+    met = asked.where("action = 'update'").join(others, ["__tenant", "__rule_type", "__field_name", "__src", "__tgt"]).where(F.col("id") != F.col("__other")).select("id", F.lit(True).alias("__clash")).distinct()
+    judged = asked.join(met, "id", "left")
+    update, narrow = F.col("action") == "update", F.col("applies_to") == "this_company"
+    outcome = (
+        F.when(~F.col("__there") | ~F.coalesce(F.col("tenant") == F.col("__tenant"), F.col("tenant").isNull()), "not found").when(~update, F.when(F.col("action").isin("enable", "disable", "delete"), "done").otherwise("rejected: no such action"))
+        .when(F.col("__src") == "", "rejected: blank pattern").when(F.col("__tgt") == "", "rejected: blank target").when(F.col("__src") == F.lower("__tgt"), "rejected: no effect").when(F.col("__clash"), "clash")
+        .when(F.col("applies_to").isNotNull() & ~F.col("applies_to").isin("this_company", "all_companies"), "rejected: no such scope").when(narrow & F.col("company").isNull(), "rejected: no company")
+        .when(narrow & F.col("tenant").isNotNull() & F.col("__own").isNull(), "rejected: not a company of the tenant").otherwise("done")
+    )
+    done = judged.withColumn("outcome", outcome)
+    changes = done.where("outcome = 'done'").select("id", F.struct("action", "__src", "__tgt", F.col("active").alias("on"), "applies_to", F.col("company").alias("to")).alias("__d"))
+    out = rules.join(changes, "id", "left").where("__d is null or __d.action <> 'delete'")
+    change = F.coalesce(F.col("__d.action") == "update", F.lit(False))
+    new = {
+        "source_pattern": F.when(change, F.col("__d.__src")).otherwise(F.col("source_pattern")), "target_value": F.when(change, F.col("__d.__tgt")).otherwise(F.col("target_value")),
+        "active": F.when(F.col("__d.action") == "enable", True).when(F.col("__d.action") == "disable", False).when(change, F.coalesce("__d.on", "active")).otherwise(F.col("active")),
+        "company": F.when(change & (F.col("__d.applies_to") == "all_companies"), F.lit(None)).when(change & (F.col("__d.applies_to") == "this_company"), F.col("__d.to")).otherwise(F.col("company")),
+    }
+    return done.select(*commands.columns, "outcome"), out.select(*[new[c].alias(c) if c in new else F.col(c) for c in rules.columns])

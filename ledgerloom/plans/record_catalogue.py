@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, text
-from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, merging, pages, patterns, regions, resolution, review, rules, state
+from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, master_data, merging, pages, patterns, regions, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -455,6 +455,54 @@ def remap_hints_saved(spark: SparkSession, d: str) -> DataFrame:
     return after.join(known, "id", "left").select(F.when(F.col("__old"), F.col("id")).alias("id"), "field_name", "x", "h", "supplier_id", "active")
 
 
+# --- listings and upkeep -------------------------------------------------------------------------------------------------
+
+_LISTED = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority FROM {orders}"
+
+
+@query(f"SELECT o_orderkey, CAST((row_number() OVER (ORDER BY day DESC NULLS LAST, priority ASC NULLS FIRST, o_orderkey DESC) - 1) // 50 AS BIGINT) AS page FROM ({_LISTED})")
+def listing_pages(spark: SparkSession, d: str) -> DataFrame:
+    return listing.numbered(made(spark, d, _LISTED), [("day", "desc"), ("priority", "asc"), ("o_orderkey", "desc")]).select("o_orderkey", "page")
+
+
+_UPDATES = """SELECT p_partkey AS id, CASE WHEN p_size % 11 = 0 THEN 'T9' WHEN p_size % 4 <> 0 THEN 'T' || CAST(p_partkey % 2 AS STRING) END AS tenant, CASE p_size % 6 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' WHEN 2 THEN 'delete' ELSE 'update' END AS action,
+CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN upper(p_name) || '  LTD ' WHEN 2 THEN '  ' WHEN 3 THEN p_brand END AS source_pattern, CASE p_size % 7 WHEN 0 THEN 'small' WHEN 1 THEN p_brand WHEN 2 THEN '' END AS target_value, CASE WHEN p_size % 3 = 0 THEN p_size % 2 = 0 END AS active, CASE p_partkey % 5 WHEN 0 THEN 'all_companies' WHEN 1 THEN 'this_company' WHEN 2 THEN 'some' WHEN 3 THEN 'this_company' END AS applies_to, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS company FROM {part} WHERE p_partkey % 3 <> 1 UNION ALL SELECT -p_partkey, 'T1', 'delete', NULL, NULL, NULL, NULL, NULL FROM {part} WHERE p_size = 3"""
+_OWNED = "SELECT DISTINCT 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, p_brand AS company FROM {part} WHERE p_size % 2 = 0"
+_UPDATED = f"""rules AS ({_RULES}), u AS ({_UPDATES}), own AS ({_OWNED}), j AS (SELECT u.*, r.id IS NOT NULL AS there, r.tenant AS rt, r.rule_type AS rr, r.field_name AS rf, lower(trim(regexp_replace(coalesce(nullif(u.source_pattern, ''), r.source_pattern), '\s+', ' ', 'g'))) AS src, trim(coalesce(nullif(u.target_value, ''), r.target_value, '')) AS tgt FROM u LEFT JOIN rules r ON r.id = u.id),
+o AS (SELECT *, CASE WHEN NOT there OR tenant IS NOT NULL AND tenant <> rt THEN 'not found' WHEN action <> 'update' THEN 'done' WHEN src = '' THEN 'rejected: blank pattern' WHEN tgt = '' THEN 'rejected: blank target' WHEN src = lower(tgt) THEN 'rejected: no effect' WHEN EXISTS (SELECT 1 FROM rules x WHERE x.id <> j.id AND x.tenant = rt AND x.rule_type = rr AND x.field_name = rf AND x.source_pattern = src AND x.target_value = tgt) THEN 'clash'
+ WHEN applies_to NOT IN ('this_company', 'all_companies') THEN 'rejected: no such scope' WHEN applies_to = 'this_company' AND company IS NULL THEN 'rejected: no company' WHEN applies_to = 'this_company' AND tenant IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.tenant = rt AND own.company = j.company) THEN 'rejected: not a company of the tenant' ELSE 'done' END AS outcome FROM j)"""
+
+
+def _upkeep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return rules.updated(made(spark, d, _RULES), made(spark, d, _UPDATES), made(spark, d, _OWNED))
+
+
+@query(f"WITH {_UPDATED} SELECT id, action, outcome FROM o")
+def rule_updates(spark: SparkSession, d: str) -> DataFrame:
+    return _upkeep(spark, d)[0].select("id", "action", "outcome")
+
+
+@query(f"""WITH {_UPDATED}, k AS (SELECT * FROM o WHERE outcome = 'done') SELECT r.id, CASE WHEN k.action = 'update' THEN k.src ELSE r.source_pattern END AS source_pattern, CASE WHEN k.action = 'update' THEN k.tgt ELSE r.target_value END AS target_value, CASE k.action WHEN 'enable' THEN true WHEN 'disable' THEN false WHEN 'update' THEN coalesce(k.active, r.active) ELSE r.active END AS active,
+CASE WHEN k.action = 'update' AND k.applies_to = 'all_companies' THEN NULL WHEN k.action = 'update' AND k.applies_to = 'this_company' THEN k.company ELSE r.company END AS company FROM rules r LEFT JOIN k ON k.id = r.id WHERE k.action IS NULL OR k.action <> 'delete'""")
+def rules_after_updates(spark: SparkSession, d: str) -> DataFrame:
+    return _upkeep(spark, d)[1].select("id", "source_pattern", "target_value", "active", "company")
+
+
+# New suppliers: of a name or a code that others of the batch want too, in chains where one that is rejected frees the next.
+_NEW_SUPPLIERS = "SELECT p_partkey AS seq, p_brand AS company, CASE WHEN p_size % 19 <> 0 THEN split_part(p_name, ' ', 1) || CAST(p_partkey % 60 AS STRING) ELSE ' ' END AS supplier_name, CASE WHEN p_size % 6 <> 0 THEN 'A' || CAST((p_partkey + p_size) % 45 AS STRING) END AS account_code, CASE p_size % 10 WHEN 0 THEN 'odd' WHEN 1 THEN 'inactive' ELSE 'active' END AS status FROM {part}"
+_OLD_SUPPLIERS = "SELECT p_brand AS company, upper(split_part(p_name, ' ', 1)) || CAST(p_partkey % 60 AS STRING) AS supplier_name, 'B' || CAST(p_partkey AS STRING) AS account_code, 'active' AS status FROM {part} WHERE p_size = 7 UNION ALL SELECT p_brand, 'x' || CAST(p_partkey AS STRING), 'a' || CAST(p_size AS STRING), 'active' FROM {part} WHERE p_partkey % 50 = 0"
+
+
+@query(f"""WITH RECURSIVE old AS ({_OLD_SUPPLIERS}), new AS (SELECT *, CASE WHEN trim(supplier_name) = '' THEN 'rejected: supplier_name is blank' WHEN status NOT IN ('active', 'inactive') THEN 'rejected: status has no such value' END AS bar, lower(trim(supplier_name)) AS n, lower(account_code) AS c FROM ({_NEW_SUPPLIERS})),
+fit AS (SELECT *, row_number() OVER (PARTITION BY company ORDER BY seq) AS k FROM (SELECT *, EXISTS (SELECT 1 FROM old WHERE old.company = new.company AND (lower(old.supplier_name) = n OR lower(old.account_code) = c)) AS taken FROM new WHERE bar IS NULL) WHERE NOT taken),
+go(company, k, seq, ok, keys) AS (SELECT DISTINCT company, 0::BIGINT, -1::BIGINT, false, CAST([] AS VARCHAR[]) FROM fit UNION ALL SELECT company, k, seq, ok, CASE WHEN ok THEN list_concat(keys, mine) ELSE keys END FROM (SELECT f.company, f.k, f.seq, g.keys, list_filter(['n' || f.n, 'c' || f.c], lambda x: x IS NOT NULL) AS mine, NOT list_has_any(g.keys, list_filter(['n' || f.n, 'c' || f.c], lambda x: x IS NOT NULL)) AS ok FROM go g JOIN fit f ON f.company = g.company AND f.k = g.k + 1))
+SELECT new.seq, coalesce(bar, CASE WHEN go.seq IS NULL THEN 'taken' WHEN go.ok THEN 'admitted' ELSE 'taken in the batch' END) AS outcome FROM new LEFT JOIN go ON go.seq = new.seq""")
+def new_suppliers(spark: SparkSession, d: str) -> DataFrame:
+    key = master_data.key_of
+    told, _ = master_data.created(made(spark, d, _OLD_SUPPLIERS), made(spark, d, _NEW_SUPPLIERS), [key("company", "supplier_name"), key("company", "account_code")], ("supplier_name",), {"status": ["active", "inactive"]})
+    return told.select("seq", "outcome")
+
+
 # --- edits in order -----------------------------------------------------------------------------------------------------
 
 _SEQ = " UNION ALL ".join(

@@ -122,7 +122,10 @@ def amounts(line: Column) -> Column:
     return F.array_compact(F.transform(found, lambda x: plain(x).try_cast("decimal(14,2)")))
 
 
-def first_amount(value: Column) -> Column:
+def first_amount(value: Column, number: bool = False) -> Column:
+    """The first amount of a text; of a number itself, with two decimals, if it is above zero."""
+    if number:
+        return F.when(value > 0, F.round(value, 2).cast("decimal(14,2)"))
     return F.try_element_at(amounts(value), F.lit(1))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import state
+from ledgerloom.operators import listing, state
+from ledgerloom.shared import stored
 
 MONEY = "decimal(14,2)"
 #: The fields that a person may correct.
@@ -139,6 +140,32 @@ def deposits_split(rows: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFr
     outcomes = judged.select("row_id", "amount", "outcome", total.alias("old_total"), F.when(F.col("outcome") == "applied", left).alias("new_total"))
     bare = F.trim(F.coalesce("description", F.lit("")))
     title = F.when((bare != "") & ~F.contains(F.lower(bare), F.lit("bcrs")), F.concat(bare, F.lit(" - BCRS"))).otherwise(F.coalesce(F.nullif(bare, F.lit("")), F.lit("BCRS")))
-    new = {"net_amount": F.col("amount"), "vat_amount": F.lit(0), "total_amount": F.col("amount"), "description": title, "review_required": F.lit(False)}
-    made = judged.where("outcome = 'applied'").select(*[new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in rows.dtypes], F.lit("manual_bcrs_split").alias("review_reasons"))
+    fixed = {
+        "net_amount": F.col("amount"), "vat_amount": F.lit(0), "total_amount": F.col("amount"), "description": title, "review_required": F.lit(False), "line_items_raw": F.lit("BCRS surcharge"), "validation_status": F.lit("manual"),
+        "review_priority": F.lit(None), "review_fields": F.lit(None), "review_reasons": F.lit("manual_bcrs_split"), "auto_approved": F.lit(False), "method_used": F.concat(F.coalesce("method_used", F.lit("")), F.lit("+bcrs_manual")) if "method_used" in rows.columns else F.lit("+bcrs_manual"),
+    }
+    more = [fixed[c].cast("string").alias(c) for c in ("review_reasons", "validation_status", "method_used", "line_items_raw") if c not in rows.columns]
+    made = judged.where("outcome = 'applied'").select(*[fixed[c].cast(t).alias(c) if c in fixed else F.col(c) for c, t in rows.dtypes], *more)
     return outcomes, made
+
+
+def split_applied(rows: DataFrame, corrections: DataFrame, asked: DataFrame) -> dict[str, DataFrame]:
+    """The state after `deposits_split`: outcomes with the new rows' ids; `made`, the new rows under ids after the last, in the order
+    of their sources; `rows`, where a split row has its new total and no review mark; corrections with that total, marked as
+    reviewed; and two audit rows for each split. asked: row_id (once), amount. corrections: row_id, total_amount,
+    reviewed_fields and others."""
+    outcomes, made = deposits_split(rows, asked)
+    done = listing.numbered(outcomes.where("outcome = 'applied'").select("row_id", "amount", "old_total", "new_total"), [("row_id", "asc")], 1)
+    last = rows.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("__last"))  # one row
+    ids = stored(done.join(F.broadcast(last), F.lit(True)).select("row_id", "amount", "old_total", "new_total", (F.col("__last") + 1 + F.col("page")).alias("new_row_id")), "splits")
+    fresh = made.join(ids.select("row_id", "new_row_id"), "row_id").withColumn("row_id", F.col("new_row_id")).select(*made.columns)
+    totals = ids.select("row_id", F.col("new_total").alias("__total"))
+    split = F.col("__total").isNotNull()
+    new = {"total_amount": F.coalesce("__total", "total_amount"), "review_required": F.when(split, False).otherwise(F.col("review_required")) if "review_required" in rows.columns else None, "review_priority": F.when(~split, F.col("review_priority")) if "review_priority" in rows.columns else None}
+    after = rows.join(totals, "row_id", "left").select(*[new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in rows.dtypes])
+    told = {"total_amount": F.coalesce("__total", "total_amount"), "reviewed_fields": F.when(split, merged_fields(F.col("reviewed_fields"), F.lit("total_amount"))).otherwise(F.col("reviewed_fields"))}
+    fixes = corrections.join(totals, "row_id", "full").select(*[told[c].cast(t).alias(c) if c in told else F.col(c) for c, t in corrections.dtypes])
+    source = ids.select("row_id", F.lit("total_amount").alias("field_name"), F.col("old_total").cast("string").alias("old_value"), F.col("new_total").cast("string").alias("new_value"), F.lit("bcrs_split_source").alias("action"))
+    note = F.concat(F.lit("bcrs_split from row "), F.col("row_id").cast("string"), F.lit(" (amount="), F.col("amount").cast("string"), F.lit(")"))
+    there = ids.select(F.col("new_row_id").alias("row_id"), F.lit("_action").alias("field_name"), F.lit(None).cast("string").alias("old_value"), note.alias("new_value"), F.lit("bcrs_split_created").alias("action"))
+    return {"outcomes": outcomes.join(ids.select("row_id", "new_row_id"), "row_id", "left"), "made": fresh, "rows": after, "corrections": fixes, "audit": source.unionByName(there)}

@@ -99,7 +99,7 @@ def invoice_number(page: Column) -> Column:
         runs = F.regexp_extract_all(line, F.lit(r"(?i)[A-Z0-9][A-Z0-9/\-_.]*+"), F.lit(0))
         return F.filter(runs, lambda t: t.rlike(r"^.[^0-9]*[0-9]") & F.length(t).between(2, 30) & ~t.rlike(r"^(?:19|20)[0-9]{2}$") & ~t.rlike(REJECT))
 
-    head = F.slice(F.split(F.coalesce(page, F.lit("")), r"\r\n|[\n\r]"), 1, HEAD_LINES)
+    head = F.slice(F.split(F.coalesce(page, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), 1, HEAD_LINES)
 
     def after(line: Column, i: Column, lines: Column) -> Column:
         labelled = line.rlike(f"(?i){LABEL}") & ~F.regexp_extract(line, f"(?i)^(.*?){LABEL}", 1).rlike(REJECT)

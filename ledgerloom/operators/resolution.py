@@ -60,7 +60,9 @@ def merged_patterns(stored: DataFrame, headers: DataFrame, seen: str, most: int
 
 
 def match_patterns(headers: DataFrame, patterns: DataFrame, shared: int = 3, share: float = 0.5) -> DataFrame:
-    """Each header (id, header) with the supplier whose pattern it covers best: at least `shared` words and `share` of it."""
+    """Each header (id, header) with the supplier whose pattern it covers best: at least `shared` words and `share` of it. Where
+    patterns have is_active, those of suppliers that are not take no part."""
+    patterns = patterns.where("is_active") if "is_active" in patterns.columns else patterns
     words = headers.select("id", F.explode(text.keywords(F.col("header"))).alias("w"))
     known = patterns.select("supplier_name", F.size("keywords").alias("size"), F.explode("keywords").alias("w"))
     counts = words.join(known, "w").groupBy("id", "supplier_name").agg(F.count("*").alias("n"), F.first("size").alias("size"))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions import dates, text
+from ledgerloom.functions import dates, fields, text
 from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, master_data, merging, pages, patterns, regions, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
@@ -455,6 +455,77 @@ def remap_hints_saved(spark: SparkSession, d: str) -> DataFrame:
     return after.join(known, "id", "left").select(F.when(F.col("__old"), F.col("id")).alias("id"), "field_name", "x", "h", "supplier_id", "active")
 
 
+# --- small functions and the manual split -------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size * 1000 + 0.5 END AS DOUBLE) AS said, CAST(CASE WHEN p_retailprice - 1000 > 0 THEN round(CAST(p_retailprice - 1000 AS DECIMAL(14,2)), 2) END AS DOUBLE) AS number FROM part")
+def first_amounts(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("p_size") % 3 == 0, F.lit("no sum")).when(F.col("p_size") % 3 == 1, F.concat(F.lit("pay "), F.format_number(F.col("p_size") * 1000 + 0.5, 2), F.lit(" or 7.00"))).otherwise(F.concat(F.lit("Total EUR "), (F.col("p_size") * 1000).cast("string"), F.lit(".50")))
+    number = fields.first_amount((F.col("p_retailprice") - 1000).cast("decimal(14,2)"), number=True)
+    return table(spark, d, "part").select("p_partkey", fields.first_amount(said).cast("double").alias("said"), number.cast("double").alias("number"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE strftime(o_orderdate, '%d/%m/%Y') END AS printed FROM orders")
+def printed_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", dates.format_date(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate").cast("date"))).alias("printed"))
+
+
+@query(r"SELECT doc_id, CASE WHEN t = '' THEN 'Export' ELSE t END AS sheet FROM (SELECT doc_id, trim(substring(regexp_replace(s, '[\\/*?:\[\]]', '_', 'g'), 1, 31)) AS t FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE 'a:b/c[' || replace(coalesce(text, ''), chr(10), '?') END AS s FROM documents))")
+def sheet_names(spark: SparkSession, d: str) -> DataFrame:
+    said = F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.concat(F.lit("a:b/c["), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("?"))))
+    return table(spark, d, "documents").select("doc_id", fields.sheet_name(said).alias("sheet"))
+
+
+_PART_ROWS = "SELECT p_partkey AS row_id, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size AS DECIMAL(14,2)) END AS net_amount, CASE WHEN p_size % 3 = 0 THEN CAST(1 AS DECIMAL(14,2)) END AS vat_amount, CASE WHEN p_size % 5 = 0 THEN CAST(9 AS DECIMAL(14,2)) END AS total_amount, CAST(p_size * 0.02 AS DECIMAL(5,2)) AS confidence FROM {part}"
+
+
+@query(f"SELECT row_id, CAST(CASE WHEN total_amount IS NULL AND vat_amount IS NULL THEN net_amount ELSE total_amount END AS DOUBLE) AS total_amount, CASE WHEN confidence >= 0.8 THEN 'complete' WHEN confidence >= 0.5 THEN 'partial' ELSE 'review_required' END AS status FROM ({_PART_ROWS})")
+def extraction_states(spark: SparkSession, d: str) -> DataFrame:
+    return pages.total_from_net(made(spark, d, _PART_ROWS)).select("row_id", F.col("total_amount").cast("double").alias("total_amount"), fields.extraction_status(F.col("confidence")).alias("status"))
+
+
+@query("SELECT doc_id, array_to_string(l[1:12], chr(10)) AS header_raw, array_to_string(l[-10:], chr(10)) AS totals_raw, substring(text, 1, 20000) AS page_text_raw FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)")
+def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
+    return pages.evidence(table(spark, d, "documents").select("doc_id", F.col("text").alias("page_text"))).select("doc_id", "header_raw", "totals_raw", "page_text_raw")
+
+
+_SAVED = f"""ch AS (SELECT row_id, field, value, row_id % 2 = 0 AS save FROM ({_CHANGES})), kept AS (SELECT c.row_id, c.field, c.value, u.tenant, u.company, lower(trim(CASE WHEN c.field = 'supplier_name' THEN u.supplier_name ELSE u.nominal_account_code END)) AS src FROM ch c JOIN u ON u.row_id = c.row_id WHERE save AND c.field IN ('supplier_name', 'nominal_account_code'))"""
+
+
+@query(f"WITH u AS ({_UNIQUE}), {_SAVED} SELECT tenant, company, CASE WHEN field = 'supplier_name' THEN 'supplier_alias' ELSE 'nominal_remap' END AS rule_type, field AS field_name, src AS source_pattern, trim(value) AS target_value, row_id AS origin_row_id FROM kept WHERE value <> '' AND src <> '' AND src <> lower(trim(value))")
+def rules_from_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Every change counts as applied here; field_changes tells which are."""
+    done = made(spark, d, _CHANGES).select("row_id", "field", F.nullif("value", F.lit("")).alias("new_value"), (F.col("row_id") % 2 == 0).alias("save"), F.lit("applied").alias("outcome"))
+    return edits.wanted_rules(made(spark, d, _UNIQUE), done)
+
+
+_SPLIT = f"""u AS ({_UNIQUE}), c AS ({_FIXES}), a AS (SELECT row_id, CAST(CASE row_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 12.5 ELSE 60000 END AS DECIMAL(14,2)) AS amount FROM u),
+s AS (SELECT u.*, a.amount, greatest(total_amount - amount, net_amount) AS new_total, row_number() OVER (ORDER BY u.row_id) + (SELECT max(row_id) FROM u) AS new_id FROM u JOIN a ON a.row_id = u.row_id WHERE amount > 0 AND NOT (total_amount > 0 AND amount >= total_amount))"""
+
+
+def _split(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    rows, fixes = made(spark, d, _UNIQUE), made(spark, d, _FIXES)
+    key = F.col("row_id") % 3
+    return edits.split_applied(rows, fixes, rows.select("row_id", F.when(key == 0, 0.0).when(key == 1, 12.5).otherwise(60000.0).alias("amount")))
+
+
+@query(f"WITH {_SPLIT} SELECT row_id, CAST(total_amount AS DOUBLE) AS total_amount, review_required, 'source' AS kind FROM (SELECT u.row_id, coalesce(s.new_total, u.total_amount) AS total_amount, CASE WHEN s.row_id IS NOT NULL THEN false ELSE u.review_required END AS review_required FROM u LEFT JOIN s ON s.row_id = u.row_id) UNION ALL SELECT new_id, CAST(amount AS DOUBLE), false, 'manual+bcrs_manual' FROM s")
+def rows_after_splits(spark: SparkSession, d: str) -> DataFrame:
+    done = _split(spark, d)
+    shown = lambda df, kind: df.select("row_id", F.col("total_amount").cast("double").alias("total_amount"), "review_required", kind.alias("kind"))
+    return shown(done["rows"], F.lit("source")).unionByName(shown(done["made"], F.concat("validation_status", "method_used")))
+
+
+@query(f"WITH {_SPLIT} SELECT row_id, 'total_amount' AS field_name, CAST(total_amount AS VARCHAR) AS old_value, CAST(new_total AS VARCHAR) AS new_value, 'bcrs_split_source' AS action FROM s UNION ALL SELECT new_id, '_action', NULL, 'bcrs_split from row ' || row_id || ' (amount=' || amount || ')', 'bcrs_split_created' FROM s")
+def split_audit(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d)["audit"]
+
+
+@query(f"WITH {_SPLIT} SELECT coalesce(c.row_id, s.row_id) AS row_id, CAST(coalesce(s.new_total, c.total_amount) AS DOUBLE) AS total_amount, CASE WHEN s.row_id IS NULL THEN c.reviewed_fields ELSE array_to_string(list_sort(list_distinct(list_append(list_filter(string_split(coalesce(c.reviewed_fields, ''), ','), lambda x: x <> ''), 'total_amount'))), ',') END AS reviewed_fields FROM c FULL JOIN s ON s.row_id = c.row_id")
+def corrections_after_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d)["corrections"].select("row_id", F.col("total_amount").cast("double").alias("total_amount"), "reviewed_fields")
+
+
 # --- listings and upkeep -------------------------------------------------------------------------------------------------
 
 _LISTED = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderpriority END AS priority FROM {orders}"
@@ -468,7 +539,7 @@ def listing_pages(spark: SparkSession, d: str) -> DataFrame:
 _UPDATES = """SELECT p_partkey AS id, CASE WHEN p_size % 11 = 0 THEN 'T9' WHEN p_size % 4 <> 0 THEN 'T' || CAST(p_partkey % 2 AS STRING) END AS tenant, CASE p_size % 6 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' WHEN 2 THEN 'delete' ELSE 'update' END AS action,
 CASE p_size % 5 WHEN 0 THEN '' WHEN 1 THEN upper(p_name) || '  LTD ' WHEN 2 THEN '  ' WHEN 3 THEN p_brand END AS source_pattern, CASE p_size % 7 WHEN 0 THEN 'small' WHEN 1 THEN p_brand WHEN 2 THEN '' END AS target_value, CASE WHEN p_size % 3 = 0 THEN p_size % 2 = 0 END AS active, CASE p_partkey % 5 WHEN 0 THEN 'all_companies' WHEN 1 THEN 'this_company' WHEN 2 THEN 'some' WHEN 3 THEN 'this_company' END AS applies_to, CASE WHEN p_partkey % 3 <> 0 THEN p_brand END AS company FROM {part} WHERE p_partkey % 3 <> 1 UNION ALL SELECT -p_partkey, 'T1', 'delete', NULL, NULL, NULL, NULL, NULL FROM {part} WHERE p_size = 3"""
 _OWNED = "SELECT DISTINCT 'T' || CAST(p_partkey % 2 AS STRING) AS tenant, p_brand AS company FROM {part} WHERE p_size % 2 = 0"
-_UPDATED = f"""rules AS ({_RULES}), u AS ({_UPDATES}), own AS ({_OWNED}), j AS (SELECT u.*, r.id IS NOT NULL AS there, r.tenant AS rt, r.rule_type AS rr, r.field_name AS rf, lower(trim(regexp_replace(coalesce(nullif(u.source_pattern, ''), r.source_pattern), '\s+', ' ', 'g'))) AS src, trim(coalesce(nullif(u.target_value, ''), r.target_value, '')) AS tgt FROM u LEFT JOIN rules r ON r.id = u.id),
+_UPDATED = f"""rules AS ({_RULES}), u AS ({_UPDATES}), own AS ({_OWNED}), j AS (SELECT u.*, r.id IS NOT NULL AS there, r.tenant AS rt, r.rule_type AS rr, r.field_name AS rf, lower(trim(regexp_replace(coalesce(nullif(u.source_pattern, ''), r.source_pattern), '\\s+', ' ', 'g'))) AS src, trim(coalesce(nullif(u.target_value, ''), r.target_value, '')) AS tgt FROM u LEFT JOIN rules r ON r.id = u.id),
 o AS (SELECT *, CASE WHEN NOT there OR tenant IS NOT NULL AND tenant <> rt THEN 'not found' WHEN action <> 'update' THEN 'done' WHEN src = '' THEN 'rejected: blank pattern' WHEN tgt = '' THEN 'rejected: blank target' WHEN src = lower(tgt) THEN 'rejected: no effect' WHEN EXISTS (SELECT 1 FROM rules x WHERE x.id <> j.id AND x.tenant = rt AND x.rule_type = rr AND x.field_name = rf AND x.source_pattern = src AND x.target_value = tgt) THEN 'clash'
  WHEN applies_to NOT IN ('this_company', 'all_companies') THEN 'rejected: no such scope' WHEN applies_to = 'this_company' AND company IS NULL THEN 'rejected: no company' WHEN applies_to = 'this_company' AND tenant IS NOT NULL AND NOT EXISTS (SELECT 1 FROM own WHERE own.tenant = rt AND own.company = j.company) THEN 'rejected: not a company of the tenant' ELSE 'done' END AS outcome FROM j)"""
 
@@ -621,11 +692,10 @@ def next_export_version(spark: SparkSession, d: str) -> DataFrame:
     return analytics.next_version(made(spark, d, _BATCHES).select("batch_id"), exports)
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN (SELECT DISTINCT event_type FROM events ORDER BY 1 LIMIT 2) ORDER BY ts DESC, event_id DESC LIMIT 100")
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'error') ORDER BY ts DESC, event_id DESC LIMIT 100")
 def audit_log(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    return listing.audit_log(events.withColumnRenamed("event_type", "kind"), kinds, ["ts", "event_id"], 100).select("event_id", "user_id", F.col("kind").alias("event_type"))
+    return listing.audit_log(events.withColumnRenamed("event_type", "kind"), ["click", "error"], ["ts", "event_id"], 100).select("event_id", "user_id", F.col("kind").alias("event_type"))
 
 
 @query("SELECT n_regionkey AS user_id, n_nationkey AS tenant FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 4 = 0 DESC, n_nationkey) AS k FROM nation) WHERE k = 1")

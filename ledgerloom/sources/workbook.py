@@ -27,7 +27,7 @@ from ledgerloom.functions import fields, text
 LINES, NAME, CELL = 1_048_576, 31, 32_767
 FORMAT = "ledgerloom_workbook"
 SCHEMA = "workbook string, place int, sheet string, cells array<string>"
-_NO_XML = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
+_NO_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 _MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"

@@ -31,6 +31,32 @@ def summary(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def supplier_parts(rows: DataFrame) -> DataFrame:
+    """One row for each supplier_id of rows: sums and counts that `summary_of_parts` and `top_of_parts` add up further. What a
+    supplier tells of its rows, such as its company, is joined to these few rows afterwards, not to the fact. rows:
+    supplier_id, named (whether the row shows its supplier), review_required, the amounts and confidence_score."""
+    named = F.when(F.col("named"), F.col("total_amount"))
+    return rows.groupBy("supplier_id").agg(
+        F.count("*").alias("rows"), F.count_if("review_required").alias("reviews"), F.sum("net_amount").alias("net"), F.sum("vat_amount").alias("vat"), F.sum("total_amount").alias("total"),
+        F.sum("confidence_score").alias("sure"), F.count("confidence_score").alias("sure_rows"), F.count_if("named").alias("named_rows"), F.sum(named).alias("named_total"),
+    )
+
+
+def summary_of_parts(parts: DataFrame, *by: str) -> DataFrame:
+    """`summary` from `supplier_parts` with the columns of by and supplier_name."""
+    average = F.sum("sure").cast("double") / F.sum("sure_rows")
+    return parts.groupBy(*by).agg(
+        F.sum("rows").alias("row_count"), F.sum("reviews").alias("review_count"), money("net").alias("net_total"), money("vat").alias("vat_total"), money("total").alias("grand_total"),
+        F.coalesce(F.when(F.sum("sure_rows") > 0, average), F.lit(0.0)).alias("avg_confidence"), F.count_distinct(F.when(F.col("named_rows") > 0, F.col("supplier_name"))).alias("supplier_count"),
+    )
+
+
+def top_of_parts(parts: DataFrame, n: int = 10) -> DataFrame:
+    """`top_suppliers` from `supplier_parts` with supplier_name."""
+    spend = parts.where("named_rows > 0").groupBy("supplier_name").agg(money("named_total").alias("grand_total"), F.sum("named_rows").alias("row_count"))
+    return spend.orderBy(F.desc("grand_total"), "supplier_name").limit(n)
+
+
 def monthly(rows: DataFrame, today: str | None = None, months: int = 12) -> DataFrame:
     """Sums by month, from the first of the month of `today` less 31 days for each of `months`; all months without it."""
     dated = rows.where("invoice_date is not null")

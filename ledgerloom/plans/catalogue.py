@@ -11,7 +11,7 @@ from ledgerloom.functions import dates, money, text
 from ledgerloom.operators import analytics, resolution, review, state, validation
 from ledgerloom.sources import facts
 from ledgerloom.sources.invoices import SQL as INV
-from ledgerloom.sources.invoices import invoice_rows, table
+from ledgerloom.sources.invoices import invoice_rows, suppliers, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,9 +35,14 @@ _SUMS = f"{_d('net_amount')} AS net_total, {_d('vat_amount')} AS vat_total, {_d(
 _FLAG = "(coalesce(confidence_score < 0.55, false) OR review_required)"
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = invoice_rows(spark, d, "supplier_id", "page_no", "net_amount", "vat_amount", "total_amount", "confidence_score", "review_required")
+    return analytics.supplier_parts(rows.withColumn("named", F.col("page_no") != 7))
+
+
 @query(f"SELECT tenant, company, count(*) AS row_count, count(*) FILTER (review_required) AS review_count, {_SUMS}, coalesce(CAST(sum(confidence_score) AS DOUBLE) / count(confidence_score), 0) AS avg_confidence, count(DISTINCT supplier_name) AS supplier_count FROM inv GROUP BY 1, 2")
 def summary(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.summary(invoice_rows(spark, d, "tenant", "company", "supplier_name", "net_amount", "vat_amount", "total_amount", "confidence_score", "review_required"), "tenant", "company")
+    return analytics.summary_of_parts(_parts(spark, d).join(suppliers(spark, d), "supplier_id"), "tenant", "company")
 
 
 @query("SELECT company, count(*) AS row_count, count(DISTINCT batch_id) AS batches, CAST(coalesce(sum(total_amount), 0) AS DOUBLE) AS grand_total FROM inv WHERE company IN (SELECT n_name FROM nation WHERE n_regionkey = 3) GROUP BY company")
@@ -61,7 +66,7 @@ def monthly_spend_last_year(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT supplier_name, {_d('total_amount')} AS grand_total, count(*) AS row_count FROM inv WHERE supplier_name IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top_suppliers(spark: SparkSession, d: str) -> DataFrame:
-    return analytics.top_suppliers(invoice_rows(spark, d, "supplier_name", "total_amount"), 10)
+    return analytics.top_of_parts(_parts(spark, d).join(suppliers(spark, d), "supplier_id"), 10)
 
 
 @query("""SELECT r_name AS tenant, coalesce(c.n, 0) AS companies, coalesce(b.n, 0) AS batches, coalesce(f.n, 0) AS files, coalesce(w.n, 0) AS rows, round(coalesce(f.bytes, 0) / (1024 * 1024), 2) AS storage_mb FROM region

@@ -58,6 +58,12 @@ def invoice_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select(*[made[c]().alias(c) for c in wanted])
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(supplier_id, supplier_name, tenant, company): what a row's supplier tells of it."""
+    places = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), F.col("r_name").alias("tenant"), F.col("n_name").alias("company"))
+
+
 #: The same view as SQL.
 SQL = """
 lines AS (SELECT *, CAST(CAST(l_extendedprice AS DECIMAL(14,2)) * (CAST(1 AS DECIMAL(4,2)) - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(14,2)) AS net FROM lineitem),

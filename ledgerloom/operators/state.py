@@ -66,6 +66,35 @@ def import_suppliers(dim: DataFrame, staged: DataFrame) -> tuple[DataFrame, Data
     return kept.unionByName(added), outcomes
 
 
+def import_nominals(dim: DataFrame, staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(dim after the import, outcomes) of staged nominal accounts of one company.
+
+    dim: code, name, is_active; staged: ord, code, name, '' where missing. Blank rows are passed over; rows without code or name
+    are rejected, and so are all but the first of a code in any case. A row renames the account of its very code and makes
+    it active, or is added. outcomes: ord, outcome.
+    """
+    full = staged.where("not (code = '' and name = '')")
+    whole = (F.col("code") != "") & (F.col("name") != "")
+    good = full.where(whole).withColumn("__n", F.row_number().over(Window.partitionBy(F.lower("code")).orderBy("ord")))
+    first = good.where("__n = 1").select("ord", "code", F.col("name").alias("__name"))
+    kept = dim.join(first.drop("ord"), "code", "left").select(*[F.coalesce("__name", "name").alias(c) if c == "name" else (F.col("is_active") | F.col("__name").isNotNull()).alias(c) if c == "is_active" else F.col(c) for c in dim.columns])
+    fresh = first.join(dim.select("code"), "code", "left_anti")
+    made = {"name": F.col("__name"), "is_active": F.lit(True)}
+    kinds = dict(dim.dtypes)
+    added = fresh.select(*[(made[c] if c in made else F.col(c) if c == "code" else F.lit(None)).cast(kinds[c]).alias(c) for c in dim.columns])
+    told = good.select("ord", F.when(F.col("__n") == 1, "imported").otherwise("rejected: code stands twice").alias("outcome"))
+    return kept.unionByName(added), told.unionByName(full.where(~whole).select("ord", F.lit("rejected: code and name are required").alias("outcome")))
+
+
+def import_counts(outcomes: DataFrame, most: int = 20) -> DataFrame:
+    """One row: how many rows an import took (imported, updated), how many it passed over (skipped), and the first `most` errors
+    in the order of the rows. outcomes: ord, outcome."""
+    bad = F.col("outcome").startswith("rejected")
+    errors = outcomes.where(bad).orderBy("ord").limit(most).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "outcome"))), lambda x: F.concat(F.lit("Row "), x["ord"].cast("string"), F.lit(": "), F.substring(x["outcome"], 11, 200))).alias("errors"))
+    counts = outcomes.agg(F.count_if(F.col("outcome") == "imported").alias("imported"), F.count_if(F.col("outcome") == "updated").alias("updated"), F.count_if(bad).alias("skipped"))
+    return counts.join(F.broadcast(errors), F.lit(True))  # one row each
+
+
 def deposit_split(rows: DataFrame, deposit: str = "deposit") -> DataFrame:
     """Each row, and for one with a deposit a second row for it; the first then has what is left of the total."""
     has = F.coalesce(F.col(deposit) > 0, F.lit(False))

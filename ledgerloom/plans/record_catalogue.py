@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, fields, text
-from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, listing, master_data, merging, pages, patterns, regions, resolution, review, rules, state
+from ledgerloom.operators import accounts, analytics, deposits, edit_log, edits, issues, listing, master_data, merging, pages, patterns, regions, resolution, review, rules, state
 from ledgerloom.sources.invoices import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -635,6 +635,47 @@ def supplier_import(spark: SparkSession, d: str) -> DataFrame:
     return state.import_suppliers(made(spark, d, _MASTER), made(spark, d, _STAGED))[0]
 
 
+_NOMINALS = "SELECT c_custkey AS ord, CASE WHEN c_custkey % 11 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN 'n' || CAST(c_custkey % 90 AS STRING) ELSE 'N' || CAST(c_custkey % 90 AS STRING) END AS code, CASE WHEN c_custkey % 7 = 0 OR c_custkey % 22 = 0 THEN '' ELSE c_name END AS name FROM {customer}"
+_HELD = "SELECT 'N' || CAST(s_suppkey AS STRING) AS code, s_name AS name, s_suppkey % 3 = 0 AS is_active FROM {supplier}"
+_TAKEN = f"s AS (SELECT * FROM ({_NOMINALS}) WHERE code <> '' OR name <> ''), h AS ({_HELD}), g AS (SELECT *, row_number() OVER (PARTITION BY lower(code) ORDER BY ord) AS n FROM s WHERE code <> '' AND name <> ''), o AS (SELECT ord, CASE WHEN n = 1 THEN 'imported' ELSE 'rejected: code stands twice' END AS outcome FROM g UNION ALL SELECT ord, 'rejected: code and name are required' FROM s WHERE code = '' OR name = '')"
+
+
+@query(f"WITH {_TAKEN} SELECT ord, outcome FROM o")
+def nominal_import_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return state.import_nominals(made(spark, d, _HELD), made(spark, d, _NOMINALS))[1]
+
+
+@query(f"WITH {_TAKEN} SELECT h.code, coalesce(g.name, h.name) AS name, is_active OR g.code IS NOT NULL AS is_active FROM h LEFT JOIN (SELECT * FROM g WHERE n = 1) g ON g.code = h.code UNION ALL SELECT code, name, true FROM g WHERE n = 1 AND code NOT IN (SELECT code FROM h)")
+def nominal_import(spark: SparkSession, d: str) -> DataFrame:
+    return state.import_nominals(made(spark, d, _HELD), made(spark, d, _NOMINALS))[0]
+
+
+@query(f"WITH {_TAKEN} SELECT count(*) FILTER (outcome = 'imported') AS imported, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome LIKE 'rejected%') AS skipped, (SELECT string_agg('Row ' || ord || ': ' || substring(outcome, 11), '|' ORDER BY ord) FROM (SELECT * FROM o WHERE outcome LIKE 'rejected%' ORDER BY ord LIMIT 20)) AS errors FROM o")
+def nominal_import_counts(spark: SparkSession, d: str) -> DataFrame:
+    return state.import_counts(state.import_nominals(made(spark, d, _HELD), made(spark, d, _NOMINALS))[1]).withColumn("errors", F.array_join("errors", "|"))
+
+
+_ISSUES = "SELECT s_suppkey AS id, 'T' || CAST(s_nationkey % 3 AS STRING) AS tenant, s_name AS title, 'old issue' AS description, 'pending' AS status, 'normal' AS priority, CASE WHEN s_suppkey % 2 = 0 THEN 'noted' END AS resolution_notes, '2025-01-01' AS updated_at FROM {supplier}"
+_ASKED = "SELECT c_custkey AS seq, 'T' || CAST(c_nationkey % 3 AS STRING) AS tenant, CASE c_custkey % 5 WHEN 0 THEN 'ab' WHEN 1 THEN NULL ELSE c_name END AS title, CASE WHEN c_custkey % 7 = 0 THEN 'abcd' ELSE c_mktsegment END AS description, CASE WHEN c_custkey % 3 = 0 THEN 'high' END AS priority FROM {customer}"
+_WORKED = "SELECT c_custkey AS seq, c_custkey % 14 AS id, CASE c_custkey % 4 WHEN 0 THEN 'status' WHEN 1 THEN 'resolution_notes' WHEN 2 THEN 'priority' ELSE 'title' END AS field, CASE WHEN c_custkey % 6 <> 0 THEN c_mktsegment END AS value FROM {customer}"
+
+
+@query(f"WITH i AS ({_ISSUES}), a AS ({_ASKED}) SELECT id, tenant, title, description, status, priority, resolution_notes, updated_at FROM i UNION ALL SELECT (SELECT max(id) FROM i) + row_number() OVER (ORDER BY seq), tenant, title, description, 'pending', coalesce(priority, 'normal'), NULL, '2026-01-01' FROM a WHERE length(title) BETWEEN 3 AND 255 AND length(description) >= 5")
+def issues_opened(spark: SparkSession, d: str) -> DataFrame:
+    return issues.opened(made(spark, d, _ISSUES), made(spark, d, _ASKED), "2026-01-01")[0]
+
+
+@query(f"""WITH i AS ({_ISSUES}), w AS ({_WORKED}), n AS (SELECT id, field, arg_max(CASE WHEN value IS NULL THEN [] ELSE [value] END, seq) AS v FROM w WHERE field <> 'title' GROUP BY 1, 2)
+SELECT id, title, {', '.join(f"CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.id = i.id AND n.field = '{f}') THEN (SELECT v[1] FROM n WHERE n.id = i.id AND n.field = '{f}') ELSE {f} END AS {f}" for f in ('status', 'resolution_notes', 'priority'))}, CASE WHEN EXISTS (SELECT 1 FROM n WHERE n.id = i.id) THEN '2026-02-02' ELSE updated_at END AS updated_at FROM i""")
+def issues_updated(spark: SparkSession, d: str) -> DataFrame:
+    return issues.updated(made(spark, d, _ISSUES), made(spark, d, _WORKED), "2026-02-02")[0].drop("tenant", "description")
+
+
+@query(f"WITH i AS ({_ISSUES}), w AS ({_WORKED}) SELECT seq, CASE WHEN NOT EXISTS (SELECT 1 FROM i WHERE i.id = w.id) THEN 'not found' WHEN field = 'title' THEN 'ignored' ELSE 'done' END AS outcome FROM w")
+def issue_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return issues.updated(made(spark, d, _ISSUES), made(spark, d, _WORKED), "2026-02-02")[1]
+
+
 _OLD = "SELECT p_brand AS supplier_name, array_sort(collect_set(p_type || lower(p_type))) AS keywords, count(*) AS hit_count, DATE '2020-01-01' AS last_seen FROM {part} GROUP BY 1"
 _NEW = "SELECT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'New' || p_type END AS supplier_name, CASE WHEN p_size % 3 = 0 THEN p_name ELSE p_name || ' invoice ' || lower(p_type) || ' from account north' END AS header FROM {part}"
 

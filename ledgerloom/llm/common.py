@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -91,6 +93,15 @@ def _is_forest_of_stars(links: DataFrame) -> bool:
     return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up > 1 or (up = 1 and top = 1)").isEmpty()
 
 
+def give_back() -> None:
+    """Return to the system what a worker has freed but still holds: it lives on after its task, beside other tasks'."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces whose `column` (binary) has about `limit` bytes, or one row; empty pieces are left out. What
     Arrow keeps of batches that are done goes back to the system, as a worker lives on after its task."""
@@ -105,4 +116,4 @@ def in_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <<
             last = max(first + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(first, last - first)
             first = last
-    pa.default_memory_pool().release_unused()
+    give_back()

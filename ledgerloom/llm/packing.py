@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import in_blocks, text_or_empty, written
+from ledgerloom.llm.common import give_back, in_blocks, text_or_empty, written
 
 WINDOW = 1024
 END = 0
@@ -167,6 +167,9 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
                         column.append(x)
                     rank[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
+        _encoders.clear()  # made anew in about half a second; kept, it would stay in every worker while other stages run
+        del encode
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, crc long, crcs array<long>, ids binary, rank long, chunk long")

@@ -128,6 +128,8 @@ def pairs(vectors: DataFrame, groups: DataFrame, block: int = BLOCK, tile: int =
     """
     sizes = vectors.groupBy("lang").agg(F.count("*").alias("n"))
     blocks = groups.join(sizes, "lang", "left").withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.coalesce("n", F.lit(0)) / block)).cast("int")).withColumn("tiles", F.ceil(F.col("n_sources") / tile).cast("int"))
+    # A small table, whose size Spark knows, so that the vectors of a language need not meet in one task for it.
+    blocks = written(blocks.select("lang", "source", "total", "at", "blocks", "tiles"), "blocks")
     one = blocks.where("at = 0").select("lang", "blocks", "tiles")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = vectors.join(one, "lang").withColumn("block", F.pmod(F.xxhash64("vector"), F.col("blocks")).cast("int")).select("lang", "block", upto("tiles").alias("tile"), "vector", "terms")

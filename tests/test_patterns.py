@@ -54,3 +54,20 @@ def test_brands_keep_their_order(spark):
     rows = spark.createDataFrame([("Sprite and HEINEKEN",), ("winston",), ("Fresh produce, evian",)], "words string")
     assert [x["label"] for x in patterns.labelled(rows, F.col("words"), patterns.brands(spark)).orderBy("words").collect()] == ["Beverages", "Alcohol", None]
     assert [x["category"] for x in resolution.taxonomy(spark.createDataFrame([("red bull",), (None,)], "description string"), [("one", ["bull"]), ("two", ["red bull"])]).orderBy("description").collect()] == [None, "one"]
+
+
+def test_reference_files(spark, tmp_path):
+    from ledgerloom.operators import accounts
+    from ledgerloom.sources import reference
+
+    (tmp_path / "s.yaml").write_text("suppliers:\n  - canonical: Acme Works\n    vat_number: MT 12\n    aliases: [acme, 7]\n    nominal_hint: Metal\n  - vat_number: none\n  - canonical: Beta\n    date_locale: mdy\n")
+    (tmp_path / "t.yaml").write_text("categories:\n  Drinks:\n    nominal_hint: Beverages\n    entries:\n      - brand: Fizz\n        aliases: [fizz, fizz cola]\n  Tools:\n    entries:\n      - brand: Saw\n        aliases: [saw]\n      - brand: None at all\n")
+    listed = reference.suppliers(spark, str(tmp_path / "s.yaml"))
+    assert [tuple(x) for x in listed.orderBy("ord").collect()] == [(0, "Acme Works", "MT 12", ["acme", "7"], "dmy", "Metal", []), (1, "Beta", "", [], "mdy", "", [])]
+    named = accounts.normalised_suppliers(spark.createDataFrame([("ACME", None), ("x", "mt12")], "raw string, vat string"), listed)
+    assert {x["raw"]: x["canonical"] for x in named.collect()} == {"ACME": "Acme Works", "x": "Acme Works"}
+    goods = reference.taxonomy(spark, str(tmp_path / "t.yaml"))
+    assert [(x["alias"], x["label"], x["category"]) for x in goods.orderBy("ord").collect()] == [("fizz cola", "Beverages", "Drinks"), ("fizz", "Beverages", "Drinks"), ("saw", "Tools", "Tools")]
+    rows = spark.createDataFrame([("a SAW and Fizz",), ("none",)], "words string")
+    assert [x["label"] for x in patterns.labelled(rows, F.col("words"), goods).orderBy("words").collect()] == ["Beverages", None]
+    assert reference.suppliers(spark, str(tmp_path / "none.yaml")).isEmpty() and reference.taxonomy(spark, str(tmp_path / "none.yaml")).isEmpty()

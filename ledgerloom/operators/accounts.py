@@ -26,8 +26,10 @@ def match_suppliers(rows: DataFrame, masters: DataFrame) -> DataFrame:
     own = own.withColumns({"low": F.lower("name"), "key": text.supplier_key(F.col("name")), "words": text.key_words(F.col("name"))})
     names = [*SCOPE, "supplier_name", "supplier_vat"]
     hit = lambda tier, score: F.struct(F.lit(tier).alias("tier"), (-score).alias("less"), "ord").alias("m")
-    by_vat = own.where("vk <> ''").join(known.select(*SCOPE, "ord", "vk"), [*SCOPE, "vk"]).select(*names, hit(0, F.lit(1.0)))
-    by_name = own.where("low <> ''").join(known.select(*SCOPE, "ord", "low"), [*SCOPE, "low"]).select(*names, hit(1, F.lit(1.0)))
+    # Of the masters of one number, or of one name, the first in order is the only one that can win.
+    first = lambda by: known.groupBy(*SCOPE, by).agg(F.min("ord").alias("ord"))
+    by_vat = own.where("vk <> ''").join(first("vk"), [*SCOPE, "vk"]).select(*names, hit(0, F.lit(1.0)))
+    by_name = own.where("low <> ''").join(first("low"), [*SCOPE, "low"]).select(*names, hit(1, F.lit(1.0)))
     loose = matching.best_match(own.where("name <> ''").select(*SCOPE, "name", "key", "words").distinct(), known, SCOPE, "key", "words")
     by_words = own.join(loose, [*SCOPE, "name"]).select(*names, hit(2, F.col("score")))
     best = by_vat.unionByName(by_name).unionByName(by_words).groupBy(*names).agg(F.min("m").alias("m"))

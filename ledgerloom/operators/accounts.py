@@ -156,9 +156,10 @@ def prefilled(rows: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.join(named, "row_id", "left").withColumn("supplier_name", F.coalesce("__named", "supplier_name")).select(*rows.columns)
 
 
-def hints_met(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED) -> DataFrame:
-    """(row_id, field_name, hint_id): for each field of a row that may be filled, the saved regions that are its supplier's on
-    that page; regions kept under the supplier's id come before those kept under its name.
+def hints_met(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED, place: list[str] | None = None) -> DataFrame:
+    """(row_id, field_name, place, hint_id): for each field of a row that may be filled, the saved regions that are its
+    supplier's on that page; regions kept under the supplier's id come before those kept under its name. Of regions in the
+    same place (columns of hints; none: all are) the newest stands for all, before any row meets them.
 
     rows: row_id, tenant, company, page_no, supplier_name, review_fields and the fields; hints: id, tenant, field_name, page_no,
     supplier_id, supplier_name_snapshot, active; suppliers: id, tenant, company, supplier_name. A field may be filled if it is
@@ -169,10 +170,16 @@ def hints_met(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_:
     own = rows.withColumns({"norm": text.supplier_key(F.col("supplier_name")), "wanted": wanted}).where("norm <> '' and size(wanted) > 0")
     ids = suppliers.groupBy("tenant", "company", "supplier_name").agg(F.min("id").alias("supplier_id"))
     asked = own.join(ids, ["tenant", "company", "supplier_name"], "left").select("row_id", "tenant", "page_no", "norm", "supplier_id", "wanted")
-    live = hints.where("active").select("tenant", "page_no", F.col("id").alias("hint_id"), "field_name", "supplier_id", text.supplier_key(F.col("supplier_name_snapshot")).alias("norm"))
-    by_id = asked.join(live.drop("norm"), ["tenant", "page_no", "supplier_id"]).select("row_id", "wanted", "field_name", "hint_id")
-    by_name = asked.join(by_id.select("row_id").distinct(), "row_id", "left_anti").join(live.drop("supplier_id").where("norm <> ''"), ["tenant", "page_no", "norm"]).select("row_id", "wanted", "field_name", "hint_id")
-    return by_id.unionByName(by_name).where(F.array_contains("wanted", F.col("field_name"))).select("row_id", "field_name", "hint_id")
+    place = place or []
+    live = hints.where("active").select("tenant", "page_no", F.col("id").alias("hint_id"), "field_name", "supplier_id", text.supplier_key(F.col("supplier_name_snapshot")).alias("norm"), *place)
+    newest = lambda by: live.groupBy("tenant", "page_no", by, "field_name", *place).agg(F.max("hint_id").alias("hint_id"))
+    held = [*place, "hint_id"]
+    # Whether a row has regions under its id is asked of all of them, whatever field they are for.
+    kept = live.select("tenant", "page_no", "supplier_id", F.lit(True).alias("__kept")).where("supplier_id is not null").distinct()
+    told = asked.join(kept, ["tenant", "page_no", "supplier_id"], "left")
+    by_id = told.where("__kept").join(newest("supplier_id"), ["tenant", "page_no", "supplier_id"]).select("row_id", "wanted", "field_name", *held)
+    by_name = told.where("__kept is null").join(newest("norm").where("norm <> ''"), ["tenant", "page_no", "norm"]).select("row_id", "wanted", "field_name", *held)
+    return by_id.unionByName(by_name).where(F.array_contains("wanted", F.col("field_name"))).select("row_id", "field_name", *held)
 
 
 def hints_for(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, fields_: tuple[str, ...] = HINTED) -> DataFrame:

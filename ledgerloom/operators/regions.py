@@ -15,6 +15,8 @@ from ledgerloom.operators import accounts, edits
 
 #: Cells of the grid along each side of a page, and the letters and digits that a text must have to count as read.
 GRID, LEAST = 16, 2
+#: Words up to which a page is one cell: a rectangle over all of it would be 256 cells for a few words.
+FEW = 64
 PLACE = ["x", "y", "w", "h"]
 #: What makes two hints the same.
 HINT = ["tenant", "field_name", "supplier_name_snapshot", "page_no"]
@@ -32,10 +34,11 @@ def region_text(regions: DataFrame, words: DataFrame) -> DataFrame:
     x0, y0, x1, y1. Null coordinates hold nothing; words that repeat stay.
     """
     keys = ["file_id", "page_no"]
-    span = lambda low, size: F.sequence(_cell(F.col(low)), _cell(F.col(low) + F.col(size)))
-    cells = regions.where("x is not null and y is not null and w >= 0 and h >= 0").select("region_id", *keys, *PLACE, F.explode(span("x", "w")).alias("gx")).select("*", F.explode(span("y", "h")).alias("gy"))
+    few = words.groupBy(*keys).agg((F.count("*") <= FEW).alias("few"))
+    span = lambda low, size: F.when(F.col("few"), F.array(F.lit(0))).otherwise(F.sequence(_cell(F.col(low)), _cell(F.col(low) + F.col(size))))
+    cells = regions.where("x is not null and y is not null and w >= 0 and h >= 0").join(few, keys).select("region_id", *keys, *PLACE, F.explode(span("x", "w")).alias("gx"), "few").select("*", F.explode(span("y", "h")).alias("gy")).drop("few")
     centred = words.select(*keys, "line_no", "word", "x0", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    placed = centred.withColumns({"gx": _cell(F.col("cx")), "gy": _cell(F.col("cy"))})
+    placed = centred.join(few, keys).withColumns({g: F.when(F.col("few"), 0).otherwise(_cell(F.col(c))) for g, c in (("gx", "cx"), ("gy", "cy"))}).drop("few")
     inside = F.col("cx").between(F.col("x"), F.col("x") + F.col("w")) & F.col("cy").between(F.col("y"), F.col("y") + F.col("h"))
     met = cells.join(placed, [*keys, "gx", "gy"]).where(inside)
     read = met.groupBy("region_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "x0", "word"))), lambda s: s["word"]), " ").alias("__read"))  # of one page
@@ -52,8 +55,8 @@ def replayed(rows: DataFrame, hints: DataFrame, suppliers: DataFrame, words: Dat
     """rows with the fields that saved regions fill: of the regions that are a row's for a field (`accounts.hints_met`) the newest
     one that can be read on its page, whose text is a value of the field, and no invoice reference where a supplier is due.
     rows as for `accounts.hints_for`, with file_id; hints with x, y, w, h; words as for `region_text`."""
-    met = accounts.hints_met(rows, hints, suppliers, fields_)
-    asked = met.join(hints.select(F.col("id").alias("hint_id"), *PLACE), "hint_id").join(rows.select("row_id", "file_id", "page_no"), "row_id").withColumn("region_id", F.struct("row_id", "field_name", "hint_id"))
+    met = accounts.hints_met(rows, hints, suppliers, fields_, PLACE)
+    asked = met.join(rows.select("row_id", "file_id", "page_no"), "row_id").withColumn("region_id", F.struct("row_id", "field_name", "hint_id"))
     read = region_text(asked, words).withColumn("value", value_of(F.col("field_name"), F.col("read_text")))
     fit = F.when(F.col("field_name") == "supplier_name", fields.appropriate("supplier_name", F.col("read_text"))).otherwise(True)
     newest = read.where(F.col("value").isNotNull() & fit).groupBy("row_id", "field_name").agg(F.max_by("value", "hint_id").alias("value"))

@@ -34,3 +34,11 @@ def test_masters_of_one_number_make_no_pairs(spark):
     found = accounts.match_suppliers(rows, masters)
     assert found.count() == n and [tuple(x) for x in found.select("ord", "tier").distinct().collect()] == [(7, 0)]
     assert time.time() - began < 60
+
+
+def test_regions_in_one_place_are_read_once(spark):
+    rows, known, hints = _row(spark, 200), spark.createDataFrame([], "id long, tenant string, company string, supplier_name string"), _hints(spark, 300)
+    assert accounts.hints_met(rows, hints, known, place=regions.PLACE).count() == 400
+    words = rows.selectExpr("file_id", "page_no", "1 AS line_no", "concat('INV-', file_id) AS word", "0.1D AS x0", "IF(file_id % 2 = 0, 0.1D, 0.6D) AS y0", "0.2D AS x1", "IF(file_id % 2 = 0, 0.12D, 0.62D) AS y1")
+    got = {x["row_id"]: x["invoice_number"] for x in regions.replayed(rows, hints, known, words).collect()}
+    assert got == {k: f"INV-{k}" for k in range(200)}

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text
 from ledgerloom.operators import matching, patterns
+from ledgerloom.shared import observed
+
+#: Distinct sets of words whose patterns are counted in one task.
+SETS = 20_000
 
 
 def exact_match(names: DataFrame, masters: DataFrame) -> DataFrame:
@@ -63,11 +67,15 @@ def match_patterns(headers: DataFrame, patterns: DataFrame, shared: int = 3, sha
     """Each header (id, header) with the supplier whose pattern it covers best: at least `shared` words and `share` of it. Where
     patterns have is_active, those of suppliers that are not take no part."""
     patterns = patterns.where("is_active") if "is_active" in patterns.columns else patterns
-    words = headers.select("id", F.explode(text.keywords(F.col("header"))).alias("w"))
+    own = headers.select("id", F.array_sort(text.keywords(F.col("header"))).alias("set"))
+    # Headers of the same words are matched once, and so many of the sets in one task that its counts stay small.
+    sets, seen = observed(own.select("set").where(F.size("set") >= shared).distinct(), "keyword-sets", n=F.count("*"))
+    dealt = sets.repartition(max(1, -(-seen["n"] // SETS)), "set")
     known = patterns.select("supplier_name", F.size("keywords").alias("size"), F.explode("keywords").alias("w"))
-    counts = words.join(known, "w").groupBy("id", "supplier_name").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    counts = dealt.select("set", F.explode("set").alias("w")).join(known, "w").groupBy("set", "supplier_name").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     fine = counts.where((F.col("n") >= shared) & (F.col("n") >= F.col("size") * share))
-    return fine.groupBy("id").agg(F.min(F.struct((-F.col("n") / F.col("size")).alias("s"), "supplier_name", "n")).alias("m")).select("id", "m.supplier_name", "m.n")
+    best = fine.groupBy("set").agg(F.min(F.struct((-F.col("n") / F.col("size")).alias("s"), "supplier_name", "n")).alias("m"))
+    return own.join(best, "set").select("id", "m.supplier_name", "m.n")
 
 
 def taxonomy(rows: DataFrame, entries: DataFrame | list[tuple[str, list[str]]]) -> DataFrame:

@@ -42,3 +42,11 @@ def test_regions_in_one_place_are_read_once(spark):
     words = rows.selectExpr("file_id", "page_no", "1 AS line_no", "concat('INV-', file_id) AS word", "0.1D AS x0", "IF(file_id % 2 = 0, 0.1D, 0.6D) AS y0", "0.2D AS x1", "IF(file_id % 2 = 0, 0.12D, 0.62D) AS y1")
     got = {x["row_id"]: x["invoice_number"] for x in regions.replayed(rows, hints, known, words).collect()}
     assert got == {k: f"INV-{k}" for k in range(200)}
+
+
+def test_headers_of_the_same_words_are_matched_once(spark):
+    headers = spark.range(1000).selectExpr("id", "'alpha beta gamma delta' AS header")
+    patterns = spark.createDataFrame([(f"S{k}", ["alpha", "beta", "gamma", f"word{k}"]) for k in range(100)], "supplier_name string, keywords array<string>")
+    found = resolution.match_patterns(headers, patterns)
+    assert "keys=[id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 1000 and {(x["supplier_name"], x["n"]) for x in found.distinct().collect()} == {("S0", 3)}

@@ -88,9 +88,13 @@ def clashes(rules: DataFrame, updates: DataFrame) -> DataFrame:
     """updates (id and any of source_pattern, target_value) with whether the rule would become one that is there already."""
     asked = updates.select("id", F.col("source_pattern").alias("__s"), F.col("target_value").alias("__t"))
     wanted = rules.join(asked, "id").select("id", *[F.coalesce(f"__{c[0]}", c).alias(c) if c in ("source_pattern", "target_value") else F.col(c) for c in IDENTITY])
-    held = rules.select(F.col("id").alias("__id"), *IDENTITY)
-    met = wanted.join(held, IDENTITY).where(F.col("id") != F.col("__id")).select("id").distinct().withColumn("__met", F.lit(True))
-    return wanted.join(met, "id", "left").select("id", *IDENTITY, F.coalesce("__met", F.lit(False)).alias("clashes"))
+    other = (F.col("__low") != F.col("id")) | (F.col("__high") != F.col("id"))
+    return wanted.join(_held(rules), IDENTITY, "left").select("id", *IDENTITY, F.coalesce(other, F.lit(False)).alias("clashes"))
+
+
+def _held(rules: DataFrame) -> DataFrame:
+    """The least and the greatest id of each identity: a rule meets another one of it where either is not its own."""
+    return rules.groupBy(*IDENTITY).agg(F.min("id").alias("__low"), F.max("id").alias("__high"))
 
 
 def updated(rules: DataFrame, commands: DataFrame, companies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,8 +111,8 @@ def updated(rules: DataFrame, commands: DataFrame, companies: DataFrame) -> tupl
     src = F.lower(F.trim(F.regexp_replace(F.coalesce(F.nullif("source_pattern", F.lit("")), "__source_pattern"), r"\s+", " ")))
     tgt = F.trim(F.coalesce(F.nullif("target_value", F.lit("")), "__target_value", F.lit("")))
     asked = asked.withColumns({"__src": src, "__tgt": tgt})
-    others = rules.select(F.col("id").alias("__other"), F.col("tenant").alias("__tenant"), F.col("rule_type").alias("__rule_type"), F.col("field_name").alias("__field_name"), F.col("source_pattern").alias("__src"), F.col("target_value").alias("__tgt"))
-    met = asked.where("action = 'update'").join(others, ["__tenant", "__rule_type", "__field_name", "__src", "__tgt"]).where(F.col("id") != F.col("__other")).select("id", F.lit(True).alias("__clash")).distinct()
+    others = _held(rules).withColumnsRenamed(dict(zip(IDENTITY, ("__tenant", "__rule_type", "__field_name", "__src", "__tgt"))))
+    met = asked.where("action = 'update'").join(others, ["__tenant", "__rule_type", "__field_name", "__src", "__tgt"]).where((F.col("id") != F.col("__low")) | (F.col("id") != F.col("__high"))).select("id", F.lit(True).alias("__clash")).distinct()
     judged = asked.join(met, "id", "left")
     update, narrow = F.col("action") == "update", F.col("applies_to") == "this_company"
     outcome = (

@@ -25,17 +25,6 @@ def test_the_newest_region_stands_for_all(spark):
     assert {x["hint_id"] for x in accounts.hints_for(rows, _hints(spark, 300), known).collect()} == {299}
 
 
-def test_masters_of_one_number_make_no_pairs(spark):
-    """20,000 suppliers and as many masters have one VAT number; all pairs would be 400 million."""
-    n = 20_000
-    rows = spark.range(n).selectExpr("'T' AS tenant", "'C' AS company", "concat('a', id) AS supplier_name", "'mt 1' AS supplier_vat")
-    masters = spark.range(n).selectExpr("'T' AS tenant", "'C' AS company", "id AS ord", "concat('zz', id) AS canonical", "'MT1' AS vat_number", "id > 6 AS is_active")
-    began = time.time()
-    found = accounts.match_suppliers(rows, masters)
-    assert found.count() == n and [tuple(x) for x in found.select("ord", "tier").distinct().collect()] == [(7, 0)]
-    assert time.time() - began < 60
-
-
 def test_regions_in_one_place_are_read_once(spark):
     rows, known, hints = _row(spark, 200), spark.createDataFrame([], "id long, tenant string, company string, supplier_name string"), _hints(spark, 300)
     assert accounts.hints_met(rows, hints, known, place=regions.PLACE).count() == 400
@@ -50,3 +39,24 @@ def test_headers_of_the_same_words_are_matched_once(spark):
     found = resolution.match_patterns(headers, patterns)
     assert "keys=[id" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 1000 and {(x["supplier_name"], x["n"]) for x in found.distinct().collect()} == {("S0", 3)}
+
+
+def test_masters_of_one_number_make_no_pairs(spark):
+    """20,000 suppliers and as many masters have one VAT number; all pairs would be 400 million."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("'T' AS tenant", "'C' AS company", "concat('a', id) AS supplier_name", "'mt 1' AS supplier_vat")
+    masters = spark.range(n).selectExpr("'T' AS tenant", "'C' AS company", "id AS ord", "concat('zz', id) AS canonical", "'MT1' AS vat_number", "id > 6 AS is_active")
+    began = time.time()
+    found = accounts.match_suppliers(rows, masters)
+    assert found.count() == n and [tuple(x) for x in found.select("ord", "tier").distinct().collect()] == [(7, 0)]
+    assert time.time() - began < 60
+
+
+def test_rules_of_one_identity_make_no_pairs(spark):
+    """20,000 rules are the same but for their ids; all pairs would be 400 million."""
+    n = 20_000
+    held = spark.range(n).selectExpr("id", "'T' AS tenant", "'supplier_alias' AS rule_type", "'supplier_name' AS field_name", "IF(id = 5, 'own', 'acme') AS source_pattern", "'Acme' AS target_value")
+    began = time.time()
+    found = rules.clashes(held, held.select("id", F.lit(None).cast("string").alias("source_pattern"), F.when(F.col("id") == 6, "New").alias("target_value")))
+    assert sorted(x["id"] for x in found.where("not clashes").collect()) == [5, 6] and found.count() == n
+    assert time.time() - began < 60

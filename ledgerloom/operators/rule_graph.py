@@ -5,6 +5,9 @@ wrote. So each rule has at most one successor, with a higher id, and a chain end
 found in one pass over the rules sorted by pattern; the ends of all chains by pointer jumping, where every jump doubles
 the stretch that a pointer spans, so that a chain of n rules takes log2(n) jumps. Values meet the first rule of their
 chain in an equi-join on their key. No list of rules is ever held, and no value meets more than one rule.
+
+Stored rules take a byte or two each on disk, as most of what they hold repeats, and by that size they would be broadcast
+however many they are; so joins with them are told to sort and merge.
 """
 
 from __future__ import annotations
@@ -43,7 +46,7 @@ def ends(links: DataFrame) -> DataFrame:
     """(SCOPE, id, to) with every pointer at the end of its chain. links: pointers to higher ids."""
     at = stored(links, "rule-links")
     while True:
-        ahead = at.select(*SCOPE, F.col("id").alias("to"), F.col("to").alias("further"))
+        ahead = at.select(*SCOPE, F.col("id").alias("to"), F.col("to").alias("further")).hint("merge")
         once = at.join(ahead, [*SCOPE, "to"], "left").select(*SCOPE, "id", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved"))
         twice = once.join(ahead, [*SCOPE, "to"], "left").select(*SCOPE, "id", F.coalesce("further", "to").alias("to"), "moved")
         after, seen = observed(twice, "rule-links", moved=F.count_if("moved"))
@@ -56,8 +59,8 @@ def ends(links: DataFrame) -> DataFrame:
 def resolved(held: DataFrame) -> DataFrame:
     """(SCOPE, src, result): what a value with the key src becomes in each scope, by the rules of `visible`."""
     first = held.groupBy(*SCOPE, "src").agg(F.min("id").alias("id"))
-    last = first.join(ends(successors(held)), [*SCOPE, "id"], "left").select(*SCOPE, "src", F.coalesce("to", "id").alias("id"))
-    return last.join(held.select(*SCOPE, "id", F.col("target_value").alias("result")), [*SCOPE, "id"]).select(*SCOPE, "src", "result")
+    last = first.join(ends(successors(held)).hint("merge"), [*SCOPE, "id"], "left").select(*SCOPE, "src", F.coalesce("to", "id").alias("id"))
+    return last.join(held.select(*SCOPE, "id", F.col("target_value").alias("result")).hint("merge"), [*SCOPE, "id"]).select(*SCOPE, "src", "result")
 
 
 def applied(values: DataFrame, rules: DataFrame) -> DataFrame:

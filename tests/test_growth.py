@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounts, regions, resolution, rules
+from ledgerloom.operators import accounts, regions, resolution, rule_graph, rules
 
 HINTS = "id long, tenant string, field_name string, page_no int, supplier_id long, supplier_name_snapshot string, active boolean, x double, y double, w double, h double"
 
@@ -60,3 +60,10 @@ def test_rules_of_one_identity_make_no_pairs(spark):
     found = rules.clashes(held, held.select("id", F.lit(None).cast("string").alias("source_pattern"), F.when(F.col("id") == 6, "New").alias("target_value")))
     assert sorted(x["id"] for x in found.where("not clashes").collect()) == [5, 6] and found.count() == n
     assert time.time() - began < 60
+
+
+def test_stored_rules_are_not_broadcast(spark):
+    held = spark.range(2000).selectExpr("'supplier_alias' AS rule_type", "'T' AS tenant", "true AS own", "'C' AS scope", "id", "concat('c', id) AS src", "concat('c', id + 1) AS next", "concat('C', id + 1) AS target_value")
+    found = rule_graph.resolved(rule_graph.stored(held, "rules"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {x["result"] for x in found.collect()} == {"C2000"}

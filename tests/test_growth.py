@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import accounts, regions, resolution, rule_graph, rules
+from ledgerloom.plans import record_catalogue
 
 HINTS = "id long, tenant string, field_name string, page_no int, supplier_id long, supplier_name_snapshot string, active boolean, x double, y double, w double, h double"
 
@@ -67,3 +68,12 @@ def test_stored_rules_are_not_broadcast(spark):
     found = rule_graph.resolved(rule_graph.stored(held, "rules"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {x["result"] for x in found.collect()} == {"C2000"}
+
+
+def test_edits_after_the_day_are_not_folded(spark):
+    """The rows are stored once, and only edits up to the asked one go through the fold."""
+    d = "/root/testdata/sf0.001"
+    every = record_catalogue._logged(spark, d)[2]
+    some = record_catalogue._logged(spark, d, 4)[2]
+    assert "row_number" not in some._jdf.queryExecution().optimizedPlan().toString()
+    assert some.exceptAll(every.where("seq <= 4")).isEmpty() and some.count() == every.where("seq <= 4").count() > 0

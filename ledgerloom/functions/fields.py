@@ -11,7 +11,9 @@ from ledgerloom.functions import text as T
 NOT_A_NUMBER = ["to", "from", "date", "invoice", "invoice no", "invoice number", "page", "details", "copy", "original", "number", "no", "ref", "reference", "involce", "invoce", "invoiice"]
 NOT_A_SUPPLIER = ["invoice", "tax invoice", "invoice number", "invoice no", "date", "customer", "bill to", "ship to", "total", "subtotal", "amount due", "balance due", "vat", "tax", "page", "description"]
 SUPPLIER_NEVER = r"invoice|\b(date|page|total|subtotal|amount due|balance due|vat|tax|iban|swift|bic|email|tel|phone|customer|bill to|ship to)\b|\bwww\.|\bhttp"
-LINE_NEVER = r"invoice|\binv\b|tax|vat|\bdate\b|\bpage\b|customer|bill to|ship to|amount due|balance due|total|iban|swift|bic|email|www\.|http|tel|phone"
+#: By first letters, as every place of a line is tried: invoice, inv, iban, tax, total, tel, vat, date, page, phone, customer, bill to, balance due,
+#: bic, ship to, swift, amount due, email, www., http. Of these inv, date and page are whole words.
+LINE_NEVER = r"i(?:nv(?:oice|(?<=\binv)\b)|ban)|t(?:ax|otal|el)|vat|date(?<=\bdate)\b|p(?:hone|age(?<=\bpage)\b)|customer|b(?:ill to|alance due|ic)|s(?:hip to|wift)|amount due|email|www\.|http"
 ADDRESS = r"(?i)\b(street|road|ave(nue)?|floor|suite|building|industrial\s+park|triq|district)\b|\bzone\s+[0-9]|^[0-9]+[,/\s]|\b[A-Z]{2,3}\s?[0-9]{4,}\b"
 TRADE = r"(?i)\b(shop|store|market|imports?|exports?|foods?|supplies|ltd|limited|brothers?|group|corp|company|services|trading|fish|wine|spirits|meats?)\b"
 CONTACT = r"(?i)(tel|fax|phone)\s*[:+]?\s*[+(]?[0-9]{5,}|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}|\bvat\s+(no\.?|number|reg[.\s]?no\.?)\s*[:-]?\s*[A-Z]{2}[0-9]|\bvat\s*no\s*[:-]?\s*[A-Z]{2}[0-9]|\bvat\s*reg(\.|\s+)no\s*[:-]?\s*[A-Z]|MT[0-9]{6,}|IE[0-9]{6,}[A-Z]|\bBCRS\b|\bEXO\s+[0-9]{4}"
@@ -32,11 +34,11 @@ MONEY_TOKEN = r"(?<![0-9])([0-9]{1,3}([.,][0-9]{3})*[.,][0-9]{2}|[0-9]+[.,][0-9]
 
 
 def _letters(x: Column) -> Column:
-    return F.length(F.regexp_replace(x, "[^A-Za-z]", ""))
+    return F.length(F.regexp_replace(x, "[^A-Za-z]+", ""))
 
 
 def _digits(x: Column) -> Column:
-    return F.length(F.regexp_replace(x, "[^0-9]", ""))
+    return F.length(F.regexp_replace(x, "[^0-9]+", ""))
 
 
 def suspicious_number(value: Column) -> Column:

@@ -3,6 +3,8 @@ more column, so that no shuffle is needed and nothing leaves the JVM."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +48,14 @@ NAME_SIGNS = r"^[A-Za-z0-9 &().,\-'/]+$"
 CORPORATE = r"(?i)\b(ltd|limited|plc|llc|inc|co\.?|company|services|trading|holdings|group|foods?|supplies|distribution|imports?|exports?|catering|enterprises?|corp|brothers?|sisters?|partners?|associates?)\b"
 #: Lines that can head a page, lines a customer's block takes, and lines to look back from a contact.
 HEADER, CUSTOMER_BLOCK, BACK, CONTACTS = 18, 5, 9, 4
+#: How many lines of a head to look at in turn, and the most points that a name below them can have: a name with as many wins
+#: whatever follows. So the whole head is read only where its first lines leave it open.
+STEPS = [(1, 14), (6, 10), (HEADER, 0)]
 
 
 def first_match(found: Column, patterns: list[str]) -> Column:
     """What the first of the patterns that matches has in its group, at its first match."""
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(found, "(?im)" + p, 1)), F.lit("")) for p in patterns])
+    return F.coalesce(*[text.bound(F.trim(F.regexp_extract(found, "(?im)" + p, 1)), lambda x: F.when(x != "", x)) for p in patterns])
 
 
 def filled_lines(found: Column) -> Column:
@@ -59,19 +64,22 @@ def filled_lines(found: Column) -> Column:
 
 def item_lines(lines: Column, most: int = 25) -> Column:
     """Lines that may be items: two words or more, with an amount or over 20 characters, no header or total; each once."""
-    count = lambda x, p: F.size(F.regexp_extract_all(x, F.lit(p), F.lit(0)))
-    item = lambda x: (F.length(x) >= 6) & ~F.lower(x).rlike(NO_ITEM) & (count(x, "[A-Za-z]{3,}") >= 2) & ((F.length(x) > 20) | (count(x, "[0-9]+[.,][0-9]{2}") >= 1))
+    item = lambda x: (F.length(x) >= 6) & ((F.length(x) > 20) | x.rlike("[0-9][.,][0-9]{2}")) & x.rlike("(?s)[A-Za-z]{3}.*[^A-Za-z][A-Za-z]{3}") & ~F.lower(x).rlike(NO_ITEM)
     return F.slice(F.array_distinct(F.filter(lines, item)), 1, most)
 
 
 def description(items: Column) -> Column:
     """The first topic one of whose words the items hold, else the first of three lines that is more than figures."""
-    low = F.lower(F.array_join(items, "\n"))
-    topic = F.when(F.size(items) == 0, NO_TOPIC)
-    for label, words in TOPICS.items():
-        topic = topic.when(low.rlike("|".join(words)), label)
+
+    def named(low: Column) -> Column:
+        topic = F.when(F.size(items) == 0, NO_TOPIC)
+        for label, words in TOPICS.items():
+            topic = topic.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]), label)
+        return topic
+
     readable = F.filter(F.transform(F.slice(items, 1, 3), lambda x: F.regexp_replace(x, r"\s{2,}", " ")), lambda x: ~x.rlike(r"^[0-9\s.,€£$%]+$") & (F.length(x) > 4))
-    return topic.otherwise(text.first_words(F.coalesce(F.try_element_at(readable, F.lit(1)), F.array_join(F.slice(items, 1, 2), " "))))
+    topic = text.bound(F.lower(F.array_join(items, "\n")), named)
+    return F.coalesce(topic, text.first_words(F.coalesce(F.try_element_at(readable, F.lit(1)), F.array_join(F.slice(items, 1, 2), " "))))
 
 
 # --- supplier ----------------------------------------------------------------------------------------------------
@@ -93,28 +101,22 @@ def with_supplier(pages: DataFrame, page_text: str = "page_text", account: Colum
     account = F.array().cast("array<string>") if account is None else account
     df = pages.withColumn("__lines", filled_lines(F.col(page_text))).withColumn("__buyer", _customer_words(F.coalesce(page_text, F.lit("")), account))
     words = lambda x, n: F.transform(F.regexp_extract_all(x, F.lit(f"[A-Za-z]{{{n},}}"), F.lit(0)), F.upper)
-    buyer = lambda x: F.arrays_overlap(words(x, 4), F.col("__buyer"))
-    df = df.withColumn("__head", F.slice("__lines", 1, HEADER)).withColumn("__labels", F.transform("__head", lambda x: x.rlike(fields.CUSTOMER)))
+    buyer = lambda x: (F.size("__buyer") > 0) & F.arrays_overlap(words(x, 4), F.col("__buyer"))
     within = lambda i: F.exists(F.slice(F.col("__labels"), F.greatest(i - CUSTOMER_BLOCK + 2, F.lit(1)), F.least(i + 1, F.lit(CUSTOMER_BLOCK))), lambda x: x)
     part = lambda x, i: (F.length(x) <= 20) & ~fields.no_supplier_line(x) & x.rlike(NAME_SIGNS) & ~within(i)
     flags = lambda x, i: F.struct(x.alias("line"), within(i).alias("customer"), part(x, i).alias("part"), (~F.lower(x).isin(LONE_WORDS)).alias("opens"), (~x.rlike(NEXT_IS_ADDRESS)).alias("goes_on"))
-    df = df.withColumn("__flags", F.transform("__head", flags))
 
     # Two short lines make one name, from the top on; a line that was joined to the one before it joins no other.
     def joins(i: Column) -> Column:
         here, after = F.get("__flags", i), F.get("__flags", i + 1)
         return F.coalesce(here["part"] & here["opens"] & after["part"] & after["goes_on"], F.lit(False))
 
-    df = df.withColumn("__joins", F.transform("__flags", lambda _, i: joins(i)))
     start = F.struct(F.lit(False).alias("taken"), F.array().cast("array<int>").alias("at"))
 
     def step(acc: Column, i: Column) -> Column:
         return F.when(acc["taken"], F.struct(F.lit(False).alias("taken"), acc["at"].alias("at"))).otherwise(F.struct(F.get("__joins", i).alias("taken"), F.array_append(acc["at"], i).alias("at")))
 
-    places = F.when(F.size("__head") > 0, F.sequence(F.lit(0), F.size("__head") - 1)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("__at", F.aggregate(places, start, step)["at"])
     joined = lambda i: F.struct(i.alias("pos"), F.when(F.get("__joins", i), F.concat_ws(" ", F.get("__head", i), F.get("__head", i + 1))).otherwise(F.get("__head", i)).alias("name"), F.get("__flags", i)["customer"].alias("customer"))
-    df = df.withColumn("__names", F.filter(F.transform("__at", joined), lambda x: ~x["customer"] & ~fields.no_supplier_line(x["name"]) & ~buyer(x["name"])))
 
     def score(x: Column) -> Column:
         pos, name = x["pos"], x["name"]
@@ -123,16 +125,34 @@ def with_supplier(pages: DataFrame, page_text: str = "page_text", account: Colum
         looks = points(name.rlike(r"^[A-Z0-9 &().,\-'/]{4,}$"), 3) + points(name.rlike(CORPORATE), 2) + points(F.length(name).between(4, 60), 2) + points(~fields.suspicious_supplier(name), 3)
         return F.struct((-(place + looks)).alias("less"), pos.alias("pos"), name.alias("name"))
 
-    df = df.withColumn("__best", F.array_min(F.transform("__names", score)))
-
-    # The nearest line above contact data that may be a company, from the first four such lines that has one.
-    contact = F.slice(F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(fields.CONTACT), i)), lambda i: i.isNotNull()), 1, CONTACTS)
-    above = lambda i: F.try_element_at(F.filter(F.slice("__lines", F.greatest(i - BACK + 1, F.lit(1)), F.least(i, F.lit(BACK))), lambda x: fields.plausible_company(x) & ~buyer(x)), F.lit(-1))
-    df = df.withColumn("__anchor", F.try_element_at(F.array_compact(F.transform(contact, above)), F.lit(1)))
+    none, below = F.array().cast("array<string>"), None
+    for most, limit in STEPS:
+        head = F.slice("__lines", 1, min(most + 1, HEADER))  # a name may go on in the line below
+        df = df.withColumn("__head", head if below is None else F.when(F.coalesce(F.col("__best.less") > -below, F.lit(True)), head).otherwise(none))
+        df = df.withColumn("__labels", F.transform("__head", lambda x: x.rlike(fields.CUSTOMER)))
+        df = df.withColumn("__flags", F.transform("__head", flags))
+        df = df.withColumn("__joins", F.transform("__flags", lambda _, i: joins(i)))
+        places = F.when(F.size("__head") > 0, F.sequence(F.lit(0), F.least(F.size("__head"), F.lit(most)) - 1)).otherwise(F.array().cast("array<int>"))
+        df = df.withColumn("__at", F.aggregate(places, start, step)["at"])
+        df = df.withColumn("__names", F.filter(F.transform("__at", joined), lambda x: ~x["customer"] & ~fields.no_supplier_line(x["name"]) & ~buyer(x["name"])))
+        found = F.array_min(F.transform("__names", score))
+        df = df.withColumn("__best", found if below is None else F.coalesce(found, "__best"))
+        below = limit
+
+    # The nearest line above contact data that may be a company, from the first four such lines that has one. Where the best
+    # name has 12 points, only a longer line that agrees with it could change the outcome.
+    held = F.lit(None).cast("string")
+    company = lambda at, x: F.when(at.isNotNull(), at).when(fields.plausible_company(x) & ~buyer(x), x)
+    above = lambda i: F.aggregate(F.reverse(F.slice("__lines", F.greatest(i - BACK + 1, F.lit(1)), F.least(i, F.lit(BACK)))), held, company)
+    agrees = lambda x, y: F.contains(F.upper(x), F.upper(y)) | F.contains(F.upper(y), F.upper(x))
+    open_ = F.coalesce(F.col("__best.less") > -12, F.lit(True)) | F.exists("__lines", lambda x: (F.length(x) > F.length("__best.name")) & agrees(x, F.col("__best.name")))
+    seen = lambda n, at: F.struct(n.alias("n"), at.alias("at"))
+    contact = lambda a, i: F.when(a["at"].isNotNull() | (a["n"] >= CONTACTS), a).when(F.get("__lines", i).rlike(fields.CONTACT), seen(a["n"] + 1, above(i))).otherwise(a)
+    places = F.when(open_ & (F.size("__lines") > 0), F.sequence(F.lit(0), F.size("__lines") - 1)).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("__anchor", F.aggregate(places, seen(F.lit(0), held), contact)["at"])
     best, anchor = F.col("__best.name"), F.col("__anchor")
-    agree = F.contains(F.upper(best), F.upper(anchor)) | F.contains(F.upper(anchor), F.upper(best))
     longer = F.when(F.length(best) >= F.length(anchor), best).otherwise(anchor)
-    chosen = F.when(anchor.isNull(), best).when(best.isNull(), anchor).when(agree, longer).when(F.col("__best.less") <= -12, best).otherwise(anchor)
+    chosen = F.when(anchor.isNull(), best).when(best.isNull(), anchor).when(agrees(best, anchor), longer).when(F.col("__best.less") <= -12, best).otherwise(anchor)
     return df.select(*[F.col(c) for c in own if c != "supplier_name"], F.substring(chosen, 1, 200).alias("supplier_name"))
 
 
@@ -144,7 +164,9 @@ def with_structured_totals(pages: DataFrame, page_text: str = "page_text") -> Da
     Invoice Summary and Deposit Summary; null where there is no such block or where its amounts do not add up."""
     own = pages.columns
     heading = r"(?i)^(tax\s+analysis|invoice\s+summary|deposit\s+summary)\s*$"
-    df = pages.withColumn("__l", F.transform(F.split(F.coalesce(page_text, F.lit("")), r"\R"), lambda x: F.trim(x)))
+    low = F.lower(F.coalesce(page_text, F.lit("")))
+    named = F.contains(low, F.lit("analysis")) | F.contains(low, F.lit("summary"))  # other pages have no block
+    df = pages.withColumn("__l", F.when(named, F.transform(F.split(page_text, r"\R"), lambda x: F.trim(x))).otherwise(F.array().cast("array<string>")))
 
     def row(x: Column) -> Column:
         shapes = [r"^(.+?)\s{2,}([+-]?[0-9][0-9,. ]*[0-9]|[0-9]+\.[0-9]{2})\s*$", r"^(.+?)\s*[:\-]\s*([+-]?[0-9][0-9,. ]*[0-9]|[0-9]+\.[0-9]{2})\s*$", r"^(.+?)\s+([+-]?[0-9]+\.[0-9]{2})\s*$"]

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import accounts, regions, resolution, rule_graph, rules
+from ledgerloom.operators import accounts, pages, regions, resolution, rule_graph, rules
 from ledgerloom.plans import record_catalogue
 
 HINTS = "id long, tenant string, field_name string, page_no int, supplier_id long, supplier_name_snapshot string, active boolean, x double, y double, w double, h double"
@@ -77,3 +77,16 @@ def test_edits_after_the_day_are_not_folded(spark):
     some = record_catalogue._logged(spark, d, 4)[2]
     assert "row_number" not in some._jdf.queryExecution().optimizedPlan().toString()
     assert some.exceptAll(every.where("seq <= 4")).isEmpty() and some.count() == every.where("seq <= 4").count() > 0
+
+
+def test_the_rest_of_a_head_is_read_only_where_its_first_lines_leave_it_open(spark, monkeypatch):
+    """Looking at a head in steps finds the names that looking at all of it finds; topics are words, not patterns (drink holds ink)."""
+    heads = ["Blue Harbour Ltd\nOther Trading Ltd", "plain name\nACME FOODS LTD", "x1\ny2\n12\n13\n14\n15\n16\nACME LTD", "Bill to:\nCasa Ltd\n1\n2\n3\nZeta Services", "Zeta\nHarbour Ltd\nTel: +35621123456", "Acme Ltd\nAcme Ltd Trading\nTel: +35621123456", "", "Total"]
+    given = spark.createDataFrame([(h + "\n1 soft drink crate 12.00",) for h in heads], "page_text string")
+    stepped = pages.extract(given)
+    plan = stepped._jdf.queryExecution().optimizedPlan().toString()
+    assert "soft drink|" not in plan and all(f"<= -{most})" in plan or f"> -{most})" in plan for _, most in pages.STEPS[:-1])
+    found = {x["page_text"]: x["supplier_name"] for x in stepped.collect()}
+    monkeypatch.setattr(pages, "STEPS", [(pages.HEADER, 0)])
+    assert found == {x["page_text"]: x["supplier_name"] for x in pages.with_supplier(given).collect()}
+    assert {x["description"] for x in stepped.collect()} == {"office supplies and stationery"}

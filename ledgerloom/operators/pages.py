@@ -170,8 +170,8 @@ def with_structured_totals(pages: DataFrame, page_text: str = "page_text") -> Da
 
     def row(x: Column) -> Column:
         shapes = [r"^(.+?)\s{2,}([+-]?[0-9][0-9,. ]*[0-9]|[0-9]+\.[0-9]{2})\s*$", r"^(.+?)\s*[:\-]\s*([+-]?[0-9][0-9,. ]*[0-9]|[0-9]+\.[0-9]{2})\s*$", r"^(.+?)\s+([+-]?[0-9]+\.[0-9]{2})\s*$"]
-        pick = lambda k: F.coalesce(*[F.when(x.rlike(p), F.regexp_extract(x, p, k)) for p in shapes])
-        return F.struct(F.lower(F.trim(pick(1))).alias("label"), F.regexp_replace(pick(2), "[€£$, ]", "").try_cast(MONEY).alias("v"))
+        shaped = lambda p: text.bound(F.regexp_extract(x, p, 2), lambda v: F.when(v != "", F.struct(F.regexp_extract(x, p, 1).alias("label"), v.alias("v"))))
+        return text.bound(F.coalesce(*map(shaped, shapes)), lambda r: F.struct(F.lower(F.trim(r["label"])).alias("label"), F.regexp_replace(r["v"], "[€£$, ]", "").try_cast(MONEY).alias("v")))
 
     place = lambda p: F.array_position(F.transform("__l", lambda x: x.rlike(p)), True)
     df = df.withColumn("__heads", F.transform("__l", lambda x: x.rlike(heading)))

@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import money
 from ledgerloom.operators import accounts, pages, regions, resolution, rule_graph, rules
 from ledgerloom.plans import record_catalogue
 
@@ -90,3 +91,12 @@ def test_the_rest_of_a_head_is_read_only_where_its_first_lines_leave_it_open(spa
     monkeypatch.setattr(pages, "STEPS", [(pages.HEADER, 0)])
     assert found == {x["page_text"]: x["supplier_name"] for x in pages.with_supplier(given).collect()}
     assert {x["description"] for x in stepped.collect()} == {"office supplies and stationery"}
+
+
+def test_amounts_are_read_once(spark):
+    """A raw amount, and the shape of a labelled one, is one search each, however often what it finds is named."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    given = spark.createDataFrame([("EUR 1.234,56",), ("12,50",), ("-",), (None,)], "x string")
+    read = given.select("x", money.parse_amount(F.col("x")).alias("v"))
+    assert plan(read).count("regexp_replace(") == 1 and [str(r["v"]) for r in read.collect()] == ["1234.56", "12.50", "None", "None"]
+    assert "RLIKE(x, " not in plan(pages.with_structured_totals(given, "x")) and "contains" in plan(pages.with_structured_totals(given, "x")).lower()

@@ -38,6 +38,9 @@ def with_deposit(rows: DataFrame) -> DataFrame:
     given = lambda name: F.when(F.col(name) > 0, F.col(name).cast(MONEY))
     has = lambda x, word: F.contains(x, F.lit(word))
 
+    # What has none of these words has no label; only lines that have one, and those beside them, are looked at.
+    names = lambda low: has(low, "bcrs") | has(low, "deposit") | has(low, "returnable")
+
     def look(x: Column) -> Column:
         low = F.lower(x)
         return F.struct(
@@ -45,8 +48,10 @@ def with_deposit(rows: DataFrame) -> DataFrame:
             fields.amounts(x).alias("values"), fields.amounts(F.regexp_extract(x, "(?i)" + LABEL + "(.*)$", 1)).alias("after"),
         )
 
-    df = rows.withColumns({"__net": given("net_amount"), "__vat": given("vat_amount"), "__total": given("total_amount"), "__lines": summary_lines(F.col("totals_raw"), F.col("page_text_raw"))})
-    df = df.withColumn("__f", F.transform("__lines", look))
+    df = rows.withColumns({"__net": given("net_amount"), "__vat": given("vat_amount"), "__total": given("total_amount"), "__lines": F.when(names(F.lower(F.concat_ws("\n", "totals_raw", "page_text_raw"))), summary_lines(F.col("totals_raw"), F.col("page_text_raw"))).otherwise(F.array().cast("array<string>"))})
+    df = df.withColumn("__marked", F.transform("__lines", lambda x: F.struct(x.alias("line"), names(F.lower(x)).alias("named"))))
+    near_name = lambda i: F.exists(F.slice("__marked", F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), lambda m: m["named"])
+    df = df.withColumn("__f", F.transform("__marked", lambda m, i: F.when(near_name(i), look(m["line"]))))
     # Each line beside the ones before and after it; lines without a label anywhere near give nothing and are dropped.
     beside = F.filter(F.transform("__f", lambda f, i: F.struct(F.get("__f", i - 1).alias("prev"), f.alias("own"), F.get("__f", i + 1).alias("next"))), lambda t: t["own"]["label"] | t["own"]["low"].rlike(CONFIRMS))
     df = df.withColumn("__near", beside)

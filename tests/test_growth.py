@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.operators import accounts, pages, regions, resolution, rule_graph, rules
+from ledgerloom.operators import accounts, deposits, pages, regions, resolution, rule_graph, rules
 from ledgerloom.plans import record_catalogue
 
 HINTS = "id long, tenant string, field_name string, page_no int, supplier_id long, supplier_name_snapshot string, active boolean, x double, y double, w double, h double"
@@ -100,3 +100,11 @@ def test_amounts_are_read_once(spark):
     read = given.select("x", money.parse_amount(F.col("x")).alias("v"))
     assert plan(read).count("regexp_replace(") == 1 and [str(r["v"]) for r in read.collect()] == ["1234.56", "12.50", "None", "None"]
     assert "RLIKE(x, " not in plan(pages.with_structured_totals(given, "x")) and "contains" in plan(pages.with_structured_totals(given, "x")).lower()
+
+
+def test_lines_far_from_a_deposit_label_are_not_looked_at(spark):
+    text = "\n".join([f"item {k} 5.00" for k in range(30)] + ["BCRS deposit", "7.20", "Total 40.00"])
+    given = spark.createDataFrame([(text,), (text.replace("BCRS deposit", "other"),)], "totals_raw string").selectExpr("totals_raw", "CAST(NULL AS STRING) AS page_text_raw", "CAST(10 AS DECIMAL(14,2)) AS net_amount", "CAST(1.80 AS DECIMAL(14,2)) AS vat_amount", "CAST(19 AS DECIMAL(14,2)) AS total_amount")
+    found = deposits.with_deposit(given)
+    assert "AS __marked" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(str(r["deposit"]) for r in found.collect()) == ["7.20", "None"]

@@ -18,10 +18,16 @@ from ledgerloom.llm.common import written
 #: Rows that go to a Python worker at once. Texts are long: Spark's usual 10,000 hold tens of megabytes, in the executor and
 #: in each of its workers, which live on from stage to stage.
 ROWS = 1000
+#: Bytes of a Parquet row group, which a task holds in the heap until it is full; 128 MB are usual.
+GROUP = 8 << 20
 
 
 def _lean(spark: SparkSession) -> None:
+    """Batches of few rows, to a Python worker and from a Parquet file, and small row groups: arrays of many megabytes make an
+    executor's heap grow, and it does not shrink again."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", ROWS)
+    spark.conf.set("parquet.block.size", GROUP)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +52,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes personal data and the words that disclose it out of the texts. All rows stay; null texts stay null."""
+    _lean(spark)
     return pii.sanitise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

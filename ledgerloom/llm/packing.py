@@ -95,7 +95,8 @@ class Encoder:
                 self.known.update(zip(part, map(ids.tobytes().__getitem__, map(slice, cuts, cuts[1:])), strict=True))
         self.known["\n"] = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of all texts, as a list: a generator that its reader leaves before its end would never forget a unit."""
         cut = [self.units(t) for t in texts]
         if self.size >= REMEMBERED:
             self.known.clear()
@@ -105,16 +106,18 @@ class Encoder:
             new.update(units or ())
         fresh = [x for x in new if x not in self.known]
         self.learn(fresh)
+        out = []
         for text, units in zip(texts, cut):
             if units is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
             else:
-                yield b"".join(map(self.known.__getitem__, units))[4:]  # without the line end put before the text
+                out.append(b"".join(map(self.known.__getitem__, units))[4:])  # without the line end put before the text
         for x in fresh:  # a long unit, such as a text without blanks, is not met again
             if len(x) > SHORT:
                 del self.known[x]
             else:
                 self.size += len(x)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -126,6 +129,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drop this process's encoders. A function of the module: the tables that a task's own function names go with it as copies."""
+    _encoders.clear()
+
+
 def binary(n: int) -> list[int]:
     """The powers of two that n is the sum of, largest first."""
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
@@ -167,7 +175,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None,
                         column.append(x)
                     rank[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
-        _encoders.clear()  # made anew in about half a second; kept, it would stay in every worker while other stages run
+        forget()  # made anew in about half a second; kept, it would stay in every worker while other stages run
         del encode
         give_back()
 

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import sys
 import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -232,6 +234,23 @@ def test_packing_repeats_and_forgets(spark):
     assert [bytes(x) for x in encode(["the of", texts[0]])] == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("the of", texts[0])]
 
 
+def test_a_worker_forgets_what_it_encoded(spark):
+    """A reader that stops at the last text, as a zip does, leaves no units unforgotten, and a task leaves no encoder behind."""
+    encode = packing.Encoder(packing.default_vocabulary())
+    for block in range(3):
+        for _ in zip(range(20), encode([f"{'x' * 100}{block}{k} word{block}{k}" for k in range(20)])):
+            pass
+        assert max(map(len, encode.known)) <= packing.SHORT and encode.size == sum(map(len, encode.known)) - 1
+    assert packing.pieces(make(spark, ["some words"] * 50).repartition(8)).count() == 50
+
+    def left(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"n": [len(sys.modules["ledgerloom.llm.packing"]._encoders) if "ledgerloom.llm.packing" in sys.modules else 0]})
+
+    assert spark.range(0, 64, 1, 64).mapInArrow(left, "n long").agg(F.sum("n")).first()[0] == 0
+
+
 def test_repeats(spark):
     texts = [t or "" for t in corpus()]
     r = random.Random(11)

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.operators import accounts, deposits, pages, regions, resolution, rule_graph, rules
+from ledgerloom.operators import accounts, deposits, edit_log, pages, regions, resolution, rule_graph, rules
 from ledgerloom.plans import record_catalogue
 
 HINTS = "id long, tenant string, field_name string, page_no int, supplier_id long, supplier_name_snapshot string, active boolean, x double, y double, w double, h double"
@@ -108,3 +108,28 @@ def test_lines_far_from_a_deposit_label_are_not_looked_at(spark):
     found = deposits.with_deposit(given)
     assert "AS __marked" in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(str(r["deposit"]) for r in found.collect()) == ["7.20", "None"]
+
+
+def test_the_log_of_edits_is_read_and_sorted_once(spark):
+    """Rows meet their edits by hash, so that only the fold sorts the log; the log comes from one reading of the rows."""
+    sf = "/root/testdata/sf0.001"
+    plan = record_catalogue.edit_history(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and plan.count("Union") == 2  # those of the lists
+    rows = record_catalogue.made(spark, sf, record_catalogue._UNIQUE).cache()
+    one = spark.sql(record_catalogue._LOG, u=rows)
+    eight = spark.sql(f"WITH u AS (SELECT * FROM {{u}}) {record_catalogue._SEQ}", u=rows)
+    assert one.dtypes == eight.dtypes and one.exceptAll(eight).isEmpty() and eight.exceptAll(one).isEmpty()
+
+
+def test_values_are_read_as_casts_read_them(spark):
+    """What is kept from a cast, as it would throw and catch an exception, is null after it too."""
+    numbers = ["1e3", " 7.1 ", "+5", "-.5", "5.", ".", "", "-", "+", "e", "1e", "1e+2", "1E-2", "1e+", "٣", "٣.٥", "1_0", "NaN", "Infinity", "0x10", "5f", "5d", "\t5\n", " 5", "5\u0085", "\x015\x7f", "999999999999.99", "9999999999999", "1e400", "12,5", "1 2", "--5", "1.2.3", "9" * 50_000 + "x", "5.555"]
+    dates = ["1999-02-03", "1999-2-3", "1999-02-30", "2000-02-29", "+12345-01-01", "12345-01-01", "-1999-01-01", " 1999-02-03", "1999-02-03 ", "1999-02-03x", "x1999-02-03", "0000-01-01", "٠٠٠١-٠١-٠١", "line", "99-01-01"]
+    given = spark.createDataFrame([(x,) for x in [*numbers, *dates, None]], "raw string")
+    raw = F.col("raw")
+    asked = {"net_amount": raw.try_cast("decimal(14,2)").cast("string"), "invoice_date": F.try_to_date(raw, "yyyy-MM-dd").cast("string"), "description": raw}
+    for field, want in asked.items():
+        assert [tuple(x) for x in given.select(raw, edit_log._read(F.lit(field), raw), want).collect() if x[1] != x[2]] == []
+    assert given.where(edit_log._read(F.lit("net_amount"), raw).isNotNull()).count() > 8 and given.where(edit_log._read(F.lit("invoice_date"), raw).isNotNull()).count() > 1
+    sure = given.where(~raw.rlike(edit_log.NUMBER)).select("raw").collect()
+    assert {"line", "1999-02-03", "5f"} <= {x["raw"] for x in sure}

@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from array import array
 from collections.abc import Iterator
 from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -43,6 +43,8 @@ CLASS_ORDERS, BYTE_ORDERS = (0, 1, 2, 3), (1, 2, 3, 5)
 LEAST_BITS, MOST_BITS, TOKENS_A_SLOT = 14, 22, 64
 #: Gates; buckets of the refining table, for each gate; the mixer's step; what a count begins with.
 GATES, BUCKETS, RATE, START = 16, 33, 0.1, 0.2
+#: Gates of one of the two longest contexts.
+GATED = 4
 #: Bytes of text whose words are counted together; symbols whose bits are worked on together.
 BLOCK, STEP = 24 << 20, 16_384
 #: Slots that are summed up together.
@@ -50,16 +52,14 @@ PART = 1 << 16
 #: Steps of a weight when weights are added up as whole numbers, so that sums don't depend on their order.
 FINE = 1 << 20
 STOP = 256
+#: What may stand before a symbol: none, or one of the classes, or of bytes, the stop and shared classes.
+BEFORE = max(END + 2, STOP + SHARED + 2)
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 def shared_class(word: bytes) -> int:
     return zlib.crc32(word[:1] + word[-1:]) % SHARED
 
@@ -71,12 +71,16 @@ def _shared_class() -> Column:
 # --- words of blocks ---------------------------------------------------------------------------------------------
 
 
-class _Numbers(dict):
-    """Numbers words in the order of their first lookup."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts (binary) end to end, and how many each text has."""
+    large = pa.types.is_large_binary(texts.type)
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.large_string() if large else pa.string())))
+    own = found.flatten()
+    # A text that is empty, or begins or ends with white space, has empty words there.
+    full = pc.not_equal(pc.binary_length(own), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    ends = np.cumsum(pc.list_value_length(found).to_numpy())
+    return own.filter(full).cast(pa.large_string()), np.diff(upto[ends], prepend=0)
 
 
 def _packed(ids: np.ndarray) -> bytes:
@@ -98,28 +102,35 @@ def blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n = TaskContext.get().partitionId() << 24, 0
-        numbers, ids, about, size = _Numbers(), array("I"), [], 0
+        waiting: list[pa.RecordBatch] = []
+        size = 0
 
         def made() -> pa.RecordBatch:
-            sequence = np.frombuffer(ids, np.uint32)
-            doc_ids, held, n_bytes, sizes = zip(*about)
-            learns = np.repeat(~np.array(held, bool), sizes)
-            trained = np.bincount(sequence[learns], minlength=len(numbers)).astype(np.int64)
-            one = lambda x, t: pa.array([x], pa.list_(t))
-            columns = [pa.array([part + n]), one(doc_ids, pa.int64()), one(held, pa.bool_()), one(n_bytes, pa.int64()), one(sizes, pa.int32()), pa.array([_packed(sequence)], pa.binary()), one(list(numbers), pa.binary()), one(trained, pa.int64())]
+            found = [words(own.column(2)) for own in waiting]
+            numbers = pa.chunked_array([own for own, _ in found]).dictionary_encode().unify_dictionaries()
+            sequence = np.concatenate([own.indices.to_numpy() for own in numbers.chunks])
+            distinct = numbers.chunk(0).dictionary.cast(pa.large_binary()).cast(pa.binary())
+            sizes = np.concatenate([own for _, own in found])
+            doc_ids, held, lengths = (pa.concat_arrays(own) for own in zip(*((b.column(0), b.column(1), pc.binary_length(b.column(2)).cast(pa.int64())) for b in waiting)))
+            learns = np.repeat(~held.to_numpy(zero_copy_only=False), sizes)
+            trained = np.bincount(sequence[learns], minlength=len(distinct)).astype(np.int64)
+            one = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
+            columns = [pa.array([part + n]), one(doc_ids), one(held), one(lengths), one(pa.array(sizes, pa.int32())), pa.array([_packed(sequence)], pa.binary()), one(distinct), one(pa.array(trained))]
             return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "held", "bytes", "sizes", "sequence", "words", "trained"])
 
         for batch in batches:
-            for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                text = text.as_py()
-                before = len(ids)
-                ids.extend(map(numbers.__getitem__, words(text)))
-                about.append((doc_id, held, len(text), len(ids) - before))
-                size += len(text)
+            ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy().astype(np.int64))
+            first = done = 0
+            while first < batch.num_rows:
+                # A block ends with the text that fills it.
+                last = int(np.searchsorted(ends, BLOCK - size + done)) + 1
+                waiting.append(batch.slice(first, last - first))
+                size += int(ends[min(last, len(ends)) - 1]) - done
+                first, done = last, int(ends[min(last, len(ends)) - 1])
                 if size >= BLOCK:
                     yield made()
-                    numbers, ids, about, size, n = _Numbers(), array("I"), [], 0, n + 1
-        if about:
+                    waiting, size, n = [], 0, n + 1
+        if waiting:
             yield made()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), text_or_empty().cast("binary").alias("text"))
@@ -131,7 +142,7 @@ def numbered(held: DataFrame) -> DataFrame:
     one row of each word. A word has a row for each block at most, so no word is hot."""
     rows = held.select("block", F.posexplode(F.arrays_zip("words", "trained"))).select("block", F.col("pos").alias("at"), F.col("col.words").alias("word"), F.col("col.trained").alias("trained"))
     same = Window.partitionBy("word")
-    return rows.select("block", "at", "word", F.sum("trained").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("lead"))
+    return rows.select("block", "at", "word", F.sum("trained").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("lead"))
 
 
 # --- the bit models ----------------------------------------------------------------------------------------------
@@ -165,8 +176,14 @@ class Code:
         # All paths end to end, and where each begins.
         on = np.arange(self.nodes.shape[1]) < self.sizes[:, None]
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.flat_bits = self.bits[on]
-        self.flat_salts = self.nodes[on].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.flat_salts = _salts(self.nodes[on])
+        # Branches are numbered by node and bit.
+        self.branches = 2 * (n - 1)
+        self.flat_branches = self.nodes[on] * 2 + self.bits[on]
+
+
+def _salts(nodes: np.ndarray) -> np.ndarray:
+    return nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -174,50 +191,75 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def events(code: Code, bits: list[int], symbols: np.ndarray, contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(sizes, bit, slots) of every bit of the symbols: sizes has the bits of each symbol, slots an array for each predictor."""
-    n = code.sizes[symbols]
-    ends = np.cumsum(n)
-    step = np.arange(ends[-1] if len(ends) else 0) + np.repeat(code.first[symbols] - ends + n, n)
-    salt = code.flat_salts[step]
-    slots = []
-    for context, b in zip(contexts, bits):
-        h = np.repeat(context, n)
-        h += salt
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h >>= np.uint64(64 - b)
-        slots.append(h.view(np.int64))
-    return n, code.flat_bits[step], slots
-
-
-def _hashes(symbols: np.ndarray, at: np.ndarray, room: np.ndarray, orders: tuple[int, ...]) -> list[np.ndarray]:
-    """For each order, hashes of that many symbols before each place `at`; fewer where room, their number, is less."""
-    h, out = np.zeros(len(at), np.uint64), []
-    for back in range(max(orders) + 1):
-        if back:
-            before = np.where(room >= back, symbols[np.maximum(at - back, 0)] + 1, 0).astype(np.uint64)
-            h = h * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(1)
-        if back in orders:
-            out.append(_mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(back + 1)))
+def _slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Slots of hashes that have met their salts; h is worked on in place."""
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h >>= np.uint64(64 - bits)
+    return h.view(np.int64)
+
+
+def _context(h: np.ndarray, order: int) -> np.ndarray:
+    """The context of an order, from a hash of that many symbols before."""
+    return _mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(order + 1))
+
+
+def _further(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return h * np.uint64(0x9E3779B97F4A7C15) + before.astype(np.uint64) + np.uint64(1)
+
+
+def near_slots(code: Code, order: int, bits: int) -> np.ndarray:
+    """The slot of every node after every symbol, or none, that may stand before: an array (what stands before, nodes).
+    Orders below 2 have no more contexts than that, so their slots are not hashed for each bit."""
+    h = np.zeros(1, np.uint64) if order == 0 else _further(np.zeros(BEFORE, np.uint64), np.arange(BEFORE))
+    return _slots(_context(h, order)[:, None] + _salts(np.arange(code.branches // 2)), bits)
+
+
+class Bits:
+    """The bits of symbols: of each symbol their number, of each bit its value and its branch, and the slots of its longer
+    contexts."""
+
+    def __init__(self, code: Code, bits: list[int], symbols: np.ndarray, before: np.ndarray, contexts: list[np.ndarray]) -> None:
+        self.symbols, self.before = symbols, before
+        self.n = code.sizes[symbols]
+        self.ends = np.cumsum(self.n)
+        step = np.arange(self.ends[-1] if len(symbols) else 0)
+        step += np.repeat(code.first[symbols] - self.ends + self.n, self.n)
+        self.branch = _take(code.flat_branches, step)
+        self.bit = self.branch & 1
+        self.after = np.repeat(before * code.branches, self.n)
+        self.after += self.branch
+        salt = _take(code.flat_salts, step)
+        self.slots = []
+        for context, b in zip(contexts, bits[len(bits) - len(contexts) :]):
+            h = np.repeat(context, self.n)
+            h += salt
+            self.slots.append(_slots(h, b))
+
+
+def _keys(symbols: np.ndarray, room: np.ndarray, depth: int, kind: type) -> np.ndarray:
+    """Each symbol with what stands before it, as one number: the nearest first, none where room, the number of symbols
+    before, is less, and the symbol itself last."""
+    out = symbols.astype(kind)
+    for back in range(1, min(depth, len(symbols) - 1) + 1):
+        out[back:] |= np.where(room[back:] >= back, symbols[:-back] + 1, 0).astype(kind) << kind(_width(out) * (depth + 1 - back))
     return out
 
 
-#: Pieces of a sequence: the symbols, the hashes of their contexts, and each symbol's owner.
-Pieces = Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]
+def _width(keys: np.ndarray) -> int:
+    """The binary places of a symbol in keys: classes take 8, bytes with the stop and shared classes 9."""
+    return 8 if keys.itemsize == 4 else 9
 
 
-def class_pieces(classes: np.ndarray, sizes: np.ndarray) -> Pieces:
-    """Pieces of texts of classes that lie end to end, text k having sizes[k] of them with the end; owners are texts."""
+def class_keys(classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Keys of texts of classes that lie end to end, text k having sizes[k] of them with the end."""
     room = np.arange(len(classes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    for a in range(0, len(classes), STEP):
-        at = np.arange(a, min(a + STEP, len(classes)))
-        yield classes[at], _hashes(classes, at, room[at], CLASS_ORDERS), owner[at]
+    return _keys(classes, room, max(CLASS_ORDERS), np.uint32)
 
 
-def byte_pieces(spelt: list[bytes]) -> Pieces:
-    """Pieces of the bytes of words, each with a stop; before its first byte stands the class. Owners are words."""
+def byte_keys(spelt: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bytes of words, each after the key of its class and with a stop, and how many each word has but for the
+    class."""
     lengths = np.fromiter(map(len, spelt), np.int64, len(spelt)) + 2
     ends = np.cumsum(lengths)
     symbols = np.full(int(ends[-1]) if len(spelt) else 0, STOP, np.int32)
@@ -227,11 +269,35 @@ def byte_pieces(spelt: list[bytes]) -> Pieces:
     inner[ends - 1] = False
     symbols[inner] = np.frombuffer(b"".join(spelt), np.uint8)
     symbols[first] = [STOP + 1 + shared_class(w) for w in spelt]
-    for a in range(0, len(symbols), STEP):
-        at = np.arange(a, min(a + STEP, len(symbols)))
-        at = at[~first[at]]
-        owner = np.searchsorted(ends, at, side="right")
-        yield symbols[at], _hashes(symbols, at, at - (ends - lengths)[owner], BYTE_ORDERS), owner
+    room = np.arange(len(symbols)) - np.repeat(ends - lengths, lengths)
+    return _keys(symbols, room, max(BYTE_ORDERS), np.uint64), lengths - 1
+
+
+def coded(code: Code, keys: np.ndarray) -> np.ndarray:
+    """Keys of symbols that the code has; a word's class only stands before its bytes."""
+    own = keys & keys.dtype.type((1 << _width(keys)) - 1)
+    return keys[own < len(code.sizes)]
+
+
+def bits_of(code: Code, orders: tuple[int, ...], bits: list[int], keys: np.ndarray) -> Bits:
+    """The bits of keys; contexts are hashes of what stands before."""
+    width, depth = _width(keys), max(orders)
+    at = lambda back: (keys >> keys.dtype.type(width * (depth + 1 - back))) & keys.dtype.type((1 << width) - 1)
+    nearest = at(1)
+    h, contexts = _further(np.zeros(len(keys), np.uint64), nearest), []
+    for back in range(2, depth + 1):
+        h = _further(h, at(back))
+        if back in orders:
+            contexts.append(_context(h, back))
+    return Bits(code, bits, at(depth + 1).astype(np.int64), nearest.astype(np.int64), contexts)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and how often each occurs. Equal and similar contexts meet, and with them the places of
+    tables that they need."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def stretch_of(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
@@ -243,29 +309,35 @@ def squash(x: np.ndarray) -> np.ndarray:
 
 
 class Predictors:
-    """Stretched chances and gates by slot, made from counts: for each predictor an array (slots, 2) of zeros and ones
-    seen. `without` has them by slot and bit, with that bit counted once less."""
-
-    def __init__(self, counts: list[np.ndarray]) -> None:
-        self.full = [stretch_of(c[:, 1], c[:, 0]) for c in counts]
-        self.without = [np.stack([stretch_of(c[:, 1], c[:, 0] - 1), stretch_of(c[:, 1] - 1, c[:, 0])], axis=1).ravel() for c in counts]
-        level = lambda n: np.searchsorted([1, 3, 15], n, side="right").astype(np.int8)
-        self.gate_full = [level(c.sum(axis=1)) for c in counts[-2:]]
-        self.gate_without = [level(np.maximum(c.sum(axis=1) - 1, 0)) for c in counts[-2:]]
-
-    def inputs(self, slots: list[np.ndarray], bit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Inputs, a row for each predictor, and gates; where bits are given, without themselves."""
-        gates = self.gate_full if bit is None else self.gate_without
-        gate = _take(gates[0], slots[-2]).astype(np.int64)
-        gate *= 4
-        gate += _take(gates[1], slots[-1])
-        x = np.empty((len(slots), len(gate)), np.float32)
-        for row, s, full, without in zip(x, slots, self.full, self.without):
-            if bit is None:
-                _take(full, s, row)
-            else:
-                _take(without, s * 2 + bit, row)
-        return x, gate
+    """Stretched chances and gates of a model; with `without`, a bit is counted once less. Orders below 2 are laid out by
+    branch, longer ones by slot, or slot and bit. The last two orders' gates stand in the last two of the 24 binary places
+    of their stretched chances, so that one lookup gives both."""
+
+    def __init__(self, model: Model, without: bool) -> None:
+        self.without, self.first, self.near, self.far = without, 0 in model.orders, [], []
+        for order, b, c in zip(model.orders, model.bits, model.counts):
+            if order < 2:
+                c = c[near_slots(model.code, order, b)]
+            zeros, ones = c[..., 0], c[..., 1]
+            by_bit = [stretch_of(ones, zeros - without), stretch_of(ones - without, zeros)] if without or order < 2 else [stretch_of(ones, zeros)]
+            table = np.stack(by_bit, axis=-1)
+            if order in model.orders[-2:]:
+                level = np.searchsorted([1, 3, 15], np.maximum(c.sum(axis=1) - without, 0), side="right").astype(np.int32)
+                table.view(np.int32)[:] = table.view(np.int32) & -GATED | level[:, None]
+            (self.near if order < 2 else self.far).append(table.ravel())
+
+    def inputs(self, bits: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Inputs, a row for each predictor, and gates."""
+        x = np.empty((len(self.near) + len(self.far), len(bits.bit)), np.float32)
+        if self.first:
+            _take(self.near[0], bits.branch, x[0])
+        _take(self.near[-1], bits.after, x[len(self.near) - 1])
+        for row, s, table in zip(x[len(self.near) :], bits.slots, self.far):
+            _take(table, s * 2 + bits.bit if self.without else s, row)
+        gates = x[-2:].view(np.int32) & GATED - 1
+        gate = gates[0] * GATED
+        gate += gates[1]
+        return x, gate.astype(np.int64)
 
 
 def _take(table: np.ndarray, at: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
@@ -273,6 +345,14 @@ def _take(table: np.ndarray, at: np.ndarray, out: np.ndarray | None = None) -> n
     return np.take(table, at, out=out, mode="clip")
 
 
+def _chance(dot: np.ndarray) -> np.ndarray:
+    """squash in place, for numbers within 14 of 0."""
+    np.negative(dot, out=dot)
+    np.exp(dot, out=dot)
+    dot += 1
+    return np.divide(1, dot, out=dot)
+
+
 class Mixer:
     """Gated weights over the predictors and the table that refines their result."""
 
@@ -284,20 +364,34 @@ class Mixer:
         self.refined: np.ndarray | None = None
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        dot = np.zeros(len(gate), np.float32)
+        dot, own = np.zeros(len(gate), np.float32), np.empty(len(gate), np.float32)
         for row, weights in zip(x, self.weights.T.astype(np.float32)):
-            dot += _take(weights, gate) * row
+            _take(weights, gate, own)
+            own *= row
+            dot += own
         return np.clip(dot, -14, 14, out=dot)
 
     def bucket(self, dot: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint(dot * 2), -(BUCKETS // 2), BUCKETS // 2).astype(np.int64) + BUCKETS // 2
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        at = dot * 2
+        np.rint(at, out=at)
+        np.clip(at, -(BUCKETS // 2), BUCKETS // 2, out=at)
+        at += BUCKETS // 2
+        return at.astype(np.int64)
+
+    def learn(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Learns from bits and gives how many each gate has."""
         dot = self.mixed(x, gate)
-        self.table += np.bincount((bit * GATES + gate) * BUCKETS + self.bucket(dot), minlength=self.table.size).reshape(self.table.shape)
-        error = bit.astype(np.float32) - 1 / (1 + np.exp(-dot))
-        step = np.stack([np.bincount(gate, weights=error * row, minlength=GATES) for row in x], axis=1)
-        self.weights += RATE * step / np.maximum(np.bincount(gate, minlength=GATES), 1)[:, None]
+        n = np.bincount(gate, minlength=GATES)
+        at = bit * GATES
+        at += gate
+        at *= BUCKETS
+        at += self.bucket(dot)
+        self.table += np.bincount(at, minlength=self.table.size).reshape(self.table.shape)
+        error = bit.astype(np.float32)
+        error -= _chance(dot)
+        step = np.stack([np.bincount(gate, weights=np.multiply(error, row, out=dot), minlength=GATES) for row in x], axis=1)
+        self.weights += RATE * step / np.maximum(n, 1)[:, None]
+        return n
 
     def chance(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The chance of a 1."""
@@ -305,38 +399,48 @@ class Mixer:
             zero, one = self.table + self.prior
             self.refined = (one / (zero + one)).ravel().astype(np.float32)
         dot = self.mixed(x, gate)
-        p = 1 / (1 + np.exp(-dot))
-        p += _take(self.refined, gate * BUCKETS + self.bucket(dot))
+        at = gate * BUCKETS
+        at += self.bucket(dot)
+        p = _chance(dot)
+        p += _take(self.refined, at)
         p /= 2
         return np.clip(p, 1e-6, 1 - 1e-6, out=p)
 
 
 class Model:
-    """A code, the sizes of its predictors' tables, what these have counted, and a mixer."""
+    """A code, the orders and sizes of its predictors' tables, what these have counted, and a mixer."""
 
-    def __init__(self, code: Code, bits: list[int], counts: list[np.ndarray] | None = None, learnt: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        self.code, self.bits, self.counts, self.learnt = code, bits, counts, learnt
+    def __init__(self, code: Code, orders: tuple[int, ...], bits: list[int], counts: list[np.ndarray], learnt: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        self.code, self.orders, self.bits, self.counts, self.learnt = code, orders, bits, counts, learnt
         self._ready: tuple[Predictors, Mixer] | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_ready": None}
 
-    def ready(self) -> tuple[Predictors, Mixer]:
-        if self._ready is None:
-            self._ready = Predictors(self.counts), Mixer(len(self.bits), *(self.learnt or ()))
+    def ready(self, without: bool = False) -> tuple[Predictors, Mixer]:
+        if self._ready is None or self._ready[0].without != without:
+            self._ready = Predictors(self, without), Mixer(len(self.bits), *(self.learnt or ()))
         return self._ready
 
-    def costs(self, pieces: Pieces, owners: int) -> np.ndarray:
-        """For each owner, the log10 of the chance of its symbols."""
+    def costs(self, keys: np.ndarray) -> np.ndarray:
+        """For each key of a symbol that the code has, the log10 of the symbol's chance."""
         predictors, mixer = self.ready()
-        total = np.zeros(owners)
-        for symbols, contexts, owner in pieces:
-            n, bit, slots = events(self.code, self.bits, symbols, contexts)
-            p = mixer.chance(*predictors.inputs(slots))
-            if len(n):  # every symbol has a bit
-                costs = np.add.reduceat(np.log10(np.abs(p - (1 - bit).astype(np.float32))), np.cumsum(n) - n, dtype=np.float64)
-                total += np.bincount(owner, weights=costs, minlength=owners)
-        return total
+        keys = coded(self.code, keys)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        new = np.concatenate([np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]])
+        ranked = ranked[new]
+        costs = np.empty(len(ranked))
+        for a in range(0, len(ranked), STEP):
+            bits = bits_of(self.code, self.orders, self.bits, ranked[a : a + STEP])
+            p = mixer.chance(*predictors.inputs(bits))
+            # Every symbol has a bit. Of a 0, 1 - p is the chance.
+            p -= (1 - bits.bit).astype(np.float32)
+            costs[a : a + STEP] = np.add.reduceat(np.log(np.abs(p, out=p), out=p).astype(np.float64), bits.ends - bits.n)
+        costs /= np.log(10)
+        out = np.empty(len(keys))
+        out[order] = costs[np.cumsum(new) - 1]
+        return out
 
 
 def table_bits(slots: int, orders: tuple[int, ...]) -> list[int]:
@@ -345,24 +449,39 @@ def table_bits(slots: int, orders: tuple[int, ...]) -> list[int]:
     return [min(12 + 5 * k, grown) if k < 2 else grown for k in orders]
 
 
-def count_bits(rows: DataFrame, pieces, code: Code, bits: list[int]) -> list[np.ndarray]:  # noqa: ANN001
-    """What each predictor has counted over all pieces of all rows; pieces: from a batch to Pieces."""
+def counted(blocks_of_keys: Iterator[np.ndarray], code: Code, orders: tuple[int, ...], bits: list[int]) -> list[np.ndarray]:
+    """What each predictor has counted over all keys, by slot and bit."""
+    held = [np.zeros(2 << b, np.float64) for b in bits]
+    far = [table for table, order in zip(held, orders) if order >= 2]
+    follows = np.zeros(BEFORE * len(code.sizes), np.float64)
+    for keys in blocks_of_keys:
+        keys, times = distinct(coded(code, keys))
+        for a in range(0, len(keys), STEP):
+            own = bits_of(code, orders, bits, keys[a : a + STEP])
+            n = times[a : a + STEP].astype(np.float64)
+            np.add.at(follows, own.before * len(code.sizes) + own.symbols, n)
+            n = np.repeat(n, own.n)
+            for table, s in zip(far, own.slots):
+                s *= 2
+                s += own.bit
+                np.add.at(table, s, n)
+    # Orders below 2 are counted by symbol and what stands before it; their bits follow from that.
+    at = np.arange(BEFORE)[:, None] * code.branches + code.flat_branches
+    after = np.bincount(at.ravel(), weights=np.repeat(follows.reshape(BEFORE, -1), code.sizes, axis=1).ravel(), minlength=BEFORE * code.branches).reshape(BEFORE, -1)
+    for table, order, b in zip(held, orders, bits):
+        if order < 2:
+            own = after if order else after.sum(axis=0, keepdims=True)
+            slots = near_slots(code, order, b)
+            for bit in (0, 1):
+                table[bit::2] += np.bincount(slots.ravel(), weights=own[:, bit::2].ravel(), minlength=len(table) // 2)
+    return held
+
+
+def count_bits(rows: DataFrame, keys, code: Code, orders: tuple[int, ...], bits: list[int]) -> list[np.ndarray]:  # noqa: ANN001
+    """What each predictor has counted over all rows; keys: from a batch to arrays of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(2 << b, np.float64) for b in bits]
-        for batch in batches:
-            waiting: list[list[np.ndarray]] = [[] for _ in bits]
-            size = 0
-            for symbols, contexts, _ in pieces(batch):
-                _, bit, slots = events(code, bits, symbols, contexts)
-                for own, s in zip(waiting, slots):
-                    own.append((s * 2 + bit).astype(np.int32))
-                size += len(bit)
-                if size > 1 << 21:
-                    _counted(held, waiting)
-                    size = 0
-            _counted(held, waiting)
-        for k, table in enumerate(held):
+        for k, table in enumerate(counted((own for batch in batches for own in keys(batch)), code, orders, bits)):
             for part in range(0, len(table), PART):
                 own = table[part : part + PART]
                 at = np.nonzero(own)[0]
@@ -399,28 +518,22 @@ def count_bits(rows: DataFrame, pieces, code: Code, bits: list[int]) -> list[np.
     return [x.reshape(-1, 2) for x in flat]
 
 
-def _counted(held: list[np.ndarray], waiting: list[list[np.ndarray]]) -> None:
-    for table, own in zip(held, waiting):
-        if own:
-            table += np.bincount(np.concatenate(own), minlength=len(table))
-            own.clear()
-
-
-def learn(rows: DataFrame, pieces, model) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
-    """Weights and refining table, from one online pass over all pieces of every partition: weights are averaged by what
+def learn(rows: DataFrame, keys, model) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Weights and refining table, from one online pass over all keys of every partition: weights are averaged by what
     each partition has seen, tables added up, both as whole numbers. model: the broadcast model."""
     kind = "i int, j int, x decimal(38,0), n decimal(38,0)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         mixer, seen = Mixer(len(own.bits)), np.zeros(GATES, np.int64)
-        predictors = own.ready()[0]
+        predictors = own.ready(without=True)[0]
         for batch in batches:
-            for symbols, contexts, _ in pieces(batch):
-                _, bit, slots = events(own.code, own.bits, symbols, contexts)
-                x, gate = predictors.inputs(slots, bit)
-                mixer.learn(x, gate, bit)
-                seen += np.bincount(gate, minlength=GATES)
+            for whole in keys(batch):
+                for a in range(0, len(whole), STEP):
+                    # What is learnt from symbols together doesn't depend on their order, but for rounding.
+                    bits = bits_of(own.code, own.orders, own.bits, np.sort(coded(own.code, whole[a : a + STEP])))
+                    x, gate = predictors.inputs(bits)
+                    seen += mixer.learn(x, gate, bits.bit)
         if seen.any():
             rows = [(-1 - k, g, Decimal(int(round(mixer.weights[g, k] * FINE)) * int(seen[g])), Decimal(int(seen[g]))) for g in range(GATES) for k in range(len(own.bits))]
             rows += [(b, j, Decimal(int(x)), Decimal(0)) for b in (0, 1) for j, x in enumerate(mixer.table[b].ravel()) if x]
@@ -436,27 +549,27 @@ def learn(rows: DataFrame, pieces, model) -> tuple[np.ndarray, np.ndarray]:  # n
     return mixer.weights, mixer.table
 
 
-def trained(rows: DataFrame, pieces, histogram: np.ndarray, bits: list[int]):  # noqa: ANN001, ANN201
-    """The broadcast model of the pieces of rows."""
+def trained(rows: DataFrame, keys, histogram: np.ndarray, orders: tuple[int, ...], slots: int):  # noqa: ANN001, ANN201
+    """The broadcast model of the keys of rows."""
     context = rows.sparkSession.sparkContext
-    code = Code(histogram)
-    counted = Model(code, bits, count_bits(rows, pieces, code, bits))
-    sent = context.broadcast(counted)
-    counted.learnt = learn(rows, pieces, sent)
+    code, bits = Code(histogram), table_bits(slots, orders)
+    model = Model(code, orders, bits, count_bits(rows, keys, code, orders, bits))
+    sent = context.broadcast(model)
+    model.learnt = learn(rows, keys, sent)
     sent.destroy()
-    return context.broadcast(counted)
+    return context.broadcast(model)
 
 
-def _class_batch(batch: pa.RecordBatch) -> Pieces:
+def _class_batch(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for held, sizes, classes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-        sizes = np.array(sizes.as_py(), np.int64)
+        sizes = sizes.values.to_numpy().astype(np.int64)
         learns = ~np.array(held, bool)
         own = np.frombuffer(zstandard.decompress(classes.as_py()), np.uint8).astype(np.int32)
-        yield from class_pieces(own[np.repeat(learns, sizes)], sizes[learns])
+        yield class_keys(own[np.repeat(learns, sizes)], sizes[learns])
 
 
-def _byte_batch(batch: pa.RecordBatch) -> Pieces:
-    yield from byte_pieces(batch.column(0).to_pylist())
+def _byte_batch(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    yield byte_keys(batch.column(0).to_pylist())[0]
 
 
 def byte_counts(rows: DataFrame) -> np.ndarray:
@@ -475,6 +588,11 @@ def byte_counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def _sums(costs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of costs that lie end to end, sizes of them, none of which is 0."""
+    return np.add.reduceat(costs, np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0)
+
+
 # --- scores ------------------------------------------------------------------------------------------------------
 
 
@@ -499,9 +617,9 @@ class Fit:
         self.histogram[END] = texts
         self.total, self.distinct = int(self.histogram.sum()), sum(r["words"] for r in classes) + (texts > 0)
         self.ready = written(self._joined(held, found), "ready", True)
-        self.classes = trained(self.ready.select("held", "sizes", "classes"), _class_batch, self.histogram, table_bits(self.total // TOKENS_A_SLOT, CLASS_ORDERS))
+        self.classes = trained(self.ready.select("held", "sizes", "classes"), _class_batch, self.histogram, CLASS_ORDERS, self.total // TOKENS_A_SLOT)
         once = known.where("lead and c = 1").select("word")
-        self.bytes = trained(once, _byte_batch, byte_counts(once), table_bits(int(self.histogram[NEW:END].sum()), BYTE_ORDERS))
+        self.bytes = trained(once, _byte_batch, byte_counts(once), BYTE_ORDERS, int(self.histogram[NEW:END].sum()))
         discard(held)  # what is read from here on is in `ready`
         discard(known)
 
@@ -550,8 +668,9 @@ class Fit:
                     sizes = np.array(row["sizes"], np.int64)
                     n = len(sizes)
                     own = np.frombuffer(zstandard.decompress(row["classes"]), np.uint8).astype(np.int32)
-                    score = classes.value.costs(class_pieces(own, sizes), n) + np.array(row["shares"])
-                    new = spelling.value.costs(byte_pieces(row["new_words"]), len(row["new_words"]))
+                    score = _sums(classes.value.costs(class_keys(own, sizes)), sizes) + np.array(row["shares"])
+                    spelt, lengths = byte_keys(row["new_words"])
+                    new = _sums(spelling.value.costs(spelt), lengths)
                     score += np.bincount(np.array(row["new_docs"], np.int64), weights=new[np.array(row["new_places"], np.int64)] * np.array(row["new_times"], np.int64), minlength=n)
                     yield pa.RecordBatch.from_pydict(
                         {

@@ -437,6 +437,36 @@ def test_lm_score_by_brute_force(spark):
     assert again == {k: r["score"] for k, r in found.items()}
 
 
+def test_lm_words():
+    rng = np.random.default_rng(3)
+    odd = [bytes(rng.choice(list(b"Az\x00\x09\x0a\x0b\x0c\x0d\x1c\x1f \x7f\xc2\xa0\xe9"), 30).tolist()) for _ in range(300)]
+    texts = [b"", b" ", b"A", b" a\tB ", b"\xc3\x89a \xe2\x80\xa8b", *odd, b""]
+    for kind in (pa.binary(), pa.large_binary()):
+        own, sizes = lm_score.words(pa.array([b"x y", *texts], kind).slice(1))
+        want = [t.lower().split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in want] and own.cast(pa.large_binary()).to_pylist() == [w for ws in want for w in ws]
+
+
+def test_lm_score_works_once_on_what_is_equal(monkeypatch):
+    """A symbol after the same symbols is counted and weighed once, however often it stands in a block."""
+    worked: list[int] = []
+    bits_of = lm_score.bits_of
+    monkeypatch.setattr(lm_score, "bits_of", lambda code, orders, bits, keys: worked.append(len(keys)) or bits_of(code, orders, bits, keys))
+    text = np.arange(40) % 7
+    code, orders = lm_score.Code(np.bincount(text, minlength=lm_score.END + 1)), lm_score.CLASS_ORDERS
+    bits = lm_score.table_bits(0, orders)
+    many, one = (lm_score.class_keys(np.tile(text, n), np.full(n, 40)) for n in (5000, 1))
+    counts, single = (lm_score.counted(iter([keys]), code, orders, bits) for keys in (many, one))
+    assert all((a == 5000 * b).all() for a, b in zip(counts, single)) and all(a.sum() == 5000 * code.sizes[text].sum() for a in counts)
+    model = lm_score.Model(code, orders, bits, [c.reshape(-1, 2).astype(np.float32) for c in counts])
+    costs = model.costs(many)
+    assert (costs.reshape(5000, 40) == model.costs(one)).all() and (costs < 0).all()
+    assert max(worked) <= 40
+    spelt, lengths = lm_score.byte_keys([b"ab", b"", b"ab"])
+    spelling = lm_score.Code(np.ones(257, np.int64))
+    assert lengths.tolist() == [3, 1, 3] and len(lm_score.coded(spelling, spelt)) == 7 and len(lm_score.coded(spelling, lm_score.byte_keys([])[0])) == 0
+
+
 def test_lm_score_extremes(spark):
     long = ["b" * 1_500_000, "the cat sat", "cat the sat", None, "the cat sat", "the cat sat"]
     found = {r["doc_id"]: r for r in lm_score.score(make(spark, long)).collect()}

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import discard, partitions, text_or_empty, written
+from ledgerloom.llm.common import discard, give_back, partitions, text_or_empty, written
 
 #: Classes: of one word each; shared by words of the dictionary; shared by new words; the end of a text.
 HEADS, SHARED = 190, 32
@@ -47,6 +47,8 @@ GATES, BUCKETS, RATE, START = 16, 33, 0.1, 0.2
 GATED = 4
 #: Bytes of text whose words are counted together; symbols whose bits are worked on together.
 BLOCK, STEP = 24 << 20, 16_384
+#: Symbols that are sorted together to be weighed.
+TOGETHER = 1 << 21
 #: Slots that are summed up together.
 PART = 1 << 16
 #: Steps of a weight when weights are added up as whole numbers, so that sums don't depend on their order.
@@ -106,11 +108,12 @@ def blocks(docs: DataFrame) -> DataFrame:
         size = 0
 
         def made() -> pa.RecordBatch:
-            found = [words(own.column(2)) for own in waiting]
-            numbers = pa.chunked_array([own for own, _ in found]).dictionary_encode().unify_dictionaries()
-            sequence = np.concatenate([own.indices.to_numpy() for own in numbers.chunks])
+            found, sizes = zip(*(words(own.column(2)) for own in waiting))
+            numbers = pa.chunked_array(found).dictionary_encode().unify_dictionaries()
+            del found
+            sequence, sizes = np.concatenate([own.indices.to_numpy() for own in numbers.chunks]), np.concatenate(sizes)
             distinct = numbers.chunk(0).dictionary.cast(pa.large_binary()).cast(pa.binary())
-            sizes = np.concatenate([own for _, own in found])
+            del numbers
             doc_ids, held, lengths = (pa.concat_arrays(own) for own in zip(*((b.column(0), b.column(1), pc.binary_length(b.column(2)).cast(pa.int64())) for b in waiting)))
             learns = np.repeat(~held.to_numpy(zero_copy_only=False), sizes)
             trained = np.bincount(sequence[learns], minlength=len(distinct)).astype(np.int64)
@@ -130,8 +133,11 @@ def blocks(docs: DataFrame) -> DataFrame:
                 if size >= BLOCK:
                     yield made()
                     waiting, size, n = [], 0, n + 1
+                    pa.default_memory_pool().release_unused()
         if waiting:
             yield made()
+        waiting.clear()
+        give_back()  # workers live on after their tasks
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), text_or_empty().cast("binary").alias("text"))
     return rows.mapInArrow(run, kind)
@@ -424,8 +430,11 @@ class Model:
 
     def costs(self, keys: np.ndarray) -> np.ndarray:
         """For each key of a symbol that the code has, the log10 of the symbol's chance."""
-        predictors, mixer = self.ready()
         keys = coded(self.code, keys)
+        return np.concatenate([np.zeros(0), *(self._costs(keys[a : a + TOGETHER]) for a in range(0, len(keys), TOGETHER))])
+
+    def _costs(self, keys: np.ndarray) -> np.ndarray:
+        predictors, mixer = self.ready()
         order = np.argsort(keys)
         ranked = keys[order]
         new = np.concatenate([np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]])
@@ -481,13 +490,16 @@ def count_bits(rows: DataFrame, keys, code: Code, orders: tuple[int, ...], bits:
     """What each predictor has counted over all rows; keys: from a batch to arrays of keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, table in enumerate(counted((own for batch in batches for own in keys(batch)), code, orders, bits)):
+        held = counted((own for batch in batches for own in keys(batch)), code, orders, bits)
+        for k, table in enumerate(held):
             for part in range(0, len(table), PART):
                 own = table[part : part + PART]
                 at = np.nonzero(own)[0]
                 if len(at):
                     data = zstandard.compress(np.diff(at, prepend=-1).astype("<u2").tobytes() + own[at].astype("<u8").tobytes(), 1)
                     yield pa.RecordBatch.from_pydict({"predictor": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "n": pa.array([data], pa.binary())})
+        held.clear()
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds up the rows of each part, which follow one another."""
@@ -678,6 +690,7 @@ class Fit:
                             "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(row["base"], pa.float64()), "score": pa.array(score), "bits_per_byte": pa.array(-score / np.log10(2) / np.maximum(np.array(row["bytes"]), 1)),
                         }
                     )
+            give_back()
 
         return self.ready.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 

@@ -133,3 +133,21 @@ def test_values_are_read_as_casts_read_them(spark):
     assert given.where(edit_log._read(F.lit("net_amount"), raw).isNotNull()).count() > 8 and given.where(edit_log._read(F.lit("invoice_date"), raw).isNotNull()).count() > 1
     sure = given.where(~raw.rlike(edit_log.NUMBER)).select("raw").collect()
     assert {"line", "1999-02-03", "5f"} <= {x["raw"] for x in sure}
+
+
+def test_partitions_grow_with_the_rows_that_edits_meet_by_hash(spark, monkeypatch):
+    """A hash table does not spill: a task hashes no more rows than are set, the fold is the same, and where nobody knows how many rows there
+    are nothing must be hashed."""
+    sf = "/root/testdata/sf0.001"
+    columns = ["row_id", "field", "seq", "action", "old_value", "new_value", "cell", "outcome"]
+    want = record_catalogue.edit_history(spark, sf)
+    monkeypatch.setattr(edit_log, "HASHED", 300, raising=False)
+    found = record_catalogue.edit_history(spark, sf).withColumn("part", F.spark_partition_id()).cache()
+    sizes = [x["n"] for x in found.groupBy("part").agg(F.countDistinct("row_id").alias("n")).collect()]
+    assert max(sizes) < 400 and len(sizes) > 4
+    assert found.select(columns).exceptAll(want).isEmpty() and found.count() == want.count() > 0
+    rows, fixes = record_catalogue._inputs(spark, sf)
+    log, known, codes = (record_catalogue.made(spark, sf, x) for x in (f"SELECT *, 0L AS seq, 'edit' AS action FROM ({record_catalogue._CHANGES})", record_catalogue._SUPPLIERS, record_catalogue._CODES))
+    done = edit_log.folded(rows, fixes, log, known, codes)
+    assert "ShuffledHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+    assert done.exceptAll(edit_log.folded(rows, fixes, log, known, codes, rows.count())).isEmpty()

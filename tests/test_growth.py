@@ -151,3 +151,17 @@ def test_partitions_grow_with_the_rows_that_edits_meet_by_hash(spark, monkeypatc
     done = edit_log.folded(rows, fixes, log, known, codes)
     assert "ShuffledHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
     assert done.exceptAll(edit_log.folded(rows, fixes, log, known, codes, rows.count())).isEmpty()
+
+
+def test_rows_of_a_day_meet_their_edits_in_partitions_that_grow(spark, monkeypatch):
+    """The edits are made where their rows are: the log is not moved, and a task has no more rows than are set."""
+    sf = "/root/testdata/sf0.001"
+    want = record_catalogue.rows_as_of(spark, sf)
+    monkeypatch.setattr(edit_log, "HASHED", 300, raising=False)
+    done = record_catalogue._logged(spark, sf, 4)[2]
+    sizes = [x["n"] for x in done.groupBy(F.spark_partition_id().alias("part")).agg(F.countDistinct("row_id").alias("n")).collect()]
+    assert max(sizes) < 400 and len(sizes) > 4
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(row_id") > plan.index("Generate explode")
+    found = record_catalogue.rows_as_of(spark, sf)
+    assert found.exceptAll(want).isEmpty() and found.count() == want.count() > 0
